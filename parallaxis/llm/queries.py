@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parallaxis.llm.bpe import op3_bpe
+from parallaxis.llm.packing import op6_packing
+from parallaxis.llm.sharding import op2_sharding
 from parallaxis.llm.token_counts import op8_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_sharding": op2_sharding,
         "op3_bpe": op3_bpe,
+        "op6_packing": op6_packing,
         "op8_token_counts": op8_token_counts,
     }
 
