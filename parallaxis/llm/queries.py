@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parallaxis.llm.bpe import op3_bpe
 from parallaxis.llm.fingerprints import op4_fingerprints
+from parallaxis.llm.minhash import op1_minhash
 from parallaxis.llm.packing import op6_packing
 from parallaxis.llm.secrets import op10_secrets
 from parallaxis.llm.sharding import op2_sharding
 from parallaxis.llm.token_counts import op8_token_counts
+from parallaxis.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash": op1_minhash,
         "op2_sharding": op2_sharding,
         "op3_bpe": op3_bpe,
         "op4_fingerprints": op4_fingerprints,
+        "op5_toxicity": op5_toxicity,
         "op6_packing": op6_packing,
         "op8_token_counts": op8_token_counts,
         "op10_secrets": op10_secrets,

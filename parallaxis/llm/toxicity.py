@@ -1,6 +1,6 @@
 """Toxicity by a subsequence string kernel and a support vector machine on Nyström landmarks.
 
-The kernel of two strings counts the subsequences of ``ORDER`` letters they share, each
+The kernel of two words counts the subsequences of ``ORDER`` letters they share, each
 weighted by ``DECAY`` for every position that it spans: letters may be missing in between
 or strewn in, at a price, so ``id.iot`` or ``idiiot`` stays near ``idiot``.  It is a word's
 kernel with a landmark, as a part of the landmark's kernel with itself (1 where the word
@@ -38,7 +38,11 @@ from pyspark.sql import functions as F
 
 from parallaxis.llm.cluster import batch_of, slices, texts_of
 
-ORDER, DECAY, FLOOR = 3, 0.6, 0.35
+ORDER, DECAY, FLOOR = 3, 0.4, 0.5
+#: Two letters that begin every word, so that subsequences tell its start from its inside.
+START = "\x02\x03"
+#: Powers (which are kernels again) for a text's largest value and for its mean.
+SOFT, SHARP = 4, 12
 #: A landmark's mean value over a text's words counts in full from one word in so many.
 RATE = 60
 #: Words whose values a Python worker keeps, and letters of a word that are looked at.
@@ -55,7 +59,7 @@ def kernels(words: list[str], landmarks: list[str], pairs: np.ndarray | None = N
         pairs = np.stack(np.meshgrid(np.arange(len(words)), np.arange(len(landmarks)), indexing="ij"), -1).reshape(-1, 2)
     if not len(pairs):
         return np.zeros(0)
-    w, m = codes(words), codes(landmarks)
+    w, m = codes([START + x for x in words]), codes([START + x for x in landmarks])
     a, b = w[pairs[:, 0]], m[pairs[:, 1]]
     n, la, lb = len(pairs), a.shape[1], b.shape[1]
     b = np.where(b == 0, -1, b)  # padding equals nothing
@@ -170,8 +174,8 @@ class Landmarks:
         for n, words in enumerate(cut):
             hits = [self.rows[h] for h in map(get, words) if h]
             if hits:
-                out[n, :k] = np.max(hits, axis=0)
-                out[n, k:] = np.minimum(1.0, np.sum(hits, axis=0) * (RATE / len(words)))
+                out[n, :k] = np.max(hits, axis=0) ** SOFT
+                out[n, k:] = np.minimum(1.0, np.sum(np.power(hits, SHARP), axis=0) * (RATE / len(words)))
         return out
 
 
@@ -272,7 +276,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, most_
     if not 0 < n_toxic < len(known):
         return Model([], np.zeros(1), 1.0, 0.0, prior=n_toxic / len(known))
     counts = fragments(texts.select("doc_id", "text")).join(F.broadcast(ids), "doc_id").groupBy("fragment").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
-    least = max(3, round(0.008 * n_toxic))
+    least = max(4, round(0.03 * n_toxic))
     telling = counts.where((F.col("toxic") >= least) & (F.col("toxic") * (len(known) - n_toxic) > 4 * F.col("clean") * n_toxic))
     # the fragments of a bounded sample that pass; a few thousand at most by the least count
     rows = [(r["fragment"], r["toxic"], r["clean"]) for r in telling.orderBy(F.desc("toxic"), "fragment").limit(20_000).collect()]
