@@ -33,7 +33,7 @@ from parallaxis.llm.cluster import batch_of, materialize, slices, texts_of
 from parallaxis.llm.ranks import bucket_count, seeded_key, with_ranks
 
 #: Pieces of text between spaces whose ids a Python worker keeps.
-KEEP = 700_000
+KEEP = 1_500_000
 KEEP_LENGTH = 64
 
 
@@ -92,16 +92,19 @@ class WordIds:
         kept = self.kept
         if len(kept) > KEEP:
             kept.clear()
+        cut = [text.replace("\n", " ").split(" ") for text in texts]
         missing = set()
-        for text in texts:
-            missing.update(text.replace("\n", " ").split(" "))
+        for words in cut:
+            missing.update(words)
         missing.difference_update(kept)
         self.learn(missing)
         get = kept.__getitem__
-        out = [b"".join(map(get, text.replace("\n", " ").split(" "))) for text in texts]
-        if any(len(word) > KEEP_LENGTH for word in missing):
-            for word in [w for w in kept if len(w) > KEEP_LENGTH]:
-                del kept[word]
+        out = [b"".join(map(get, words)) for words in cut]
+        for word in missing:
+            if len(word) > KEEP_LENGTH:
+                core = word.rstrip(".,")
+                for x in (word, core, core.lower(), word[len(core) :]):
+                    kept.pop(x, None)
         return out
 
 
