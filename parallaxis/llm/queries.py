@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parallaxis.llm.bpe import op3_bpe
 from parallaxis.llm.fingerprints import op4_fingerprints
+from parallaxis.llm.language_model import op9_language_model
 from parallaxis.llm.minhash import op1_minhash
 from parallaxis.llm.packing import op6_packing
 from parallaxis.llm.secrets import op10_secrets
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_packing": op6_packing,
         "op8_token_counts": op8_token_counts,
+        "op9_language_model": op9_language_model,
         "op10_secrets": op10_secrets,
     }
 

@@ -24,12 +24,8 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def shingle_hashes(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of ``k`` words of all texts in a row, and where each text's begin.
-
-    A text of fewer words has one shingle, all of its words; one without words has none.
-    The second array has one more entry than there are texts.  Repeats are kept.
-    """
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in a row, and the number of words up to each text's end."""
     raw = [(t or "").encode() for t in texts]
     flat = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     ends = np.cumsum([len(r) + 1 for r in raw])
@@ -40,7 +36,16 @@ def shingle_hashes(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndar
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[flat] * up[:-1], dtype=np.uint64)])
     down = powers(_BACK, len(flat) + 1)
     word = mix((total[after] - total[first]) * down[first] + (after - first).astype(np.uint64))
-    upto = np.searchsorted(first, ends)  # words up to each text's end
+    return word, np.searchsorted(first, ends)
+
+
+def shingle_hashes(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``k`` words of all texts in a row, and where each text's begin.
+
+    A text of fewer words has one shingle, all of its words; one without words has none.
+    The second array has one more entry than there are texts.  Repeats are kept.
+    """
+    word, upto = word_hashes(texts)
     n_words = np.diff(np.concatenate([[0], upto]))
     begin = upto - n_words
     # shingles of k words, wherever k words are left in the same text
