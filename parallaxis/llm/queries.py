@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parallaxis.llm.bpe import op3_bpe
+from parallaxis.llm.embeddings import op7_embeddings
 from parallaxis.llm.fingerprints import op4_fingerprints
 from parallaxis.llm.language_model import op9_language_model
 from parallaxis.llm.minhash import op1_minhash
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_fingerprints": op4_fingerprints,
         "op5_toxicity": op5_toxicity,
         "op6_packing": op6_packing,
+        "op7_embeddings": op7_embeddings,
         "op8_token_counts": op8_token_counts,
         "op9_language_model": op9_language_model,
         "op10_secrets": op10_secrets,
