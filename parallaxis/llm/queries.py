@@ -18,8 +18,16 @@ from parallaxis.llm.token_counts import op8_token_counts
 from parallaxis.llm.toxicity import op5_toxicity
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline's result; its module stands at the top of the repository."""
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": pipeline,
         "op1_minhash": op1_minhash,
         "op2_sharding": op2_sharding,
         "op3_bpe": op3_bpe,

@@ -32,6 +32,7 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -312,6 +313,18 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
 
+def scored_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``docs``, and ``_score``."""
+
+    @F.pandas_udf("double")
+    def score(texts):
+        marks = marks_of(model.landmarks)
+        out = [model.score(marks.values([t or "" for t in texts.iloc[at : at + 512]]), marks.root) for at in range(0, len(texts), 512)]
+        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+
+    return docs.withColumn("_score", score(docs[text_col]))
+
+
 _READY: dict[tuple[str, ...], Landmarks] = {}
 
 
