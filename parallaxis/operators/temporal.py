@@ -22,24 +22,30 @@ LEAST_SPAN = 1e-6
 
 
 def ema_bounds(bounds: DataFrame, video: str, cfg: TemporalConfig) -> DataFrame:
-    """Smoothed ``low, high`` of each frame from ``q_low, q_high``: a fold over a video's ordered frames.
+    """Smoothed ``low, high`` of each frame from ``q_low, q_high``, and the span's floor kept in the state.
 
-    The fold runs over one small struct for each frame (no pixels).
+    The floor makes this a recursion, so a video's frames are folded in order; rows arrive in
+    Arrow batches and the state is two numbers, however long the video.
     """
-    eta = F.lit(cfg.eta)
-    rows = bounds.groupBy(video).agg(F.array_sort(F.collect_list(F.struct("frame", "q_low", "q_high"))).alias("frames"))
-
-    def step(state, f):
-        low = F.when(state["n"] == 0, f["q_low"]).otherwise((1 - eta) * state["low"] + eta * f["q_low"])
-        high = F.when(state["n"] == 0, f["q_high"]).otherwise((1 - eta) * state["high"] + eta * f["q_high"])
-        return F.struct(f["frame"].alias("frame"), (state["n"] + 1).alias("n"), low.alias("low"), F.when(high - low < LEAST_SPAN, low + LEAST_SPAN).otherwise(high).alias("high"))
-
-    # all prefixes' states, kept as an array that grows by one with each frame
-    zero = F.struct(F.lit(0).cast("long").alias("frame"), F.lit(0).alias("n"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"))
-    rows = rows.withColumn("frames", F.transform("frames", lambda f: F.struct(f["frame"].cast("long").alias("frame"), f["q_low"].cast("double").alias("q_low"), f["q_high"].cast("double").alias("q_high"))))
-    states = F.aggregate("frames", F.array(zero), lambda acc, f: F.concat(acc, F.array(step(F.element_at(acc, -1), f))))
-    out = rows.select(video, F.explode(F.filter(states, lambda s: s["n"] > 0)).alias("s"))
-    return out.select(video, "s.frame", "s.low", "s.high")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, low, high = None, 0.0, 0.0
+        for rows in batches:
+            lows, highs = [], []
+            for v, a, b in zip(rows[video], rows["q_low"], rows["q_high"], strict=True):
+                if v != held:
+                    held, low, high = v, a, b
+                else:
+                    low, high = (1 - cfg.eta) * low + cfg.eta * a, (1 - cfg.eta) * high + cfg.eta * b
+                if high - low < LEAST_SPAN:
+                    high = low + LEAST_SPAN
+                lows.append(low)
+                highs.append(high)
+            yield rows[[video, "frame"]].assign(low=lows, high=highs)
+
+    kinds = dict(bounds.dtypes)
+    rows = bounds.select(video, "frame", F.col("q_low").cast("double"), F.col("q_high").cast("double"))
+    return rows.repartition(video).sortWithinPartitions(video, "frame").mapInPandas(fold, f"{video} {kinds[video]}, frame {kinds['frame']}, low double, high double")
 
 
 def scale_alignment(pairs: DataFrame, keys: list[str], cfg: TemporalConfig, lower_median: bool = False) -> DataFrame:

@@ -458,11 +458,11 @@ def bottleneck_flag(spark, sf):
     return metrics.bottlenecks(V.table(spark, sf, "events"), ["user_id"], "event_type", "value", ("click", "view"), "purchase").select("user_id", F.round("outer_ms", 9).alias("outer_ms"), F.round("middle_ms", 9).alias("middle_ms"), "io_bound")
 
 
-@query("WITH e AS (SELECT user_id AS job, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame, count(*) OVER (PARTITION BY user_id) + 5 AS total FROM events), p AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY job ORDER BY frame)) / 1e6 AS s FROM e) SELECT job, frame, round(100.0 * frame / total, 6) AS percent, round(CASE WHEN s > 0.05 THEN 1 / s END, 6) AS fps, round(CASE WHEN s > 0.05 THEN (total - frame) / (1 / s) END, 4) AS eta FROM p")
+@query("WITH e AS (SELECT user_id AS job, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame, count(*) OVER (PARTITION BY user_id) + 5 AS total FROM events), p AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY job ORDER BY frame)) / 1e6 AS s FROM e) SELECT job, frame, round(100.0 * frame / total, 6) AS percent, round(CASE WHEN s > 0.05 THEN 1 / s END, 6) AS fps, round(CASE WHEN s > 0.05 THEN (total - frame) / (1 / s) END, 7) AS eta FROM p")
 def progress_eta(spark, sf):
     job = W.partitionBy("user_id")
     e = V.table(spark, sf, "events").select(F.col("user_id").alias("job"), "ts", F.row_number().over(job.orderBy("ts", "event_id")).alias("frame"), (F.count(F.lit(1)).over(job) + 5).alias("total"))
-    return metrics.progress(e, "job", "frame", "ts", "total").select("job", *whole("frame"), *real("percent", "fps"), F.round("eta", 4).alias("eta"))
+    return metrics.progress(e, "job", "frame", "ts", "total").select("job", *whole("frame"), *real("percent", "fps"), F.round("eta", 7).alias("eta"))
 
 
 @query("WITH s AS (SELECT f.o_custkey AS input, count(*) AS jobs, sum(CASE WHEN f.o_orderstatus = 'F' THEN 1 ELSE 0 END) AS ok, sum(f.o_totalprice) AS total FROM orders f GROUP BY f.o_custkey) SELECT input, jobs, CAST(ok AS BIGINT) AS ok, jobs - CAST(ok AS BIGINT) AS failed, round(total, 2) AS total FROM s")
