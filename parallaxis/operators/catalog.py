@@ -59,3 +59,21 @@ def route(requested, gpu_ready, batch):
     """The route of a job: ``gpu`` or ``compatible``; batches need the first; null where that cannot be."""
     ask = F.when((requested == "auto") & gpu_ready, "gpu").when(requested == "auto", "compatible").when((requested == "gpu") & ~gpu_ready, None).otherwise(requested)
     return F.when((batch > 1) & (F.coalesce(ask, F.lit("")) != "gpu"), None).otherwise(ask)
+
+
+def depth_unit(name):
+    """What a model's depths mean, by its name: metres, focal-dependent, or relative."""
+    n = F.lower(name)
+    return F.when(n.contains("nested"), "meters").when(n.contains("metric"), "focal_dependent_unscaled").otherwise("relative")
+
+
+def modules_allowed(document, prefixes: tuple[str, ...]):
+    """Whether every module path a JSON model description names begins with an allowed prefix."""
+    paths = F.regexp_extract_all(document, F.lit(r'"__object__"\s*:\s*\{[^{}]*?"path"\s*:\s*"([^"]*)"'), 1)
+    ok = lambda p: F.exists(F.array(*[F.lit(x) for x in prefixes]), lambda x: (p == x) | p.startswith(F.concat(x, F.lit("."))))
+    return F.forall(paths, ok)
+
+
+def readiness(has_input, reason, status, encoder):
+    """The first thing that keeps a job from starting; null if nothing does."""
+    return F.when(~has_input, "no input").when(reason.isNotNull(), F.concat(F.lit("input rejected: "), reason)).when(status != "ready", F.concat(F.lit("model "), status)).when(encoder.isNull(), "no encoder")

@@ -59,6 +59,30 @@ def bilinear_resize(px: DataFrame, keys: list[str], height: int, width: int, to_
     return out.groupBy(*keys, F.col("_v.to").alias("y"), F.col("_h.to").alias("x")).agg(F.sum(F.col(value) * F.col("_v.w") * F.col("_h.w")).alias(value))
 
 
+def convolve(px: DataFrame, keys: list[str], height: int, width: int, value: str, kernels: dict[str, dict[tuple[int, int], float]]) -> DataFrame:
+    """Weighted sums of neighbours ``(dy, dx)``, zeros outside: each pixel goes where it counts, and sums meet there."""
+    offsets = sorted({o for k in kernels.values() for o in k})
+    terms = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), *[F.lit(float(k.get((dy, dx), 0.0))).alias(n) for n, k in kernels.items()]) for dy, dx in offsets])
+    sent = px.withColumn("_t", F.explode(terms)).withColumn("_y", F.col("y") - F.col("_t.dy")).withColumn("_x", F.col("x") - F.col("_t.dx"))
+    inside = sent.where((F.col("_y") >= 0) & (F.col("_y") < height) & (F.col("_x") >= 0) & (F.col("_x") < width))
+    return inside.groupBy(*keys, F.col("_y").alias("y"), F.col("_x").alias("x")).agg(*[F.sum(F.col(value) * F.col(f"_t.{n}")).alias(n) for n in kernels])
+
+
+SQUARE = {(dy, dx): 1 / 9 for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
+SOBEL = {
+    "gx": {(dy, dx): dx * (2 - abs(dy)) for dy in (-1, 0, 1) for dx in (-1, 1)},
+    "gy": {(dy, dx): dy * (2 - abs(dx)) for dy in (-1, 1) for dx in (-1, 0, 1)},
+    "here": {(0, 0): 1.0},
+}
+
+
+def depth_edges(px: DataFrame, keys: list[str], height: int, width: int, limit: float, smooth: bool = True) -> DataFrame:
+    """``gradient`` relative to depth, and ``edge`` where it is over ``limit``; smoothed over 3 by 3 first or not."""
+    d = convolve(px, keys, height, width, "z", {"z": SQUARE}) if smooth else px
+    out = convolve(d, keys, height, width, "z", SOBEL).withColumn("gradient", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) / F.greatest(F.col("here"), F.lit(1e-6)))
+    return out.withColumn("edge", F.col("gradient") > limit)
+
+
 # The channel means and deviations that image models are trained with.
 MEAN, DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 

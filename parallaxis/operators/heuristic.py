@@ -40,3 +40,10 @@ def warp_chroma(chroma: DataFrame, luma_d: DataFrame, keys: list[str], width: in
     half = luma_d.where((F.col("y") % 2 == 0) & (F.col("x") % 2 == 0)).select(*keys, (F.col("y") / 2).cast("int").alias("y"), (F.col("x") / 2).cast("int").alias("x"), F.floor(F.col("d") / 2).cast("int").alias("d"))
     moved = chroma.join(half, [*keys, "y", "x"])
     return backward_warp(moved, keys, width // 2, "u")
+
+
+def black_frame(frames: DataFrame, height: int, width: int) -> DataFrame:
+    """What stands in for frames without any good one before: luma 0, chroma 128."""
+    from parallaxis.sources.frames import spread
+
+    return spread(frames, y=height, x=width).withColumn("luma", F.lit(0)).withColumn("u", F.lit(128)).withColumn("v", F.lit(128))

@@ -520,3 +520,58 @@ def event_props(spark, sf):
 @query("SELECT page_id, sha256(html) AS sha256 FROM pages")
 def page_checksums(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
+
+
+@query(S.with_(S.PX8, "z AS (SELECT frame, y, x, 1.0::DOUBLE + luma / 64.0::DOUBLE AS z FROM px8), s AS (SELECT a.frame, a.y, a.x, sum(b.z) / 9 AS z FROM z a JOIN z b ON a.frame = b.frame AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.frame, a.y, a.x), g AS (SELECT a.frame, a.y, a.x, max(a.z) AS z, sum(b.z * (b.x - a.x) * (2 - abs(b.y - a.y))) AS gx, sum(b.z * (b.y - a.y) * (2 - abs(b.x - a.x))) AS gy FROM s a JOIN s b ON a.frame = b.frame AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.frame, a.y, a.x) SELECT frame, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(sqrt(gx * gx + gy * gy) / greatest(z, 1e-6), 6) AS gradient, sqrt(gx * gx + gy * gy) / greatest(z, 1e-6) > 0.7 AS edge FROM g", raw=True))
+def depth_edges(spark, sf):
+    px = V.square_frames(spark, sf).select("frame", "y", "x", (1.0 + F.col("luma") / 64.0).alias("z"))
+    return geometry.depth_edges(px, ["frame"], 8, 8, 0.7).select("frame", *whole("y", "x"), *real("gradient"), "edge")
+
+
+@query(S.with_(S.GEN, S.BOX, S.CROP, "SELECT CAST(video AS BIGINT) AS video, CAST(frame AS BIGINT) AS frame, round(quantile_cont(1.0::DOUBLE / z, 0.01), 6) AS q_low, round(quantile_cont(1.0::DOUBLE / z, 0.99), 6) AS q_high FROM crop GROUP BY video, frame"))
+def active_bounds(spark, sf):
+    keys, px = ["video", "frame"], V.generated_video(spark, sf)
+    inside = (F.col("y") >= F.col("ymin")) & (F.col("y") < F.col("ymax")) & (F.col("x") >= F.col("xmin")) & (F.col("x") < F.col("xmax"))
+    boxed = px.join(scenes.letterbox(px, keys, SCENE), keys)
+    return depth.robust_bounds(boxed, keys, D, where=inside).select(*whole(*keys), *real("q_low", "q_high"))
+
+
+@query(S.with_(S.PX8, "SELECT frame, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(0.299::DOUBLE * luma + 0.587::DOUBLE * (255 - luma) + 0.114::DOUBLE * (luma // 2), 6) AS gray, CAST(round_even(greatest(0.0, least(1.0, luma / 255.0::DOUBLE)) * 255.0::DOUBLE, 0) AS BIGINT) AS byte FROM px8"))
+def luma_bytes(spark, sf):
+    p = V.square_frames(spark, sf)
+    gray = numeric.luma(F.col("luma"), 255 - F.col("luma"), F.floor(F.col("luma") / 2))
+    return p.withColumn("gray", gray).withColumn("byte", numeric.to_byte(F.col("luma") / 255.0)).select("frame", *whole("y", "x"), *real("gray"), *whole("byte"))
+
+
+@query("SELECT n_nationkey AS frame, y, x, CAST(0 AS BIGINT) AS luma, CAST(128 AS BIGINT) AS u, CAST(128 AS BIGINT) AS v FROM (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation), range(4) a(y), range(6) b(x)")
+def black_fallback(spark, sf):
+    rows = V.table(spark, sf, "nation").select(F.col("n_nationkey").alias("frame"))
+    return heuristic.black_frame(rows, 4, 6).select(*whole("frame", "y", "x", "luma", "u", "v"))
+
+
+@query("SELECT * FROM (VALUES ('small', 'relative'), ('base', 'relative'), ('large', 'relative'), ('metric-large', 'focal_dependent_unscaled'), ('nested', 'meters')) t(id, unit)")
+def depth_units(spark, sf):
+    return V.catalog_rows(spark).select("id", catalog.depth_unit(F.col("id")).alias("unit"))
+
+
+@query("SELECT p_partkey AS model, p_partkey % 3 <> 2 AS allowed FROM part")
+def module_allowlist(spark, sf):
+    k = F.col("p_partkey")
+    inner = F.element_at(F.array(F.lit("depth.nets.head"), F.lit("depth"), F.lit("depthless.evil")), (1 + k % 3).cast("int"))
+    document = F.concat(F.lit('{"net": {"__object__": {"path": "depth.core", "name": "A"}, "head": [{"__object__": {"name": "B", "path": "'), inner, F.lit('"}}]}}'))
+    return V.table(spark, sf, "part").select(k.alias("model"), catalog.modules_allowed(document, ("depth",)).alias("allowed"))
+
+
+@query(S.with_(S.MEDIA, S.RATES, S.ADMIT, "SELECT media, CASE WHEN media % 11 = 0 THEN 'no input' WHEN reason IS NOT NULL THEN 'input rejected: ' || reason WHEN media % 7 = 0 THEN 'model missing' WHEN media % 5 = 0 THEN 'no encoder' END AS message FROM admit"))
+def job_readiness(spark, sf):
+    k = F.col("media")
+    status = F.when(k % 7 == 0, "missing").otherwise("ready")
+    encoder = F.when(k % 5 != 0, "libx264")
+    return media.admit(V.media_facts(spark, sf)).select("media", catalog.readiness(k % 11 != 0, F.col("reason"), status, encoder).alias("message"))
+
+
+@query("WITH p AS (SELECT l_orderkey AS job, l_linenumber AS frame, l_quantity AS kernel_ms FROM lineitem) SELECT CAST(job % 50 AS BIGINT) AS job, count(*) AS frames, round(median(kernel_ms), 6) AS median_ms, round(quantile_cont(kernel_ms, 0.95), 6) AS p95_ms FROM p GROUP BY job % 50")
+def kernel_quantiles(spark, sf):
+    p = V.table(spark, sf, "lineitem").select((F.col("l_orderkey") % 50).alias("job"), F.col("l_quantity").alias("kernel_ms"))
+    q = p.groupBy("job").agg(F.count(F.lit(1)).alias("frames"), F.percentile("kernel_ms", F.array(F.lit(0.5), F.lit(0.95))).alias("q"))
+    return q.select(*whole("job"), "frames", F.round(F.col("q")[0], 6).alias("median_ms"), F.round(F.col("q")[1], 6).alias("p95_ms"))

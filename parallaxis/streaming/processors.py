@@ -1,13 +1,17 @@
-"""Stateful forms for streams: smoothed signals with reset, and cuts with a least shot length."""
+"""Stateful forms for streams: smoothed signals with reset, stabilised depth, and cuts with a least shot length."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from parallaxis.config import TemporalConfig
+from parallaxis.operators.temporal import Stabilizer
+
 
 class Smooth(StatefulProcessor):
     """Exponential smoothing of ``value`` in order of ``frame``; state is one number and a count.
@@ -52,6 +56,46 @@ def smooth_stream(frames: DataFrame, eta: float, reset_gap: int | None = None) -
     )
 
 
+class StabilizeStream(StatefulProcessor):
+    """The stabiliser over a stream of packed frames: the state is one frame's grey and depth."""
+
+    KIND = "h int, w int, gray array<double>, depth array<double>, low double, high double, place int, frame long"
+
+    def __init__(self, cfg: TemporalConfig):
+        self.cfg = cfg
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("held", self.KIND)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, last = Stabilizer(self.cfg), -1
+        if self.state.exists():
+            h, w, gray, depth, held.low, held.high, held.index, last = self.state.get()
+            held.gray, held.depth = np.reshape(gray, (h, w)).astype(float), np.reshape(depth, (h, w)).astype(float)
+        out = []
+        for r in pd.concat(list(rows)).sort_values("frame").itertuples(index=False):
+            if r.frame <= last:
+                continue
+            s = held.step(np.asarray(r.luma, float).reshape(r.h, r.w), np.asarray(r.z, float).reshape(r.h, r.w))
+            last = int(r.frame)
+            out.append((key[0], last, s["in_shot"], s["low"], s["high"], s["valid_fraction"], s["depth"].ravel().tolist()))
+        if out:
+            h, w = held.gray.shape
+            self.state.update((h, w, held.gray.ravel().tolist(), held.depth.ravel().tolist(), float(held.low), float(held.high), held.index, last))
+        yield pd.DataFrame(out, columns=["video", "frame", "in_shot", "low", "high", "valid_fraction", "depth"])
+
+    def close(self) -> None:
+        pass
+
+
+def stabilize_stream(frames: DataFrame, cfg: TemporalConfig) -> DataFrame:
+    """Stabilised depth from a stream (or table) of packed frames ``video, frame, h, w, luma, z``."""
+    _ = frames.sparkSession.streams.active
+    return frames.groupBy("video").transformWithStateInPandas(
+        statefulProcessor=StabilizeStream(cfg), outputStructType="video long, frame long, in_shot int, low double, high double, valid_fraction double, depth array<double>", outputMode="Append", timeMode="None"
+    )
+
+
 def spaced_cuts(scores: DataFrame, threshold: float, least_frames: int) -> DataFrame:
     """Cuts at least ``least_frames`` after the last: ``video, frame, is_cut`` from ``video, frame, score``.
 

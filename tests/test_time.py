@@ -166,3 +166,29 @@ def test_messages_and_catalog_files(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"models": [{"id": "a", "files": {"w": {"bytes": 5, "sha256": "x"}, "c": {"bytes": 2, "sha256": "y"}}}]}, indent=1))
     total = V.json_catalog(spark, f"{tmp_path}/c.json").select(F.aggregate(F.map_values("files"), F.lit(0).cast("long"), lambda s, v: s + v["bytes"]).alias("n"))
     assert total.first().n == 7
+
+
+def test_stabiliser_stream_equals_batch(spark, tmp_path):
+    from parallaxis.streaming.processors import stabilize_stream
+
+    cfg = TemporalConfig(min_shared=50)
+    px = V.generated_video(spark, "/root/testdata/sf0.001").where("video < 2 AND frame < 4")
+    frames = temporal.packed(px, ["video", "frame"]).select(F.col("video").cast("long").alias("video"), F.col("frame").cast("long").alias("frame"), "h", "w", "luma", "z")
+    for part in range(2):
+        frames.where(F.floor(F.col("frame") / 2) == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = stabilize_stream(stream, cfg).writeStream.format("memory").queryName("stable").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = {(r.video, r.frame): r.depth for r in spark.table("stable").collect()}
+    want = {(r.video, r.frame): r.depth for r in temporal.stabilize(frames.withColumn("shot", F.lit(1)), cfg).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_report_file(spark, tmp_path):
+    from parallaxis.operators.metrics import write_report
+
+    rows = spark.createDataFrame([(0, 1.5, 2.25, 3)], "frame int, frame_ms double, kernel_ms double, queue_depth int")
+    write_report(rows.coalesce(1), f"{tmp_path}/report")
+    (part,) = tmp_path.joinpath("report").glob("part-*.csv")
+    assert part.read_text().split() == ["frame,frame_ms,kernel_ms,queue_depth", "0,1.5000,2.2500,3"]
