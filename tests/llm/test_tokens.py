@@ -1,6 +1,7 @@
 """Encoding, decoding, counting and packing against the libraries themselves."""
 
 import base64
+import functools
 import hashlib
 import random
 import zlib
@@ -27,14 +28,19 @@ def library():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def once():
+    replay = coder(RANKS, P.PATTERN)
+    return replay, counter(JSON), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=replay.ranks, special_tokens={})
+
+
 @given(st.text(alphabet="ab 'sterlmvd\n\t\x1c\x85éß中0 .!?  ", max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_merge_replay_and_prefix_counts_are_the_librarys(text):
-    ranks = coder(RANKS, P.PATTERN)
-    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks.ranks, special_tokens={})
+    replay, counts, own = once()
     ids = own.encode_ordinary(text)
-    assert ranks.encode([text])[0] == np.array(ids, "<u4").tobytes()
-    assert counter(JSON).count(text) == len(ids)
+    assert replay.encode([text])[0] == np.array(ids, "<u4").tobytes()
+    assert counts.count(text) == len(ids)
 
 
 def test_every_prefix_of_a_word_has_its_exact_count(library):
