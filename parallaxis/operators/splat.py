@@ -1,37 +1,66 @@
-"""Forward splatting with a z-buffer: two aggregates and a join on the target pixel."""
+"""Forward splatting with a z-buffer, in one shuffle.
+
+Landings are dealt out by image row.  The z-buffer is a window over a target pixel, the sums
+an aggregate over the same pixel, and the row-wise windows of hole filling come next: all of
+them are satisfied by the one distribution on (frame, row).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parallaxis.config import SplatConfig
 
 
-def contributions(px: DataFrame, keys: list[str], shift: str, cfg: SplatConfig) -> DataFrame:
-    """Each pixel's two landings ``xt`` with weights; those outside or of no weight are left out."""
+def _landings(shift: str) -> list[Column]:
     to = F.col("x") + F.col(shift)
     base, part = F.floor(to).cast("int"), to - F.floor(to)
-    two = F.array(F.struct(base.alias("xt"), (1.0 - part).alias("w")), F.struct((base + 1).alias("xt"), part.alias("w")))
-    landed = px.withColumn("land", F.explode(two)).withColumn("xt", F.col("land.xt")).withColumn("w", F.col("land.w")).drop("land")
-    return landed.where((F.col("xt") >= 0) & (F.col("xt") < F.col("width")) & (F.col("w") > cfg.least_weight))
+    return [F.struct(base.alias("xt"), (1.0 - part).alias("w")), F.struct((base + 1).alias("xt"), part.alias("w"))]
+
+
+def _landed(px: DataFrame, places: list[Column], cfg: SplatConfig) -> DataFrame:
+    out = px.withColumn("land", F.explode(F.array(*places))).withColumn("xt", F.col("land.xt")).withColumn("w", F.col("land.w")).drop("land")
+    return out.where((F.col("xt") >= 0) & (F.col("xt") < F.col("width")) & (F.col("w").isNull() | (F.col("w") > cfg.least_weight)))
+
+
+def contributions(px: DataFrame, keys: list[str], shift: str, cfg: SplatConfig) -> DataFrame:
+    """Each pixel's two landings ``xt`` with weights; those outside or of no weight are left out."""
+    return _landed(px, _landings(shift), cfg)
 
 
 def z_buffer(landed: DataFrame, keys: list[str]) -> DataFrame:
     return landed.groupBy(*keys, "y", "xt").agg(F.min("z").alias("z_near"))
 
 
-def blend(landed: DataFrame, keys: list[str], colors: list[str], cfg: SplatConfig) -> DataFrame:
-    """Sums of what survives the z-buffer: ``weight``, ``depth`` and the colours, where covered."""
+def _sums(landed: DataFrame, keys: list[str], colors: list[str], cfg: SplatConfig) -> DataFrame:
+    """Weight, depth and colours of each target pixel from what survives the z-buffer (null where nothing covers it)."""
     target = [*keys, "y", "xt"]
-    near = landed.join(z_buffer(landed, keys), target).where(F.col("z") <= F.col("z_near") * (1 + cfg.relative_tolerance) + cfg.absolute_tolerance)
-    sums = near.groupBy(*target).agg(F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("z")).alias("_z"), *[F.sum(F.col("w") * F.col(c)).alias(f"_{c}") for c in colors])
-    covered = sums.where(F.col("weight") > cfg.least_weight)
-    return covered.select(*target, "weight", (F.col("_z") / F.col("weight")).alias("depth"), *[(F.col(f"_{c}") / F.col("weight")).alias(c) for c in colors])
+    near = F.min(F.when(F.col("w").isNotNull(), F.col("z"))).over(W.partitionBy(*target))
+    ok = F.col("w").isNotNull() & (F.col("z") <= F.col("_near") * (1 + cfg.relative_tolerance) + cfg.absolute_tolerance)
+    used = F.when(ok, F.col("w"))
+    sums = (
+        landed.repartition(*keys, "y")
+        .withColumn("_near", near)
+        .groupBy(*target)
+        .agg(F.max("width").alias("width"), F.sum(used).alias("_w"), F.sum(used * F.col("z")).alias("_z"), *[F.sum(used * F.col(c)).alias(f"_{c}") for c in colors])
+    )
+    weight = F.when(F.col("_w") > cfg.least_weight, F.col("_w"))
+    return sums.select(*target, "width", weight.alias("weight"), (F.col("_z") / weight).alias("depth"), *[(F.col(f"_{c}") / weight).alias(c) for c in colors])
+
+
+def blend(landed: DataFrame, keys: list[str], colors: list[str], cfg: SplatConfig) -> DataFrame:
+    """Covered target pixels only: ``weight``, ``depth`` and the colours."""
+    return _sums(landed, keys, colors, cfg).where(F.col("weight").isNotNull()).drop("width")
 
 
 def forward_splat(px: DataFrame, keys: list[str], shift: str, colors: list[str], cfg: SplatConfig) -> DataFrame:
-    """Every target pixel: ``covered``, and depth and colours where it is (null in holes)."""
-    drawn = blend(contributions(px, keys, shift, cfg), keys, colors, cfg)
-    grid = px.select(*keys, "y", F.col("x").alias("xt"), "width")
-    return grid.join(drawn, [*keys, "y", "xt"], "left").withColumnRenamed("xt", "x").withColumn("covered", F.col("weight").isNotNull())
+    """Every target pixel: ``covered``, and depth and colours where it is (null in holes).
+
+    Each pixel also lands on its own place without weight, so holes are rows of the same
+    aggregate and no join with the grid is needed.
+    """
+    here = F.struct(F.col("x").alias("xt"), F.lit(None).cast("double").alias("w"))
+    drawn = _sums(_landed(px, [*_landings(shift), here], cfg), keys, colors, cfg)
+    return drawn.withColumnRenamed("xt", "x").withColumn("covered", F.col("weight").isNotNull())

@@ -47,7 +47,7 @@ def explode_rgb(packed: DataFrame, width: int) -> DataFrame:
 def pixel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding as a frame of one row of pixels: depth 2 + v, colour v."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("x", "v"))
-    return rows.select("frame", F.lit(0).alias("y"), "x", (F.col("v").cast("double") + 2.0).alias("z"), F.col("v").cast("double").alias("g"))
+    return rows.select("frame", F.floor(F.col("x") / 64).cast("int").alias("y"), "x", (F.col("v").cast("double") + 2.0).alias("z"), F.col("v").cast("double").alias("g"))
 
 
 def square_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
