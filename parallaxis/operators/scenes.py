@@ -15,14 +15,18 @@ from parallaxis.config import SceneConfig
 
 
 def letterbox(px: DataFrame, keys: list[str], cfg: SceneConfig) -> DataFrame:
-    """``h, w`` and the active box ``ymin, ymax, xmin, xmax`` (ends exclusive) of each frame."""
-    size = px.groupBy(*keys).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-
-    def extent(axis: str, low: str, high: str) -> DataFrame:
-        lit = px.groupBy(*keys, axis).agg(F.avg("luma").alias("m")).where(F.col("m") >= cfg.letterbox_threshold)
-        return lit.groupBy(*keys).agg(F.min(axis).alias(low), (F.max(axis) + 1).alias(high))
-
-    both = size.join(extent("y", "y0", "y1"), keys, "left").join(extent("x", "x0", "x1"), keys, "left")
+    """``h, w`` and the active box ``ymin, ymax, xmin, xmax`` (ends exclusive) of each frame.
+
+    Every pixel counts for its row and its column, so both kinds of means come from one
+    aggregate, summed up map-side before the shuffle.
+    """
+    line = F.explode(F.array(F.struct(F.lit(0).alias("axis"), F.col("y").cast("int").alias("at")), F.struct(F.lit(1).alias("axis"), F.col("x").cast("int").alias("at"))))
+    means = px.withColumn("_l", line).groupBy(*keys, F.col("_l.axis").alias("axis"), F.col("_l.at").alias("at")).agg(F.avg("luma").alias("m"))
+    of = lambda axis, lit: F.when((F.col("axis") == axis) & ((F.col("m") >= cfg.letterbox_threshold) if lit else F.lit(True)), F.col("at"))
+    both = means.groupBy(*keys).agg(
+        (F.max(of(0, False)) + 1).alias("h"), (F.max(of(1, False)) + 1).alias("w"),
+        F.min(of(0, True)).alias("y0"), (F.max(of(0, True)) + 1).alias("y1"), F.min(of(1, True)).alias("x0"), (F.max(of(1, True)) + 1).alias("x1"),
+    )
     tall = F.coalesce(F.col("y1") - F.col("y0"), F.lit(0)) >= F.floor(F.col("h") * 0.2)
     wide = F.coalesce(F.col("x1") - F.col("x0"), F.lit(0)) >= F.floor(F.col("w") * 0.2)
     crop = F.coalesce(tall & wide & (F.col("h") >= 4) & (F.col("w") >= 4) & F.col("y0").isNotNull() & F.col("x0").isNotNull(), F.lit(False))
