@@ -27,10 +27,10 @@ import re
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from parallaxis.llm.cluster import batch_of, slices, texts_of
+from parallaxis.llm.cluster import batch_of, held, slices, texts_of
 
 #: Chunks and words kept by a Python worker before it forgets them and starts again.
-KEEP = 500_000
+KEEP = 800_000
 #: The rank of neighbours that do not join.
 NEVER = np.int64(1 << 40)
 #: Longer chunks are encoded but not kept.
@@ -182,7 +182,7 @@ class MergeReplay:
         missing = set()
         for text in texts:
             missing.update(CHUNK.findall(text))
-        missing.difference_update(kept)
+        missing = missing.difference(kept)
         kept.update(self.learn(missing))
         get = kept.__getitem__
         out = [b"".join(map(get, CHUNK.findall(text))) for text in texts]
@@ -197,15 +197,9 @@ class MergeReplay:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_READY: dict[tuple[str, str], MergeReplay] = {}
-
-
 def coder(path: str, pattern: str) -> MergeReplay:
-    """The coder of a rank file, made once in each Python worker."""
-    if (path, pattern) not in _READY:
-        _READY.clear()
-        _READY[path, pattern] = MergeReplay(read_ranks(path), pattern)
-    return _READY[path, pattern]
+    """The coder of a rank file, as this Python worker holds it."""
+    return held((MergeReplay, path, pattern), lambda: MergeReplay(read_ranks(path), pattern))
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 4096, block_bytes: int = 8 << 20) -> DataFrame:

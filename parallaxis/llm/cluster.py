@@ -63,3 +63,18 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     """A record batch from Python lists or NumPy arrays, in the order of ``schema``."""
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+_held: dict = {}
+
+
+def held(key, make):
+    """What ``make()`` gives for ``key``, kept by this Python worker until another key is asked for.
+
+    Workers outlive stages.  Keeping one object at a time bounds what they hold to the
+    largest one, not to the sum over all operators that ran before.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallaxis.llm.cluster import batch_of, materialize, slices, texts_of
+from parallaxis.llm.cluster import batch_of, held, materialize, slices, texts_of
 from parallaxis.llm.ranks import bucket_count, seeded_key, with_ranks
 
 #: Pieces of text between spaces whose ids a Python worker keeps.
-KEEP = 1_500_000
+KEEP = 1_000_000
 KEEP_LENGTH = 64
 
 
@@ -96,7 +96,7 @@ class WordIds:
         missing = set()
         for words in cut:
             missing.update(words)
-        missing.difference_update(kept)
+        missing = missing.difference(kept)
         self.learn(missing)
         get = kept.__getitem__
         out = [b"".join(map(get, words)) for words in cut]
@@ -108,17 +108,11 @@ class WordIds:
         return out
 
 
-_READY: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    if path not in _READY:
-        import os
+    import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
-        _READY.clear()
-        _READY[path] = WordIds(path)
-    return _READY[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
+    return held((WordIds, path), lambda: WordIds(path))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, separator: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,7 +256,7 @@ class Plan:
                     self.leave(room, first + full + bool(rest), n - full - bool(rest))
 
 
-def plan_packing(counts: dict[int, int], capacity: int, tries=((48, 8), (32, 4), (24, 6))) -> Plan:
+def plan_packing(counts: dict[int, int], capacity: int, tries=((32, 2), (32, 3), (48, 4))) -> Plan:
     """The plan with the fewest sequences among those of ``tries`` (groups, 1 / large's share)."""
     best = None
     for n_groups, share in tries:

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from parallaxis.llm.bpe import CHUNK, KEEP, KEEP_LENGTH
-from parallaxis.llm.cluster import batch_of, slices, texts_of
+from parallaxis.llm.cluster import batch_of, held, slices, texts_of
 
 #: The split in front of byte-level merges (fixed by the tokenizer's family).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -167,14 +167,8 @@ class PrefixCounts:
         return sum(map(len, names[: bisect_right(list(accumulate(counts)), budget)]))
 
 
-_READY: dict[str, PrefixCounts] = {}
-
-
 def counter(path: str) -> PrefixCounts:
-    if path not in _READY:
-        _READY.clear()
-        _READY[path] = PrefixCounts(path)
-    return _READY[path]
+    return held((PrefixCounts, path), lambda: PrefixCounts(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

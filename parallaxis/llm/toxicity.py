@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallaxis.llm.cluster import batch_of, slices, texts_of
+from parallaxis.llm.cluster import batch_of, held, slices, texts_of
 
 ORDER, DECAY, FLOOR = 3, 0.4, 0.5
 #: Two letters that begin every word, so that subsequences tell its start from its inside.
@@ -169,7 +169,7 @@ class Landmarks:
         missing = set()
         for words in cut:
             missing.update(words)
-        missing.difference_update(self.kept)
+        missing = missing.difference(self.kept)
         self.learn(list(missing))
         get = self.kept.__getitem__
         for n, words in enumerate(cut):
@@ -325,14 +325,8 @@ def scored_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
     return docs.withColumn("_score", score(docs[text_col]))
 
 
-_READY: dict[tuple[str, ...], Landmarks] = {}
-
-
 def marks_of(strings: list[str]) -> Landmarks:
-    if tuple(strings) not in _READY:
-        _READY.clear()
-        _READY[tuple(strings)] = Landmarks(strings)
-    return _READY[tuple(strings)]
+    return held((Landmarks, tuple(strings)), lambda: Landmarks(strings))
 
 
 #: The score from which a document counts as toxic.
