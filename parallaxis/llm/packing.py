@@ -33,7 +33,7 @@ from parallaxis.llm.cluster import batch_of, held, materialize, slices, texts_of
 from parallaxis.llm.ranks import bucket_count, seeded_key, with_ranks
 
 #: Pieces of text between spaces whose ids a Python worker keeps.
-KEEP = 1_000_000
+KEEP = 600_000
 KEEP_LENGTH = 64
 
 
