@@ -38,7 +38,7 @@ TREES, DEPTH, SHALLOW = 16, 8, 3
 #: Neighbours behind a class that are looked at, and the run of a shallow prefix up to which all of them count.
 NEAR = 8
 #: Bits of two sketches that agree, of 128, for a candidate.  At a similarity s the mean is 64 (1 + s).
-AGREE = 102
+AGREE = 98
 #: Candidates of a class that the first round confirms.
 BEST = 3
 #: Ids that may be broadcast (8 bytes each); beyond that, texts are found by a shuffled join.

@@ -47,7 +47,7 @@ SOFT, SHARP = 4, 12
 #: A landmark's mean value over a text's words counts in full from one word in so many.
 RATE = 60
 #: Words whose values a Python worker keeps, and letters of a word that are looked at.
-KEEP, LONGEST = 700_000, 40
+KEEP, LONGEST = 500_000, 40
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][\W_]?\x20){2,}[^\W\d_](?!\S)")
 SINGLE = re.compile(r"(?<!\S)\w\W? \w\W? \w(?!\w)")
