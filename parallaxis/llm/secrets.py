@@ -84,7 +84,7 @@ def lexed_spans(text: str, threshold: float) -> list[tuple[int, int]]:
                 literals.append((at + p.start(), at + p.end()))
         if not literals:
             continue
-        literals = literals[:64]
+        literals = list(dict.fromkeys(literals))  # a constant added to itself stays as it is
         constants[m["name"]] = literals
         sensitive = name_score(name)
         if sensitive:
