@@ -46,7 +46,7 @@ START = "\x02\x03"
 SOFT, SHARP = 4, 12
 #: A landmark's mean value over a text's words counts in full from one word in so many.
 RATE = 60
-#: Words whose values a Python worker keeps, and letters of a word that are looked at.
+#: Words whose values a Python worker keeps, and letters of a window: longer words are read in windows that overlap by half.
 KEEP, LONGEST = 500_000, 40
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][\W_]?\x20){2,}[^\W\d_](?!\S)")
@@ -54,13 +54,16 @@ SINGLE = re.compile(r"(?<!\S)\w\W? \w\W? \w(?!\w)")
 LETTERS = re.compile(r"[\W\d_]+")
 
 
-def kernels(words: list[str], landmarks: list[str], pairs: np.ndarray | None = None) -> np.ndarray:
-    """Raw subsequence kernels of ``words[i], landmarks[j]`` for the rows (i, j) of ``pairs`` (or all)."""
+def kernels(words: list[str], landmarks: list[str], pairs: np.ndarray | None = None, inside: list[bool] | None = None) -> np.ndarray:
+    """Raw subsequence kernels of ``words[i], landmarks[j]`` for the rows (i, j) of ``pairs`` (or all).
+
+    ``inside`` marks strings that are not the start of their word.
+    """
     if pairs is None:
         pairs = np.stack(np.meshgrid(np.arange(len(words)), np.arange(len(landmarks)), indexing="ij"), -1).reshape(-1, 2)
     if not len(pairs):
         return np.zeros(0)
-    w, m = codes([START + x for x in words]), codes([START + x for x in landmarks])
+    w, m = codes([x if within else START + x for x, within in zip(words, inside or [False] * len(words), strict=True)]), codes([START + x for x in landmarks])
     a, b = w[pairs[:, 0]], m[pairs[:, 1]]
     n, la, lb = len(pairs), a.shape[1], b.shape[1]
     b = np.where(b == 0, -1, b)  # padding equals nothing
@@ -98,6 +101,12 @@ def letter_bits(words: list[str]) -> np.ndarray:
     return np.bitwise_or.reduce(np.where((c := codes(words)) > 0, np.uint64(1) << (c % 64).astype(np.uint64), np.uint64(0)), axis=1)
 
 
+def windows(word: str) -> list[str]:
+    """The letters of a word, all of them: its first ``LONGEST``, and windows over those that follow."""
+    letters, step = LETTERS.sub("", word), LONGEST // 2
+    return [letters[:LONGEST], *(letters[at : at + LONGEST] for at in range(step, len(letters) - step, step))]
+
+
 def words_of(text: str) -> list[str]:
     """The words of a text, lower-cased; letters spelled out one by one count as a word too."""
     text = text.lower()
@@ -134,8 +143,10 @@ class Landmarks:
             self.rows.append(np.zeros(len(self.strings)))
         for start in range(0, len(words), 4096):
             some = words[start : start + 4096]
-            # a repeated letter counts once, so that drawn-out words stay near; runs are kept if short
-            plain = [LETTERS.sub("", w)[:LONGEST] for w in some]
+            cut = list(map(windows, some))
+            owner = np.repeat(np.arange(len(some)), list(map(len, cut)))
+            plain = [x for parts in cut for x in parts]
+            inside = np.concatenate([[False], owner[1:] == owner[:-1]])
             lengths = np.array(list(map(len, plain)))
             shared = np.bitwise_count(letter_bits(plain)[:, None] & self.bits[None, :]).astype(int)
             near = np.argwhere((shared >= np.maximum(self.n_bits - 1, 2)[None, :]) & (lengths[:, None] >= ORDER))
@@ -145,14 +156,15 @@ class Landmarks:
             for at in range(0, len(order), 8192):
                 pick = order[at : at + 8192]
                 used, index = np.unique(near[pick, 0], return_inverse=True)
-                value[pick] = kernels([plain[k] for k in used], self.strings, np.stack([index, near[pick, 1]], 1)) / self.own[near[pick, 1]]
+                value[pick] = kernels([plain[k] for k in used], self.strings, np.stack([index, near[pick, 1]], 1), inside[used].tolist()) / self.own[near[pick, 1]]
             value = np.minimum(value, 1.0)
             self.kept.update(dict.fromkeys(some, 0))
-            strong = value >= FLOOR
-            for k in np.unique(near[strong, 0]).tolist():
+            strong = np.flatnonzero(value >= FLOOR)
+            word = owner[near[strong, 0]]
+            for k in np.unique(word).tolist():
                 row = np.zeros(len(self.strings))
-                mine = strong & (near[:, 0] == k)
-                row[near[mine, 1]] = value[mine]
+                mine = strong[word == k]
+                np.maximum.at(row, near[mine, 1], value[mine])
                 self.kept[some[k]] = len(self.rows)
                 self.rows.append(row)
 

@@ -70,6 +70,24 @@ def test_landmarks_tolerate_strewn_characters():
     assert marks.values(["the other day"])[0].max() < 0.2
 
 
+def test_long_words_are_read_to_their_end():
+    from parallaxis.llm import toxicity as T
+
+    for n in (5, 40, 41, 60, 61, 3000):
+        word = "".join(chr(0x4E00 + k) for k in range(n))
+        assert "".join(dict.fromkeys("".join(T.windows(word)))) == word
+        assert all(any(word[at : at + 20] in x for x in T.windows(word)) for at in range(max(1, n - 19)))
+    marks = Landmarks(["idiot"])
+    assert marks.values(["qwz" * 100 + "idiot" + "qwz" * 100])[0, 0] > 0
+    assert marks.values(["qwz" * 200])[0, 0] == 0
+
+
+def test_a_sum_of_many_literals_is_followed_whole():
+    text = "\n".join(f'k{n} = "aB{n}x"' + (f" + k{n - 1}" if n else "") for n in range(100)) + "\ndb_password = k99"
+    found = [text[a:b] for a, b in lexed_spans(text, 0.5)]
+    assert sorted(found) == sorted(f"aB{n}x" for n in range(100))
+
+
 def test_toxicity_on_the_held_out_fold(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
