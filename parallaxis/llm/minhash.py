@@ -13,7 +13,11 @@
 4. Links are confirmed on full sets, taken from the texts again, in two rounds: first the
    best few candidates of each class, then all candidates whose ends are still in different
    components.  So a group of thousands costs a few comparisons for each member.
-5. Components follow from the confirmed links (:mod:`components`).
+5. The neighbours are few, so in a crowded region they may miss partners.  Whatever run of
+   equal ``SHALLOW`` minima still holds classes of different components is compared whole,
+   every class with every one of another component, in tiles of bounded size; what passes
+   the size and sketch bound is confirmed on full sets, cell by cell.
+6. Components follow from the confirmed links (:mod:`components`).
 
 Null, empty and blank texts have no shingles and link with nothing.  Rows that repeat an id
 get a row each; rows of the same id belong together only through their sets.  Null ids keep
@@ -41,6 +45,8 @@ NEAR = 8
 AGREE = 98
 #: Candidates of a class that the first round confirms.
 BEST = 3
+#: Rows of a tile of a run, and ids in a cell whose texts are confirmed together.
+TILE, CELL = 1024, 256
 #: Ids that may be broadcast (8 bytes each); beyond that, texts are found by a shuffled join.
 BROADCAST_IDS = 2_000_000
 
@@ -148,11 +154,138 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(walk, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar enough.  ``docs`` has one text for each id."""
+def run_rows(classes: DataFrame) -> DataFrame:
+    """A row for each class and tree: ``key`` (tree and first minima), ``id, n, component`` and the sketch's two halves."""
+    names = ("key", "id", "n", "component", "sketch1", "sketch2")
+    schema = pa.schema([(name, pa.int64()) for name in names])
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint16).reshape(b.num_rows, TREES, DEPTH)
+            sketch = np.packbits((sig.reshape(b.num_rows, -1) >> 3 & 1).astype(bool), axis=1).view(np.int64)
+            key = np.tile(np.arange(TREES), (b.num_rows, 1))
+            for k in range(SHALLOW):
+                key = key << 16 | sig[:, :, k]
+            yield batch_of(schema, key.ravel(), *(np.repeat(c, TREES) for c in (*(b.column(k).to_numpy() for k in range(3)), sketch[:, 0], sketch[:, 1])))
+
+    return classes.select("id", "n", "component", "signature").mapInArrow(run, ", ".join(f"{name} long" for name in names))
+
+
+def pairs_of_runs(classes: DataFrame, percent: int) -> DataFrame:
+    """``a, b, key, size`` with a < b: all pairs in a run, of different components, that pass the bounds; and their run.
+
+    A run of more than ``TILE`` rows is cut into tiles, and every two of them meet apart;
+    tiles of the run's largest component meet only those of the others.
+    """
+    rows = run_rows(classes)
+    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    rows = materialize(rows.join(materialize(mixed, "mixed"), "key"), "runs")
+    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("size"))
+    sizes = sizes.withColumn("mains", F.when(F.col("size") > TILE, F.ceil(F.col("most") / TILE)).otherwise(0))
+    sizes = sizes.withColumn("others", F.when(F.col("size") > TILE, F.ceil((F.col("size") - F.col("most")) / TILE)).otherwise(1))
+    own = (F.col("component") == F.col("main")) & (F.col("mains") > 0)
+    tiled = rows.join(materialize(sizes, "sizes"), "key").withColumn("tile", F.when(own, F.pmod(F.xxhash64("id"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), "others")))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.when(own, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1)))
+    order = ["key", "t1", "t2"]
+    tiled = tiled.select("key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "id", "n", "component", "sketch1", "sketch2", "size")
+    dealt = tiled.repartition(2 * shuffle_partitions(classes.sparkSession), *order).sortWithinPartitions(*order)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("size", pa.int64())])
+
+    def compare(x):
+        key, t1, t2, tile, ids, n, component, sketch1, sketch2, size = x
+        left = np.flatnonzero(tile == t1[0])
+        right = np.flatnonzero(tile == t2[0])
+        differ = (np.bitwise_count((half[left, None] ^ half[right]).view(np.uint64)) for half in (sketch1, sketch2))
+        agree = 128 - sum(d.astype(int) for d in differ)
+        fits = (agree >= AGREE) & (component[left, None] != component[right])
+        if t1[0] == t2[0]:
+            fits &= ids[left, None] < ids[right]
+        i, j = np.nonzero(fits)
+        i, j = left[i], right[j]
+        near = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+        i, j = i[near], j[near]
+        return batch_of(schema, np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), key[i], size[i])
+
+    def walk(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.stack([c.to_numpy() for c in b.columns])
+            x = x if held is None else np.concatenate([held, x], axis=1)
+            ends = np.flatnonzero((x[:3, 1:] != x[:3, :-1]).any(axis=0)) + 1
+            for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                yield compare(x[:, start:end])
+            held = x[:, ends[-1] :] if len(ends) else x
+        if held is not None:
+            yield compare(held)
+
+    found = dealt.mapInArrow(walk, "a long, b long, key long, size long")
+    return found.groupBy("a", "b").agg(F.min(F.struct("key", "size")).alias("run")).select("a", "b", "run.key", "run.size")
+
+
+def texts_of_ends(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, one for each id in the pairs."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
-    texts = materialize(docs.join(F.broadcast(ids) if few else ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    return materialize(docs.join(F.broadcast(ids) if few else ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
+
+
+def confirm_cells(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """As :func:`confirm`, of ``a, b, key, size``, enough of the links ``a, b`` to join what they join.
+
+    The ids of a run fall into cells of about ``CELL``; the texts of two cells are read
+    once for all of the pairs between them.
+    """
+    at = lambda end: F.pmod(F.xxhash64(end), F.ceil(F.col("size") / CELL))
+    cell = ["key", "c1", "c2"]
+    pairs = pairs.select("a", "b", "key", F.least(at("a"), at("b")).alias("c1"), F.greatest(at("a"), at("b")).alias("c2"))
+    ends = pairs.select(*cell, F.explode(F.array("a", "b")).alias("doc_id")).distinct().toDF("of_key", "of_c1", "of_c2", "doc_id")
+    texts = ends.join(texts_of_ends(pairs, docs), "doc_id")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def check(links: pa.Table, rows: pa.Table) -> pa.Table:
+        where, sets, up = {}, [], {}
+        for b in slices(rows.select(["doc_id", "text"]).to_batches(), 512, 4 << 20):
+            for x, own in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), words), strict=True):
+                where[x] = len(sets)
+                sets.append(own)
+        number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        sets = np.split(number, np.cumsum([len(x) for x in sets])[:-1])
+        has = np.zeros(len(number) + 1, np.int64)
+
+        def root(x):
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        partners, joined = {}, []
+        for x, y in zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True):
+            partners.setdefault(x, []).append(y)
+        for x, others in partners.items():
+            others = [y for y in others if root(x) != root(y)]
+            if not others:
+                continue
+            own = sets[where[x]]
+            near = [sets[where[y]] for y in others]
+            has[own] = 1
+            upto = np.concatenate([[0], np.cumsum(has[np.concatenate(near)])])
+            has[own] = 0
+            shared = np.diff(upto[np.concatenate([[0], np.cumsum([len(z) for z in near])])])
+            for y, z, k in zip(others, near, shared.tolist(), strict=True):
+                if k > 0 and 100 * k >= percent * (len(own) + len(z) - k) and root(x) != root(y):
+                    up[root(y)] = root(x)
+                    joined.append((x, y))
+        return pa.table([pa.array([x for x, _ in joined], pa.int64()), pa.array([y for _, y in joined], pa.int64())], schema=schema)
+
+    return pairs.groupBy(*cell).cogroup(texts.groupBy("of_key", "of_c1", "of_c2")).applyInArrow(check, "a long, b long")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose full sets are similar enough.  ``docs`` has one text for each id."""
+    texts = texts_of_ends(pairs, docs)
     both = (
         pairs.select("a", "b")
         .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -191,6 +324,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sets = materialize(some.groupBy(*key).agg(F.min("doc_id").alias("id")), "sets")
     # ids may repeat: then the class has its signature twice, and one of them is taken
     classes = sets.where("id is not null").join(some.withColumnRenamed("doc_id", "id"), [*key, "id"]).dropDuplicates(key).select("id", F.col("n_shingles").alias("n"), "signature")
+    classes = materialize(classes, "classes")
     pairs = materialize(candidates(classes, percent), "candidates")
     named = docs.where("doc_id is not null")
     first = materialize(best_of_each(pairs), "best")
@@ -200,8 +334,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     rest = pairs.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = materialize(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "rest")
     if not rest.isEmpty():
-        more = confirm(rest, named, words, percent)
-        so_far = components(links.unionByName(more))
+        links = links.unionByName(materialize(confirm(rest, named, words, percent), "confirmed"))
+        so_far = materialize(components(links), "components")
+    parts = classes.join(so_far, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    far = materialize(pairs_of_runs(parts, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "far")
+    if not far.isEmpty():
+        more = materialize(confirm_cells(far, named, words, percent), "confirmed")
+        if not more.isEmpty():
+            so_far = components(links.unionByName(more))
     classed = sets.join(so_far, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
     out = rows.drop("signature").join(classed, key, "left")
     own = F.coalesce("component_id", "doc_id")

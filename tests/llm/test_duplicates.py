@@ -90,6 +90,25 @@ def test_a_crowd_of_near_copies_is_one_component(documents):
     assert {r.component_id for r in near_duplicates(documents(rows), words=4).collect()} == {0}
 
 
+def test_partners_in_a_crowd_below_the_limit_are_found(documents, monkeypatch):
+    from parallaxis.llm import minhash
+
+    monkeypatch.setattr(minhash, "TILE", 64)  # runs of several tiles and cells
+    monkeypatch.setattr(minhash, "CELL", 40)
+    rng = random.Random(8)
+    rows = []
+    for family in range(2):
+        shared = [f"f{family}w{k}" for k in range(300)]
+        own = [[f"f{family}m{m}w{k}" for k in range(rng.randrange(42, 48))] for m in range(320)]
+        for m in range(40):  # at 0.82 with one that stands far off; all others are at 0.75 to 0.79
+            own[m][:13] = own[m + 200][:13]
+        rows += [(1000 * family + m, " ".join(shared + w)) for m, w in enumerate(own)]
+    want = brute(rows, 4, 80)
+    assert len({c for _, c in want.values()}) == 560
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(documents(rows), words=4).collect()}
+    assert got == want
+
+
 def test_shingles_fold_ascii_only():
     a, b, c = shingle_sets(["A b C d", "a B c D", "É b c d"], 4)
     assert (a == b).all() and not (a == c).all()
