@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,11 +69,33 @@ def depth_unit(name):
     return F.when(n.contains("nested"), "meters").when(n.contains("metric"), "focal_dependent_unscaled").otherwise("relative")
 
 
-def modules_allowed(document, prefixes: tuple[str, ...]):
-    """Whether every module path a JSON model description names begins with an allowed prefix."""
-    paths = F.regexp_extract_all(document, F.lit(r'"__object__"\s*:\s*\{[^{}]*?"path"\s*:\s*"([^"]*)"'), 1)
-    ok = lambda p: F.exists(F.array(*[F.lit(x) for x in prefixes]), lambda x: (p == x) | p.startswith(F.concat(x, F.lit("."))))
-    return F.forall(paths, ok)
+def trusted(document: str | None, modules: frozenset[str]) -> bool:
+    """Whether every ``__object__`` of a JSON text, at any depth, names one of the modules as its path.
+
+    A text that is missing or cannot be read is not trusted, nor is a definition without a path.
+    """
+    try:
+        nodes = [json.loads(document)]
+    except (TypeError, ValueError, RecursionError):
+        return False
+    while nodes:
+        node = nodes.pop()
+        if isinstance(node, dict):
+            if "__object__" in node:
+                made = node["__object__"]
+                path = made.get("path") if isinstance(made, dict) else None
+                if not isinstance(path, str) or path not in modules:
+                    return False
+            nodes.extend(node.values())
+        elif isinstance(node, list):
+            nodes.extend(node)
+    return True
+
+
+def modules_allowed(document, modules: tuple[str, ...]):
+    """Whether every module path a JSON model description names is in the list."""
+    known = frozenset(modules)
+    return F.udf(lambda text: trusted(text, known), "boolean")(document)
 
 
 def readiness(has_input, reason, status, encoder):

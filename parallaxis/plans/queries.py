@@ -558,8 +558,14 @@ def depth_units(spark, sf):
 def module_allowlist(spark, sf):
     k = F.col("p_partkey")
     inner = F.element_at(F.array(F.lit("depth.nets.head"), F.lit("depth"), F.lit("depthless.evil")), (1 + k % 3).cast("int"))
-    document = F.concat(F.lit('{"net": {"__object__": {"path": "depth.core", "name": "A"}, "head": [{"__object__": {"name": "B", "path": "'), inner, F.lit('"}}]}}'))
-    return V.table(spark, sf, "part").select(k.alias("model"), catalog.modules_allowed(document, ("depth",)).alias("allowed"))
+    plain = F.concat(F.lit('{"name": "B", "path": "'), inner, F.lit('"}'))
+    nested = F.concat(F.lit('{"args": {"k": 1}, "path": "'), inner, F.lit('"}'))
+    # what names no path at all stands only where the path would not be allowed either
+    missing = F.when(k % 3 == 2, F.lit('{"name": "B"}')).otherwise(plain)
+    no_object = F.when(k % 3 == 2, F.lit('"depth"')).otherwise(nested)
+    made = F.element_at(F.array(plain, nested, missing, no_object), (1 + k % 4).cast("int"))
+    document = F.concat(F.lit('{"net": {"__object__": {"path": "depth.core", "name": "A"}, "head": [{"__object__": '), made, F.lit('}]}}'))
+    return V.table(spark, sf, "part").select(k.alias("model"), catalog.modules_allowed(document, ("depth", "depth.core", "depth.nets.head")).alias("allowed"))
 
 
 @query(S.with_(S.MEDIA, S.RATES, S.ADMIT, "SELECT media, CASE WHEN media % 11 = 0 THEN 'no input' WHEN reason IS NOT NULL THEN 'input rejected: ' || reason WHEN media % 7 = 0 THEN 'model missing' WHEN media % 5 = 0 THEN 'no encoder' END AS message FROM admit"))

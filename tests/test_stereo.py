@@ -138,3 +138,23 @@ def test_settings_are_checked(tmp_path):
     (tmp_path / "q.yaml").write_text("speed: 3\n")
     with pytest.raises(ValueError):
         load_profile(str(tmp_path / "q.yaml"))
+
+
+def test_modules_are_allowed_by_the_exact_list_at_any_depth(spark):
+    from parallaxis.operators.catalog import modules_allowed
+
+    cases = [
+        ('{"net": {"__object__": {"args": {"k": 1}, "path": "depth.core"}}}', True),
+        ('{"__object__": {"args": {"k": 1}, "path": "os.evil"}}', False),
+        ('[{"__object__": {"path": "depth.core", "args": {"__object__": {"path": "os"}}}}]', False),
+        ('{"__object__": {"path": "depth.core.other"}}', False),
+        ('{"__object__": {"name": "A"}}', False),
+        ('{"__object__": {"path": ["depth.core"]}}', False),
+        ('{"__object__": "depth.core"}', False),
+        ('{"plain": [1, null]}', True),
+        ("{", False),
+        (None, False),
+    ]
+    df = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(cases)], "n int, text string")
+    got = {r.n: r.ok for r in df.select("n", modules_allowed(F.col("text"), ("depth", "depth.core")).alias("ok")).collect()}
+    assert got == {n: ok for n, (_, ok) in enumerate(cases)}
