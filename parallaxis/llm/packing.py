@@ -21,6 +21,8 @@ pieces like others.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import defaultdict
 
@@ -32,66 +34,84 @@ from pyspark.sql import functions as F
 from parallaxis.llm.cluster import batch_of, held, materialize, slices, texts_of
 from parallaxis.llm.ranks import bucket_count, seeded_key, with_ranks
 
-#: Pieces of text between spaces whose ids a Python worker keeps.
-KEEP = 600_000
+#: Strings whose ids a Python worker keeps, and code points up to which a string is kept.
+KEEP = 1_000_000
 KEEP_LENGTH = 64
+#: Strings that a call of the library encodes.
+BATCH = 4000
+
+#: Letters of which normalisation changes nothing but case, one for one, as ``str.lower`` does.
+LETTERS = "a-zß-öø-įı-ňŊ-žſа-яё"
+PLAIN = re.compile(f"[!-~À-ÖØ-ÞŸА-ЯЁ{LETTERS}]+").fullmatch
+#: The split in front of merges (fixed by the vocabulary's family), of lower-case strings without white space.
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+").findall
+#: Marks that make one part behind a word.
+MARKS = ".,;:!?%&#*$"
 
 
 class WordIds:
     """Packed ids of texts by a tokenizer that drops white space, with repeated strings kept.
 
     Nothing in such a vocabulary crosses a space or line break, so a text's ids are those
-    of the strings between them.
+    of the strings between them.  A string of plain letters, digits and ASCII marks is split
+    into parts here, and new parts go through the library's merges many at a time: the last
+    token of a part, and no other, ends a word in the vocabulary, so the ids tell where parts
+    end.  Any other string (marks that combine, other scripts, special tokens) goes to the
+    library as it is.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        self.encode_batch_fast = tokenizer.encode_batch_fast
-        self.mark_id, token = max(tokenizer.get_added_tokens_decoder().items())
-        self.mark = token.content
-        self.kept: dict[str, bytes] = {}
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of short strings: many at a time, told apart by the special token between them."""
-        out = []
-        for start in range(0, len(words), 2000):
-            some = words[start : start + 2000]
-            ids = np.array(self.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts, raw = (4 * np.flatnonzero(ids == self.mark_id)).tolist(), ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True)]
-        return out
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.whole = Tokenizer.from_file(path)
+        merges_only = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        self.parts = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": merges_only}}))
+        end = spec["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(1 + max(spec["model"]["vocab"].values()), bool)
+        self.ends[[i for token, i in spec["model"]["vocab"].items() if token.endswith(end)]] = True
+        self.kept: dict[str, bytes] = {"": b""}
+
+    def learn_parts(self, parts: list[str]) -> None:
+        for start in range(0, len(parts), BATCH):
+            some = parts[start : start + BATCH]
+            ids = np.array(self.parts.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts, raw = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), ids.tobytes()
+            self.kept.update(zip(some, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
 
     def learn(self, missing: set[str]) -> None:
-        """Keep the ids of new strings.  A word's are those of its lower-case form, and of the points and commas behind it."""
-        kept, parts, new, odd = self.kept, [], {}, []
+        """Keep the ids of new strings.  (A part's ids are also those of a string that is just this part.)"""
+        kept, words, cores, tails, split, odd, new = self.kept, [], [], [], {}, [], set()
         for word in missing:
-            core = word.rstrip(".,")
-            tail = word[len(core) :]
-            if core[-1:].isalnum() and "<|" not in core:
-                if core.isascii():
-                    core = core.lower()
-            elif "<|" in word:
-                odd.append(word)
-                continue
+            core = word.rstrip(MARKS)
+            if core.isalpha() and (core.isascii() or PLAIN(core)):
+                low, tail = core.lower(), word[len(core) :]
+                words.append(word)
+                cores.append(low)
+                tails.append(tail)
+            elif PLAIN(word) and "<|" not in word:
+                parts = split[word] = PARTS(word.lower())
+                new.update(parts)
             else:
-                core, tail = word, ""
-            for x in (core, tail):
-                if x not in kept:
-                    new[x] = b""
-            parts.append((word, core, tail))
-        new = list(new)
-        kept.update(zip(new, self.encode_words(new), strict=True))
-        for word in odd:
-            kept[word] = np.array(self.encode_batch_fast([word], add_special_tokens=False)[0].ids, "<u4").tobytes()
-        for word, core, tail in parts:
-            kept[word] = kept[core] + kept[tail]
+                odd.append(word)
+        new.update(cores, tails)
+        self.learn_parts(list(new.difference(kept)))
+        for word, core, tail in zip(words, cores, tails, strict=True):
+            kept[word] = kept[core] + kept[tail] if tail else kept[core]
+        for word, parts in split.items():
+            kept[word] = b"".join([kept[p] for p in parts])
+        for start in range(0, len(odd), BATCH):
+            some = odd[start : start + BATCH]
+            for word, e in zip(some, self.whole.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                kept[word] = np.array(e.ids, "<u4").tobytes()
+        self.long = [w for w in (*missing, *new) if len(w) > KEEP_LENGTH]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         kept = self.kept
         if len(kept) > KEEP:
             kept.clear()
+            kept[""] = b""
         cut = [text.replace("\n", " ").split(" ") for text in texts]
         missing = set()
         for words in cut:
@@ -100,11 +120,8 @@ class WordIds:
         self.learn(missing)
         get = kept.__getitem__
         out = [b"".join(map(get, words)) for words in cut]
-        for word in missing:
-            if len(word) > KEEP_LENGTH:
-                core = word.rstrip(".,")
-                for x in (word, core, core.lower(), word[len(core) :]):
-                    kept.pop(x, None)
+        for word in self.long:
+            kept.pop(word, None)
         return out
 
 

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from parallaxis.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip, coder
-from parallaxis.llm.packing import configurations, pack, plan_packing
+from parallaxis.llm.packing import WordIds, configurations, pack, plan_packing
 from parallaxis.llm.token_counts import count_tokens, counter
 
 RANKS, JSON, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
@@ -84,6 +84,36 @@ def test_counts(spark, documents, odd_rows):
     assert count_tokens(documents([]), JSON).count() == 0
 
 
+#: Letters that normalisation takes apart or puts together, marks, contractions, case, other scripts and special tokens.
+ODD_PARTS = (
+    ["İ", "ı", "ß", "ẞ", "Σ", "ς", "ड़", "क", "়", "\u0301", "\u0308", "A\u030a", "\u212b", "ǅ", "ŉ", "ſ", "ﬁ", "가", "\u1100\u1161", "漢字", "👍🏽", "ª", "½", "٣", "ế"]
+    + ["'", "'s", "'ll", "'S", "don't", "I'VE", "<|endoftext|>", "<|", "|>", " ", "\n", "\t", "\x1c", "\x85", "\u2028", "\x00"]
+    + [chr(i) for i in range(0x21, 0x180)] + [chr(i) for i in range(0x400, 0x460)]
+)
+
+
+@functools.cache
+def word_ids_once():
+    return WordIds(WORDS), Tokenizer.from_file(WORDS)
+
+
+def test_word_ids_are_the_librarys():
+    own, tok = word_ids_once()
+    rng = random.Random(11)
+    texts = ["".join(rng.choices(ODD_PARTS, k=rng.randint(0, 14))) for _ in range(20000)] + ["aİ.", "ड़,", "x" * 5000, "é," * 3000, "漢" * 2000]
+    for at in range(0, len(texts), 4096):
+        some = texts[at : at + 4096]
+        for t, ids, e in zip(some, own.encode(some), tok.encode_batch(some, add_special_tokens=False), strict=True):
+            assert ids == np.array(e.ids, "<u4").tobytes(), repr(t)
+
+
+@given(st.text(max_size=40) | st.lists(st.sampled_from(ODD_PARTS), max_size=20).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_word_ids_of_any_text(text):
+    own, tok = word_ids_once()
+    assert own.encode([text])[0] == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def check_packing(rows, packed, capacity, separator=1):
     tok = Tokenizer.from_file(WORDS)
     want = Counter()
