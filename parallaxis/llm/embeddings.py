@@ -2,26 +2,35 @@
 
 1. Vectors that are equal in all components and label are one class, represented by the
    smallest id; vectors that are null, zero or not finite link with nothing.
-2. The first neighbour lists come from a few random orders: the signs of random projections
-   put near vectors side by side, and each run of such an order is compared within itself.
-   Orders are dealt out by ranges of label, signs and id, so no label or crowd of copies
-   meets in one task, and runs overlap by half.
-3. Refinement: a class's neighbours' neighbours become candidates, by a join of the lists
-   with themselves (lists have ``LIST`` entries, so this is linear); the best are kept, until
-   a round changes next to nothing.  Entries below ``EXPLORE`` lead nowhere and are dropped.
-4. A list is saturated when its last entry is still a link: there may be more.  Links hold
-   together in components, and every link of a class lies in its component; so lists are
-   enlarged to the whole component, compared in tiles of bounded size, which counts links
-   without writing them out.
-5. Recall is audited: a set of query classes is compared with everything in blocks; if the
-   graph misses links, the orders are drawn anew with more of them, and refined again.
-
-Cosines are in double precision.  Ids that repeat are rows of their own class member list;
-null ids and null labels link with nothing, and their component is their own id.
+2. First lists come from a few random orders: the signs of random projections put near
+   vectors side by side, and each run of such an order is compared within itself.  Orders are
+   dealt out by ranges of label, signs and id, so no label or crowd of copies meets in one
+   task, and runs overlap by half.  Every link met in a run is kept, as a star around the
+   smallest id it leads to, before lists are cut; stars make the first components.
+3. A class's list has its ``LIST`` nearest inside its component and its ``LIST`` nearest
+   outside.  So a list that is saturated with links is enlarged: whatever it may miss inside
+   is compared whole in step 5, and its other half goes on looking for what is outside.
+4. Refinement: at every class, those in its list and a sample of those that list it meet
+   (neighbours of neighbours), with 64-byte codes of their vectors.  Each keeps the nearest of
+   the others outside its component; pairs that may link two components are confirmed on full
+   vectors and join them.  Rounds end when none is joined and lists hardly change.
+5. Links are counted inside components without writing pairs out.  In a large one, members
+   within half of the limiting angle of its centre (the core) all link with each other, by the
+   triangle inequality; what remains is compared in tiles of bounded size.
+6. Recall is audited: query classes are compared with everything in blocks, and their true
+   links with those counted.  If it is below ``RECALL``, more orders are drawn and refined;
+   if it stays below ``LEAST_RECALL`` an error is raised.  The result has it as a column.
+
+Cosines are in double precision, by one function for links and counts.  Ids that repeat are
+rows of their own; null ids and null labels link with nothing, and their component is their
+own id.  Vectors of different lengths link with nothing of another length.  An empty table
+has an empty result.  Extra columns are left out, so no name can clash.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,25 +38,68 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parallaxis.llm.cluster import batch_of, materialize, shuffle_partitions
-from parallaxis.llm.components import components
+from parallaxis.llm.components import components, star_components
+
+#: Entries of either half of a list; rows of a run; partners that a row keeps from a meeting.
+LIST, RUN, KEEP = 8, 512, 3
+#: Random orders at first; their signs; rounds of refinement.
+ORDERS, BITS, ROUNDS = 8, 24, 3
+#: Bytes of a code, and how far below the limit the cosine of two codes may be for a pair to be confirmed.
+CODE, MARGIN = 64, 0.03
+#: Members of a component up to which it is one tile, and the most rows of a tile.
+WHOLE, TILE = 256, 4096
+#: Queries of the audit, the recall it asks for, and that below which there is no result.
+QUERIES, RECALL, LEAST_RECALL = 256, 0.995, 0.9
+
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64()), ("kind", pa.int32())])
+PAIR_COLUMNS = "a long, b long, score double, kind int"
+LINK, INSIDE, OUTSIDE = 0, 1, 2
+
+
+def unit(raw: list[bytes], dim: int) -> np.ndarray:
+    """Rows of unit length from packed floats or doubles of ``dim`` components."""
+    if all(len(r) == 4 * dim for r in raw):
+        x = np.frombuffer(b"".join(raw), np.float32).astype(float)
+    else:
+        x = np.concatenate([np.frombuffer(r, np.float32 if len(r) == 4 * dim else np.float64) for r in raw])
+    x = x.reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares stay in range
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
-#: Entries of a list, cosine below which an entry does not lead to links, rows of a run.
-LIST, EXPLORE, RUN = 12, 0.9, 512
-#: Random orders at first; rows of a tile; queries of the audit and the recall it asks for.
-ORDERS, TILE, QUERIES, RECALL = 8, 2048, 256, 0.995
-BITS = 24
 
-LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
+def cosines(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """All cosines of two blocks of unit rows.  Those next to the limit are summed again row by row, so all callers decide alike."""
+    s = x @ y.T
+    i, j = np.nonzero(np.abs(s - least) < 1e-9)
+    if len(i):
+        s[i, j] = row_cosines(x[i], y[j])
+    return s
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    """Rows of unit length from packed doubles."""
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
-    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+def row_cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x * y).sum(axis=1)
+
+
+def codes(x: np.ndarray) -> np.ndarray:
+    """Unit rows as ``CODE`` small integers: their components, or projections of longer ones."""
+    d = x.shape[1]
+    if d > CODE:
+        x = x @ np.random.default_rng(d).standard_normal((d, CODE))
+    top = np.abs(x).max(axis=1, keepdims=True)
+    out = np.zeros((len(x), CODE), np.int8)
+    out[:, : x.shape[1]] = np.rint(x * (127.0 / np.where(top > 0, top, 1)))
+    return out
+
+
+def code_scores(c: np.ndarray) -> np.ndarray:
+    """Cosines of codes within each group of ``(..., n, CODE)``; exact sums of integers, so the same wherever two rows meet."""
+    c = c.astype(np.float32)
+    norm = np.sqrt(np.maximum((c * c).sum(axis=-1), 1).astype(float))
+    return (c @ np.swapaxes(c, -1, -2)).astype(float) / (norm[..., :, None] * norm[..., None, :])
 
 
 def prepared(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """``vec_id, label, vector, dim``: ``vector`` packed doubles, null where nothing can link."""
+    """``vec_id, label, vector, dim``: ``vector`` packed, in single precision where that loses nothing; null where nothing can link."""
     schema = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("vector", pa.binary()), ("dim", pa.int32())])
 
     def run(batches):
@@ -55,10 +107,14 @@ def prepared(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> D
             packed, dims = [], []
             for label, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 x = np.array([np.nan if e is None else e for e in v], float) if v and label is not None else np.zeros(0)
-                big = np.abs(x).max() if len(x) else 0.0
-                fine = len(x) and np.isfinite(x).all() and big > 0
-                # signed zeros are equal; scaling by the largest keeps squares in range
-                packed.append((x / big + 0.0).tobytes() if fine else None)
+                fine = len(x) and np.isfinite(x).all() and x.any()
+                if fine:
+                    x = x + 0.0  # signed zeros are equal
+                    with np.errstate(over="ignore"):
+                        short = x.astype(np.float32)
+                    packed.append(short.tobytes() if np.array_equal(short, x) else x.tobytes())
+                else:
+                    packed.append(None)
                 dims.append(len(x) if fine else None)
             yield batch_of(schema, b.column(0), b.column(1), packed, dims)
 
@@ -66,30 +122,56 @@ def prepared(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> D
     return picked.mapInArrow(run, "vec_id long, label string, vector binary, dim int")
 
 
-def close_pairs(ids: np.ndarray, x: np.ndarray, keep: int, least: float):
-    """Of rows compared with each other: the best ``keep`` partners of each, from ``least`` on."""
-    s = x @ x.T
-    np.fill_diagonal(s, -2.0)
-    if len(ids) > keep:
-        top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-    else:
-        top = np.tile(np.arange(len(ids)), (len(ids), 1))
-    value = np.take_along_axis(s, top, 1)
-    i, k = np.nonzero(value >= least)
-    return ids[i], ids[top[i, k]], value[i, k]
-
-
-def first_lists(classes: DataFrame, orders: int, seed: int) -> DataFrame:
-    """``a, b, cosine`` from runs of random orders, both directions of each pair apart."""
+def roots_of(ids: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """The smallest id reachable from each of a few rows."""
+    root = ids.copy()
+    some = np.flatnonzero(linked.any(axis=1))
+    if len(some):
+        near, at, far = linked[np.ix_(some, some)], root[some], np.iinfo(np.int64).max
+        while True:
+            new = np.minimum(at, np.where(near, at[None, :], far).min(axis=1))
+            if (new == at).all():
+                break
+            at = new
+        root[some] = at
+    return root
+
+
+def nearest(score: np.ndarray, allowed: np.ndarray, keep: int):
+    """Row and column of the best ``keep`` allowed entries of each row."""
+    s = np.where(allowed, score, -9.0)
+    keep = min(keep, s.shape[-1])
+    top = np.argpartition(-s, keep - 1, axis=-1)[..., :keep]
+    value = np.take_along_axis(s, top, -1)
+    good = np.nonzero(value > -9)
+    return good[:-1], top[good], value[good]
+
+
+def compare_run(ids: np.ndarray, x: np.ndarray, least: float) -> list:
+    """Of a run's rows: links as stars, and each row's nearest inside and outside of what it is linked with."""
+    linked = cosines(x, x, least) >= least
+    np.fill_diagonal(linked, False)
+    root = roots_of(ids, linked)
+    star = np.flatnonzero(root != ids)
+    out = [(ids[star], root[star], np.ones(len(star)), np.full(len(star), LINK))]
+    score, same = code_scores(codes(x)), root[:, None] == root[None, :]
+    for kind, allowed in ((INSIDE, same & ~np.eye(len(ids), dtype=bool)), (OUTSIDE, ~same)):
+        (i,), j, s = nearest(score, allowed, KEEP)
+        out.append((ids[i], ids[j], s, np.full(len(i), kind)))
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
+def first_meetings(classes: DataFrame, orders: int, seed: int, least: float) -> DataFrame:
+    """``a, b, score, kind`` from runs of random orders."""
     schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("number", pa.int32()), ("signs", pa.int32()), ("id", pa.int64()), ("vector", pa.binary())])
 
     def sign(batches):
         planes = {}
         for b in batches:
             labels, dims, ids, raw = b.column(1), np.array(b.column(3).to_pylist()), b.column(0), b.column(2).to_pylist()
-            for d in np.unique(dims) if b.num_rows else ():
+            for d in np.unique(dims).tolist() if b.num_rows else ():
                 at = np.flatnonzero(dims == d)
-                x = unit([raw[k] for k in at])
+                x = unit([raw[k] for k in at], d)
                 if d not in planes:
                     planes[d] = np.random.default_rng(seed).standard_normal((orders, d, BITS))
                 for number in range(orders):
@@ -101,157 +183,297 @@ def first_lists(classes: DataFrame, orders: int, seed: int) -> DataFrame:
                     yield batch_of(schema, labels.take(take), np.full(len(at), d, np.int32), np.full(len(at), number, np.int32), gray.astype(np.int32), ids.take(take), b.column(2).take(take))
 
     def walk(batches):
-        held, key = [], None
+        held, key, fresh = [], None, 0
 
-        def compare(rows):
-            a, b, s = close_pairs(np.array([r[0] for r in rows]), unit([r[1] for r in rows]), LIST, EXPLORE)
-            return batch_of(LINKS, a, b, s)
+        def compare():
+            a, b, s, kind = compare_run(np.array([r[0] for r in held]), unit([r[1] for r in held], key[1]), least)
+            return batch_of(PAIRS, a, b, s, kind.astype(np.int32))
 
-        fresh = 0
         for batch in batches:
             for label, dim, number, _, vec_id, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (label, dim, number) != key or len(held) == RUN:
                     if fresh and len(held) > 1:
-                        yield compare(held)
+                        yield compare()
                     held = held[RUN // 2 :] if (label, dim, number) == key else []
                     key, fresh = (label, dim, number), 0
                 held.append((vec_id, vector))
                 fresh += 1
         if fresh and len(held) > 1:
-            yield compare(held)
+            yield compare()
 
     order = ["label", "dim", "number", "signs", "id"]
     dealt = classes.select("id", "label", "vector", "dim").mapInArrow(sign, "label string, dim int, number int, signs int, id long, vector binary")
     dealt = dealt.repartitionByRange(2 * shuffle_partitions(classes.sparkSession), *order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(walk, "a long, b long, cosine double")
+    return dealt.mapInArrow(walk, PAIR_COLUMNS)
 
 
-def best(lists: DataFrame) -> DataFrame:
-    """The best ``LIST`` of each class."""
-    rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "b"))
-    return lists.groupBy("a", "b").agg(F.max("cosine").alias("cosine")).withColumn("rank", rank).where(F.col("rank") <= LIST).drop("rank")
+def with_codes(classes: DataFrame) -> DataFrame:
+    """``id, code`` of classes."""
+    schema = pa.schema([("id", pa.int64()), ("code", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            dims, raw = np.array(b.column(2).to_pylist()), b.column(1).to_pylist()
+            for d in np.unique(dims).tolist() if b.num_rows else ():
+                at = np.flatnonzero(dims == d)
+                yield batch_of(schema, b.column(0).take(pa.array(at)), [c.tobytes() for c in codes(unit([raw[k] for k in at], d))])
+
+    return classes.select("id", "vector", "dim").mapInArrow(run, "id long, code binary")
 
 
-def both_ways(lists: DataFrame) -> DataFrame:
-    return lists.unionByName(lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+def best(pairs: DataFrame) -> DataFrame:
+    """The nearest ``LIST`` of each class inside its component, and the nearest outside; ``fresh`` where no old entry."""
+    rank = F.dense_rank().over(W.partitionBy("a").orderBy(F.desc("score"), "b"))  # repeated entries are ties
+    halves = [pairs.where(F.col("kind") == kind).withColumn("rank", rank).where(F.col("rank") <= LIST) for kind in (INSIDE, OUTSIDE)]
+    return halves[0].unionByName(halves[1]).groupBy("a", "b", "kind").agg(F.first("score").alias("score"), F.min("fresh").alias("fresh"))
 
 
-def with_cosines(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """``a, b, cosine`` of the pairs from ``least`` on."""
-    vec = classes.select("id", "vector")
-    both = pairs.select("a", "b").join(vec.select(F.col("id").alias("a"), F.col("vector").alias("x")), "a").join(vec.select(F.col("id").alias("b"), F.col("vector").alias("y")), "b")
+def attached(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Lists with the codes and components of both ends, and with the half that each entry now belongs to."""
+    node = nodes.select("id", "code", "component")
+    at = lambda end: node.select(F.col("id").alias(end), F.col("code").alias(f"code_{end}"), F.col("component").alias(f"of_{end}"))
+    kind = F.when(F.col("of_a") == F.col("of_b"), INSIDE).otherwise(OUTSIDE)
+    return lists.select("a", "b", "score").join(at("a"), "a").join(at("b"), "b").withColumn("kind", kind)
+
+
+def meetings(full: DataFrame, least: float) -> DataFrame:
+    """``a, b, score, kind`` of neighbours of neighbours: what each may list, and pairs (``LINK``) that may join two components.
+
+    At a class meet its list and, up to as many, those that list it, chosen by a hash.
+    """
+    rows = full.select(F.col("a").alias("via"), F.lit(0).alias("back"), F.col("b").alias("id"), F.col("code_b").alias("code"), F.col("of_b").alias("component"))
+    rows = rows.unionByName(full.select(F.col("b").alias("via"), F.lit(1).alias("back"), F.col("a").alias("id"), F.col("code_a").alias("code"), F.col("of_a").alias("component")))
+    most = 4 * LIST
+    place = F.row_number().over(W.partitionBy("via").orderBy("back", F.xxhash64("via", "id"), "id"))
+    rows = rows.withColumn("place", place).where(F.col("place") <= most).select("via", "id", "code", "component")
+
+    def meet(via, ids, code, component):
+        start = np.flatnonzero(np.concatenate([[True], via[1:] != via[:-1]]))
+        size = np.diff(np.concatenate([start, [len(via)]]))
+        for low in range(0, len(start), 2000):
+            first, n = start[low : low + 2000], size[low : low + 2000]
+            index = first[:, None] + np.arange(most)[None, :]
+            there = np.arange(most)[None, :] < n[:, None]
+            index = np.where(there, index, 0)
+            own, comp = ids[index], component[index]
+            score = code_scores(code[index])
+            allowed = there[:, :, None] & there[:, None, :] & (comp[:, :, None] != comp[:, None, :])
+            (g, i), j, s = nearest(score, allowed, KEEP)
+            a, b = own[g, i], own[g, j]
+            yield a, b, s, np.full(len(a), OUTSIDE)
+            maybe = s >= least - MARGIN
+            yield np.minimum(a, b)[maybe], np.maximum(a, b)[maybe], s[maybe], np.full(maybe.sum(), LINK)
+
+    def walk(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = [b.column(0).to_numpy(), b.column(1).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.int8).reshape(-1, CODE), b.column(3).to_numpy()]
+            x = x if held is None else [np.concatenate(p) for p in zip(held, x, strict=True)]
+            cut = int(np.flatnonzero(x[0] != x[0][-1])[-1]) + 1 if x[0][0] != x[0][-1] else 0
+            held = [c[cut:] for c in x]
+            for out in meet(*(c[:cut] for c in x)) if cut else ():
+                yield batch_of(PAIRS, *out[:3], out[3].astype(np.int32))
+        for out in meet(*held) if held is not None else ():
+            yield batch_of(PAIRS, *out[:3], out[3].astype(np.int32))
+
+    return rows.mapInArrow(walk, PAIR_COLUMNS)
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The pairs ``a, b`` whose cosine reaches the limit."""
+    vec = classes.select("id", "vector", "dim")
+    both = pairs.join(vec.select(F.col("id").alias("a"), F.col("vector").alias("x"), "dim"), "a").join(vec.select(F.col("id").alias("b"), F.col("vector").alias("y")), "b")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                s = (unit(b.column(2).to_pylist()) * unit(b.column(3).to_pylist())).sum(axis=1)
-                keep = pa.array(s >= least)
-                yield batch_of(LINKS, b.column(0).filter(keep), b.column(1).filter(keep), s[s >= least])
+            dims, x, y = np.array(b.column(4).to_pylist()), b.column(2).to_pylist(), b.column(3).to_pylist()
+            for d in np.unique(dims).tolist() if b.num_rows else ():
+                at = np.flatnonzero(dims == d)
+                keep = pa.array(at[row_cosines(unit([x[k] for k in at], d), unit([y[k] for k in at], d)) >= least])
+                yield batch_of(schema, b.column(0).take(keep), b.column(1).take(keep))
+
+    return both.select("a", "b", "x", "y", "dim").mapInArrow(run, "a long, b long")
+
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, cosine double")
+def merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` with the components that links between some of them join."""
+    of = lambda end: nodes.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").where("of_a != of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+    joined = components(between).toDF("component", "into")
+    return nodes.join(joined, "component", "left").select("id", "code", F.coalesce("into", "component").alias("component"))
 
 
-def refine(lists: DataFrame, classes: DataFrame, rounds: int) -> DataFrame:
-    """Neighbours of neighbours, until they no longer improve the lists."""
+def descend(classes: DataFrame, state, orders: int, seed: int, rounds: int, least: float):
+    """Draw orders, then refine: ``(nodes, lists)`` with ``nodes`` the classes' codes and components."""
+    met = materialize(first_meetings(classes, orders, seed, least), "met")
+    links = met.where(F.col("kind") == LINK).select("a", "b")
+    if state is None:
+        stars = star_components(links)
+        nodes = with_codes(classes).join(stars, "id", "left").select("id", "code", F.coalesce("component", "id").alias("component"))
+        lists = met.where(F.col("kind") != LINK).withColumn("fresh", F.lit(1))
+    else:
+        nodes, lists = merged(state[0], links), state[1].unionByName(met.where(F.col("kind") != LINK).withColumn("fresh", F.lit(1)))
+    nodes, lists = materialize(nodes, "nodes"), materialize(best(lists), "lists")
     for _ in range(rounds):
-        around = both_ways(lists).distinct()
-        far = around.select("a", F.col("b").alias("via")).join(lists.select(F.col("a").alias("via"), "b"), "via")
-        new = far.where("a < b").select("a", "b").distinct().join(around.select("a", "b"), ["a", "b"], "left_anti")
-        found = materialize(with_cosines(new, classes, EXPLORE), "found")
-        if found.isEmpty():
-            break
-        before = lists
-        lists = materialize(best(lists.unionByName(both_ways(found))), "lists")
-        if lists.join(before.select("a", "b"), ["a", "b"], "left_anti").isEmpty():
+        full = materialize(attached(lists, nodes), "full")
+        new = materialize(meetings(full, least), "met")
+        maybe = new.where(F.col("kind") == LINK).select("a", "b").distinct()
+        links = materialize(confirm(maybe, classes, least), "links")
+        lists = materialize(best(full.select("a", "b", "score", "kind").withColumn("fresh", F.lit(0)).unionByName(new.where(F.col("kind") == OUTSIDE).withColumn("fresh", F.lit(1)))), "lists")
+        if not links.isEmpty():
+            nodes = materialize(merged(nodes, links), "nodes")
+            continue
+        r = lists.agg(F.sum("fresh").alias("fresh"), F.count(F.lit(1)).alias("all")).first()
+        if not r["all"] or r["fresh"] <= 0.2 * r["all"]:
             break
-    return lists
+    return nodes, lists
 
 
-def count_in_components(members: DataFrame, least: float) -> DataFrame:
-    """``id, n``: vectors linked to each class, from ``id, component, vector, copies``, in tiles.
+def count_links(members: DataFrame, least: float) -> DataFrame:
+    """``id, n``: vectors linked to each class, from ``id, component, vector, dim, copies`` of components of two classes or more.
 
-    A component's members are numbered into tiles of ``TILE`` rows; every pair of tiles of a
-    component is one small group.  Its own copies count too, without itself.
+    Its own copies count too, without itself.
     """
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    dealt = members.join(sizes, "component").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    pairs = pairs.select("id", "component", "vector", "copies", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile")
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def count(table: pa.Table) -> pa.Table:
-        ids = table["id"].to_numpy()
-        x, copies, tile = unit(table["vector"].to_pylist()), table["copies"].to_numpy(), table["tile"].to_numpy()
-        t1, t2 = table["t1"][0].as_py(), table["t2"][0].as_py()
-        if t1 == t2:
-            n = ((x @ x.T >= least) | np.eye(len(ids), dtype=bool)) @ copies - 1
-        else:
-            left = tile == t1
-            linked = x[left] @ x[~left].T >= least
-            n = np.zeros(len(ids), np.int64)
-            n[left], n[~left] = linked @ copies[~left], linked.T @ copies[left]
-        return pa.table([pa.array(ids), pa.array(n.astype(np.int64))], schema=schema)
-
-    return pairs.groupBy("component", "t1", "t2").applyInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").cast("long").alias("n"))
-
-
-def audit(classes: DataFrame, found: DataFrame, least: float) -> tuple[int, int]:
-    """Links of the query classes between classes: how many there are, and how many are in a component of ``found``."""
+        ids, copies, tile = (table[c].to_numpy() for c in ("id", "copies", "tile"))
+        x, (t1, t2) = unit(table["vector"].to_pylist(), table["dim"][0].as_py()), (table["t1"][0].as_py(), table["t2"][0].as_py())
+        n = np.zeros(len(ids), np.int64)
+        left, right = np.flatnonzero(tile == t1), np.flatnonzero(tile == t2)
+        for at in range(0, len(left), 1024):
+            rows = left[at : at + 1024]
+            linked = (cosines(x[rows], x[right], least) >= least) & (ids[rows, None] != ids[right])
+            if t1 == t2:
+                n[rows] = linked @ copies[right] + copies[rows] - 1
+            else:
+                n[rows] += linked @ copies[right]
+                n[right] += copies[rows] @ linked
+        return pa.table([pa.array(ids), pa.array(n)], schema=schema)
+
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sized = materialize(members.join(sizes, "component"), "members")
+    plain = ["id", "component", "vector", "dim", "copies", "tile", "t1", "t2"]
+    zero = F.lit(0).cast("long")
+    pairs = sized.where(F.col("size") <= WHOLE).select("id", "component", "vector", "dim", "copies", zero.alias("tile"), zero.alias("t1"), zero.alias("t2"))
+    large = sized.where(F.col("size") > WHOLE)
+    cored = None
+    if not large.isEmpty():
+        cored = materialize(with_core(large, least), "cored")
+        parts = cored.groupBy("component").agg(F.count_if("core").alias("cores"), F.count_if(~F.col("core")).alias("outers"), F.coalesce(F.sum(F.when(F.col("core"), F.col("copies"))), F.lit(0)).alias("core_copies"))
+        tiles = lambda n: F.greatest(F.ceil(F.col(n) / TILE), F.least(F.lit(64), F.ceil(F.col(n) / WHOLE)))
+        cored = cored.join(materialize(parts, "parts"), "component").withColumn("outer_tiles", tiles("outers")).withColumn("core_tiles", tiles("cores"))
+        # tiles of the outer members come first, and every pair of tiles with one of them meets
+        h = F.xxhash64("id")
+        tile = F.when(F.col("core"), F.col("outer_tiles") + F.pmod(h, F.col("core_tiles"))).otherwise(F.pmod(h, F.col("outer_tiles")))
+        last = F.when(F.col("core"), F.col("outer_tiles")).otherwise(F.col("outer_tiles") + F.col("core_tiles")) - 1
+        met = cored.withColumn("tile", tile).where(last >= 0).withColumn("other", F.explode(F.sequence(zero, last)))
+        met = met.withColumn("t1", F.least("tile", "other")).withColumn("t2", F.greatest("tile", "other"))
+        pairs = pairs.unionByName(met.select(*plain))
+    counted = pairs.groupBy("component", "t1", "t2").applyInArrow(count, "id long, n long")
+    if cored is not None:
+        counted = counted.unionByName(cored.where("core").select("id", (F.col("core_copies") - 1).alias("n")))
+    return counted.groupBy("id").agg(F.sum("n").cast("long").alias("n"))
+
+
+def with_core(members: DataFrame, least: float) -> DataFrame:
+    """Adds ``core``: whether a member is within half of the limiting angle of its component's mean direction."""
+    schema = pa.schema([("component", pa.int64()), ("total", pa.binary())])
+
+    def add(batches):
+        for b in batches:
+            if b.num_rows:
+                comp, dims, raw = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(1).to_pylist()
+                for c in np.unique(comp):
+                    at = np.flatnonzero(comp == c)
+                    yield batch_of(schema, [c], [unit([raw[k] for k in at], int(dims[at[0]])).sum(axis=0).tobytes()])
+
+    def centre(table: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(table["total"].to_pylist()), float).reshape(table.num_rows, -1).sum(axis=0)
+        return pa.table([pa.array([table["component"][0].as_py()], pa.int64()), pa.array([x.tobytes()], pa.binary())], schema=schema)
+
+    sums = members.select("component", "vector", "dim").mapInArrow(add, "component long, total binary")
+    centres = materialize(sums.groupBy("component").applyInArrow(centre, "component long, total binary"), "centres")
+    within = math.acos(min(1.0, least)) / 2 - 1e-6 if least > 0 else -1.0  # a little less: rounding never makes a core pair no link
+    out = pa.schema([("id", pa.int64()), ("component", pa.int64()), ("vector", pa.binary()), ("dim", pa.int32()), ("copies", pa.int64()), ("core", pa.bool_())])
+
+    def mark(batches):
+        for b in batches:
+            core, dims, raw, totals = [], b.column(3).to_numpy(), b.column(2).to_pylist(), b.column(5).to_pylist()
+            for d, v, c in zip(dims.tolist(), raw, totals, strict=True):
+                c = np.frombuffer(c, float)
+                norm = np.sqrt(c @ c)
+                core.append(bool(norm > 0 and within > 0 and unit([v], d)[0] @ c / norm >= math.cos(within)))
+            yield batch_of(out, *b.columns[:5], core)
+
+    both = members.join(centres, "component").select("id", "component", "vector", "dim", "copies", "total")
+    return both.mapInArrow(mark, "id long, component long, vector binary, dim int, copies long, core boolean")
+
+
+def audit(classes: DataFrame, counts: DataFrame, least: float) -> float:
+    """The share of the query classes' links, found by comparing them with everything, that ``counts`` (``id, n``) has."""
     picked = classes.orderBy(F.xxhash64("id"), "id").limit(QUERIES).select("id", "label", "dim", "vector").collect()  # QUERIES rows
-    if not picked:
-        return 0, 0
     groups = {}
     for r in picked:
         groups.setdefault((r["label"], r["dim"]), []).append((r["id"], bytes(r["vector"])))
-    groups = {k: (np.array([i for i, _ in v]), unit([x for _, x in v])) for k, v in groups.items()}
+    groups = {k: (np.array([i for i, _ in v]), unit([x for _, x in v], k[1])) for k, v in groups.items()}
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         for b in batches:
-            ids, labels, raw, dims = (b.column(k).to_pylist() for k in range(4))
-            by = {}
+            labels, raw, dims, copies = (b.column(k).to_pylist() for k in range(4))
+            copies, by = np.array(copies), {}
             for k, key in enumerate(zip(labels, dims, strict=True)):
                 if key in groups:
                     by.setdefault(key, []).append(k)
             for key, at in by.items():
                 queries, q = groups[key]
-                s = q @ unit([raw[k] for k in at]).T
-                own = np.array([ids[k] for k in at])
-                i, j = np.nonzero((s >= least) & (queries[:, None] != own[None, :]))
-                yield batch_of(LINKS, queries[i], own[j], s[i, j])
+                yield batch_of(schema, queries, (cosines(q, unit([raw[k] for k in at], key[1]), least) >= least) @ copies[at])
 
-    true = classes.select("id", "label", "vector", "dim").mapInArrow(run, "a long, b long, cosine double")
-    of = lambda end: found.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
-    r = true.join(of("a"), "a", "left").join(of("b"), "b", "left").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("of_a") == F.col("of_b")).alias("met")).first()
-    return r["all"], r["met"]
+    if not groups:
+        return 1.0
+    true = classes.select("label", "vector", "dim", "copies").mapInArrow(run, "id long, n long").groupBy("id").agg((F.sum("n") - 1).alias("all"))
+    asked = true.join(counts, "id", "left").join(classes.select("id", "copies"), "id")
+    r = asked.agg(F.sum("all").alias("all"), F.sum(F.least("all", F.coalesce("n", F.col("copies") - 1))).alias("met")).first()
+    return r["met"] / r["all"] if r["all"] else 1.0
 
 
-def embedding_duplicates(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", orders: int = ORDERS, rounds: int = 3) -> DataFrame:
-    """``vec_id, n_links, component_id, kept``, a row for each vector; see the module."""
+def embedding_duplicates(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", orders: int = ORDERS, rounds: int = ROUNDS) -> DataFrame:
+    """``vec_id, n_links, component_id, kept, recall``, a row for each vector; see the module."""
     vectors = materialize(prepared(rows, id_col, vector_col, label_col).withColumn("key", F.xxhash64("label", "vector")), "vectors")
     usable = vectors.where("vector is not null and vec_id is not null")
     classes = usable.groupBy("key", "label", "dim", "vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    # an id of different vectors: its class of the least key keeps it, others get ids beyond all others until the end
+    several = materialize(usable.groupBy("vec_id").agg(F.min("key").alias("lowest"), F.max("key").alias("highest")).where("lowest != highest").select(F.col("vec_id").alias("id"), "lowest"), "several")
+    repeats = not several.isEmpty()
+    if repeats:
+        other = F.lit(1 << 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("key", "id"), 2))
+        classes = classes.join(several, "id", "left").withColumn("id", F.when(F.col("key") != F.col("lowest"), other).otherwise(F.col("id"))).drop("lowest")
     classes = materialize(classes, "classes")
-    found = None
+    state, recall = None, 0.0
     for attempt in range(3):
-        lists = best(first_lists(classes, orders << attempt, 7 + attempt) if found is None else first_lists(classes, orders << attempt, 7 + attempt).unionByName(lists))
-        lists = refine(materialize(lists, "lists"), classes, rounds)
-        links = lists.where(F.col("cosine") >= least)
-        found = materialize(components(links), "components")
-        total, met = audit(classes, found, least)
-        if met >= RECALL * total:
+        state = descend(classes, state, orders << attempt, 7 + attempt, rounds, least)
+        found = state[0].select("id", "component")
+        sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("component")
+        members = found.join(sizes, "component").join(classes.select("id", "vector", "dim", "copies"), "id")
+        counts = materialize(count_links(members, least), "counts")
+        recall = audit(classes, counts, least)
+        if recall >= RECALL:
             break
-    members = found.join(classes.select("id", "vector", "copies"), "id").select("id", "component", "vector", "copies")
-    counted = count_in_components(members, least)
-    result = (
-        classes.select("id", "key", "label", "vector", "copies")
-        .join(found, "id", "left")
-        .join(counted, "id", "left")
-        .select("key", "label", "vector", F.coalesce("n", F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    )
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"only {recall:.3f} of the audited links were found")
+    result = classes.select("id", "key", "label", "vector", "copies").join(found, "id").join(counts, "id", "left")
+    result = result.select("key", "label", "vector", F.coalesce("n", F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"))
     linked = usable.join(result, ["key", "label", "vector"]).select("vec_id", "n_links", "component_id")
+    if repeats:
+        first = linked.groupBy("component_id").agg(F.min("vec_id").alias("first"))
+        linked = linked.join(first, "component_id").select("vec_id", "n_links", F.col("first").alias("component_id"))
     alone = vectors.where("vector is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))
+    return linked.unionByName(alone).withColumn("kept", kept).withColumn("recall", F.lit(recall))
 
 
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from parallaxis.llm.components import components
+from parallaxis.llm import embeddings
+from parallaxis.llm.components import components, star_components
 from parallaxis.llm.embeddings import embedding_duplicates
 from parallaxis.llm.fingerprints import Fingerprint, compare_with_next, fingerprint
 from parallaxis.llm.minhash import near_duplicates
@@ -123,6 +125,13 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: g.find(i) for a, b in pairs if a != b for i in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    stars = {(a, b) for a in range(600) for b in rng.sample([x for x in range(0, 600, 7) if x % 3 == a % 3], 2) if b < a}
+    g = Groups()
+    for a, b in stars:
+        g.join(a, b)
+    got = {r.id: r.component for r in star_components(spark.createDataFrame(sorted(stars), "a long, b long")).collect()}
+    assert got == {i: g.find(i) for p in stars for i in p}
+    assert star_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def vectors(seed):
@@ -138,24 +147,77 @@ def vectors(seed):
     return rows
 
 
-def test_embedding_links_are_those_of_brute_force(spark):
-    rows = vectors(2)
+def brute_links(rows):
+    """Number of links and component of each row position, by comparing all."""
+    fine = [k for k, (_, v, label) in enumerate(rows) if label is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     g, links = Groups(), defaultdict(int)
-    fine = [(i, np.array(v, float), l) for i, v, l in rows if l is not None and v is not None and None not in v and np.isfinite(v).all() and any(v)]
-    for i, _, _ in rows:
-        g.find(i)
-    for k, (i, a, p) in enumerate(fine):
-        for j, b, q in fine[:k]:
-            if p == q and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.98:
-                g.join(i, j)
-                links[i] += 1
-                links[j] += 1
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumnRenamed("label", "label")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_duplicates(df).collect()}
-    assert got == {i: (links[i], g.find(i), g.find(i) == i) for i, _, _ in rows}
+    for key in {(rows[k][2], len(rows[k][1])) for k in fine}:
+        at = [k for k in fine if (rows[k][2], len(rows[k][1])) == key]
+        x = np.array([rows[k][1] for k in at], float)
+        x /= np.abs(x).max(axis=1)[:, None]
+        x /= np.sqrt((x * x).sum(axis=1))[:, None]
+        for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.98, 1)), strict=True):
+            g.join(rows[at[i]][0], rows[at[j]][0])
+            links[at[i]] += 1
+            links[at[j]] += 1
+    return links, g
+
+
+def check_links(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for name in ("component_id", "n_links", "id", "key", "vector", "dim", "recall"):
+        df = df.withColumn(name, F.lit("clash"))
+    links, g = brute_links(rows)
+    got = embedding_duplicates(df).collect()
+    want = [(i, links[k], g.find(i), g.find(i) == i) for k, (i, _, _) in enumerate(rows)]
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == sorted(want)
+    assert all(r.recall >= 0.995 for r in got)
+
+
+def test_embedding_links_are_those_of_brute_force(spark):
+    rows = vectors(2) + [(9000, [1.0] * 8, 0), (9001, [1.0] * 8, 0), (9002, [1.0] * 16, 0), (9003, [1e300] * 8, 0), (9004, [1e-300] * 8, 0)]
+    check_links(spark, rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     assert embedding_duplicates(df.where("false")).count() == 0
 
 
+def test_null_and_repeated_vector_ids(spark):
+    v, far = [1.0, 0.0, 0.0, 0.2], [0.0, 1.0, 0.3, 0.0]
+    rows = [(1, v, 0), (1, v, 0), (1, far, 0), (2, v, 0), (None, v, 0), (None, far, 0)]
+    got = embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got) == [(0, 0, 0), (0, 0, 0), (1, 0, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1)]
+
+
+def test_one_label_of_thousands_with_groups_beyond_runs_and_tiles(spark, monkeypatch):
+    """Tight groups joined just above the limit, a large group that is no clique, a chain, and strangers."""
+    monkeypatch.setattr(embeddings, "TILE", 160)
+    rng, d = np.random.default_rng(4), 24
+
+    def near(v, cosine):
+        w = rng.standard_normal(d)
+        w -= w @ v * v
+        return cosine * v + np.sqrt(1 - cosine**2) * w / np.linalg.norm(w)
+
+    def start():
+        v = rng.standard_normal(d)
+        return v / np.linalg.norm(v)
+
+    x = [start() for _ in range(1500)]
+    for _ in range(6):  # two groups each: every link between them is further than all links inside
+        a = start()
+        b = near(a, 0.985)
+        x += [near(c, 0.9999) for c in (a, b) for _ in range(40)]
+    centre = start()
+    x += [near(centre, c) for c in rng.uniform(0.988, 0.999, 900)]
+    for _ in range(3):
+        v = start()
+        for _ in range(150):  # each is a link of the one before only
+            v = near(v, 0.985)
+            x.append(v)
+    order = rng.permutation(len(x))
+    check_links(spark, [(int(i), x[k].tolist(), 5) for i, k in enumerate(order)])
+
+
 def test_fingerprints_are_sums():
     a, b, c = Fingerprint.of("one two\nthree four five"), Fingerprint.of("one two"), Fingerprint.of("three four five")
     assert a == b + c and a - b == c and a == Fingerprint.of("three four five\none two")
