@@ -1,30 +1,35 @@
-"""Language-model scores by deleted interpolation.
+"""Language-model scores by deleted interpolation over all word pairs of the corpus.
 
-The probability of a word after another mixes three maximum-likelihood estimates,
+The probability of a word w after another, u (or after the start of the text), mixes
 
-    P(w | u) = q(w) * (a2 * c(U W) / c(U) + a1 * c(W) / N) + a0 / (V + 1),
+    P(w | u) = a2 * c(u, w) / c(u) + a1 * c(w) / N + a0 / (V + 1)
 
-where U and W are the classes of u and w, and q(w) = c(w) / c(W) is the word's share of its
-class.  A word of at least N / ``SINGLE`` occurrences is a class by itself, so there are at
-most ``SINGLE`` of these; words of at least N / ``KNOWN`` share one class for each halving of
-frequency; all others are one class.  So the table of class pairs has a bounded size for
-any corpus, while it is counted over all of it.
+with weights for the bucket of the context's frequency (its power of two).  Every word and
+every pair of words that occurs in a training document is counted, however rare, so what is
+gathered grows with the corpus.
 
-The weights depend on the bucket of the context's frequency (its power of two).  They are
-learned by expectation-maximisation: the counts of one fold of the training documents are
-deleted from the estimates and serve as held-out data; afterwards the estimates take all
-training documents in, and the weights stay.
+Texts stand in *blocks* of a few MB, one row each, and a block is the unit of counting:
 
-Three passes over the texts, each a map with local sums in front of a shuffle:
+1. A block's different words and pairs, as 64-bit hashes with their counts in it, are cut by
+   ranges of the hash into slots; one row holds a block's share of a slot.  So a word that is
+   in every text has one entry for a block, not one for a text, and no key is ever hot.
+2. A slot's rows are summed, and each block gets its entries' counts over the corpus back, in
+   the order in which it sent them.
+3. With these a block scores its own texts, without further joins.
 
-1. Words are counted; V, N and the frequent words (at most ``KNOWN``) follow.
-2. Class pairs are counted.  The frequent words and the pairs (both bounded) are broadcast.
-3. Texts are scored.  Frequent words are scored on the spot; a rare word needs its own
-   count, so rare words are joined with the counts, and the results summed by document.
+There are as many slots as keep one within ``SLOT`` tokens, so memory does not follow the
+corpus; with very many slots a row holds few entries, as in an ordinary grouping.
 
-Words are held as 64-bit hashes.  Null and empty texts are a single end; a null id is never
-held out; rows of the same id have one row each.  Without training tokens, N is 0 and every
-score is that of unseen words.
+The weights come from expectation-maximisation: one fold of the training documents is deleted
+from the counts and held out.  It has blocks of its own, so only these are read for it.  Its
+tokens are summed by bucket and by the sizes of their estimates in quarters of a power of two
+(a table bounded by its bins, whatever the corpus).  Afterwards the counts take the fold in,
+and the weights stay.
+
+Null and empty texts are a single end; a null id is never held out; each row is scored by
+itself, so repeated rows and ids need nothing special.  A text longer than a block is a block.
+Without training tokens, N is 0 and every score is that of unseen words.  An empty table has an
+empty result.  Only the id and the text are read, so no other column can clash.
 """
 
 from __future__ import annotations
@@ -34,16 +39,25 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallaxis.llm.cluster import batch_of, materialize, slices, texts_of
+from parallaxis.llm.cluster import batch_of, materialize, shuffle_partitions, slices, texts_of
+from parallaxis.llm.fingerprints import mix
 from parallaxis.llm.shingles import word_hashes
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 5
-SINGLE, KNOWN = 1 << 11, 1 << 20
-END = np.uint64(0x9D5C0FB1A3E7264B)
-STEPS = 30
+#: Bytes and rows of a block; tokens of a slot; bytes of text that are hashed at once.
+BLOCK, ROWS, SLOT, AT_ONCE = 4 << 20, 20_000, 1 << 20, 1 << 20
+END, START = np.uint64(0x9D5C0FB1A3E7264B), np.uint64(0x51C1E3A7720D88F5)
+_LEFT = np.uint64(0xD6E8FEB86659FD93)
+STEPS, BINS = 60, 4
+BUCKETS = 66
+
+WORDS, PAIRS, TOTALS = 0, 1, 2
+COUNTS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("slot", pa.int32()), ("main", pa.binary()), ("deleted", pa.binary()), ("types", pa.int64()), ("n_main", pa.int64()), ("n_deleted", pa.int64())])
+COUNT_COLUMNS = "block long, kind int, slot int, main binary, deleted binary, types long, n_main long, n_deleted long"
 
 
 def fold_of(doc_id: int | None) -> int:
@@ -52,238 +66,224 @@ def fold_of(doc_id: int | None) -> int:
 
 def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes with an end behind each text, and the text each token is of."""
-    word, upto = word_hashes(texts)
-    counts = np.diff(np.concatenate([[0], upto])) + 1
-    return np.insert(word, upto, END), np.repeat(np.arange(len(texts)), counts)
+    words, of, at = [], [], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < AT_ONCE):
+            size += len(texts[end] or "")
+            end += 1
+        word, upto = word_hashes(texts[at:end])
+        words.append(np.insert(word, upto, END))
+        of.append(np.repeat(np.arange(at, end), np.diff(np.concatenate([[0], upto])) + 1))
+        at = end
+    return np.concatenate(words), np.concatenate(of)
+
+
+def pair_hashes(word: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the hash of it and the one before, and the first token of each text."""
+    first = np.concatenate([[True], of[1:] != of[:-1]])
+    before = np.concatenate([[START], word[:-1]])
+    before[first] = START
+    return mix(mix(before * _LEFT + START) + word), first
+
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    top = int(counts.max()) if len(counts) else 0
+    return counts.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint64).tobytes()
 
-def blocks(batches, rows: int = 8192, nbytes: int = 8 << 20):
-    """Ids and texts, in blocks large enough for local sums to pay."""
-    ids, texts, size = [], [], 0
-    for b in slices(batches, 512, 2 << 20):
-        ids += b.column(0).to_pylist()
-        texts += b.column(1).to_pylist()
-        size += b.nbytes
-        if len(ids) >= rows or size >= nbytes:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
 
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 8: np.uint64}[len(raw) // n if n else 1]).astype(np.int64)
 
-def summed(keys: np.ndarray, deleted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different keys with their counts outside and inside the deleted fold."""
-    different, index = np.unique(keys, return_inverse=True)
-    return different, np.bincount(index[~deleted], minlength=len(different)), np.bincount(index[deleted], minlength=len(different))
 
+def text_blocks(docs: DataFrame) -> DataFrame:
+    """``block, fold, n_tokens, ids, texts``: a row for a few MB of texts; the deleted fold has blocks of its own."""
+    schema = pa.schema([("block", pa.int64()), ("deleted", pa.bool_()), ("size", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))])
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """``w, main, deleted`` over the training documents."""
-    schema = pa.schema([("w", pa.int64()), ("main", pa.int64()), ("deleted", pa.int64())])
+    def run(batches):
+        block, open_blocks = TaskContext.get().partitionId() << 32, {False: ([], [], 0), True: ([], [], 0)}
+        for b in slices(batches, 512, 1 << 20):
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                fold = fold_of(doc_id) == DELETED
+                ids, texts, size = open_blocks[fold]
+                ids.append(doc_id)
+                texts.append(text or "")
+                size += len(text or "") + 1
+                open_blocks[fold] = ids, texts, size
+                if size >= BLOCK or len(ids) >= ROWS:
+                    yield batch_of(schema, [block], [fold], [size], [ids], [texts])
+                    block += 1
+                    open_blocks[fold] = [], [], 0
+        for fold, (ids, texts, size) in open_blocks.items():
+            if ids:
+                yield batch_of(schema, [block], [fold], [size], [ids], [texts])
+                block += 1
+
+    return docs.mapInArrow(run, "block long, deleted boolean, size long, ids array<long>, texts array<string>")
+
+
+def slots_of(keys: np.ndarray, n_slots: int) -> np.ndarray:
+    """Where each slot's keys begin among sorted ones, and an end."""
+    slot = ((keys >> np.uint64(32)) * np.uint64(n_slots)) >> np.uint64(32)
+    return np.searchsorted(slot, np.arange(n_slots + 1, dtype=np.uint64))
+
+
+def share_out(blocks: DataFrame, n_slots: int) -> DataFrame:
+    """``slot, kind, block, keys, main, deleted``: a block's different words and pairs, with their counts in its training documents."""
+    schema = pa.schema([("slot", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("main", pa.binary()), ("deleted", pa.binary())])
 
     def run(batches):
-        for ids, texts in blocks(batches):
-            fold = np.array([fold_of(i) for i in ids])
-            word, of = tokens_of(texts)
-            use = (fold != HELD_OUT)[of]
-            w, main, deleted = summed(word[use], (fold == DELETED)[of][use])
-            yield batch_of(schema, w.view(np.int64), main, deleted)
-
-    return docs.mapInArrow(run, "w long, main long, deleted long").groupBy("w").agg(F.sum("main").alias("main"), F.sum("deleted").alias("deleted"))
-
-
-class Classes:
-    """The frequent words and their classes; bounded by ``KNOWN``."""
-
-    def __init__(self, words: np.ndarray, main: np.ndarray, deleted: np.ndarray, n_main: int, n_deleted: int, n_types: int, n_new: int = 0):
-        order = np.argsort(words)
-        self.words, self.main, self.deleted = words[order], main[order], deleted[order]
-        self.count = self.main + self.deleted
-        self.n_main, self.n, self.types = n_main, n_main + n_deleted, n_types
-        single = self.count * SINGLE >= self.n
-        n_single = int(single.sum())
-        octave = np.floor(np.log2(np.maximum(1, self.n / np.maximum(1, self.count) / SINGLE))).astype(int)
-        octaves = (KNOWN // SINGLE).bit_length()
-        self.of = np.where(single, np.cumsum(single) - 1, n_single + np.minimum(octave, octaves - 1))
-        self.rare = n_single + octaves
-        self.start = self.rare + 1
-        self.size = self.start + 1
-        self.total = np.bincount(self.of, self.count, self.size)
-        self.total_main = np.bincount(self.of, self.main, self.size)
-        self.total[self.rare] = self.n - self.count.sum()
-        self.total_main[self.rare] = n_main - self.main.sum()
-
-        # of each class's tokens in the deleted fold, the share of words that are nowhere else
-        new = np.bincount(self.of, self.deleted * (self.main == 0), self.size)
-        new[self.rare] = n_new - new.sum()
-        inside = np.bincount(self.of, self.deleted, self.size)
-        inside[self.rare] = n_deleted - self.deleted.sum()
-        self.new = new / np.maximum(1, inside)
-
-    def find(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class of each word and its place among the frequent ones (-1: rare)."""
-        if not len(self.words):
-            return np.full(len(word), self.rare), np.full(len(word), -1)
-        at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
-        known = self.words[at] == word
-        return np.where(known, self.of[at], self.rare), np.where(known, at, -1)
-
-    def contexts(self, cls: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """The class before each token."""
-        before = np.concatenate([[self.start], cls[:-1]])
-        before[np.concatenate([[True], of[1:] != of[:-1]])] = self.start
+        for b in batches:
+            for at in range(b.num_rows):
+                block, fold, ids, texts = (c[at].as_py() for c in b.columns)
+                word, of = tokens_of(texts)
+                use = np.array([fold_of(i) != HELD_OUT for i in ids])[of]
+                for kind, tokens in ((WORDS, word), (PAIRS, pair_hashes(word, of)[0])):
+                    keys, index = np.unique(tokens, return_inverse=True)
+                    n, none = np.bincount(index[use], minlength=len(keys)), np.zeros(len(keys), np.uint8)
+                    main, deleted = (none, n) if fold else (n, none)
+                    start = slots_of(keys, n_slots)
+                    some = np.flatnonzero(np.diff(start))
+                    cut = [(int(start[s]), int(start[s + 1])) for s in some]
+                    yield batch_of(schema, some.astype(np.int32), np.full(len(some), kind, np.int32), np.full(len(some), block), [keys[x:y].tobytes() for x, y in cut], [packed(main[x:y]) for x, y in cut], [packed(deleted[x:y]) for x, y in cut])
+
+    return blocks.select("block", "deleted", "ids", "texts").mapInArrow(run, "slot int, kind int, block long, keys binary, main binary, deleted binary")
+
+
+def summed(shares: DataFrame, parts: int) -> DataFrame:
+    """Each share's counts over the whole corpus, in its own order, and totals of each slot's words (``TOTALS``)."""
+    order = ["slot", "kind", "block"]
+
+    def total(rows):
+        slot, kind = rows[0][0], rows[0][1]
+        keys = [np.frombuffer(r[3], np.uint64) for r in rows]
+        size = [len(k) for k in keys]
+        found, index = np.unique(np.concatenate(keys), return_inverse=True)
+        both = []
+        for column in (4, 5):
+            n = np.concatenate([unpacked(r[column], k) for r, k in zip(rows, size, strict=True)])
+            both.append(np.bincount(index, n, len(found)).astype(np.int64))
+        cut = np.split(index, np.cumsum(size)[:-1])
+        nothing = [0] * len(rows)
+        yield batch_of(COUNTS, [r[2] for r in rows], [kind] * len(rows), [slot] * len(rows), [packed(both[0][i]) for i in cut], [packed(both[1][i]) for i in cut], nothing, nothing, nothing)
+        if kind == WORDS:
+            yield batch_of(COUNTS, [None], [TOTALS], [slot], [None], [None], [int((both[0] + both[1] > 0).sum())], [int(both[0].sum())], [int(both[1].sum())])
+
+    def run(batches):
+        held = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and held[0][:2] != row[:2]:
+                    yield from total(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from total(held)
+
+    dealt = shares.repartition(parts, "slot").sortWithinPartitions(*order)
+    return dealt.select("slot", "kind", "block", "keys", "main", "deleted").mapInArrow(run, COUNT_COLUMNS)
+
+
+class Counted:
+    """A block's tokens with their counts over the corpus, outside (``main``) and inside the deleted fold."""
+
+    def __init__(self, texts: list[str], shares: pa.Table, n_slots: int):
+        """``shares``: the block's rows of :func:`summed`."""
+        word, self.of = tokens_of(texts)
+        pair, self.first = pair_hashes(word, self.of)
+        self.main, self.deleted = {}, {}
+        kinds, slots = shares["kind"].to_numpy(), shares["slot"].to_numpy()
+        for kind, tokens in ((WORDS, word), (PAIRS, pair)):
+            keys, index = np.unique(tokens, return_inverse=True)
+            at = np.flatnonzero(kinds == kind)
+            rows = pa.array(at[np.argsort(slots[at])])
+            sizes = np.diff(slots_of(keys, n_slots))
+            sizes = sizes[sizes > 0].tolist()
+            for name, into in (("main", self.main), ("deleted", self.deleted)):
+                into[kind] = np.concatenate([unpacked(r, n) for r, n in zip(shares[name].take(rows).to_pylist(), sizes, strict=True)])[index]
+
+    def contexts(self, words: np.ndarray) -> np.ndarray:
+        """How often what stands before each token is a context: a word as often as it occurs, a start as often as a text ends."""
+        before = np.concatenate([[0], words[:-1]])
+        before[self.first] = words[-1]  # the last token of a block is an end
         return before
 
 
-def count_pairs(docs: DataFrame, shared) -> DataFrame:
-    """``u, w, main, deleted``: pairs of classes over the training documents."""
-    schema = pa.schema([("u", pa.int32()), ("w", pa.int32()), ("main", pa.int64()), ("deleted", pa.int64())])
+def estimates(pairs: np.ndarray, contexts: np.ndarray, words: np.ndarray, n: int):
+    """Bucket of each token's context, and the two estimates that are not uniform."""
+    bucket = np.where(contexts > 0, np.floor(np.log2(np.maximum(contexts, 1))).astype(np.int64) + 1, 0)
+    return bucket, pairs / np.maximum(1, contexts), words / max(1, n)
 
-    def run(batches):
-        classes = shared.value
-        for ids, texts in blocks(batches):
-            fold = np.array([fold_of(i) for i in ids])
-            word, of = tokens_of(texts)
-            cls, _ = classes.find(word)
-            use = (fold != HELD_OUT)[of]
-            key, main, deleted = summed((classes.contexts(cls, of) * classes.size + cls)[use], (fold == DELETED)[of][use])
-            yield batch_of(schema, (key // classes.size).astype(np.int32), (key % classes.size).astype(np.int32), main, deleted)
 
-    return docs.mapInArrow(run, "u int, w int, main long, deleted long").groupBy("u", "w").agg(F.sum("main").alias("main"), F.sum("deleted").alias("deleted"))
+def cells(bucket: np.ndarray, two: np.ndarray, one: np.ndarray, types: int) -> pd.DataFrame:
+    """Tokens summed by bucket and by the sizes of both estimates against the uniform one."""
+    size = lambda f: np.where(f > 0, np.rint(BINS * np.log2(np.maximum(f * (types + 1), 1e-9))).astype(np.int64) + 200, -1)
+    rows = pd.DataFrame({"bucket": bucket, "r2": size(two), "r1": size(one), "n": 1, "two": two, "one": one})
+    return rows.groupby(["bucket", "r2", "r1"], as_index=False).sum()
 
 
-def learn_weights(classes: Classes, pairs: pd.DataFrame) -> np.ndarray:
-    """Weights (a2, a1, a0) for each bucket of context frequency, by expectation-maximisation."""
-    weights = np.full((65, 3), 1 / 3)
+def learn_weights(found: pd.DataFrame, types: int) -> np.ndarray:
+    """Weights (a2, a1, a0) for each bucket of context frequency, by expectation-maximisation over :func:`cells`."""
+    weights = np.full((BUCKETS, 3), 1 / 3)
     weights[0] = 0, 0.9, 0.1  # contexts never seen outside the deleted fold
-    if not len(pairs):
+    if not len(found):
         return weights
-    u, w = pairs["u"].to_numpy(), pairs["w"].to_numpy()
-    seen = np.bincount(u, pairs["main"], classes.size)
-    bucket = np.where(seen > 0, np.floor(np.log2(np.maximum(seen, 1))).astype(int) + 1, 0)[u]
-    types = np.bincount(classes.of, minlength=classes.size).astype(float)
-    types[classes.rare] = max(0, classes.types - len(classes.words))
-    part = np.stack([
-        pairs["main"] / np.maximum(1, seen[u]),
-        classes.total_main[w] / max(1, classes.n_main),
-        types[w] / (classes.types + 1),
-    ], 1)
-    n = pairs["deleted"].to_numpy(float)
-    # a word that is new to the deleted fold can only come from the floor
-    new = np.bincount(bucket, n * classes.new[w], 65)
-    n = n * (1 - classes.new[w])
+    n, bucket = found["n"].to_numpy(float), found["bucket"].to_numpy()
+    part = np.stack([found["two"] / n, found["one"] / n, np.full(len(n), 1 / (types + 1))], 1)
     for _ in range(STEPS):
         share = part * weights[bucket]
         share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
-        gained = np.stack([np.bincount(bucket, n * share[:, k], 65) for k in range(3)], 1)
-        gained[:, 2] += new
+        gained = np.stack([np.bincount(bucket, n * share[:, k], BUCKETS) for k in range(3)], 1)
         total = gained.sum(axis=1, keepdims=True)
         weights = np.where(total > 0, (gained + [0, 0, 1e-3]) / (total + 1e-3), weights)
-    weights[0] = 0, weights[0, 1] / (weights[0, 1] + weights[0, 2]), weights[0, 2] / (weights[0, 1] + weights[0, 2])
+    weights[0] = 0, weights[0, 1] / weights[0, 1:].sum(), weights[0, 2] / weights[0, 1:].sum()
     return weights
 
 
-class Model:
-    """What scoring needs, for all pairs of classes: the part that q(w) multiplies, and the floor."""
-
-    def __init__(self, classes: Classes, pairs: pd.DataFrame, weights: np.ndarray):
-        self.classes = classes
-        size = classes.size
-        joint = np.zeros((size, size))
-        joint[pairs["u"], pairs["w"]] = pairs["main"] + pairs["deleted"]
-        seen = joint.sum(axis=1)
-        a = weights[np.where(seen > 0, np.floor(np.log2(np.maximum(seen, 1))).astype(int) + 1, 0)]
-        scale = np.maximum(1, classes.total)  # q's denominator
-        self.gain = (a[:, :1] * joint / np.maximum(1, seen)[:, None] + a[:, 1:2] * (classes.total / max(1, classes.n))[None, :]) / scale[None, :]
-        self.floor = a[:, 2] / (classes.types + 1)
-
-
-def score_parts(docs: DataFrame, shared) -> DataFrame:
-    """Rows of two kinds: sums over a text's frequent words (``w`` null), and its rare words, with multiplicity."""
-    names = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, w long, n long, gain double, floor double"
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("w", pa.int64()), ("n", pa.int64()), ("gain", pa.float64()), ("floor", pa.float64())])
-
-    def run(batches):
-        model = shared.value
-        c = model.classes
-        log_base = np.log10((c.count + 1) / (c.n + c.types + 1))
-        for b in batches:
-            rows, ids, texts = (b.column(k).to_pylist() for k in range(3))
-            at = 0
-            while at < len(ids):
-                end, size = at, 0
-                while end < len(ids) and size < 2 << 20 and end - at < 512:
-                    size += len(texts[end] or "")
-                    end += 1
-                word, of = tokens_of(texts[at:end])
-                cls, place = c.find(word)
-                before = c.contexts(cls, of)
-                known, many = place >= 0, end - at
-                gain, floor = model.gain[before, cls], model.floor[before]
-                p = np.log10(gain[known] * c.count[place[known]] + floor[known])
-                total = lambda x, o: np.bincount(o, x, many)
-                held = [fold_of(i) == HELD_OUT for i in ids[at:end]]
-                none = [None] * many
-                yield batch_of(schema, rows[at:end], ids[at:end], held, np.bincount(of, minlength=many), np.bincount(of[known], minlength=many), total(log_base[place[known]], of[known]), total(p, of[known]), none, none, none, none)
-                rare = ~known
-                if rare.any():
-                    # one row for each text, word and context class
-                    key = np.stack([of[rare].astype(np.uint64), word[rare], before[rare].astype(np.uint64)], 1)
-                    _, first, n = np.unique(key.view([("", np.uint64)] * 3).ravel(), return_index=True, return_counts=True)
-                    where = np.array(rows[at:end])[of[rare][first]]
-                    nothing = pa.nulls(len(first))
-                    yield batch_of(schema, where, nothing.cast(pa.int64()), nothing.cast(pa.bool_()), nothing.cast(pa.int64()), nothing.cast(pa.int64()), nothing.cast(pa.float64()), nothing.cast(pa.float64()), word[rare][first].view(np.int64), n, gain[rare][first], floor[rare][first])
-                at = end
-
-    return docs.select("row", "doc_id", "text").mapInArrow(run, names)
-
-
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
-    spark = docs.sparkSession
     docs = texts_of(docs, id_col, text_col)
-    words = materialize(count_words(docs), "words")
-    sums = words.agg(F.coalesce(F.sum("main"), F.lit(0)).alias("main"), F.coalesce(F.sum("deleted"), F.lit(0)).alias("deleted"), F.count(F.lit(1)).alias("types"), F.coalesce(F.sum(F.when(F.col("main") == 0, F.col("deleted"))), F.lit(0)).alias("new")).first()
-    n = sums["main"] + sums["deleted"]
-    frequent = (F.col("main") + F.col("deleted")) * KNOWN >= n
-    top = words.where(frequent).toPandas()  # at most KNOWN rows: each has 1 / KNOWN of all tokens
-    classes = Classes(top["w"].to_numpy(np.int64).view(np.uint64), top["main"].to_numpy(np.int64), top["deleted"].to_numpy(np.int64), sums["main"], sums["deleted"], sums["types"], sums["new"])
-    shared_classes = spark.sparkContext.broadcast(classes)
-    pairs = count_pairs(docs, shared_classes).toPandas()  # at most (SINGLE + 12) ** 2 rows
-    model = spark.sparkContext.broadcast(Model(classes, pairs, learn_weights(classes, pairs)))
-    # rows of the same id stay apart: they are told apart by their text
-    keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    parts = materialize(score_parts(keyed, model), "parts")
-    rare = words.where(~frequent).select("w", (F.col("main") + F.col("deleted")).alias("c"))
-    unseen = n + sums["types"] + 1
-    c = F.coalesce("c", F.lit(0))
-    own = (
-        parts.where("w is not null").select("row", "w", "n", "gain", "floor")
-        .join(rare, "w", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"),
-            F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(unseen)))).alias("rare_base"),
-            F.sum(F.col("n") * F.log10(F.col("gain") * c + F.col("floor"))).alias("rare_score"),
-        )
-    )
-    zero = lambda name: F.coalesce(name, F.lit(0))
-    per_row = parts.where("w is null").withColumn("copies", F.count(F.lit(1)).over(_same_row()))
-    return per_row.join(own, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + zero("rare_known") / F.col("copies")).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("rare_base") / F.col("copies")).alias("base_score"),
-        (F.col("score") + zero("rare_score") / F.col("copies")).alias("score"),
-    )
-
-
-def _same_row():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("row")
+    blocks = materialize(text_blocks(docs), "blocks")
+    size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()["size"]
+    parts = shuffle_partitions(docs.sparkSession)
+    n_slots = max(4 * parts, size // (6 * SLOT) + 1)  # about six bytes a token
+    counts = materialize(summed(share_out(blocks, n_slots), parts), "counts")
+    r = counts.where(F.col("kind") == TOTALS).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "n_main", "n_deleted")]).first()
+    types, n_main, n = r["types"], r["n_main"], r["n_main"] + r["n_deleted"]
+    shares = counts.where(F.col("kind") != TOTALS).select("block", "kind", "slot", "main", "deleted")
+    cell = pa.schema([("bucket", pa.int64()), ("r2", pa.int64()), ("r1", pa.int64()), ("n", pa.int64()), ("two", pa.float64()), ("one", pa.float64())])
+
+    def observe(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return cell.empty_table()
+        c = Counted(left["texts"][0].as_py(), right, n_slots)
+        found = cells(*estimates(c.main[PAIRS], c.contexts(c.main[WORDS]), c.main[WORDS], n_main), types)
+        return pa.Table.from_pandas(found, schema=cell, preserve_index=False)
+
+    some = blocks.where("deleted")
+    apart = shares.join(some.select("block"), "block", "left_semi")
+    seen = some.groupBy("block").cogroup(apart.groupBy("block")).applyInArrow(observe, "bucket long, r2 long, r1 long, n long, two double, one double")
+    # a row for each bucket and bins: bounded whatever the corpus
+    weights = learn_weights(seen.groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"), F.sum("two").alias("two"), F.sum("one").alias("one")).toPandas(), types)
+
+    out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return out.empty_table()
+        c = Counted(left["texts"][0].as_py(), right, n_slots)
+        ids = left["ids"][0].as_py()
+        words, pairs = c.main[WORDS] + c.deleted[WORDS], c.main[PAIRS] + c.deleted[PAIRS]
+        bucket, two, one = estimates(pairs, c.contexts(words), words, n)
+        a = weights[bucket]
+        p = np.log10(a[:, 0] * two + a[:, 1] * one + a[:, 2] / (types + 1))
+        base = np.log10((words + 1) / (n + types + 1))
+        total = lambda x: np.bincount(c.of, x, len(ids))
+        columns = [ids, [fold_of(i) == HELD_OUT for i in ids], total(None), total(words > 0).astype(np.int64), [n] * len(ids), total(base), total(p)]
+        return pa.table([pa.array(x, f.type) for x, f in zip(columns, out, strict=True)], schema=out)
+
+    return blocks.groupBy("block").cogroup(shares.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,17 +114,79 @@ def test_toxicity_of_odd_rows(spark, documents, odd_rows):
     assert docs.select(held_out_fold().alias("h")).where("h is null").count() == 0
 
 
-def test_language_model(documents, odd_rows):
-    rows = odd_rows + [(100 + k, "the cat sat on the mat" + " again" * (k % 5)) for k in range(200)]
-    tokens = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})), None]) for i, t in rows]
-    fold = lambda i: 0 if i is None else zlib.crc32(str(i).encode()) % 7
-    c = Counter(w for i, ws in tokens if fold(i) != 2 for w in ws)
-    n, v = sum(c.values()), len(c)
-    want = sorted((i or -1, fold(i) == 2, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in tokens)
-    got = score_documents(documents(rows, clash=("score", "row", "w"))).collect()
-    assert sorted((r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+def lower_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def fold(i):
+    return 0 if i is None else zlib.crc32(str(i).encode()) % 7
+
+
+def plain_model(rows):
+    """The model by plain dictionaries: counts of words, pairs and contexts, and weights by EM token by token."""
+    def count(of):
+        words, pairs, contexts = Counter(), Counter(), Counter()
+        for i, t in rows:
+            if of(fold(i)):
+                tokens = [*lower_words(t), None]
+                for u, w in zip(["<start>", *tokens], tokens, strict=False):
+                    words[w] += 1
+                    pairs[u, w] += 1
+                    contexts[u] += 1
+        return words, pairs, contexts, sum(words.values())
+
+    full, kept = count(lambda f: f != 2), count(lambda f: f not in (2, 5))
+    v = len(full[0])
+
+    def parts(of, u, w):
+        words, pairs, contexts, n = of
+        return (contexts[u].bit_length(), pairs[u, w] / max(1, contexts[u]), words[w] / max(1, n), 1 / (v + 1))
+
+    held = [parts(kept, u, w) for i, t in rows if fold(i) == 5 for u, w in zip(["<start>", *lower_words(t)], [*lower_words(t), None], strict=True)]
+    weights = defaultdict(lambda: [1 / 3] * 3)
+    weights[0] = [0, 0.9, 0.1]
+    for _ in range(60):
+        gained = defaultdict(lambda: [0.0, 0.0, 1e-3])
+        total = defaultdict(lambda: 1e-3)
+        for b, *f in held:
+            share = [a * x for a, x in zip(weights[b], f, strict=True)]
+            for k in range(3):
+                gained[b][k] += share[k] / sum(share)
+            total[b] += 1
+        weights.update({b: [x / total[b] for x in g] for b, g in gained.items()})
+    weights[0] = [0, weights[0][1] / sum(weights[0][1:]), weights[0][2] / sum(weights[0][1:])]
+
+    def score(t):
+        tokens = [*lower_words(t), None]
+        out = 0.0
+        for u, w in zip(["<start>", *tokens], tokens, strict=False):
+            b, *f = parts(full, u, w)
+            out += math.log10(sum(a * x for a, x in zip(weights[b], f, strict=True)))
+        return out
+
+    n = full[3]
+    base = lambda t: sum(math.log10((full[0][w] + 1) / (n + v + 1)) for w in [*lower_words(t), None])
+    return full[0], n, base, score
+
+
+def test_language_model(documents, odd_rows, monkeypatch):
+    from parallaxis.llm import language_model
+
+    monkeypatch.setattr(language_model, "BLOCK", 3000)
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{k}" for k in range(300)]
+    some = [" ".join(vocabulary[min(299, int(x))] for x in rng.pareto(0.7, 30)) for _ in range(400)]
+    rows = odd_rows + [(100 + k, "The cat sat on the mat" + " again" * (k % 5)) for k in range(200)] + [(1000 + k, t) for k, t in enumerate(some)]
+    words, n, base, score = plain_model(rows)
+    want = Counter((i, fold(i) == 2, len(lower_words(t)) + 1, sum(words[w] > 0 for w in [*lower_words(t), None]), n, round(base(t), 6)) for i, t in rows)
+    got = score_documents(documents(rows, clash=("score", "row", "w", "block", "texts"))).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    wanted = sorted((i or -1, score(t), len(lower_words(t)) + 1) for i, t in rows)
+    for (i, s, m), (j, r) in zip(wanted, sorted((r.doc_id or -1, r.score) for r in got), strict=True):
+        assert i == j and abs(s - r) <= 0.004 * m  # weights come from bins
     assert score_documents(documents([])).count() == 0
+    one = score_documents(documents([(4, "a b")])).collect()[0]
+    assert one.n_tokens == 3 and math.isfinite(one.score)
 
 
 def test_language_model_beats_its_base_on_held_out_texts(spark, sf):
@@ -132,33 +194,6 @@ def test_language_model_beats_its_base_on_held_out_texts(spark, sf):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
-def test_class_probabilities_sum_to_one():
-    import pandas as pd
-
-    from parallaxis.llm.language_model import Classes, Model, learn_weights
-
-    rng = np.random.default_rng(1)
-    words = rng.integers(1, 1 << 60, 50, dtype=np.uint64)
-    main, deleted = rng.integers(1, 90, 50), rng.integers(0, 9, 50)
-    classes = Classes(words, main, deleted, int(main.sum()), int(deleted.sum()), 50)
-    u = np.repeat(np.arange(classes.size), classes.size)
-    w = np.tile(np.arange(classes.size), classes.size)
-    use = np.isin(w, classes.of) & np.isin(u, [*classes.of, classes.start])
-    pairs = pd.DataFrame({"u": u[use], "w": w[use], "main": rng.integers(0, 9, use.sum()), "deleted": rng.integers(0, 3, use.sum())})
-    model = Model(classes, pairs, learn_weights(classes, pairs))
-    cls, place = classes.find(classes.words)
-    for context in np.unique(pairs["u"]):
-        total = sum(model.gain[context, c] * classes.count[p] + model.floor[context] for c, p in zip(cls, place, strict=True)) + model.floor[context]
-        assert total == pytest.approx(1.0, abs=1e-3)
-
-
-BASE = {
-    "assign": re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
-    "access": re.compile("AKIA[A-Z0-9]+"),
-    "hex": re.compile("[0-9a-f]+"),
-}
-
-
 def naive_base(t):
     keep = {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}
     spans = [(m.start(), "assign access hex".split().index(k), k, m.end()) for k, p in BASE.items() for m in p.finditer(t) if keep[k](m)]
