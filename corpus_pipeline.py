@@ -5,9 +5,11 @@ documents: toxic documents go, one document of each near-duplicate group stays,
 are replaced in the text (no document goes for them).  The last returns the packed pieces.
 
 A document is toxic if the text scores 0.3 or more under a model fitted to the labels of
-the folder (see :mod:`parallaxis.llm.toxicity`).  Null texts are kept by every stage; null
-ids are kept by the first and third, and by the second unless they repeat another
-document's set.  Repeated rows of one id stay or go together.  An empty table stays empty.
+the folder (see :mod:`parallaxis.llm.toxicity`).  Rows are told apart by themselves, not by
+their ids: of rows that repeat, or whose texts are near-duplicates, one stays, that of the
+smallest id (a null id only if there is no other), and a row of another text stays even if its
+id repeats.  Rows whose texts are null or have no words stay in every stage.  An empty table
+stays empty.  Extra columns are carried along under their names.
 """
 
 from __future__ import annotations
@@ -22,18 +24,30 @@ from parallaxis.llm.secrets import redact_secrets
 from parallaxis.llm.toxicity import TOXIC, learn_toxicity, scored_rows
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the limit."""
     model = learn_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored_rows(docs, model).where(F.col("_score") < TOXIC).drop("_score")
+    score = unused(docs, "score")
+    return scored_rows(docs, model, score).where(F.col(score) < TOXIC).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: shingles of five words, similarity 0.8."""
-    groups = near_duplicates(docs, words=5, percent=80)
-    gone = groups.where(~F.col("kept") & F.col("component_id").isNotNull()).select(F.col("doc_id").alias("_gone"))
-    gone = materialize(gone.where("_gone is not null").distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each group of near-duplicates: shingles of five words, similarity 0.8."""
+    row = unused(docs, "row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # written: numbers stay
+    groups = near_duplicates(numbered, words=5, percent=80, id_col=row).where("n_shingles > 0").select(F.col("doc_id").alias("r"), F.col("component_id").alias("c"))
+    groups = materialize(groups.join(numbered.select(F.col(row).alias("r"), F.col("doc_id").alias("id")), "r"), "groups")
+    first = groups.groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), "id", "r")).alias("first")).select(F.col("first.r").alias("r"))
+    gone = groups.join(first, "r", "left_anti").select(F.col("r").alias("gone"))
+    gone = materialize(gone, "gone")
+    return numbered.join(gone, numbered[row] == gone["gone"], "left_anti").select(*[numbered[c] for c in docs.columns])
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
