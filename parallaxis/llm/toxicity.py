@@ -325,8 +325,8 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
 
-def scored_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``, and ``_score``."""
+def scored_rows(docs: DataFrame, model: Model, score_col: str, text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``docs``, and the score as ``score_col``."""
 
     @F.pandas_udf("double")
     def score(texts):
@@ -334,7 +334,7 @@ def scored_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
         out = [model.score(marks.values([t or "" for t in texts.iloc[at : at + 512]]), marks.root) for at in range(0, len(texts), 512)]
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.withColumn("_score", score(docs[text_col]))
+    return docs.withColumn(score_col, score(docs[text_col]))
 
 
 def marks_of(strings: list[str]) -> Landmarks:
