@@ -47,7 +47,7 @@ ORDERS, BITS, ROUNDS = 8, 24, 3
 #: Bytes of a code, and how far below the limit the cosine of two codes may be for a pair to be confirmed.
 CODE, MARGIN = 64, 0.03
 #: Members of a component up to which it is one tile, and the most rows of a tile.
-WHOLE, TILE = 256, 4096
+WHOLE, TILE = 96, 4096
 #: Queries of the audit, the recall it asks for, and that below which there is no result.
 QUERIES, RECALL, LEAST_RECALL = 256, 0.995, 0.9
 

@@ -5,16 +5,23 @@ ids) and ``hex`` (long hexadecimal runs), each leftmost and without overlaps; a
 value is too short is dropped but has used up its characters.
 
 The lexer reads statements of the forms source and configuration files share: a name
-(quoted or dotted or not), ``=``, ``:``, ``:=`` or ``=>``, and on the right one or more
-literals or names joined by ``+``.  Literals assigned to a name are kept as that name's
-constant, so ``k = "..."`` followed by ``db_password = k`` leads back to the literal.  A
-literal is scored by how sensitive the name is that it ends up in, times how much it looks
-like a secret (length, mixture of characters, entropy; placeholders score nothing).  From
-``threshold`` on it becomes a span of the kind ``lexed`` unless a base span already overlaps
-it; base spans always stay.
+(quoted or dotted or not, with or without a type), ``=``, ``:``, ``:=`` or ``=>``, and on the
+right one or more literals or names joined by ``+``.  A name on the right stands for what was
+assigned to it last before, or else first afterwards, so ``k = "..."`` and ``db_password = k``
+lead back to the literal, through any number of names.  What is assigned is scored by how
+sensitive the name is, times how much the value looks like a secret (length, mixture of
+characters, entropy; placeholders score nothing).  From ``threshold`` on all of its literals
+become spans of the kind ``lexed``, but for those that a base span already overlaps; base
+spans always stay.
+
+Statements refer to each other, so no list of literals is ever copied, and time and memory
+grow with the text's length however its constants are chained.  A value that several literals
+make up is judged by its length, its kinds of characters and an even sample of them.
 
 A scan is one pass over the rows: no shuffle, and memory for one text at a time.  Null and
-empty texts have no spans; null and repeated ids are rows like others.
+empty texts have no spans; null and repeated ids are rows like others; very long texts are
+read whole.  An empty table has an empty result, and no extra column can clash, since only
+the id and the text are read.
 """
 
 from __future__ import annotations
@@ -22,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -44,11 +52,13 @@ SENSITIVE = {
     "authorization": 0.8, "key": 0.6, "salt": 0.6, "cookie": 0.6, "session": 0.6, "dsn": 0.7, "webhook": 0.6,
 }
 
-NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*"
-QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\\\n]*`"
-STATEMENT = re.compile(rf"""(?<![A-Za-z0-9_$])(?P<q>["']?)(?P<name>{NAME})(?P=q)(?:\[["'](?P<sub>{NAME})["']\])?\x20*(?::=|=>|(?<![=!<>])=(?!=)|:(?!:))[\x20\t]*(?P<right>(?:{QUOTED}|{NAME}|[A-Za-z0-9+/_=.-]{{8,}})(?:\x20*\+\x20*(?:{QUOTED}|{NAME}))*)""")
+NAME = r"(?>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)"
+QUOTED = r"\"(?>(?:[^\"\\\n]|\\.)*)\"|'(?>(?:[^'\\\n]|\\.)*)'|`[^`\\\n]*`"
+TYPE = r"[\x20\t]*:[\x20\t]*(?>[A-Za-z_][A-Za-z0-9_.<>\[\]|?]*)(?=[\x20\t]*=)"
+#: A name starts where no name goes on, so that a long dotted one is read once.
+STATEMENT = re.compile(rf"""(?<![A-Za-z0-9_$])(?<![A-Za-z0-9_][.-])(?P<q>["']?)(?P<name>{NAME})(?P=q)(?:\[["'](?P<sub>{NAME})["']\])?(?:{TYPE})?[\x20\t]*(?::=|=>|(?<![=!<>])=(?!=)|:(?!:))[\x20\t]*(?P<right>(?:{QUOTED}|{NAME}|[A-Za-z0-9+/_=.-]{{8,}})(?:\x20*\+\x20*(?:{QUOTED}|{NAME}))*)""")
 PART = re.compile(rf"(?P<quoted>{QUOTED})|(?P<bare>[A-Za-z0-9+/_=.-]+)")
-PLACEHOLDER = re.compile(r"(?i)(?:^[<$%{\[].*[>}%\]]$)|(?:x{4,}|\*{3,}|\.{3,}|change.?me|example|placeholder|your[_-]|dummy|redacted|none|null|true|false)")
+PLACEHOLDER = re.compile(r"(?is)(?:[<$%{\[].*[>}%\]]|.*(?:x{4,}|\*{3,}|\.{3,}).*|(?:change.?me|example|placeholder|your[_-].*|dummy|redacted|none|null|true|false)[\W\d_]*)").fullmatch
 CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
@@ -58,40 +68,108 @@ def name_score(name: str) -> float:
     return max((SENSITIVE.get(w, 0.0) for w in [*words, *map("".join, zip(words, words[1:], strict=False))]), default=0.0)
 
 
+#: Characters that stand for a value of several literals.
+SAMPLE = 64
+CLASSES = [re.compile(p).search for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")]
+
+
+class Value:
+    """What is known of a value: length, blanks, kinds of characters, and its text or an even sample of it."""
+
+    __slots__ = ("blanks", "kinds", "length", "text")
+
+    def __init__(self, text: str):
+        self.text, self.length, self.blanks = text, len(text), text.count(" ")
+        self.kinds = sum(1 << k for k, has in enumerate(CLASSES) if has(text))
+
+    @classmethod
+    def joined(cls, parts: list[Value]) -> Value:
+        if len(parts) == 1:
+            return parts[0]
+        out = cls("")
+        for p in parts:
+            out.length, out.blanks, out.kinds = min(out.length + p.length, 1 << 40), min(out.blanks + p.blanks, 1 << 40), out.kinds | p.kinds
+        text = "".join(p.text for p in parts)
+        step = 61 if len(text) % 61 else 59  # all over the text, whatever its period
+        out.text = text if len(text) <= SAMPLE else "".join([text[k * step % len(text)] for k in range(SAMPLE)])
+        return out
+
+    def score(self) -> float:
+        """How much it looks like a secret, from 0 to 1."""
+        n = len(self.text)
+        if self.length < 6 or self.blanks > 1 or (n == self.length and PLACEHOLDER(self.text)):
+            return 0.0
+        entropy = -sum(c / n * math.log2(c / n) for c in Counter(self.text).values())
+        return min(1.0, entropy / 3.0) * min(1.0, 0.4 + 0.1 * min(self.length, 24) / 4) * (0.55 if self.kinds.bit_count() < 2 else 1.0)
+
+
 def literal_score(value: str) -> float:
-    """How much a literal looks like a secret, from 0 to 1."""
-    n = len(value)
-    if n < 6 or value.count(" ") > 1 or PLACEHOLDER.search(value):
-        return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, entropy / 3.0) * min(1.0, 0.4 + 0.1 * min(n, 24) / 4) * (0.55 if classes < 2 else 1.0)
+    return Value(value).score()
 
 
-def lexed_spans(text: str, threshold: float) -> list[tuple[int, int]]:
-    """Spans of literals that end up in sensitive names, with constants followed."""
-    constants: dict[str, list[tuple[int, int]]] = {}
-    found: dict[tuple[int, int], float] = {}
+def statements(text: str) -> list[tuple[str, str, list]]:
+    """Each statement's name, the name that tells its meaning, and its parts: spans of literals, and names."""
+    out = []
     for m in STATEMENT.finditer(text):
-        name, at = m["sub"] or m["name"], m.start("right")
-        literals: list[tuple[int, int]] = []
+        at, parts = m.start("right"), []
         for p in PART.finditer(m["right"]):
             if p["quoted"]:
-                literals.append((at + p.start() + 1, at + p.end() - 1))
-            elif p["bare"] in constants:
-                literals += constants[p["bare"]]
-            elif re.search(r"[0-9]", p["bare"]):
-                literals.append((at + p.start(), at + p.end()))
-        if not literals:
-            continue
-        literals = list(dict.fromkeys(literals))  # a constant added to itself stays as it is
-        constants[m["name"]] = literals
-        sensitive = name_score(name)
-        if sensitive:
-            score = sensitive * literal_score("".join(text[a:b] for a, b in literals))
-            for span in literals:
-                found[span] = max(found.get(span, 0.0), score)
-    return [span for span, score in found.items() if score >= threshold and span[0] < span[1]]
+                parts.append((at + p.start() + 1, at + p.end() - 1))
+            else:
+                parts.append((p["bare"], at + p.start(), at + p.end()))
+        out.append((m["name"], m["sub"] or m["name"], parts))
+    return out
+
+
+def lexed_spans(text: str, threshold: float) -> list[tuple[int, int]]:
+    """Spans of literals that end up in sensitive names, with constants followed."""
+    found = statements(text)
+    places: dict[str, list[int]] = {}
+    for k, (name, _, _) in enumerate(found):
+        places.setdefault(name, []).append(k)
+    refers: list[list] = []  # spans, and numbers of statements
+    for k, (_, _, parts) in enumerate(found):
+        own = []
+        for p in parts:
+            if len(p) == 2:
+                own.append(p)
+                continue
+            where = places.get(p[0])
+            if where:
+                before = bisect_left(where, k) - 1
+                target = where[max(0, before)]
+                if target != k:
+                    own.append(target)
+            elif any(map(str.isdigit, p[0])):
+                own.append(p[1:])
+        refers.append(list(dict.fromkeys(own)))  # a constant added to itself stays as it is
+
+    values: list[Value | None] = [None] * len(found)
+    begun = bytearray(len(found))
+    for k in range(len(found)):
+        stack = [k]
+        while stack:
+            n = stack[-1]
+            if values[n] is None:
+                todo = [] if begun[n] else [r for r in refers[n] if isinstance(r, int) and values[r] is None and not begun[r]]
+                begun[n] = 1
+                if todo:
+                    stack += todo
+                    continue
+                # a constant that leads back to itself adds nothing
+                values[n] = Value.joined([Value(text[r[0] : r[1]]) if isinstance(r, tuple) else values[r] or Value("") for r in refers[n]] or [Value("")])
+            stack.pop()
+
+    reach = [k for k, (_, meaning, _) in enumerate(found) if (sensitive := name_score(meaning)) and sensitive * values[k].score() >= threshold]
+    seen, spans = set(reach), {}
+    while reach:
+        for r in refers[reach.pop()]:
+            if isinstance(r, tuple):
+                spans[r] = None
+            elif r not in seen:
+                seen.add(r)
+                reach.append(r)
+    return [(a, b) for a, b in spans if a < b]
 
 
 def scan(text: str, threshold: float = 0.5) -> list[tuple[str, int, int]]:
@@ -100,8 +178,17 @@ def scan(text: str, threshold: float = 0.5) -> list[tuple[str, int, int]]:
     spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if "=" in text or ":" in text:
-        base = sorted((a, b) for _, a, b in spans)
-        spans += [("lexed", a, b) for a, b in lexed_spans(text, threshold) if not any(x < b and a < y for x, y in base)]
+        starts, ends = [], []  # the base spans' union, in order
+        for a, b in sorted((a, b) for _, a, b in spans):
+            if ends and a <= ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
+        for a, b in lexed_spans(text, threshold):
+            k = bisect_left(starts, b) - 1  # the last that starts before this one ends
+            if k < 0 or ends[k] <= a:
+                spans.append(("lexed", a, b))
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return spans
 

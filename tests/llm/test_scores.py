@@ -88,6 +88,36 @@ def test_a_sum_of_many_literals_is_followed_whole():
     assert sorted(found) == sorted(f"aB{n}x" for n in range(100))
 
 
+def test_forms_of_assignment():
+    text = 'db_pwd: str = "hu9Ter2AB9x"\nconst pwd: string = "aB3$xYz99q"\nuser_pass\t= "Qw8rty12xZ"\n--auth-pwd=Qwe123rty9 conf["pwd"] = "Zx81Qp0vvB"\npwd = later\nlater = "Tt5Rr3Ee1W"\npwd = "changeme12"\npwd = "trueNorth77x"'
+    found = [text[a:b] for a, b in lexed_spans(text, 0.5)]
+    assert sorted(found) == sorted(["hu9Ter2AB9x", "aB3$xYz99q", "Qw8rty12xZ", "Qwe123rty9", "Zx81Qp0vvB", "Tt5Rr3Ee1W", "trueNorth77x"])
+
+
+def test_scans_take_time_in_proportion_to_the_text():
+    import time
+
+    chain = lambda n: "\n".join([f'k{i} = "aB{i}x" + k{i - 1}' for i in range(n)]) + f"\ndb_password = k{n - 1}"
+    assert len(lexed_spans(chain(3000), 0.5)) == 3000
+    began = time.process_time()
+    assert len(lexed_spans(chain(60000), 0.5)) == 60000
+    for text in ("a." * 200_000, "a-" * 200_000 + "=", "x='" * 100_000, "a = b + " * 100_000, "a = b\nb = a\n" * 20_000 + "password=a", "a:" * 200_000, "\n".join(f'password = "aB{i}xY9z"' for i in range(18_000))):
+        scan(text)
+    assert time.process_time() - began < 120
+
+
+def test_base_spans_are_those_of_plain_search_and_added_ones_overlap_none():
+    rng = np.random.default_rng(8)
+    parts = ["password", "Token", "api_key", "APIKEY", "AKIA", "ABCDEFGH12345678", "=", ":", " ", "'", '"', "\n", "abcdef0123456789abcdef01", "hunter2", "x", "é", "+", "k1", "pwd", "Zx81Qp0vvB", "."]
+    for _ in range(400):
+        text = "".join(rng.choice(parts, int(rng.integers(0, 25))))
+        spans = scan(text)
+        base = [s for s in spans if s[0] != "lexed"]
+        assert ",".join(f"{k}:{a}:{b}" for k, a, b in base) == naive_base(text), text
+        for _, a, b in (s for s in spans if s[0] == "lexed"):
+            assert not any(x < b and a < y for _, x, y in base)
+
+
 def test_toxicity_on_the_held_out_fold(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -194,6 +224,13 @@ def test_language_model_beats_its_base_on_held_out_texts(spark, sf):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+BASE = {
+    "assign": re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    "access": re.compile("AKIA[A-Z0-9]+"),
+    "hex": re.compile("[0-9a-f]+"),
+}
+
+
 def naive_base(t):
     keep = {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}
     spans = [(m.start(), "assign access hex".split().index(k), k, m.end()) for k, p in BASE.items() for m in p.finditer(t) if keep[k](m)]
