@@ -88,13 +88,23 @@ def pair_hashes(word: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs."""
-    top = int(counts.max()) if len(counts) else 0
-    return counts.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint64).tobytes()
+    """A byte for each count; those that need more follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.uint64).tobytes()
 
 
 def unpacked(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 8: np.uint64}[len(raw) // n if n else 1]).astype(np.int64)
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, np.uint64, offset=n)
+    return out
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences, byte place by byte place: the high ones are zeros, which Spark's compression removes."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def text_blocks(docs: DataFrame) -> DataFrame:
@@ -146,7 +156,7 @@ def share_out(blocks: DataFrame, n_slots: int) -> DataFrame:
                     start = slots_of(keys, n_slots)
                     some = np.flatnonzero(np.diff(start))
                     cut = [(int(start[s]), int(start[s + 1])) for s in some]
-                    yield batch_of(schema, some.astype(np.int32), np.full(len(some), kind, np.int32), np.full(len(some), block), [keys[x:y].tobytes() for x, y in cut], [packed(main[x:y]) for x, y in cut], [packed(deleted[x:y]) for x, y in cut])
+                    yield batch_of(schema, some.astype(np.int32), np.full(len(some), kind, np.int32), np.full(len(some), block), [packed_keys(keys[x:y]) for x, y in cut], [packed(main[x:y]) for x, y in cut], [packed(deleted[x:y]) for x, y in cut])
 
     return blocks.select("block", "deleted", "ids", "texts").mapInArrow(run, "slot int, kind int, block long, keys binary, main binary, deleted binary")
 
@@ -157,7 +167,7 @@ def summed(shares: DataFrame, parts: int) -> DataFrame:
 
     def total(rows):
         slot, kind = rows[0][0], rows[0][1]
-        keys = [np.frombuffer(r[3], np.uint64) for r in rows]
+        keys = [unpacked_keys(r[3]) for r in rows]
         size = [len(k) for k in keys]
         found, index = np.unique(np.concatenate(keys), return_inverse=True)
         both = []
