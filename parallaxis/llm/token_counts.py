@@ -7,8 +7,11 @@ alone and no prefix is ever encoded.  A text's table joins those of its words: t
 any byte is the count before the word plus the word's own entry, and the same table answers
 how much of the text fits into a budget.
 
-Words repeat, so a worker keeps the tables of words it has seen (bounded by ``KEEP``).
-Null texts count as empty.  Ids may be null or repeated; each row is counted by itself.
+Words repeat, so a worker keeps the tables of words it has seen (bounded by ``KEEP``).  A
+text without blanks is one long word with one table, so very long texts take time in
+proportion to their length.  Null texts count as empty.  Ids may be null or repeated; each row
+is counted by itself.  An empty table has an empty result; only the id and the text are read, so
+no other column can clash.
 """
 
 from __future__ import annotations
@@ -27,6 +30,9 @@ from parallaxis.llm.cluster import batch_of, held, slices, texts_of
 #: The split in front of byte-level merges (fixed by the tokenizer's family).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+CONTRACTIONS = {"'re", "'ve", "'ll"}
+SPACE = regex.compile(r"\s+").fullmatch
+
 
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in a byte-level vocabulary."""
@@ -43,8 +49,7 @@ class PrefixCounts:
             spec = json.load(f)
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        skip = set(self.special)
+        self.special = skip = {t["content"] for t in spec["added_tokens"]}
         self.id_of = {raw(s): i for s, i in spec["model"]["vocab"].items() if s not in skip}
         self.bytes_of = {i: s for s, i in self.id_of.items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
@@ -60,6 +65,7 @@ class PrefixCounts:
         self.alone: dict[int, bool] = {}
         self.tables: dict[str, bytes | list[int]] = {}
         self.sums: dict[str, int] = {}
+        self.long: tuple[str, list[int]] = "", [0]  # the latest word that is too long to be kept
         self.words_of = regex.compile(WORDS).findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
@@ -113,6 +119,8 @@ class PrefixCounts:
         kept = self.tables.get(word)
         if kept is not None:
             return kept
+        if self.long[0] == word:
+            return self.long[1]
         raw = word.encode()
         counts, last = [0], [-1]
         get = self.id_of.get
@@ -127,6 +135,8 @@ class PrefixCounts:
             if len(self.tables) > KEEP:
                 self.tables.clear()
             counts = self.tables[word] = bytes(counts)
+        else:
+            self.long = word, counts
         return counts
 
     def count_chunk(self, chunk: str) -> int:
@@ -157,14 +167,66 @@ class PrefixCounts:
     def count(self, text: str) -> int:
         return sum(self.chunks(text)[1])
 
+    def word_prefix(self, before: str, word: str, n_chars: int, n_bytes: int) -> int:
+        """Tokens that the first characters of a word add to what stands before it in its chunk.
+
+        They are in the word's table, but for two splits that look ahead: of white space the
+        last character goes to what follows, so at the text's end it joins the run before it;
+        and a contraction is a mark and letters until it is complete.
+        """
+        if n_chars == len(word):
+            return self.table(word)[-1]
+        if n_chars == 1 and before and SPACE(before) and SPACE(word[0]):
+            return self.table(before + word[0])[-1] - self.table(before)[-1]
+        if n_chars > 1 and word in CONTRACTIONS:
+            return self.table("'")[-1] + self.table(word[1:n_chars])[-1]
+        return self.table(word)[n_bytes]
+
+    def chunk_prefix(self, chunk: str, n_chars: int) -> int:
+        """Tokens of ``chunk[:n_chars]``."""
+        total, before = 0, ""
+        for word in self.words_of(chunk):
+            if n_chars <= len(word):
+                # white space that ends here joins the run before it
+                return total + (self.word_prefix(before, word, n_chars, len(word[:n_chars].encode())) if not (n_chars == len(word) == 1 and before and SPACE(before) and SPACE(word)) else self.table(before + word)[-1] - self.table(before)[-1])
+            total, before, n_chars = total + self.table(word)[-1], word, n_chars - len(word)
+        return total
+
+    def chunk_fit(self, chunk: str, budget: int) -> int:
+        """Code points of the longest prefix of a chunk within the budget that ends in or before its first word that passes it."""
+        chars, before = 0, ""
+        for word in self.words_of(chunk):
+            n = self.table(word)[-1]
+            if n > budget:
+                end = len(word.encode())
+                for k in range(len(word) - 1, 0, -1):
+                    end -= len(word[k].encode())
+                    if self.word_prefix(before, word, k, end) <= budget:
+                        return chars + k
+                return chars
+            chars, before, budget = chars + len(word), word, budget - n
+        return chars
+
     def count_prefix(self, text: str, n_chars: int) -> int:
-        """Tokens of ``text[:n_chars]``: the table up to its last whole chunk, and the rest's own."""
-        return self.count(text[:n_chars])
+        """Tokens of ``text[:n_chars]``: whole chunks, and the table of the word in which it ends."""
+        total, before = 0, ""
+        for name, n in zip(*self.chunks(text), strict=True):
+            if n_chars < len(name):
+                if name in self.special:  # a part of a special string is ordinary text, after what ordinary text there is
+                    return total + self.count_chunk(before + name[:n_chars]) - self.count_chunk(before) if n_chars else total
+                return total + self.chunk_prefix(name, n_chars) if n_chars else total
+            total, before, n_chars = total + n, "" if name in self.special else name, n_chars - len(name)
+        return total
+
+    def fit_chunks(self, names: list[str], counts: list[int], budget: int) -> int:
+        upto = list(accumulate(counts, initial=0))
+        k = bisect_right(upto, budget) - 1
+        whole = sum(map(len, names[:k]))
+        return whole if k == len(names) or names[k] in self.special else whole + self.chunk_fit(names[k], budget - upto[k])
 
     def fit(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix of whole chunks that has at most ``budget`` tokens."""
-        names, counts = self.chunks(text)
-        return sum(map(len, names[: bisect_right(list(accumulate(counts)), budget)]))
+        """Code points of the longest prefix of at most ``budget`` tokens that ends in or before the first word that passes it."""
+        return self.fit_chunks(*self.chunks(text), budget)
 
 
 def counter(path: str) -> PrefixCounts:
@@ -174,8 +236,8 @@ def counter(path: str) -> PrefixCounts:
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit, fit_chars``.
 
-    ``fit_chars``: code points of the longest prefix of whole chunks within ``limit`` tokens
-    (all of the text if it is not over the limit).
+    ``fit_chars``: code points of the longest prefix within ``limit`` tokens that ends in or
+    before the first word over the limit (all of the text if it is not over the limit).
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("fit_chars", pa.int64())])
 
@@ -188,7 +250,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
                 names, counts = c.chunks(t)
                 n = sum(counts)
                 n_tokens.append(n)
-                fits.append(len(t) if n <= limit else sum(map(len, names[: bisect_right(list(accumulate(counts)), limit)])))
+                fits.append(len(t) if n <= limit else c.fit_chunks(names, counts, limit))
             yield batch_of(schema, b.column(0), [len(t.encode()) for t in texts], n_tokens, [n > limit for n in n_tokens], fits)
 
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")

@@ -52,6 +52,32 @@ def test_every_prefix_of_a_word_has_its_exact_count(library):
             assert table[end] == len(library._encode_single_piece(raw[:end])) if end else table[0] == 0
 
 
+@given(st.text(alphabet="ab 'srelv\n\t!é中0 ", max_size=24) | st.lists(st.sampled_from(["it're", " we've", "'ll", "  ", "\n\n", " x", "<|endoftext|>", "!", "don't", "über", "中文", "1234", " "]), max_size=8).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_every_prefix_and_budget_of_a_text(text):
+    c, tok = counter(JSON), Tokenizer.from_file(JSON) if not hasattr(test_every_prefix_and_budget_of_a_text, "tok") else test_every_prefix_and_budget_of_a_text.tok
+    test_every_prefix_and_budget_of_a_text.tok = tok
+    want = [len(tok.encode(text[:n], add_special_tokens=False).ids) for n in range(len(text) + 1)]
+    assert [c.count_prefix(text, n) for n in range(len(text) + 1)] == want
+    for budget in range(want[-1] + 2):
+        fit = c.fit(text, budget)
+        assert want[fit] <= budget and (fit == len(text) or want[fit + 1] > budget or max(want[fit:]) > budget)
+
+
+def test_budget_of_texts_without_blanks(documents):
+    tok = Tokenizer.from_file(JSON)
+    texts = ["漢字" * 3000, "x1y2" * 4000, "ab" * 9000, " " * 9000 + "x", "<|endoftext|>" * 600]
+    got = {r.doc_id: r for r in count_tokens(documents(list(enumerate(texts))), JSON, 512).collect()}
+    for k, t in enumerate(texts):
+        n = len(tok.encode(t, add_special_tokens=False).ids)
+        assert got[k].n_tokens == n
+        fit = got[k].fit_chars
+        if n > 512:
+            assert 500 <= len(tok.encode(t[:fit], add_special_tokens=False).ids) <= 512
+        else:
+            assert fit == len(t)
+
+
 def test_budget_questions():
     c, text = counter(JSON), "The quick brown fox jumps over the lazy dog again and again"
     for budget in range(16):
