@@ -16,7 +16,9 @@
 5. The neighbours are few, so in a crowded region they may miss partners.  Whatever run of
    equal ``SHALLOW`` minima still holds classes of different components is compared whole,
    every class with every one of another component, in tiles of bounded size; what passes
-   the size and sketch bound is confirmed on full sets, cell by cell.
+   the bounds of size, sketch and whole signature is confirmed on full sets, cell by cell.  (Of
+   documents that share half of their shingles, as those with a passage in common do, one pair
+   in 400 passes.)
 6. Components follow from the confirmed links (:mod:`components`).
 
 Null, empty and blank texts have no shingles and link with nothing.  Rows that repeat an id
@@ -43,6 +45,8 @@ TREES, DEPTH, SHALLOW = 16, 8, 3
 NEAR = 8
 #: Bits of two sketches that agree, of 128, for a candidate.  At a similarity s the mean is 64 (1 + s).
 AGREE = 98
+#: Minima of two signatures that agree, of all ``TREES * DEPTH``, for a pair of a run: 5 deviations below the mean at 0.8.
+EQUAL = 79
 #: Candidates of a class that the first round confirms.
 BEST = 3
 #: Rows of a tile of a run, and ids in a cell whose texts are confirmed together.
@@ -155,22 +159,32 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def run_rows(classes: DataFrame) -> DataFrame:
-    """A row for each class and tree: ``key`` (tree and first minima), ``id, n, component`` and the sketch's two halves."""
-    names = ("key", "id", "n", "component", "sketch1", "sketch2")
-    schema = pa.schema([(name, pa.int64()) for name in names])
+    """A row for each class and tree: ``key`` (tree and first minima), ``id, n, component``."""
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("component", pa.int64())])
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             sig = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint16).reshape(b.num_rows, TREES, DEPTH)
-            sketch = np.packbits((sig.reshape(b.num_rows, -1) >> 3 & 1).astype(bool), axis=1).view(np.int64)
-            key = np.tile(np.arange(TREES), (b.num_rows, 1))
-            for k in range(SHALLOW):
-                key = key << 16 | sig[:, :, k]
-            yield batch_of(schema, key.ravel(), *(np.repeat(c, TREES) for c in (*(b.column(k).to_numpy() for k in range(3)), sketch[:, 0], sketch[:, 1])))
+            for tree in range(TREES):
+                key = np.full(b.num_rows, tree)
+                for k in range(SHALLOW):
+                    key = key << 16 | sig[:, tree, k]
+                yield batch_of(schema, key, *b.columns[:3])
+
+    return classes.select("id", "n", "component", "signature").mapInArrow(run, "key long, id long, n long, component long")
+
 
-    return classes.select("id", "n", "component", "signature").mapInArrow(run, ", ".join(f"{name} long" for name in names))
+def agreeing(sig: np.ndarray, left: np.ndarray, right: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different components whose sketches and then whole signatures agree enough."""
+    bits = np.packbits((sig >> 3 & 1).astype(bool), axis=1).view(np.uint64)
+    differ = sum(np.bitwise_count(bits[left, None, k] ^ bits[right, k]).astype(int) for k in range(bits.shape[1]))
+    i, j = np.nonzero((128 - differ >= AGREE) & (component[left, None] != component[right]))
+    i, j = left[i], right[j]
+    equal = [(sig[i[at : at + 65536]] == sig[j[at : at + 65536]]).sum(axis=1) >= EQUAL for at in range(0, len(i), 65536)]
+    keep = np.concatenate(equal) if equal else np.zeros(0, bool)
+    return i[keep], j[keep]
 
 
 def pairs_of_runs(classes: DataFrame, percent: int) -> DataFrame:
@@ -181,7 +195,7 @@ def pairs_of_runs(classes: DataFrame, percent: int) -> DataFrame:
     """
     rows = run_rows(classes)
     mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rows = materialize(rows.join(materialize(mixed, "mixed"), "key"), "runs")
+    rows = materialize(rows.join(materialize(mixed, "mixed"), "key").join(classes.select("id", "signature"), "id"), "runs")
     sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("size"))
     sizes = sizes.withColumn("mains", F.when(F.col("size") > TILE, F.ceil(F.col("most") / TILE)).otherwise(0))
     sizes = sizes.withColumn("others", F.when(F.col("size") > TILE, F.ceil((F.col("size") - F.col("most")) / TILE)).otherwise(1))
@@ -189,22 +203,15 @@ def pairs_of_runs(classes: DataFrame, percent: int) -> DataFrame:
     tiled = rows.join(materialize(sizes, "sizes"), "key").withColumn("tile", F.when(own, F.pmod(F.xxhash64("id"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), "others")))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.when(own, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1)))
     order = ["key", "t1", "t2"]
-    tiled = tiled.select("key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "id", "n", "component", "sketch1", "sketch2", "size")
+    tiled = tiled.select("key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "id", "n", "component", "size", "signature")
     dealt = tiled.repartition(2 * shuffle_partitions(classes.sparkSession), *order).sortWithinPartitions(*order)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("size", pa.int64())])
 
-    def compare(x):
-        key, t1, t2, tile, ids, n, component, sketch1, sketch2, size = x
-        left = np.flatnonzero(tile == t1[0])
-        right = np.flatnonzero(tile == t2[0])
-        differ = (np.bitwise_count((half[left, None] ^ half[right]).view(np.uint64)) for half in (sketch1, sketch2))
-        agree = 128 - sum(d.astype(int) for d in differ)
-        fits = (agree >= AGREE) & (component[left, None] != component[right])
-        if t1[0] == t2[0]:
-            fits &= ids[left, None] < ids[right]
-        i, j = np.nonzero(fits)
-        i, j = left[i], right[j]
-        near = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+    def compare(x, sig):
+        key, t1, t2, tile, ids, n, component, size = x
+        left, right = np.flatnonzero(tile == t1[0]), np.flatnonzero(tile == t2[0])
+        i, j = agreeing(sig, left, right, component)
+        near = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((t1[0] != t2[0]) | (ids[i] < ids[j]))
         i, j = i[near], j[near]
         return batch_of(schema, np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), key[i], size[i])
 
@@ -213,14 +220,17 @@ def pairs_of_runs(classes: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.stack([c.to_numpy() for c in b.columns])
-            x = x if held is None else np.concatenate([held, x], axis=1)
+            x = np.stack([c.to_numpy() for c in b.columns[:8]])
+            sig = np.frombuffer(b"".join(b.column(8).to_pylist()), np.uint16).reshape(-1, TREES * DEPTH)
+            if held is not None:
+                x, sig = np.concatenate([held[0], x], axis=1), np.concatenate([held[1], sig])
             ends = np.flatnonzero((x[:3, 1:] != x[:3, :-1]).any(axis=0)) + 1
             for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
-                yield compare(x[:, start:end])
-            held = x[:, ends[-1] :] if len(ends) else x
+                yield compare(x[:, start:end], sig[start:end])
+            last = ends[-1] if len(ends) else 0
+            held = x[:, last:], sig[last:]
         if held is not None:
-            yield compare(held)
+            yield compare(*held)
 
     found = dealt.mapInArrow(walk, "a long, b long, key long, size long")
     return found.groupBy("a", "b").agg(F.min(F.struct("key", "size")).alias("run")).select("a", "b", "run.key", "run.size")
