@@ -107,9 +107,25 @@ def unpacked_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+TEXTS = pa.schema([("id", pa.int64()), ("text", pa.string())])
+
+
+def packed_texts(ids: list, texts: list[str]) -> bytes:
+    """Rows as one compressed value, so that a block stays small wherever Spark holds it."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, TEXTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch_of(TEXTS, ids, texts))
+    return out.getvalue().to_pybytes()
+
+
+def unpacked_texts(raw: bytes) -> tuple[list, list[str]]:
+    rows = pa.ipc.open_stream(raw).read_all()
+    return rows["id"].to_pylist(), rows["text"].to_pylist()
+
+
 def text_blocks(docs: DataFrame) -> DataFrame:
-    """``block, fold, n_tokens, ids, texts``: a row for a few MB of texts; the deleted fold has blocks of its own."""
-    schema = pa.schema([("block", pa.int64()), ("deleted", pa.bool_()), ("size", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))])
+    """``block, deleted, size, texts``: a row for a few MB of texts; the deleted fold has blocks of its own."""
+    schema = pa.schema([("block", pa.int64()), ("deleted", pa.bool_()), ("size", pa.int64()), ("texts", pa.binary())])
 
     def run(batches):
         block, open_blocks = TaskContext.get().partitionId() << 32, {False: ([], [], 0), True: ([], [], 0)}
@@ -122,15 +138,15 @@ def text_blocks(docs: DataFrame) -> DataFrame:
                 size += len(text or "") + 1
                 open_blocks[fold] = ids, texts, size
                 if size >= BLOCK or len(ids) >= ROWS:
-                    yield batch_of(schema, [block], [fold], [size], [ids], [texts])
+                    yield batch_of(schema, [block], [fold], [size], [packed_texts(ids, texts)])
                     block += 1
                     open_blocks[fold] = [], [], 0
         for fold, (ids, texts, size) in open_blocks.items():
             if ids:
-                yield batch_of(schema, [block], [fold], [size], [ids], [texts])
+                yield batch_of(schema, [block], [fold], [size], [packed_texts(ids, texts)])
                 block += 1
 
-    return docs.mapInArrow(run, "block long, deleted boolean, size long, ids array<long>, texts array<string>")
+    return docs.mapInArrow(run, "block long, deleted boolean, size long, texts binary")
 
 
 def slots_of(keys: np.ndarray, n_slots: int) -> np.ndarray:
@@ -146,11 +162,13 @@ def share_out(blocks: DataFrame, n_slots: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for at in range(b.num_rows):
-                block, fold, ids, texts = (c[at].as_py() for c in b.columns)
+                block, fold, raw = (c[at].as_py() for c in b.columns)
+                ids, texts = unpacked_texts(raw)
                 word, of = tokens_of(texts)
                 use = np.array([fold_of(i) != HELD_OUT for i in ids])[of]
                 for kind, tokens in ((WORDS, word), (PAIRS, pair_hashes(word, of)[0])):
                     keys, index = np.unique(tokens, return_inverse=True)
+                    del tokens
                     n, none = np.bincount(index[use], minlength=len(keys)), np.zeros(len(keys), np.uint8)
                     main, deleted = (none, n) if fold else (n, none)
                     start = slots_of(keys, n_slots)
@@ -158,7 +176,7 @@ def share_out(blocks: DataFrame, n_slots: int) -> DataFrame:
                     cut = [(int(start[s]), int(start[s + 1])) for s in some]
                     yield batch_of(schema, some.astype(np.int32), np.full(len(some), kind, np.int32), np.full(len(some), block), [packed_keys(keys[x:y]) for x, y in cut], [packed(main[x:y]) for x, y in cut], [packed(deleted[x:y]) for x, y in cut])
 
-    return blocks.select("block", "deleted", "ids", "texts").mapInArrow(run, "slot int, kind int, block long, keys binary, main binary, deleted binary")
+    return blocks.select("block", "deleted", "texts").mapInArrow(run, "slot int, kind int, block long, keys binary, main binary, deleted binary")
 
 
 def summed(shares: DataFrame, parts: int) -> DataFrame:
@@ -267,11 +285,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def observe(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return cell.empty_table()
-        c = Counted(left["texts"][0].as_py(), right, n_slots)
+        c = Counted(unpacked_texts(left["texts"][0].as_py())[1], right, n_slots)
         found = cells(*estimates(c.main[PAIRS], c.contexts(c.main[WORDS]), c.main[WORDS], n_main), types)
         return pa.Table.from_pandas(found, schema=cell, preserve_index=False)
 
-    some = blocks.where("deleted")
+    some = blocks.where("deleted").select("block", "texts")
     apart = shares.join(some.select("block"), "block", "left_semi")
     seen = some.groupBy("block").cogroup(apart.groupBy("block")).applyInArrow(observe, "bucket long, r2 long, r1 long, n long, two double, one double")
     # a row for each bucket and bins: bounded whatever the corpus
@@ -282,8 +300,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return out.empty_table()
-        c = Counted(left["texts"][0].as_py(), right, n_slots)
-        ids = left["ids"][0].as_py()
+        ids, texts = unpacked_texts(left["texts"][0].as_py())
+        c = Counted(texts, right, n_slots)
         words, pairs = c.main[WORDS] + c.deleted[WORDS], c.main[PAIRS] + c.deleted[PAIRS]
         bucket, two, one = estimates(pairs, c.contexts(words), words, n)
         a = weights[bucket]
@@ -293,7 +311,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         columns = [ids, [fold_of(i) == HELD_OUT for i in ids], total(None), total(words > 0).astype(np.int64), [n] * len(ids), total(base), total(p)]
         return pa.table([pa.array(x, f.type) for x, f in zip(columns, out, strict=True)], schema=out)
 
-    return blocks.groupBy("block").cogroup(shares.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.select("block", "texts").groupBy("block").cogroup(shares.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
