@@ -28,7 +28,7 @@ class DisparityConfig:
         _check(0 <= self.q_screen <= 1, "q_screen is not within 0 and 1")
         _check(0 <= self.percentile_min < self.percentile_max <= 100, "percentiles are not in order")
         _check(self.max_fraction > 0, "max_fraction is not positive")
-        _check(self.min_fraction is None or self.min_fraction <= self.max_fraction, "min_fraction is over max_fraction")
+        _check(self.min_fraction is None or self.min_fraction <= 0, "min_fraction is positive")
         _check(self.bounds is None or (all(map(math.isfinite, self.bounds)) and self.bounds[0] < self.bounds[1]), "bounds are not in order")
 
 
@@ -61,11 +61,14 @@ class SceneConfig:
     letterbox_threshold: float = 12.0
     min_scene_frames: int = 1
     bins: int = 16
+    thumb_height: int = 72
+    thumb_width: int = 128
 
     def __post_init__(self):
         _check(0 < self.cut_threshold <= 1, "cut_threshold is not within 0 and 1")
         _check(self.fade_threshold >= 0 and self.letterbox_threshold >= 0, "a luminance threshold is negative")
         _check(self.min_scene_frames >= 1, "min_scene_frames is below 1")
+        _check(self.thumb_height >= 1 and self.thumb_width >= 1, "a thumbnail has no pixels")
 
 
 @dataclass(frozen=True)
@@ -99,10 +102,10 @@ class TemporalConfig:
 class HeuristicConfig:
     """Depth from luma, edges and height: the weights are divided by their sum."""
 
-    strength: float = 0.6
-    max_pixels: int = 8
-    luma: float = 0.25
-    edge: float = 0.45
+    strength: float = 0.55
+    max_pixels: int = 6
+    luma: float = 0.45
+    edge: float = 0.25
     vertical: float = 0.30
     half_up: bool = False
 
@@ -114,7 +117,7 @@ class HeuristicConfig:
     @property
     def weights(self) -> tuple[float, float, float]:
         total = self.luma + self.edge + self.vertical
-        return (self.luma / total, self.edge / total, self.vertical / total) if total > 0 else (0.25, 0.45, 0.30)
+        return (self.luma / total, self.edge / total, self.vertical / total) if total > 0 else (0.45, 0.25, 0.30)
 
 
 def batch_size(value: object) -> int:
@@ -132,16 +135,24 @@ def depth_scale(value: str | float) -> float:
     raise ValueError(f"no such depth scale: {value!r}")
 
 
-#: The three ready-made sets of settings for the heuristic path.
+# The three ready-made profiles, the names of a profile file's settings and of
+# those below its ``depth``.
 PROFILES = {
-    "safe": HeuristicConfig(strength=0.35, max_pixels=4),
-    "offline": HeuristicConfig(strength=0.7, max_pixels=12),
-    "realtime": HeuristicConfig(strength=0.5, max_pixels=6),
+    "safe_low": HeuristicConfig(strength=0.55, max_pixels=6, edge=0.25, luma=0.45, vertical=0.30),
+    "offline_quality": HeuristicConfig(strength=0.65, max_pixels=8, edge=0.30, luma=0.40, vertical=0.30),
+    "realtime_lowlatency": HeuristicConfig(strength=0.50, max_pixels=5, edge=0.25, luma=0.45, vertical=0.30),
 }
+PROFILE_SETTINGS = ("codec", "video_encoder", "video_bitrate_mbps", "fps_mode", "sbs_mode", "overflow_policy", "buffer_slots", "audio_passthrough", "audio_codec", "preserve_color_metadata", "backend_preference")
+DEPTH_SETTINGS = {"max_disparity_px": "max_pixels", "depth_strength": "strength", "edge_weight": "edge", "luma_weight": "luma", "vertical_weight": "vertical"}
 
 
 def load_profile(path: str, base: HeuristicConfig | None = None) -> HeuristicConfig:
-    """Settings from a file of ``name: value`` lines over ``base``; unknown names are errors."""
+    """The heuristic's settings from a profile file, over ``base``; unknown names are errors.
+
+    Such a file has lines of ``name: value``: settings of the whole conversion, and, indented
+    below ``depth:``, those of the heuristic.  Own names of the heuristic's settings are taken
+    at either place.
+    """
     from dataclasses import fields, replace
 
     values: dict[str, object] = {}
@@ -149,9 +160,11 @@ def load_profile(path: str, base: HeuristicConfig | None = None) -> HeuristicCon
     with open(path, encoding="utf-8") as f:
         for line in f:
             line = line.split("#")[0].strip()
-            if line:
-                name, colon, value = line.partition(":")
-                _check(bool(colon) and name.strip() in kinds, f"not a setting: {line}")
-                kind, value = kinds[name.strip()], value.strip()
-                values[name.strip()] = value.lower() == "true" if kind is bool else kind(value)
+            if not line or line == "depth:":
+                continue
+            name, colon, value = (part.strip() for part in line.partition(":"))
+            name = DEPTH_SETTINGS.get(name, name)
+            _check(bool(colon) and (name in kinds or name in PROFILE_SETTINGS), f"not a setting: {line}")
+            if name in kinds:
+                values[name] = value.lower() == "true" if kinds[name] is bool else kinds[name](value)
     return replace(base or HeuristicConfig(), **values)

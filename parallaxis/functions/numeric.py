@@ -42,16 +42,47 @@ def gcd(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(90)), start, step, lambda s: s["a"])
 
 
+def nearest_fraction(num: Column, den: Column, limit: int = 10_000) -> Column:
+    """The fraction (num, den) nearest to ``num / den`` with a denominator of ``limit`` at most: its continued fraction, folded.
+
+    Ends at the last convergent, or at the fraction between the last two if that is nearer.
+    """
+    long = lambda c: c.cast("long")
+    names = ("p0", "q0", "p1", "q1", "n", "d")
+    start = F.struct(*[long(F.lit(v)).alias(k) for k, v in zip(names, (0, 1, 1, 0), strict=False)], long(F.abs(num)).alias("n"), long(den).alias("d"))
+
+    def step(s, _):
+        a = F.when(s["d"] > 0, F.floor(F.try_divide(s["n"] - F.pmod(s["n"], F.greatest(s["d"], F.lit(1))), s["d"]))).otherwise(0)
+        a = long(a)
+        more = (s["d"] > 0) & (s["q0"] + a * s["q1"] <= limit)
+        new = (s["p1"], s["q1"], s["p0"] + a * s["p1"], s["q0"] + a * s["q1"], s["d"], s["n"] - a * s["d"])
+        return F.struct(*[long(F.when(more, v).otherwise(s[k])).alias(k) for k, v in zip(names, new, strict=True)])
+
+    def finish(s):
+        k = long(F.floor((F.lit(limit) - s["q0"]) / F.greatest(s["q1"], F.lit(1))))
+        p, q = s["p0"] + k * s["p1"], s["q0"] + k * s["q1"]
+        x = F.abs(num).cast("double") / den.cast("double")
+        other = (s["d"] > 0) & (F.abs(p / q - x) < F.abs(s["p1"] / s["q1"] - x))
+        sign = F.when(num < 0, -1).otherwise(1)
+        return F.struct(long(sign * F.when(other, p).otherwise(s["p1"])).alias("num"), long(F.when(other, q).otherwise(s["q1"])).alias("den"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(24)), start, step, finish)
+
+
 def fraction(text: Column) -> Column:
-    """``a/b`` or a decimal of at most four places as a reduced (num, den); null if there is none."""
+    """``a/b``, reduced, or a decimal as the nearest fraction with a denominator of 10,000 at most; null if there is none.
+
+    Decimals are read to nine places: fractions of such denominators differ by more.
+    """
     parts = F.split(F.trim(text), "/")
     whole = F.size(parts) == 1
     value = parts.getItem(0).try_cast("double")
-    num = F.when(whole, F.rint(value * 10000).cast("long")).otherwise(parts.getItem(0).try_cast("long"))
-    den = F.when(whole, F.lit(10000).cast("long")).otherwise(F.when(F.size(parts) == 2, parts.getItem(1).try_cast("long")))
-    divisor = F.greatest(F.lit(1).cast("long"), gcd(F.abs(num), F.abs(den)))
+    decimal = F.when(whole & (F.abs(value) < 1e9), F.rint(value * 1e9).cast("long"))
+    num, den = parts.getItem(0).try_cast("long"), F.when(F.size(parts) == 2, parts.getItem(1).try_cast("long"))
     good = num.isNotNull() & den.isNotNull() & (den != 0)
-    return F.when(good, F.struct((num / divisor).cast("long").alias("num"), (den / divisor).cast("long").alias("den")))
+    divisor = F.greatest(F.lit(1).cast("long"), gcd(F.abs(num), F.abs(den))) * F.when(den < 0, -1).otherwise(1)
+    reduced = F.struct((num / divisor).cast("long").alias("num"), (den / divisor).cast("long").alias("den"))
+    return F.when(whole, F.when(decimal.isNotNull(), nearest_fraction(decimal, F.lit(1_000_000_000).cast("long")))).when(good, reduced)
 
 
 def rate_or(text: Column, default: float = 30.0) -> Column:

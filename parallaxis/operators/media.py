@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parallaxis.functions.numeric import fraction
+
 # What marks high dynamic range, what counts as unknown, what audio is copied,
 # the depths of well-known pixel formats, and the time bases tried in order.
 HDR_TRANSFER = ("smpte2084", "arib-std-b67", "linear")
@@ -18,8 +20,12 @@ FORMAT_BITS = {
     16: ("p016", "p016le", "yuv420p16le", "yuv420p16be"),
 }
 TIME_BASES = (90000, 180000, 360000, 720000, 1000000)
-#: The encoders tried when none is named, best first, and the widest frame each takes.
-ENCODERS = (("hevc_nvenc", 8192), ("h264_nvenc", 4096), ("libx264", 16384))
+# The encoders tried when none is named, best first; the widest frame of those
+# that have a limit; what encodes a codec, best first; the range of both quality settings.
+ENCODERS = ("hevc_nvenc", "h264_nvenc", "libx264")
+WIDEST = {"h264_nvenc": 4096}
+CODEC_ENCODERS = {"h264": ("h264_nvenc", "libx264"), "h265": ("hevc_nvenc", "libx265")}
+QUALITY = (0, 51)
 
 
 def clean_color(value: Column) -> Column:
@@ -110,13 +116,32 @@ def pts_increment(num: Column, den: Column) -> Column:
 def encoder_choice(requested: Column, width: Column, available: Column) -> Column:
     """A named encoder or none; ``auto`` takes the first that is available and takes the width."""
     out = None
-    for name, widest in ENCODERS:
-        fits = (width <= widest) & F.array_contains(available, name)
+    for name in ENCODERS:
+        fits = (width <= WIDEST.get(name, 1 << 30)) & F.array_contains(available, name)
         for condition in ((requested == "auto") & fits, (requested == name) & fits):
             out = F.when(condition, name) if out is None else out.when(condition, name)
     return out
 
 
+def codec_encoder(codec: Column, requested: Column, available: Column) -> Column:
+    """``encoder, problem`` for a codec: named ones must encode it and be available; else its first if available, its software one if not."""
+    name = F.lower(F.trim(F.coalesce(requested, F.lit(""))))
+    auto = name.isin("", "auto")
+    encoder = problem = None
+    for c, (hardware, software) in CODEC_ENCODERS.items():
+        first = F.when(F.array_contains(available, hardware), hardware).otherwise(software)
+        chosen = F.when(auto, first).when(name.isin(hardware, software) & F.array_contains(available, name), name)
+        wrong = F.when(~auto & ~name.isin(hardware, software), "incompatible").when(~auto & ~F.array_contains(available, name), "unavailable")
+        encoder = F.when(codec == c, chosen) if encoder is None else encoder.when(codec == c, chosen)
+        problem = F.when(codec == c, wrong) if problem is None else problem.when(codec == c, wrong)
+    return F.struct(encoder.alias("encoder"), problem.otherwise("unknown codec").alias("problem"))
+
+
+def quality_allowed(crf: Column, cq: Column) -> Column:
+    """Whether both quality settings are in their range."""
+    return F.coalesce(crf.between(*QUALITY) & cq.between(*QUALITY), F.lit(False))
+
+
 def bitrate_text(bits: Column) -> Column:
     """Megabits with up to three decimals and an ``M``."""
     return F.concat(F.regexp_replace(F.format_string("%.3f", bits.cast("double") / 1e6), r"\.?0+$", ""), F.lit("M"))
@@ -148,5 +173,41 @@ def admit(facts: DataFrame) -> DataFrame:
     from parallaxis.functions.numeric import rate_or
 
     out = facts.withColumn("bits", bit_depth_by_name(F.col("raw_bits"), F.col("pix_fmt"))).withColumn("fps", rate_or(F.col("rate"))).withColumn("avg_fps", rate_or(F.col("average")))
-    out = out.withColumn("hdr", is_hdr(F.col("bits"), F.col("transfer"))).withColumn("vfr", is_vfr(F.col("fps"), F.col("avg_fps"))).withColumn("rotation", rotation(F.col("rotate_tag"), F.col("rotate_side")))
+    out = out.withColumn("hdr", is_hdr(F.col("bits"), F.col("transfer"), F.col("space"), F.col("primaries"))).withColumn("vfr", is_vfr(F.col("fps"), F.col("avg_fps"))).withColumn("rotation", rotation(F.col("rotate_tag"), F.col("rotate_side")))
     return out.withColumn("reason", rejection(F.col("hdr"), F.col("vfr"), F.col("width"), F.col("height"), F.col("rotation"), F.col("sar"), F.col("codecs")))
+
+
+#: What is read of a probe's JSON; all values as text, as probes write numbers either way.
+PROBE = (
+    "streams array<struct<index string, codec_type string, codec_name string, width string, height string, r_frame_rate string, avg_frame_rate string, duration string, nb_frames string, "
+    "pix_fmt string, color_space string, color_transfer string, color_primaries string, bits_per_raw_sample string, sample_aspect_ratio string, "
+    "tags map<string, string>, side_data_list array<map<string, string>>>>, format struct<duration string>"
+)
+
+
+def probe_facts(documents: DataFrame, column: str) -> DataFrame:
+    """Facts of media from a probe's JSON: the first video stream, and the codecs of all audio streams in order.
+
+    ``unusable`` says why nothing can be done with it: no video stream, no size or no frame rate.
+    A rate that is missing is taken from the other one, as :func:`admit` expects.
+    """
+    doc = documents.withColumn("_p", F.from_json(column, PROBE))
+    streams = F.col("_p.streams")
+    of = lambda kind: F.filter(streams, lambda s: s["codec_type"] == kind)
+    doc = doc.withColumn("_v", F.try_element_at(of("video"), F.lit(1))).withColumn("_a", of("audio"))
+    value = lambda name: F.col(f"_v.{name}")
+    named = lambda c: F.when(~F.lower(c).isin("0/0", "n/a", ""), c)
+    rates = [F.when(fraction(named(value(n)))["num"] > 0, value(n)) for n in ("r_frame_rate", "avg_frame_rate")]
+    turned = F.filter(F.map_entries("_v.tags"), lambda e: F.lower(e["key"]).isin("rotate", "rotation"))
+    side = F.filter(F.transform("_v.side_data_list", lambda m: m["rotation"].try_cast("double").cast("int")), lambda r: r.isNotNull())
+    out = doc.select(
+        *documents.columns,
+        value("width").try_cast("int").alias("width"), value("height").try_cast("int").alias("height"),
+        F.coalesce(*rates).alias("rate"), F.coalesce(rates[1], rates[0]).alias("average"), F.lower(value("pix_fmt")).alias("pix_fmt"),
+        value("bits_per_raw_sample").alias("raw_bits"), value("color_transfer").alias("transfer"), value("color_space").alias("space"), value("color_primaries").alias("primaries"),
+        F.try_element_at(turned, F.lit(1))["value"].try_cast("double").cast("int").cast("string").alias("rotate_tag"), F.try_element_at(side, F.lit(-1)).cast("string").alias("rotate_side"),
+        value("sample_aspect_ratio").alias("sar"), F.array_join(F.transform("_a", lambda a: F.lower(F.coalesce(a["codec_name"], F.lit("unknown")))), ",").alias("codecs"),
+        value("nb_frames").alias("nb_frames"), F.coalesce(value("duration").try_cast("double"), F.col("_p.format.duration").try_cast("double"), F.lit(0.0)).alias("duration"),
+        F.when(F.col("_v").isNull(), "no video stream").when(~F.coalesce((value("width").try_cast("int") > 0) & (value("height").try_cast("int") > 0), F.lit(False)), "no size").when(F.coalesce(*rates).isNull(), "no frame rate").alias("unusable"),
+    )
+    return out.withColumn("codecs", F.coalesce("codecs", F.lit("")))
