@@ -21,11 +21,15 @@ def fitted_size(media: DataFrame) -> DataFrame:
 
 
 def pad(px: DataFrame, keys: list[str], height: int, width: int, bottom: int, right: int, reflect: bool = True) -> DataFrame:
-    """Padding on the right and below: every pixel names the places that show it; no join."""
+    """Padding on the right and below: every pixel names the places that show it, by arithmetic; no join."""
 
     def places(at, size, extra):
-        mirrored = lambda k: 2 * (size - 1) - k if reflect and size > extra else size - 1
-        return F.filter(F.transform(F.array(*[F.struct(F.lit(k).alias("to"), F.lit(k if k < size else mirrored(k)).alias("of")) for k in range(size + extra)]), lambda s: F.when(s["of"] == at, s["to"])), lambda v: v.isNotNull())
+        if reflect and size > extra:
+            mirror = F.lit(2 * (size - 1)) - at
+            more = F.when((mirror >= size) & (mirror < size + extra), F.array(mirror.cast("int")))
+        else:
+            more = F.when(at == size - 1, F.sequence(F.lit(size), F.lit(size + extra - 1))) if extra else F.lit(None).cast("array<int>")
+        return F.concat(F.array(at.cast("int")), F.coalesce(more, F.array().cast("array<int>")))
 
     out = px.withColumn("_y", F.explode(places(F.col("y"), height, bottom))).withColumn("_x", F.explode(places(F.col("x"), width, right)))
     return out.withColumn("y", F.col("_y")).withColumn("x", F.col("_x")).drop("_y", "_x")
@@ -42,23 +46,51 @@ def area_downscale(px: DataFrame, keys: list[str], factor: int, value: str) -> D
 
 
 def bilinear_resize(px: DataFrame, keys: list[str], height: int, width: int, to_height: int, to_width: int, value: str) -> DataFrame:
-    """Bilinear at pixel centres: every source pixel goes to the targets it weighs in, and sums meet there."""
+    """Bilinear at pixel centres: every source pixel goes to the targets it weighs in, and sums meet there.
+
+    Their range follows from the scale, so a row grows by about the scale, not by the size.
+    """
 
     def weights(at, size, to):
-        targets = []
-        for t in range(to):
-            c = min(max((t + 0.5) * size / to - 0.5, 0.0), size - 1.0)
-            low = int(c)
-            high, part = min(low + 1, size - 1), c - low
-            for source, w in ((low, 1 - part), (high, part)):
-                if w > 0:
-                    targets.append(F.struct(F.lit(source).alias("of"), F.lit(t).alias("to"), F.lit(float(w)).alias("w")))
-        return F.filter(F.array(*targets), lambda s: s["of"] == at)
+        centre = lambda t: F.least(F.greatest((t + 0.5) * (size / to) - 0.5, F.lit(0.0)), F.lit(size - 1.0))
+        first = F.when(at == 0, 0).otherwise(F.greatest(F.lit(0), F.ceil((at - 0.5) * (to / size) - 0.5).cast("int") - 1))
+        last = F.when(at == size - 1, to - 1).otherwise(F.least(F.lit(to - 1), F.floor((at + 1.5) * (to / size) - 0.5).cast("int") + 1))
+        every = F.transform(F.sequence(first, last), lambda t: F.struct(t.alias("to"), (1.0 - F.abs(centre(t) - at)).alias("w")))
+        return F.filter(every, lambda s: s["w"] > 0)
 
     out = px.withColumn("_v", F.explode(weights(F.col("y"), height, to_height))).withColumn("_h", F.explode(weights(F.col("x"), width, to_width)))
     return out.groupBy(*keys, F.col("_v.to").alias("y"), F.col("_h.to").alias("x")).agg(F.sum(F.col(value) * F.col("_v.w") * F.col("_h.w")).alias(value))
 
 
+def area_resize(px: DataFrame, keys: list[str], to_height: int, to_width: int, channels: tuple[str, ...]) -> DataFrame:
+    """Means of the source's area below each target pixel, for any ratio, rounded half to even.
+
+    ``px`` has ``ymin, ymax, xmin, xmax``, the part of each frame that is resized.  Overlaps are whole
+    numbers of 1 / (source size * target size), so sums are exact.
+    """
+
+    def overlaps(at, size, to):
+        first, last = F.floor(at * to / size).cast("int"), F.floor(((at + 1) * to - 1) / size).cast("int")
+        part = lambda t: (F.least((at + 1) * to, (t + 1) * size) - F.greatest(at * to, t * size)).cast("long")
+        return F.transform(F.sequence(first, last), lambda t: F.struct(t.alias("to"), part(t).alias("part")))
+
+    tall, wide = F.col("ymax") - F.col("ymin"), F.col("xmax") - F.col("xmin")
+    out = px.withColumn("_v", F.explode(overlaps(F.col("y") - F.col("ymin"), tall, to_height))).withColumn("_h", F.explode(overlaps(F.col("x") - F.col("xmin"), wide, to_width)))
+    sums = [F.sum(F.col(c) * F.col("_v.part") * F.col("_h.part")).alias(c) for c in channels]
+    area = F.max(tall.cast("long") * wide).alias("_area")
+    found = out.groupBy(*keys, F.col("_v.to").alias("y"), F.col("_h.to").alias("x")).agg(*sums, area)
+    return found.withColumns({c: F.rint(F.col(c) / F.col("_area")).cast("int") for c in channels}).drop("_area")
+
+
+def preprocess(px: DataFrame, keys: list[str], height: int, width: int, factor: float, multiple: int = 14, channels: tuple[str, str, str] = ("r", "g", "b")) -> DataFrame:
+    """What a depth model reads: bytes resized by ``factor``, normalised by channel, and mirrored to a multiple of ``multiple``."""
+    to_height, to_width = max(1, int(height * factor + 0.5)), max(1, int(width * factor + 0.5))
+    wide = px.select(*keys, "y", "x", F.explode(F.create_map(*[v for c in channels for v in (F.lit(c), F.col(c).cast("double"))])).alias("_c", "_value"))
+    small = bilinear_resize(wide, [*keys, "_c"], height, width, to_height, to_width, "_value") if factor != 1 else wide
+    rgb = small.groupBy(*keys, "y", "x").agg(*[F.max(F.when(F.col("_c") == c, F.col("_value"))).alias(c) for c in channels])
+    return pad(normalize(rgb, channels), keys, to_height, to_width, -to_height % multiple, -to_width % multiple)
+
+
 def convolve(px: DataFrame, keys: list[str], height: int, width: int, value: str, kernels: dict[str, dict[tuple[int, int], float]]) -> DataFrame:
     """Weighted sums of neighbours ``(dy, dx)``, zeros outside: each pixel goes where it counts, and sums meet there."""
     offsets = sorted({o for k in kernels.values() for o in k})

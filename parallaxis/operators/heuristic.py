@@ -42,6 +42,15 @@ def warp_chroma(chroma: DataFrame, luma_d: DataFrame, keys: list[str], width: in
     return backward_warp(moved, keys, width // 2, "u")
 
 
+def side_by_side(luma: DataFrame, chroma: DataFrame, keys: list[str], height: int, width: int, cfg: HeuristicConfig) -> tuple[DataFrame, DataFrame]:
+    """Both planes of the stereo frame, the right eye's beside the left's: ``y, x, luma`` and, at half size, ``y, x, u``."""
+    if height % 2 or width % 2:
+        raise ValueError("frames with chroma at half size need an even width and height")
+    moved = heuristic_disparity(luma, keys, height, cfg)
+    beside = lambda eyes, w, value: eyes.select(*keys, "y", (F.col("x") + F.col("eye") * w).alias("x"), value)
+    return beside(backward_warp(moved, keys, width), width, "luma"), beside(warp_chroma(chroma, moved, keys, width), width // 2, "u")
+
+
 def black_frame(frames: DataFrame, height: int, width: int) -> DataFrame:
     """What stands in for frames without any good one before: luma 0, chroma 128."""
     from parallaxis.sources.frames import spread

@@ -35,11 +35,40 @@ def progress(rows: DataFrame, job: str, frame: str, ts: str, total: str, least_s
     return out.withColumn("eta", F.when(F.col("fps") > 0, (F.col(total) - F.col(frame)) / F.col("fps")))
 
 
-#: Columns of the metrics file, in its order.
-REPORT = ("frame", "frame_ms", "kernel_ms", "queue_depth")
+# The columns of the metrics file, in its order, and the stages that have means.
+REPORT = ("frame_index", "frame_ms", "kernel_ms", "decode_wait_ms", "encode_wait_ms", "h2d_ms", "kernel_compute_ms", "d2h_ms", "queue_depth", "block_wait_ms")
+STAGES = ("kernel_ms", "decode_wait_ms", "encode_wait_ms", "h2d_ms", "kernel_compute_ms", "d2h_ms", "block_wait_ms")
 
 
-def write_report(rows: DataFrame, path: str, columns: tuple[str, ...] = REPORT) -> None:
-    """CSV with a header, doubles as text of four decimals."""
+def stage_averages(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The mean of each stage, and whether waiting to decode and encode outweighs the kernel by a fifth."""
+    out = rows.groupBy(*keys).agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"avg_{c}") for c in STAGES])
+    return out.withColumn("io_bound", F.col("avg_decode_wait_ms") + F.col("avg_encode_wait_ms") > 1.2 * F.col("avg_kernel_ms"))
+
+
+def report_rows(rows: DataFrame, columns: tuple[str, ...] = REPORT) -> DataFrame:
+    """The metrics file's columns in its order, doubles as text of four decimals."""
     kinds = dict(rows.dtypes)
-    rows.select(*[F.format_string("%.4f", c).alias(c) if kinds[c] == "double" else F.col(c) for c in columns]).write.mode("overwrite").csv(path, header=True)
+    return rows.select(*[F.format_string("%.4f", F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in columns])
+
+
+def write_report(rows: DataFrame, path: str, columns: tuple[str, ...] = REPORT) -> None:
+    """CSV with a header."""
+    report_rows(rows, columns).write.mode("overwrite").csv(path, header=True)
+
+
+def write_report_json(rows: DataFrame, path: str, columns: tuple[str, ...] = REPORT) -> None:
+    """A JSON object for each frame, with numbers as numbers."""
+    rows.select(*columns).write.mode("overwrite").json(path)
+
+
+def benchmark_markdown(jobs: DataFrame) -> DataFrame:
+    """Adds ``report``: a job's page of Markdown, from ``backend, output, frames_in, frames_out, elapsed_s, avg_fps, p95_kernel_ms, warnings``."""
+    number = lambda c: F.format_string("%.4f", F.col(c).cast("double"))
+    item = lambda name, value: F.concat(F.lit(f"- {name}: `"), value, F.lit("`"))
+    warnings = F.when(F.size(F.coalesce("warnings", F.array().cast("array<string>"))) == 0, F.array(F.lit("- none"))).otherwise(F.transform("warnings", lambda w: F.concat(F.lit("- "), w)))
+    head = F.array(
+        F.lit("# Benchmark Report"), F.lit(""), item("Backend", F.col("backend")), item("Output", F.col("output")), item("Frames in", F.col("frames_in").cast("string")), item("Frames out", F.col("frames_out").cast("string")),
+        item("Elapsed s", number("elapsed_s")), item("Avg FPS", number("avg_fps")), item("p95 kernel ms", number("p95_kernel_ms")), F.lit(""), F.lit("## Warnings"),
+    )
+    return jobs.withColumn("report", F.array_join(F.concat(head, warnings, F.array(F.lit(""))), "\n"))

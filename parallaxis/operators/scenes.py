@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parallaxis.config import SceneConfig
+from parallaxis.functions.numeric import luma
+from parallaxis.operators.geometry import area_resize
 
 
 def letterbox(px: DataFrame, keys: list[str], cfg: SceneConfig) -> DataFrame:
@@ -39,52 +41,65 @@ def active(px: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     return px.join(boxes, keys).where(inside)
 
 
-def brightness(cropped: DataFrame, keys: list[str], cfg: SceneConfig) -> DataFrame:
-    """``mean_luma`` and ``is_fade`` of each frame's active part."""
-    return cropped.groupBy(*keys).agg(F.avg("luma").alias("mean_luma")).withColumn("is_fade", F.col("mean_luma") < cfg.fade_threshold)
+def brightness(cropped: DataFrame, keys: list[str], cfg: SceneConfig, channels: tuple[str, ...] = ("luma",)) -> DataFrame:
+    """``mean_luma`` and ``is_fade`` of each frame's active part: the mean over all of its channels."""
+    mean = F.avg(sum(F.col(c) for c in channels) / len(channels))
+    return cropped.groupBy(*keys).agg(mean.alias("mean_luma")).withColumn("is_fade", F.col("mean_luma") < cfg.fade_threshold)
 
 
-def histograms(cropped: DataFrame, keys: list[str], cfg: SceneConfig) -> DataFrame:
-    """``bins``: shares of the equal bins of 0..256 as an array, from one aggregate."""
+def thumbnails(cropped: DataFrame, keys: list[str], cfg: SceneConfig, channels: tuple[str, ...] = ("luma",)) -> DataFrame:
+    """The active part of each frame, with its box, as a small image: ``y, x``, channels and ``gray``."""
+    thumbs = area_resize(cropped, keys, cfg.thumb_height, cfg.thumb_width, channels)
+    gray = F.rint(luma(*[F.col(c) for c in channels])).cast("int") if len(channels) == 3 else F.col(channels[0])
+    return thumbs.withColumn("gray", gray)
+
+
+def histograms(thumbs: DataFrame, keys: list[str], cfg: SceneConfig, channels: tuple[str, ...] = ("luma",)) -> DataFrame:
+    """``bins``: shares of the equal bins of 0..256, channel after channel, as an array from one aggregate."""
     step = 256 // cfg.bins
-    counts = [F.avg(((F.col("luma") >= k * step) & (F.col("luma") < (k + 1) * step)).cast("double")) for k in range(cfg.bins)]
-    return cropped.groupBy(*keys).agg(F.array(*counts).alias("bins"))
+    counts = [F.avg(((F.col(c) >= k * step) & (F.col(c) < (k + 1) * step)).cast("double")) for c in channels for k in range(cfg.bins)]
+    return thumbs.groupBy(*keys).agg(F.array(*counts).alias("bins"))
 
 
 def correlation(a: Column, b: Column, n: int) -> Column:
-    """Pearson correlation of two arrays; without variance 1 if they are equal, else 0."""
+    """Pearson correlation of two arrays; without variance 1."""
     mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     covered = dot(a, b) - n * mean(a) * mean(b)
     spread = F.sqrt(F.greatest(F.lit(0.0), dot(a, a) - n * mean(a) * mean(a)) * F.greatest(F.lit(0.0), dot(b, b) - n * mean(b) * mean(b)))
-    return F.when(spread > 1e-12, covered / spread).otherwise(F.when(a == b, 1.0).otherwise(0.0))
+    return F.when(spread > 1e-12, covered / spread).otherwise(1.0)
 
 
-def thumb_deltas(px: DataFrame, video: str) -> DataFrame:
-    """Mean absolute difference to the frame before, pixel by pixel: a lag along each pixel's time."""
-    before = F.lag("luma").over(W.partitionBy(video, "y", "x").orderBy("frame"))
-    return px.withColumn("_d", F.abs(F.col("luma") - before)).groupBy(video, "frame").agg((F.avg("_d") / 255.0).alias("delta"))
+def thumb_deltas(thumbs: DataFrame, video: str) -> DataFrame:
+    """Mean absolute difference of gray to the frame before, pixel by pixel: a lag along each pixel's time."""
+    before = F.lag("gray").over(W.partitionBy(video, "y", "x").orderBy("frame"))
+    return thumbs.withColumn("_d", F.abs(F.col("gray") - before)).groupBy(video, "frame").agg((F.avg("_d") / 255.0).alias("delta"))
 
 
-def scene_cuts(px: DataFrame, video: str, cfg: SceneConfig) -> DataFrame:
-    """``score``, ``is_fade``, ``is_cut`` and the box of each frame."""
+def scene_cuts(px: DataFrame, video: str, cfg: SceneConfig, channels: tuple[str, ...] = ("luma",)) -> DataFrame:
+    """``score``, ``is_fade``, ``is_cut`` and the box of each frame.
+
+    Content is compared on thumbnails of the active part.  A change of size is a cut, and so is
+    the frame after it, which has nothing to be compared with.
+    """
     if cfg.min_scene_frames != 1:
         raise ValueError("cuts with min_scene_frames over 1 are a fold: see streaming.processors")
     keys = [video, "frame"]
     boxes = letterbox(px, keys, cfg)
     cropped = active(px, boxes, keys)
-    rows = boxes.join(brightness(cropped, keys, cfg), keys).join(histograms(cropped, keys, cfg), keys).join(thumb_deltas(px, video), keys)
+    thumbs = thumbnails(cropped, keys, cfg, channels)
+    rows = boxes.join(brightness(cropped, keys, cfg, channels), keys).join(histograms(thumbs, keys, cfg, channels), keys).join(thumb_deltas(thumbs, video), keys)
     order = W.partitionBy(video).orderBy("frame")
     prev = lambda c: F.lag(c).over(order)
-    rows = rows.withColumn("p_bins", prev("bins")).withColumn("p_fade", prev("is_fade")).withColumn("p_h", prev("h")).withColumn("p_w", prev("w"))
-    resized = (F.col("p_h") != F.col("h")) | (F.col("p_w") != F.col("w"))
-    distance = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1.0 - correlation(F.col("bins"), F.col("p_bins"), cfg.bins)) / 2.0))
+    rows = rows.withColumn("p_bins", prev("bins")).withColumn("p_fade", prev("is_fade"))
+    rows = rows.withColumn("resized", F.coalesce((prev("h") != F.col("h")) | (prev("w") != F.col("w")), F.lit(False))).withColumn("p_resized", prev("resized"))
+    distance = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1.0 - correlation(F.col("bins"), F.col("p_bins"), cfg.bins * len(channels))) / 2.0))
     content = 0.6 * distance + 0.4 * F.coalesce("delta", F.lit(0.0))
-    forced = F.col("p_bins").isNull() | resized | (F.col("is_fade") != F.col("p_fade"))
+    forced = F.col("p_bins").isNull() | F.col("resized") | F.col("p_resized") | (F.col("is_fade") != F.col("p_fade"))
     score = F.when(forced, 1.0).when(F.col("is_fade"), 0.0).otherwise(content)
     rows = rows.withColumn("score", score)
     cut = F.when(forced, True).when(F.col("is_fade"), False).otherwise(F.col("score") >= cfg.cut_threshold)
-    return rows.withColumn("is_cut", cut).drop("p_bins", "p_fade", "p_h", "p_w", "bins")
+    return rows.withColumn("is_cut", cut).drop("p_bins", "p_fade", "resized", "p_resized", "bins")
 
 
 def shots(cuts: DataFrame, video: str) -> DataFrame:

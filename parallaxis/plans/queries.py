@@ -23,7 +23,7 @@ D = DisparityConfig(strength=0.30)
 S_CFG, FILL = SplatConfig(), FillConfig(max_hole_width=2)
 GATED = FillConfig(max_hole_width=2, fill_large=False)
 HALF_EVEN, HALF_UP = HeuristicConfig(strength=0.6, max_pixels=4), HeuristicConfig(strength=0.6, max_pixels=4, half_up=True)
-SCENE = SceneConfig(fade_threshold=20.0)
+SCENE = SceneConfig(fade_threshold=20.0, thumb_height=6, thumb_width=8)
 TEMPORAL = TemporalConfig(min_shared=50)
 
 
@@ -59,6 +59,28 @@ def signal_validation(spark, sf):
     return depth.validate_depth(rows, ["video"], "value").select("video", *whole("n", "bad"), "valid")
 
 
+#: Depths that cannot be used, planted by frame.
+_BAD = "bad AS (SELECT frame, x, CASE WHEN frame % 5 = 1 AND x = 3 THEN 0.0::DOUBLE WHEN frame % 5 = 2 AND x = 7 THEN 'nan'::DOUBLE WHEN frame % 5 = 3 AND x IN (0, 9) THEN CASE WHEN x = 0 THEN -1.0::DOUBLE ELSE 'inf'::DOUBLE END ELSE z END AS z FROM px)"
+
+
+def _bad(spark, sf):
+    k, x = F.col("frame") % 5, F.col("x")
+    z = F.when((k == 1) & (x == 3), 0.0).when((k == 2) & (x == 7), float("nan")).when((k == 3) & (x == 0), -1.0).when((k == 3) & (x == 9), float("inf")).otherwise(F.col("z"))
+    return V.pixel_rows(spark, sf).withColumn("z", z)
+
+
+@query(S.with_(S.PX, _BAD, "SELECT frame, count(*) AS n, CASE WHEN NOT bool_and(NOT isnan(z) AND NOT isinf(z)) THEN 'non-finite' WHEN NOT bool_and(z > 0) THEN 'non-positive' END AS reason FROM bad GROUP BY frame"))
+def frame_rejections(spark, sf):
+    return depth.rejections(_bad(spark, sf), ["frame"]).select("frame", *whole("n"), "reason")
+
+
+@query(S.with_(S.PX, _BAD, "ok AS (SELECT frame FROM bad GROUP BY frame HAVING bool_and(NOT isnan(z) AND NOT isinf(z) AND z > 0)), px_ AS (SELECT px.* FROM px JOIN ok USING (frame))", S.BOUNDS.replace("FROM px ", "FROM px_ "), S.DISPARITY.replace("FROM px ", "FROM px_ px "), "SELECT frame, count(*) AS n, round(min(disparity), 6) AS low, round(max(disparity), 6) AS high FROM d GROUP BY frame"))
+def disparity_of_usable_frames(spark, sf):
+    """Frames with any depth that cannot be used have no disparity at all."""
+    d = depth.disparity(_bad(spark, sf), ["frame"], D)
+    return d.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.min("disparity").alias("low"), F.max("disparity").alias("high")).select("frame", *whole("n"), *real("low", "high"))
+
+
 @query(S.with_(S.PX, S.BOUNDS, "SELECT frame, round(q_low, 6) AS q_low, round(q_high, 6) AS q_high FROM b"))
 def disparity_bounds(spark, sf):
     return depth.robust_bounds(V.pixel_rows(spark, sf), ["frame"], D).select("frame", *real("q_low", "q_high"))
@@ -206,6 +228,24 @@ def nv12_chroma_warp(spark, sf):
     return heuristic.warp_chroma(chroma, moved, ["frame"], 8).select("frame", *whole("y", "x", "eye", "u"))
 
 
+@query(S.with_(S.PX8, S.heuristic("round_even(s, 0)"), "c AS (SELECT frame, y // 2 AS y, x // 2 AS x, luma AS u, d // 2 AS d FROM h WHERE y % 2 = 0 AND x % 2 = 0) SELECT h.frame, 'luma' AS plane, CAST(h.y AS BIGINT) AS y, CAST(h.x + 8 * e.eye AS BIGINT) AS x, CAST(o.luma AS BIGINT) AS value FROM h, (VALUES (0), (1)) e(eye), px8 o WHERE o.frame = h.frame AND o.y = h.y AND o.x = CASE WHEN e.eye = 0 THEN greatest(0, h.x - h.d) ELSE least(7, h.x + h.d) END UNION ALL SELECT c.frame, 'chroma', CAST(c.y AS BIGINT), CAST(c.x + 4 * e.eye AS BIGINT), CAST(o.u AS BIGINT) FROM c, (VALUES (0), (1)) e(eye), c o WHERE o.frame = c.frame AND o.y = c.y AND o.x = CASE WHEN e.eye = 0 THEN greatest(0, c.x - c.d) ELSE least(3, c.x + c.d) END", raw=True))
+def heuristic_sbs(spark, sf):
+    """The whole operator of the heuristic path: both planes of the stereo frame."""
+    px = V.square_frames(spark, sf)
+    half = (F.col("y") % 2 == 0) & (F.col("x") % 2 == 0)
+    chroma = px.where(half).select("frame", (F.col("y") / 2).cast("int").alias("y"), (F.col("x") / 2).cast("int").alias("x"), F.col("luma").alias("u"))
+    luma, u = heuristic.side_by_side(px, chroma, ["frame"], 8, 8, HALF_EVEN)
+    both = luma.select("frame", F.lit("luma").alias("plane"), "y", "x", F.col("luma").alias("value")).unionByName(u.select("frame", F.lit("chroma").alias("plane"), "y", "x", F.col("u").alias("value")))
+    return both.select("frame", "plane", *whole("y", "x", "value"))
+
+
+@query(S.with_(S.PX8, S.bilinear(8, 12), "r AS (SELECT p.frame, v.t AS y, h.t AS x, sum(p.luma * v.w * h.w) AS l FROM px8 p JOIN weights v ON v.s = p.y JOIN weights h ON h.s = p.x GROUP BY p.frame, v.t, h.t) SELECT frame, ty AS y, tx AS x, round((l / 255.0 - 0.485) / 0.229, 6) AS r, round(((255 - l) / 255.0 - 0.456) / 0.224, 6) AS g, round((l / 255.0 - 0.406) / 0.225, 6) AS b FROM r, range(14) a(ty), range(14) c(tx) WHERE r.y = CASE WHEN ty < 12 THEN ty ELSE 22 - ty END AND r.x = CASE WHEN tx < 12 THEN tx ELSE 22 - tx END", raw=True))
+def preprocess_frame(spark, sf):
+    """What a depth model reads: resized, normalised and mirrored to a multiple of 14."""
+    rgb = V.square_frames(spark, sf).withColumns({"r": F.col("luma"), "g": 255 - F.col("luma"), "b": F.col("luma")})
+    return geometry.preprocess(rgb, ["frame"], 8, 8, 1.5).select("frame", *whole("y", "x"), *real("r", "g", "b"))
+
+
 @query("SELECT f AS frame, y, x, (x + 3 * f) % 256 AS luma, CAST(128 AS BIGINT) AS u, CAST(128 AS BIGINT) AS v FROM range(24) a(f), range(18) b(y), range(32) c(x)")
 def mock_frames(spark, sf):
     return V.ramp_frames(spark, 24, 32, 18).select(*whole("frame", "y", "x", "luma", "u", "v"))
@@ -268,10 +308,10 @@ def fade_transitions(spark, sf):
     return b.withColumn("transition", F.coalesce(F.col("is_fade") != was, F.lit(False))).select(*whole("video", "frame"), *real("mean_luma"), "is_fade", "transition")
 
 
-@query(S.with_(S.GEN, S.BOX, S.CROP, "SELECT CAST(video AS BIGINT) AS video, CAST(frame AS BIGINT) AS frame, CAST(k AS BIGINT) AS bin, round(avg(CASE WHEN luma // 16 = k THEN 1.0 ELSE 0.0 END), 6) AS share FROM crop, range(16) r(k) GROUP BY video, frame, k"))
+@query(S.with_(S.GEN, S.BOX, S.CROP, S.THUMB, "SELECT CAST(video AS BIGINT) AS video, CAST(frame AS BIGINT) AS frame, CAST(k AS BIGINT) AS bin, round(avg(CASE WHEN luma // 16 = k THEN 1.0 ELSE 0.0 END), 6) AS share FROM thumb, range(16) r(k) GROUP BY video, frame, k"))
 def scene_histogram(spark, sf):
     keys, px = ["video", "frame"], V.generated_video(spark, sf)
-    h = scenes.histograms(scenes.active(px, scenes.letterbox(px, keys, SCENE), keys), keys, SCENE)
+    h = scenes.histograms(scenes.thumbnails(scenes.active(px, scenes.letterbox(px, keys, SCENE), keys), keys, SCENE), keys, SCENE)
     return h.select(*whole(*keys), F.posexplode("bins").alias("bin", "share")).select(*whole("video", "frame", "bin"), *real("share"))
 
 
@@ -286,10 +326,11 @@ def shot_ids(spark, sf):
 
 
 def _signal_bounds(spark, sf):
-    return V.signal(spark, sf).select("video", "frame", F.log1p("value").alias("q_low"), (F.log1p("value") * 2).alias("q_high"))
+    v = F.log(2.0 + F.greatest("value", F.lit(0.0)))
+    return V.signal(spark, sf).select("video", "frame", v.alias("q_low"), (v * 2).alias("q_high"))
 
 
-@query(S.with_(S.SIGNAL, "w AS (SELECT a.video, a.frame, sum(ln(1.0 + b.value) * CASE WHEN b.frame = 0 THEN power(0.9::DOUBLE, a.frame) ELSE 0.1 * power(0.9::DOUBLE, a.frame - b.frame) END) AS low FROM sig a JOIN sig b ON a.video = b.video AND b.frame <= a.frame GROUP BY a.video, a.frame) SELECT video, CAST(frame AS BIGINT) AS frame, round(low, 6) AS low, round(2 * low, 6) AS high FROM w", raw=True))
+@query(S.with_(S.SIGNAL, "w AS (SELECT a.video, a.frame, sum(ln(2.0 + greatest(b.value, 0)) * CASE WHEN b.frame = 0 THEN power(0.9::DOUBLE, a.frame) ELSE 0.1 * power(0.9::DOUBLE, a.frame - b.frame) END) AS low FROM sig a JOIN sig b ON a.video = b.video AND b.frame <= a.frame GROUP BY a.video, a.frame) SELECT video, CAST(frame AS BIGINT) AS frame, round(low, 6) AS low, round(2 * low, 6) AS high FROM w", raw=True))
 def ema_bounds(spark, sf):
     """The closed form of the oracle holds because the span here is the value itself, over the least span."""
     return temporal.ema_bounds(_signal_bounds(spark, sf), "video", TEMPORAL).select("video", *whole("frame"), *real("low", "high"))
@@ -343,17 +384,17 @@ def temporal_stabilize(spark, sf):
     return out.withColumn("mean_depth", mean).select(*whole("video", "frame", "shot", "in_shot"), *real("low", "high", "valid_fraction", "scale", "mean_depth"))
 
 
-@query(S.with_(S.SIGNAL, "w AS (SELECT a.video, a.frame, sum(ln(1.0 + b.value) * CASE WHEN b.frame = 0 THEN power(0.9::DOUBLE, a.frame) ELSE 0.1 * power(0.9::DOUBLE, a.frame - b.frame) END) AS s FROM sig a JOIN sig b ON a.video = b.video AND b.frame <= a.frame GROUP BY a.video, a.frame) SELECT video, CAST(frame AS BIGINT) AS frame, round(s, 6) AS smoothed FROM w", raw=True))
+@query(S.with_(S.SIGNAL, "w AS (SELECT a.video, a.frame, sum(ln(2.0 + greatest(b.value, 0)) * CASE WHEN b.frame = 0 THEN power(0.9::DOUBLE, a.frame) ELSE 0.1 * power(0.9::DOUBLE, a.frame - b.frame) END) AS s FROM sig a JOIN sig b ON a.video = b.video AND b.frame <= a.frame GROUP BY a.video, a.frame) SELECT video, CAST(frame AS BIGINT) AS frame, round(s, 6) AS smoothed FROM w", raw=True))
 def stream_ema(spark, sf):
     """The stateful operator of the streaming form, run over the table as one batch."""
     from parallaxis.streaming.processors import smooth_stream
 
-    return smooth_stream(V.signal(spark, sf).select("video", F.col("frame").cast("long").alias("frame"), F.log1p("value").alias("value")), TEMPORAL.eta).select("video", "frame", *real("smoothed"))
+    return smooth_stream(V.signal(spark, sf).select("video", F.col("frame").cast("long").alias("frame"), F.log(2.0 + F.greatest("value", F.lit(0.0))).alias("value")), TEMPORAL.eta).select("video", "frame", *real("smoothed"))
 
 
-@query()
+@query("WITH RECURSIVE " + S.SIGNAL + ", c AS (SELECT video, frame, TRUE AS is_cut, frame AS latest FROM sig WHERE frame = 0 UNION ALL SELECT s.video, s.frame, coalesce(s.value / 100.0 >= 0.35, FALSE) AND s.frame - c.latest >= 3, CASE WHEN coalesce(s.value / 100.0 >= 0.35, FALSE) AND s.frame - c.latest >= 3 THEN s.frame ELSE c.latest END FROM c JOIN sig s ON s.video = c.video AND s.frame = c.frame + 1) SELECT video, CAST(frame AS BIGINT) AS frame, is_cut FROM c")
 def spaced_scene_cuts(spark, sf):
-    """Cuts at least three frames apart: each decision depends on the last, so rows only."""
+    """Cuts at least three frames apart: each decision depends on the last."""
     from parallaxis.streaming.processors import spaced_cuts
 
     scores = V.signal(spark, sf).select("video", F.col("frame").cast("long").alias("frame"), (F.col("value") / 100.0).alias("score"))
@@ -369,11 +410,22 @@ def batch_groups(spark, sf):
 # -- media -------------------------------------------------------------------------------------
 
 
-@query(S.with_(S.MEDIA, "v AS (SELECT media, rate, CASE WHEN contains(rate, '/') THEN TRY_CAST(split_part(rate, '/', 1) AS BIGINT) ELSE CAST(round_even(TRY_CAST(rate AS DOUBLE) * 10000, 0) AS BIGINT) END AS n, CASE WHEN contains(rate, '/') THEN TRY_CAST(split_part(rate, '/', 2) AS BIGINT) ELSE 10000 END AS d FROM media) SELECT media, CASE WHEN d <> 0 THEN n // greatest(1, gcd(n, d)) END AS num, CASE WHEN n IS NOT NULL AND d <> 0 THEN d // greatest(1, gcd(n, d)) END AS den FROM v", raw=True))
+@query(S.with_(S.MEDIA, "v AS (SELECT media, CASE WHEN contains(rate, '/') THEN TRY_CAST(split_part(rate, '/', 1) AS BIGINT) ELSE TRY_CAST(rate AS BIGINT) END AS n, CASE WHEN contains(rate, '/') THEN TRY_CAST(split_part(rate, '/', 2) AS BIGINT) ELSE 1 END AS d FROM media) SELECT media, CASE WHEN d <> 0 THEN n // greatest(1, gcd(n, d)) END AS num, CASE WHEN n IS NOT NULL AND d <> 0 THEN d // greatest(1, gcd(n, d)) END AS den FROM v", raw=True))
 def fraction_parse(spark, sf):
     return V.media_facts(spark, sf).withColumn("f", numeric.fraction(F.col("rate"))).select("media", F.col("f.num").alias("num"), F.col("f.den").alias("den"))
 
 
+_DECIMALS = ("29.97002997", "23.976", "23.976023976", "59.94005994", "0.333333333", "14.985014985", "3.14159265", "25.0", "0.00004", "119.88011988")
+
+
+@query("WITH v AS (SELECT DISTINCT text, CAST(text AS DOUBLE) AS x FROM (SELECT " + repr(list(_DECIMALS)) + "[1 + p_partkey % 10] AS text FROM part)), f AS (SELECT text, x, q, CAST(round(x * q) AS BIGINT) AS p FROM v, range(1, 10001) r(q)), b AS (SELECT text, p, q, row_number() OVER (PARTITION BY text ORDER BY abs(p / q::DOUBLE - x), q) AS n FROM f) SELECT p_partkey AS media, p AS num, q AS den FROM part JOIN b ON text = " + repr(list(_DECIMALS)) + "[1 + p_partkey % 10] WHERE n = 1")
+def fraction_limit(spark, sf):
+    """Decimals as the nearest fraction with a denominator of 10,000 at most."""
+    text = F.element_at(F.array(*map(F.lit, _DECIMALS)), (1 + F.col("p_partkey") % 10).cast("int"))
+    f = V.table(spark, sf, "part").select(F.col("p_partkey").alias("media"), numeric.fraction(text).alias("f"))
+    return f.select("media", F.col("f.num").alias("num"), F.col("f.den").alias("den"))
+
+
 @query(S.with_(S.MEDIA, "SELECT media, CAST(CASE WHEN TRY_CAST(raw_bits AS INT) > 0 THEN TRY_CAST(raw_bits AS INT) WHEN pix_fmt IN ('nv12','yuv420p','yuvj420p') THEN 8 WHEN pix_fmt IN ('p010','p010le','yuv420p10le','yuv420p10be') THEN 10 ELSE coalesce(nullif(TRY_CAST(regexp_extract(pix_fmt, '(\\d+)(?:le|be)?$', 1) AS INT), 0), 8) END AS BIGINT) AS by_format, CAST(CASE WHEN raw_bits IS NOT NULL THEN CAST(raw_bits AS INT) WHEN contains(pix_fmt, '10') THEN 10 WHEN contains(pix_fmt, '12') THEN 12 WHEN contains(pix_fmt, '16') THEN 16 ELSE 8 END AS BIGINT) AS by_name FROM media"))
 def bit_depth(spark, sf):
     m = V.media_facts(spark, sf)
@@ -392,7 +444,7 @@ def frame_count_estimate(spark, sf):
     return m.withColumn("frame_count", media.frame_count(F.col("nb_frames"), F.col("duration"), F.col("fps"))).select("media", *whole("frame_count"))
 
 
-@query(S.with_(S.MEDIA, S.RATES, "SELECT media, bits > 8 OR lower(transfer) IN ('smpte2084', 'arib-std-b67', 'linear') AS hdr FROM rates"))
+@query(S.with_(S.MEDIA, S.RATES, f"SELECT media, {S.HDR} AS hdr FROM rates"))
 def hdr_predicate(spark, sf):
     return media.admit(V.media_facts(spark, sf)).select("media", "hdr")
 
@@ -419,13 +471,46 @@ def pts_ticks(spark, sf):
     return r.select("media", media.pts_base(F.col("num"), F.col("den")).alias("base"), media.pts_increment(F.col("num"), F.col("den")).alias("increment"))
 
 
-@query("WITH r AS (SELECT p_partkey AS media, p_size * 160 AS width, CASE p_partkey % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'h264_nvenc' WHEN 2 THEN 'auto' ELSE 'libx264' END AS ask, CASE WHEN p_partkey % 3 = 0 THEN ['libx264'] ELSE ['h264_nvenc', 'libx264'] END AS have FROM part) SELECT media, CASE WHEN ask IN ('auto', 'hevc_nvenc') AND width <= 8192 AND list_contains(have, 'hevc_nvenc') THEN 'hevc_nvenc' WHEN ask IN ('auto', 'h264_nvenc') AND width <= 4096 AND list_contains(have, 'h264_nvenc') THEN 'h264_nvenc' WHEN ask IN ('auto', 'libx264') AND width <= 16384 AND list_contains(have, 'libx264') THEN 'libx264' END AS encoder FROM r")
+@query("WITH r AS (SELECT p_partkey AS media, p_size * 160 AS width, CASE p_partkey % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'h264_nvenc' WHEN 2 THEN 'auto' ELSE 'libx264' END AS ask, CASE WHEN p_partkey % 3 = 0 THEN ['libx264'] ELSE ['h264_nvenc', 'libx264'] END AS have FROM part) SELECT media, CASE WHEN ask IN ('auto', 'hevc_nvenc') AND list_contains(have, 'hevc_nvenc') THEN 'hevc_nvenc' WHEN ask IN ('auto', 'h264_nvenc') AND width <= 4096 AND list_contains(have, 'h264_nvenc') THEN 'h264_nvenc' WHEN ask IN ('auto', 'libx264') AND list_contains(have, 'libx264') THEN 'libx264' END AS encoder FROM r")
 def encoder_choice(spark, sf):
+    """An encoder for a width: by rank if none is named, and never another than the named one."""
     k = F.col("p_partkey")
     r = V.table(spark, sf, "part").select(k.alias("media"), (F.col("p_size") * 160).alias("width"), F.when(k % 4 == 1, "h264_nvenc").when(k % 4 == 3, "libx264").otherwise("auto").alias("ask"), F.when(k % 3 == 0, F.array(F.lit("libx264"))).otherwise(F.array(F.lit("h264_nvenc"), F.lit("libx264"))).alias("have"))
     return r.select("media", media.encoder_choice(F.col("ask"), F.col("width"), F.col("have")).alias("encoder"))
 
 
+@query("WITH r AS (SELECT p_partkey AS media, CASE WHEN p_partkey % 2 = 0 THEN 'h264' ELSE 'h265' END AS codec, [NULL, 'auto', ' Auto ', 'h264_nvenc', 'libx264', 'libx265', 'hevc_nvenc'][1 + p_partkey % 7] AS ask, CASE p_partkey % 3 WHEN 0 THEN ['libx264', 'libx265'] WHEN 1 THEN ['h264_nvenc', 'libx264'] ELSE ['hevc_nvenc', 'h264_nvenc', 'libx265'] END AS have, p_partkey % 60 - 4 AS crf, p_size AS cq FROM part), n AS (SELECT *, lower(trim(coalesce(ask, ''))) AS name, CASE codec WHEN 'h264' THEN 'h264_nvenc' ELSE 'hevc_nvenc' END AS hard, CASE codec WHEN 'h264' THEN 'libx264' ELSE 'libx265' END AS soft FROM r) SELECT media, codec, CASE WHEN name IN ('', 'auto') THEN CASE WHEN list_contains(have, hard) THEN hard ELSE soft END WHEN name IN (hard, soft) AND list_contains(have, name) THEN name END AS encoder, CASE WHEN name IN ('', 'auto') THEN NULL WHEN name NOT IN (hard, soft) THEN 'incompatible' WHEN NOT list_contains(have, name) THEN 'unavailable' END AS problem, crf BETWEEN 0 AND 51 AND cq BETWEEN 0 AND 51 AS quality FROM n")
+def codec_encoder(spark, sf):
+    """An encoder for a codec, or why the named one will not do; and the range of both quality settings."""
+    k = F.col("p_partkey")
+    lits = lambda *v: F.array(*[F.lit(x) for x in v])
+    have = F.when(k % 3 == 0, lits("libx264", "libx265")).when(k % 3 == 1, lits("h264_nvenc", "libx264")).otherwise(lits("hevc_nvenc", "h264_nvenc", "libx265"))
+    ask = F.element_at(lits(None, "auto", " Auto ", "h264_nvenc", "libx264", "libx265", "hevc_nvenc"), (1 + k % 7).cast("int"))
+    r = V.table(spark, sf, "part").select(k.alias("media"), F.when(k % 2 == 0, "h264").otherwise("h265").alias("codec"), ask.alias("ask"), have.alias("have"), (k % 60 - 4).alias("crf"), F.col("p_size").alias("cq"))
+    r = r.withColumn("e", media.codec_encoder(F.col("codec"), F.col("ask"), F.col("have")))
+    return r.select("media", "codec", F.col("e.encoder").alias("encoder"), F.col("e.problem").alias("problem"), media.quality_allowed(F.col("crf"), F.col("cq")).alias("quality"))
+
+
+@query(S.with_(S.MEDIA, "m AS (SELECT * REPLACE (CASE WHEN rate IN ('0/0', 'N/A') THEN average ELSE rate END AS rate) FROM media)", S.RATES.replace("FROM media", "FROM m"), S.ADMIT, "SELECT media, CASE WHEN media % 13 = 0 THEN 'no video stream' WHEN media % 17 = 0 THEN 'no size' END AS unusable, CASE WHEN media % 13 <> 0 THEN CAST(CASE WHEN media % 17 = 0 THEN 0 ELSE width END AS BIGINT) END AS width, CASE WHEN media % 13 <> 0 THEN rate END AS rate, coalesce(codecs, '') AS codecs, CASE WHEN media % 13 <> 0 AND media % 17 <> 0 THEN reason END AS reason FROM admit"))
+def probe_json(spark, sf):
+    """Facts and admission from a probe's JSON documents: first video stream, all audio streams, tags and side data."""
+    m, k = V.media_facts(spark, sf), F.col("media")
+    text = lambda c: F.col(c).cast("string").alias(c)
+    audio = F.transform(media.codec_list(F.col("codecs")), lambda c: F.struct(F.lit("audio").alias("codec_type"), F.upper(c).alias("codec_name")))
+    size = F.when(k % 17 == 0, 0).otherwise(F.col("width"))
+    video = F.struct(
+        F.lit("video").alias("codec_type"), size.alias("width"), F.col("height"), F.col("rate").alias("r_frame_rate"), F.col("average").alias("avg_frame_rate"), F.col("nb_frames"), F.upper("pix_fmt").alias("pix_fmt"),
+        F.col("raw_bits").alias("bits_per_raw_sample"), F.col("transfer").alias("color_transfer"), F.col("space").alias("color_space"), F.col("primaries").alias("color_primaries"), F.col("sar").alias("sample_aspect_ratio"),
+        F.when(F.col("rotate_tag").isNotNull(), F.create_map(F.lit("Rotate"), F.col("rotate_tag"))).alias("tags"), F.when(F.col("rotate_side").isNotNull(), F.array(F.create_map(F.lit("rotation"), F.col("rotate_side")))).alias("side_data_list"),
+    )
+    other = F.to_json(F.struct(F.lit("video").alias("codec_type"), F.lit(64).alias("width")))
+    streams = F.concat_ws(",", F.transform(audio, lambda a: F.to_json(a)), F.when(k % 13 != 0, F.concat_ws(",", F.to_json(video), other)))
+    document = F.concat(F.lit('{"streams": ['), streams, F.lit('], "format": {"duration": "'), text("duration"), F.lit('"}}'))
+    facts = media.admit(media.probe_facts(m.select("media", document.alias("document")), "document"))
+    reason = F.when(F.col("unusable").isNull(), F.col("reason"))
+    return facts.select("media", "unusable", *whole("width"), "rate", "codecs", reason.alias("reason"))
+
+
 @query("WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^https://([^/:?#]+)', 1)) AS host FROM pages) SELECT page_id, host, coalesce(host <> '' AND (host IN ('example.com', 'example.org') OR suffix(host, '.com') OR suffix(host, '.example.net')), FALSE) AS allowed FROM u")
 def url_allowlist(spark, sf):
     host = F.lower(F.regexp_extract("url", r"^https://([^/:?#]+)", 1))

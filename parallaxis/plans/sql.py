@@ -58,7 +58,7 @@ def heuristic(rounding: str) -> str:
     """``h``: the disparity of the heuristic, by the given rounding of ``s``."""
     return (
         "grad AS (SELECT *, coalesce(luma - lag(luma) OVER (PARTITION BY frame, y ORDER BY x), 0) AS gx, coalesce(luma - lag(luma) OVER (PARTITION BY frame, x ORDER BY y), 0) AS gy FROM px8), "
-        "score AS (SELECT *, greatest(0.0, least(1.0, 0.6::DOUBLE * (0.25::DOUBLE * luma / 255.0::DOUBLE + 0.45::DOUBLE * greatest(0.0, least(1.0, (abs(gx) + abs(gy)) / 510.0::DOUBLE)) + 0.3::DOUBLE * (y / 7.0::DOUBLE)))) * 4.0::DOUBLE AS s FROM grad), "
+        "score AS (SELECT *, greatest(0.0, least(1.0, 0.6::DOUBLE * (0.45::DOUBLE * luma / 255.0::DOUBLE + 0.25::DOUBLE * greatest(0.0, least(1.0, (abs(gx) + abs(gy)) / 510.0::DOUBLE)) + 0.3::DOUBLE * (y / 7.0::DOUBLE)))) * 4.0::DOUBLE AS s FROM grad), "
         f"h AS (SELECT frame, y, x, luma, CAST(least(greatest(CAST({rounding} AS INTEGER), 0), 4) AS INTEGER) AS d FROM score)"
     )
 
@@ -84,16 +84,24 @@ BOX = (
     "box AS (SELECT video, frame, CASE WHEN crop THEN y0 ELSE 0 END AS ymin, CASE WHEN crop THEN y1 ELSE 12 END AS ymax, CASE WHEN crop THEN x0 ELSE 0 END AS xmin, CASE WHEN crop THEN x1 ELSE 16 END AS xmax FROM ok)"
 )
 CROP = "crop AS (SELECT gen.* FROM gen JOIN box USING (video, frame) WHERE y >= ymin AND y < ymax AND x >= xmin AND x < xmax)"
+#: The active part as an image of 6 by 8: areas in whole numbers, means rounded half to even.
+THUMB = (
+    "parts AS (SELECT c.video, c.frame, ty AS y, tx AS x, c.luma, (ymax - ymin) * (xmax - xmin) AS area, "
+    "least((c.y - ymin + 1) * 6, (ty + 1) * (ymax - ymin)) - greatest((c.y - ymin) * 6, ty * (ymax - ymin)) AS py, least((c.x - xmin + 1) * 8, (tx + 1) * (xmax - xmin)) - greatest((c.x - xmin) * 8, tx * (xmax - xmin)) AS px "
+    "FROM crop c JOIN box USING (video, frame), range(6) r(ty), range(8) s(tx)), "
+    "thumb AS (SELECT video, frame, y, x, CAST(round_even(sum(luma * py * px) / max(area)::DOUBLE, 0) AS INTEGER) AS luma FROM parts WHERE py > 0 AND px > 0 GROUP BY video, frame, y, x)"
+)
 CUTS = (
+    THUMB + ", "
     "mean_ AS (SELECT video, frame, avg(luma) < 20 AS is_fade FROM crop GROUP BY video, frame), "
-    "hist AS (SELECT video, frame, k, avg(CASE WHEN luma // 16 = k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS s FROM crop, range(16) r(k) GROUP BY video, frame, k), "
+    "hist AS (SELECT video, frame, k, avg(CASE WHEN luma // 16 = k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS s FROM thumb, range(16) r(k) GROUP BY video, frame, k), "
     "corr_ AS (SELECT a.video, a.frame, sum(a.s * b.s) - 16 * avg(a.s) * avg(b.s) AS cov, sqrt(greatest(0.0, sum(a.s * a.s) - 16 * avg(a.s) * avg(a.s)) * greatest(0.0, sum(b.s * b.s) - 16 * avg(b.s) * avg(b.s))) AS sp FROM hist a JOIN hist b ON a.video = b.video AND a.frame = b.frame + 1 AND a.k = b.k GROUP BY a.video, a.frame), "
-    "delta AS (SELECT a.video, a.frame, avg(abs(a.luma - b.luma)) / 255.0::DOUBLE AS d FROM gen a JOIN gen b ON a.video = b.video AND a.frame = b.frame + 1 AND a.y = b.y AND a.x = b.x GROUP BY a.video, a.frame), "
+    "delta AS (SELECT a.video, a.frame, avg(abs(a.luma - b.luma)) / 255.0::DOUBLE AS d FROM thumb a JOIN thumb b ON a.video = b.video AND a.frame = b.frame + 1 AND a.y = b.y AND a.x = b.x GROUP BY a.video, a.frame), "
     "prev AS (SELECT video, frame, is_fade, lag(is_fade) OVER (PARTITION BY video ORDER BY frame) AS was FROM mean_), "
-    "sc AS (SELECT video, frame, is_fade, was, was IS NULL OR was <> is_fade AS forced, 0.6::DOUBLE * greatest(0.0, least(1.0, (1.0 - cov / sp) / 2.0)) + 0.4::DOUBLE * d AS content FROM prev LEFT JOIN corr_ USING (video, frame) LEFT JOIN delta USING (video, frame)), "
+    "sc AS (SELECT video, frame, is_fade, was, was IS NULL OR was <> is_fade AS forced, 0.6::DOUBLE * greatest(0.0, least(1.0, (1.0 - CASE WHEN sp > 1e-12 THEN cov / sp ELSE 1.0 END) / 2.0)) + 0.4::DOUBLE * d AS content FROM prev LEFT JOIN corr_ USING (video, frame) LEFT JOIN delta USING (video, frame)), "
     "cuts AS (SELECT video, frame, is_fade, CASE WHEN forced THEN 1.0 WHEN is_fade THEN 0.0 ELSE content END AS score, CASE WHEN forced THEN TRUE WHEN is_fade THEN FALSE ELSE content >= 0.35 END AS is_cut FROM sc)"
 )
-SIGNAL = "sig AS (SELECT user_id AS video, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value, event_type AS kind FROM events WHERE value > 0)"
+SIGNAL = "sig AS (SELECT user_id AS video, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value, event_type AS kind FROM events)"
 
 
 def _pick(*values: str | None) -> str:
@@ -111,6 +119,8 @@ MEDIA = (
             "pix_fmt": ("yuv420p", "yuv420p10le", "p010le", "yuv444p12", "gray16", "yuvj420p"),
             "raw_bits": (None, None, "8", "10"),
             "transfer": ("bt709", "unknown", " SMPTE2084 ", "", "arib-std-b67", "N/A", "bt709"),
+            "space": ("bt709", None, "bt2020nc", "bt709", "smpte170m", "unknown", "bt709", "bt709", "bt709", "bt709", "bt709"),
+            "primaries": ("bt709", "bt709", None, "bt709", "BT2020", *["bt709"] * 8),
             "rotate_tag": ("0", "90", "-90", None, "180", "0", "0", "0", "360"),
             "rotate_side": (None, None, None, "270"),
             "sar": ("1:1", "1:1", None, "4:3", "1:1"),
@@ -128,8 +138,9 @@ def _rate(c: str) -> str:
 
 
 RATES = f"rates AS (SELECT *, {_rate('rate')} AS fps, {_rate('average')} AS avg_fps, CASE WHEN raw_bits IS NOT NULL THEN CAST(raw_bits AS INT) WHEN contains(pix_fmt, '10') THEN 10 WHEN contains(pix_fmt, '12') THEN 12 WHEN contains(pix_fmt, '16') THEN 16 ELSE 8 END AS bits FROM media)"
+HDR = "(bits > 8 OR coalesce(lower(transfer) IN ('smpte2084', 'arib-std-b67', 'linear'), FALSE) OR coalesce(lower(space) IN ('bt2020nc', 'bt2020c', 'bt2020'), FALSE) OR coalesce(lower(primaries) IN ('bt2020nc', 'bt2020c', 'bt2020'), FALSE))"
 ADMIT = (
-    "admit AS (SELECT *, CASE WHEN bits > 8 OR lower(transfer) IN ('smpte2084', 'arib-std-b67', 'linear') THEN 'hdr' WHEN abs(fps - avg_fps) > 0.005 THEN 'variable rate' WHEN width % 2 <> 0 OR height % 2 <> 0 THEN 'odd size' "
+    f"admit AS (SELECT *, CASE WHEN {HDR} THEN 'hdr' WHEN abs(fps - avg_fps) > 0.005 THEN 'variable rate' WHEN width % 2 <> 0 OR height % 2 <> 0 THEN 'odd size' "
     "WHEN coalesce(TRY_CAST(rotate_side AS INT), TRY_CAST(rotate_tag AS INT), 0) % 360 <> 0 THEN 'rotated' WHEN coalesce(sar, '1:1') NOT IN ('1:1', '0:1', 'N/A') THEN 'pixel aspect' "
     "WHEN codecs <> '' AND split_part(codecs, ',', 1) NOT IN ('aac', 'mp3', 'ac3', 'eac3') THEN 'audio codec' END AS reason FROM rates)"
 )

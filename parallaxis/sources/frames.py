@@ -38,10 +38,42 @@ def raw_frames(spark: SparkSession, path: str, width: int, height: int, layout:
 
 
 def explode_rgb(packed: DataFrame, width: int) -> DataFrame:
-    """Pixels of packed RGB frames."""
-    hexed = packed.withColumn("h", F.hex("data")).withColumn("i", F.explode(F.sequence(F.lit(0), (F.length("data") / 3).cast("int") - 1)))
-    byte = lambda k: F.conv(F.expr(f"substr(h, i * 6 + {1 + 2 * k}, 2)"), 16, 10).cast("int")
-    return hexed.select("frame", (F.col("i") / width).cast("int").alias("y"), (F.col("i") % width).alias("x"), byte(0).alias("r"), byte(1).alias("g"), byte(2).alias("b"))
+    """Pixels of packed RGB frames, a frame's bytes read once."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = ("frame", "y", "x", "r", "g", "b")
+
+    def run(batches):
+        for batch in batches:
+            for frame, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                px = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, 3).astype(np.int32)
+                at = np.arange(len(px))
+                for low in range(0, len(px), 1 << 16):
+                    part = slice(low, low + (1 << 16))
+                    columns = [np.full(len(at[part]), frame, np.int64), (at[part] // width).astype(np.int32), (at[part] % width).astype(np.int32), *px[part].T]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=names)
+
+    return packed.select(F.col("frame").cast("long").alias("frame"), "data").mapInArrow(run, "frame long, y int, x int, r int, g int, b int")
+
+
+def images(spark: SparkSession, path: str) -> DataFrame:
+    """``path, height, width, data`` (RGB bytes) of binary PPM and PGM files, and of PNG files of 8 bits without interlacing.
+
+    One, three or four channels become RGB; alpha is dropped.  ``problem`` says why a file could
+    not be read; its other columns are null.
+    """
+    import pandas as pd
+
+    from parallaxis.sources.images import decode
+
+    def run(batches):
+        for b in batches:
+            rows = [decode(bytes(c)) for c in b["content"]]
+            yield pd.DataFrame({"path": b["path"], "height": [r[0] for r in rows], "width": [r[1] for r in rows], "data": [r[2] for r in rows], "problem": [r[3] for r in rows]}).astype({"height": "Int32", "width": "Int32"})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, height int, width int, data binary, problem string")
 
 
 def pixel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +107,10 @@ def generated_video(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a user as a frame-wise signal: ``video, frame, value, kind``, values above zero."""
+    """All events of a user as a frame-wise signal: ``video, frame, value, kind``."""
     from pyspark.sql import Window as W
 
-    e = table(spark, sf_dir, "events").where(F.col("value") > 0)
+    e = table(spark, sf_dir, "events")
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
     return e.select(F.col("user_id").alias("video"), (F.row_number().over(order) - 1).alias("frame"), "value", F.col("event_type").alias("kind"))
 
@@ -96,6 +128,8 @@ def media_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick("yuv420p", "yuv420p10le", "p010le", "yuv444p12", "gray16", "yuvj420p").alias("pix_fmt"),
         pick(None, None, "8", "10").alias("raw_bits"),
         pick("bt709", "unknown", " SMPTE2084 ", "", "arib-std-b67", "N/A", "bt709").alias("transfer"),
+        pick("bt709", None, "bt2020nc", "bt709", "smpte170m", "unknown", "bt709", "bt709", "bt709", "bt709", "bt709").alias("space"),
+        pick("bt709", "bt709", None, "bt709", "BT2020", *["bt709"] * 8).alias("primaries"),
         pick("0", "90", "-90", None, "180", "0", "0", "0", "360").alias("rotate_tag"),
         pick(None, None, None, "270").alias("rotate_side"),
         pick("1:1", "1:1", None, "4:3", "1:1").alias("sar"),

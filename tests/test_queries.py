@@ -45,7 +45,8 @@ def plan(df):
 def test_scans_read_what_they_need(spark):
     text = plan(QUERIES["stage_metrics"](spark, SF))
     assert "ReadSchema: struct<user_id:bigint,event_type:string,value:double>" in text
-    assert "PushedFilters: [IsNotNull(value), GreaterThan(value,0.0)]" in plan(QUERIES["fallback_last_good"](spark, SF))
+    text = plan(QUERIES["fallback_last_good"](spark, SF))
+    assert "ReadSchema: " in text and "props" not in text.split("== Physical Plan ==")[1]
 
 
 def test_core_operators_stay_in_the_jvm(spark):

@@ -2,11 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parallaxis.config import DisparityConfig, FillConfig, HeuristicConfig, SceneConfig, SplatConfig, TemporalConfig, batch_size, depth_scale, load_profile
-from parallaxis.operators import depth, fill, heuristic, render, splat
+from parallaxis.config import PROFILES, DisparityConfig, FillConfig, HeuristicConfig, SceneConfig, SplatConfig, TemporalConfig, batch_size, depth_scale, load_profile
+from parallaxis.operators import depth, fill, geometry, heuristic, render, splat
+from parallaxis.sources import frames as V
 
 KEYS = ["f"]
 
@@ -127,12 +129,99 @@ def test_heuristic_rounding_and_warp(spark):
     assert sorted((r.y, r.x, r.luma) for r in zero.where("eye = 1").collect()) == sorted((y, x, v) for _, y, x, v in rows)
 
 
+def test_heuristic_of_a_known_frame(spark):
+    """Edges weigh .25, luma .45, height .30."""
+    rows = [(0, y, x, 250 if x >= 4 else 10) for y in range(4) for x in range(8)]
+    got = {(r.y, r.x): r.d for r in heuristic.heuristic_disparity(spark.createDataFrame(rows, "f int, y int, x int, luma int"), KEYS, 4, HeuristicConfig(strength=1.0, max_pixels=16)).collect()}
+    for y in range(4):
+        for x in range(8):
+            edge = 240 / 510 if x == 4 else 0.0
+            assert got[y, x] == round(16 * (0.25 * edge + 0.45 * (250 if x >= 4 else 10) / 255 + 0.30 * y / 3))
+    with pytest.raises(ValueError):
+        heuristic.side_by_side(None, None, KEYS, 5, 8, HeuristicConfig())
+
+
+def test_frames_with_unusable_depth_are_rejected_whole(spark):
+    bad = {1: 0.0, 2: math.nan, 3: -1.0, 4: math.inf, 5: None}
+    rows = [(f, 0, x, bad.get(f, 1.0 + x) if x == 2 else 1.0 + x, 0.5) for f in range(6) for x in range(8)]
+    px = spark.createDataFrame(rows, "f int, y int, x int, z double, g double")
+    for cfg in (DisparityConfig(), DisparityConfig(strength=0.0), DisparityConfig(bounds=(0.1, 0.9))):
+        assert {r.f for r in depth.disparity(px, KEYS, cfg).collect()} == {0}
+    assert {r.f: r.reason for r in depth.rejections(px, KEYS).collect()} == {0: None, 1: "non-positive", 2: "non-finite", 3: "non-positive", 4: "non-finite", 5: "non-finite"}
+
+
+def test_fractions_have_bounded_denominators(spark):
+    from fractions import Fraction
+
+    from parallaxis.functions.numeric import fraction
+
+    texts = ["29.97002997", "23.976", "59.94", "0.333333333", "0.1", "30", "30000/1001", "-29.97", "60/2", "0/0", "N/A", "", "3.141592653", "1e-9", "12345.678901"]
+    got = {r.t: r.f for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", fraction(F.col("t")).alias("f")).collect()}
+    for t in texts:
+        want = None if t in ("0/0", "N/A", "") else Fraction(t) if "/" in t else Fraction(float(t)).limit_denominator(10000)
+        assert (None if got[t] is None else Fraction(got[t].num, got[t].den)) == want, t
+
+
+def test_area_resize_is_the_mean_below_a_pixel(spark):
+    rng = np.random.default_rng(0)
+    image = rng.integers(0, 256, (9, 14))
+    rows = [(0, y, x, int(image[y, x]), 1, 8, 2, 13) for y in range(1, 8) for x in range(2, 13)]
+    px = spark.createDataFrame(rows, "f int, y int, x int, v int, ymin int, ymax int, xmin int, xmax int")
+    part = image[1:8, 2:13]
+    for h, w in ((3, 4), (7, 11), (10, 20)):
+        rows_of = lambda size, to: np.array([[max(0, min((s + 1) * to, (t + 1) * size) - max(s * to, t * size)) / size for s in range(size)] for t in range(to)])
+        want = rows_of(7, h) @ part @ rows_of(11, w).T
+        got = geometry.area_resize(px, KEYS, h, w, ("v",)).collect()
+        assert len(got) == h * w and all(abs(r.v - want[r.y, r.x]) <= 0.5 + 1e-9 for r in got)
+
+
+def test_images_become_rgb(spark, tmp_path):
+    import struct
+    import zlib
+
+    rgb = np.random.default_rng(1).integers(0, 256, (5, 7, 3), np.uint8)
+    (tmp_path / "a.ppm").write_bytes(b"P6\n# made here\n7 5\n255\n" + rgb.tobytes())
+    (tmp_path / "b.pgm").write_bytes(b"P5 7 5 255\n" + rgb[:, :, 0].tobytes())
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    def png(px, filters):
+        n = px.shape[2]
+        above, lines = np.zeros((7, n), int), b""
+        for line, f in zip(px.astype(int), filters, strict=True):
+            left = np.vstack([np.zeros((1, n), int), line[:-1]])
+            corner = np.vstack([np.zeros((1, n), int), above[:-1]])
+            p = left + above - corner
+            d = np.abs(np.stack([p - left, p - above, p - corner]))
+            paeth = np.where((d[0] <= d[1]) & (d[0] <= d[2]), left, np.where(d[1] <= d[2], above, corner))
+            guess = (np.zeros_like(line), left, above, (left + above) // 2, paeth)[f]
+            lines += bytes([f]) + ((line - guess) & 255).astype(np.uint8).tobytes()
+            above = line
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 5, 8, {3: 2, 4: 6}[n], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+    (tmp_path / "c.png").write_bytes(png(rgb, [0, 1, 2, 3, 4]))
+    (tmp_path / "d.png").write_bytes(png(np.dstack([rgb, rgb[:, :, 0]]), [4, 3, 2, 1, 0]))
+    (tmp_path / "e.txt").write_bytes(b"no image")
+    (tmp_path / "f.png").write_bytes(png(rgb, [0] * 5)[:60])
+    got = {r.path.rsplit("/", 1)[1]: r for r in V.images(spark, str(tmp_path)).collect()}
+    gray = np.repeat(rgb[:, :, :1], 3, axis=2)
+    for name, want in (("a.ppm", rgb), ("b.pgm", gray), ("c.png", rgb), ("d.png", rgb)):
+        assert (got[name].height, got[name].width, bytes(got[name].data)) == (5, 7, want.tobytes()), name
+    assert got["e.txt"].problem == "unknown format" and got["f.png"].problem and got["f.png"].data is None
+
+
 def test_settings_are_checked(tmp_path):
     for bad in (lambda: DisparityConfig(strength=math.nan), lambda: DisparityConfig(bounds=(2.0, 1.0)), lambda: FillConfig(max_hole_width=0), lambda: SceneConfig(min_scene_frames=0), lambda: TemporalConfig(alpha=2), lambda: HeuristicConfig(max_pixels=17), lambda: batch_size(True), lambda: batch_size(21), lambda: depth_scale("1/3")):
         with pytest.raises(ValueError):
             bad()
     assert batch_size(20) == 20 and depth_scale("1/4") == depth_scale(0.25) == 0.25
-    assert HeuristicConfig(luma=0, edge=0, vertical=0).weights == (0.25, 0.45, 0.30)
+    with pytest.raises(ValueError):
+        DisparityConfig(min_fraction=0.01)
+    assert HeuristicConfig(luma=0, edge=0, vertical=0).weights == (0.45, 0.25, 0.30)
+    plain = HeuristicConfig()
+    assert (plain.strength, plain.max_pixels, plain.edge, plain.luma, plain.vertical) == (0.55, 6, 0.25, 0.45, 0.30)
+    assert PROFILES["offline_quality"] == HeuristicConfig(strength=0.65, max_pixels=8, edge=0.30, luma=0.40, vertical=0.30)
+    (tmp_path / "o.yaml").write_text("# quality\ncodec: h265\nbuffer_slots: 8\ndepth:\n  max_disparity_px: 8\n  depth_strength: 0.65\n  edge_weight: 0.30\n  luma_weight: 0.40\n  vertical_weight: 0.30\n")
+    assert load_profile(str(tmp_path / "o.yaml")) == PROFILES["offline_quality"]
     (tmp_path / "p.yaml").write_text("strength: 0.5 # half\nhalf_up: true\n")
     assert load_profile(str(tmp_path / "p.yaml")) == HeuristicConfig(strength=0.5, half_up=True)
     (tmp_path / "q.yaml").write_text("speed: 3\n")

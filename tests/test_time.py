@@ -185,10 +185,27 @@ def test_stabiliser_stream_equals_batch(spark, tmp_path):
     assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
 
 
-def test_report_file(spark, tmp_path):
-    from parallaxis.operators.metrics import write_report
-
-    rows = spark.createDataFrame([(0, 1.5, 2.25, 3)], "frame int, frame_ms double, kernel_ms double, queue_depth int")
-    write_report(rows.coalesce(1), f"{tmp_path}/report")
-    (part,) = tmp_path.joinpath("report").glob("part-*.csv")
-    assert part.read_text().split() == ["frame,frame_ms,kernel_ms,queue_depth", "0,1.5000,2.2500,3"]
+def test_report_files(spark, tmp_path):
+    from parallaxis.operators import metrics as M
+
+    kinds = ", ".join(f"{c} {'int' if c in ('frame_index', 'queue_depth') else 'double'}" for c in M.REPORT)
+    rows = spark.createDataFrame([(0, 1.5, 2.25, 0.5, 0.25, 0.1, 2.0, 0.1, 3, 0.0), (1, 1.5, 1.75, 1.5, 1.25, 0.1, 1.5, 0.1, 3, 0.0)], kinds)
+    M.write_report(rows.coalesce(1), f"{tmp_path}/csv")
+    (part,) = tmp_path.joinpath("csv").glob("part-*.csv")
+    assert part.read_text().split()[:2] == [",".join(M.REPORT), "0,1.5000,2.2500,0.5000,0.2500,0.1000,2.0000,0.1000,3,0.0000"]
+    M.write_report_json(rows.coalesce(1), f"{tmp_path}/json")
+    (part,) = tmp_path.joinpath("json").glob("part-*.json")
+    assert json.loads(part.read_text().splitlines()[0])["kernel_ms"] == 2.25
+    means = M.stage_averages(rows.withColumn("job", F.lit(1)), ["job"]).first()
+    assert means.avg_kernel_ms == 2.0 and means.avg_decode_wait_ms == 1.0 and not means.io_bound
+    jobs = spark.createDataFrame([("cpu", "a.mp4", 2, 2, 0.5, 4.0, 2.25, ["slow disk"]), ("cpu", "b.mp4", 2, 2, 0.5, 4.0, 2.25, [])], "backend string, output string, frames_in int, frames_out int, elapsed_s double, avg_fps double, p95_kernel_ms double, warnings array<string>")
+    first, second = (r.report for r in M.benchmark_markdown(jobs).orderBy("output").collect())
+    assert first.splitlines() == ["# Benchmark Report", "", "- Backend: `cpu`", "- Output: `a.mp4`", "- Frames in: `2`", "- Frames out: `2`", "- Elapsed s: `0.5000`", "- Avg FPS: `4.0000`", "- p95 kernel ms: `2.2500`", "", "## Warnings", "- slow disk"]
+    assert second.splitlines()[-1] == "- none" and second.endswith("\n")
+
+
+def test_a_change_of_size_cuts_twice(spark):
+    small, large = np.full((6, 8), 90), np.full((8, 8), 90)
+    small[:, ::2], large[:, ::2] = 150, 150
+    cuts = scenes.scene_cuts(video(spark, [small, small, large, large, large]), "video", SceneConfig(thumb_height=4, thumb_width=4)).orderBy("frame").collect()
+    assert [r.is_cut for r in cuts] == [True, False, True, True, False]
