@@ -2,12 +2,13 @@
 
 Intermediate results that cut lineage are written as Parquet below the folder named by
 ``spark.checkpoint.dir``, which driver and executors share; a lost executor only costs a
-re-read.  Only where that setting is absent (tests, notebooks) a folder below the system's
-temporary directory is used instead.
+re-read.  Where that setting is absent a cluster is an error; a session in one process (tests,
+notebooks) uses a folder below the system's temporary directory.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,7 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for written tables."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return (configured or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

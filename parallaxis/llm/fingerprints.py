@@ -9,11 +9,13 @@ The vector has two sections:
 
 * ``STRONG`` lanes of 64 bits, the output of an extendable-output hash of the paragraph.
   Different multisets agree on all of them only by a collision: equality is decided here.
-* ``LIKE`` lanes of 16 bits: each word position of the paragraph hashes the bytes from there
-  on (about two words) to one lane and a sign.  Sums of these are a linear sketch of the
-  multiset of word pairs, so the cosine of two sections estimates how much is shared.
+* ``LIKE`` lanes of 32 bits: each word of the paragraph, whole, with the one behind it, hashes
+  to one lane and a sign; so does every window of ``WINDOW`` bytes of a word of more than
+  ``LONG`` bytes, as text without blanks is.  Sums of these are a linear sketch of the multiset
+  of word pairs, so the cosine of two sections estimates how much is shared.
 
-Null texts count as empty.  Rows with a null id have no successor: their edited text is cut
+Null texts count as empty; very long texts are read whole; an empty table has an empty result.
+Only the id and the text are read, so no other column can clash.  Rows with a null id have no successor: their edited text is cut
 but gets nothing in its place, and the likeness to a next document is null.  Of rows with
 the same id, those with smaller texts come first.
 """
@@ -33,12 +35,27 @@ from pyspark.sql import functions as F
 from parallaxis.llm.cluster import batch_of, shuffle_partitions, slices, texts_of
 
 STRONG, LIKE = 8, 256
-#: Bytes hashed from the start of a word on.
-REACH = 12
+#: Bytes of a word from which it has windows too, and bytes of a window.
+LONG, WINDOW = 24, 8
 
 _random = random.Random(20260701)
 _LETTERS = np.array([_random.getrandbits(64) for _ in range(256)], np.uint64)
-_STEPS = np.array([_random.getrandbits(64) | 1 for _ in range(REACH)], np.uint64)
+_STEPS = np.array([_random.getrandbits(64) | 1 for _ in range(WINDOW)], np.uint64)
+_BASE = _random.getrandbits(64) | 1
+_NEXT = np.uint64(_random.getrandbits(64) | 1)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers modulo 2^64; those of short texts are kept."""
+    kept = _powers.get(base)
+    if kept is None or len(kept) < n:
+        kept = np.full(max(n, 1 << 16), base, np.uint64)
+        kept[0] = 1
+        kept = np.multiply.accumulate(kept)
+        if n <= 1 << 20:
+            _powers[base] = kept
+    return kept[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -55,7 +72,7 @@ class Fingerprint:
 
     def __init__(self, strong=None, like=None):
         self.strong = np.zeros(STRONG, np.uint64) if strong is None else strong
-        self.like = np.zeros(LIKE, np.uint16) if like is None else like
+        self.like = np.zeros(LIKE, np.uint32) if like is None else like
 
     @classmethod
     def of(cls, text: str) -> Fingerprint:
@@ -63,22 +80,28 @@ class Fingerprint:
         lines = raw.split(b"\n")
         digests = b"".join([hashlib.shake_128(line).digest(8 * STRONG) for line in lines])
         strong = np.frombuffer(digests, "<u8").reshape(-1, STRONG).sum(axis=0, dtype=np.uint64)
-        # word starts: bytes above the space whose predecessor is not; line breaks are padded
-        # so that no reach passes the end of its paragraph
-        padded = np.frombuffer((b"\0" * REACH).join(lines) + b"\0" * REACH, np.uint8)
-        inside = padded > 32
-        starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
-        if inside[0]:
-            starts = np.concatenate([[0], starts])
-        if not len(starts):
+        flat = np.frombuffer(raw + b"\n", np.uint8)
+        inside = flat > 32
+        first = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+        if not len(first):
             return cls(strong)
-        h = np.zeros(len(starts), np.uint64)
-        for k in range(REACH):
-            h += _LETTERS[padded[starts + k]] * _STEPS[k] if starts[-1] + k < len(padded) else np.uint64(0)
-        h = mix(h)
+        after = np.flatnonzero(~inside & np.concatenate([[False], inside[:-1]]))
+        letters = _LETTERS[flat]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * powers(_BASE, len(flat)), dtype=np.uint64)])
+        word = mix((total[after] - total[first]) * powers(pow(_BASE, -1, 1 << 64), len(flat))[first] + (after - first).astype(np.uint64))
+        # the word behind, if it is in the same line
+        line = np.searchsorted(np.flatnonzero(flat == 10), first)
+        behind = np.where(np.concatenate([line[1:] == line[:-1], [False]]), np.roll(word, -1), np.uint64(0))
+        h = [mix(word + behind * _NEXT)]
+        long = np.flatnonzero(after - first > LONG)
+        if len(long):
+            n = after[long] - first[long] - WINDOW + 1
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[long], n)
+            h.append(mix(sum(letters[at + k] * _STEPS[k] for k in range(WINDOW))))
+        h = np.concatenate(h)
         lane, up = (h & np.uint64(LIKE - 1)).astype(np.int64), (h >> np.uint64(63)).astype(bool)
         like = np.bincount(lane[up], minlength=LIKE) - np.bincount(lane[~up], minlength=LIKE)
-        return cls(strong, like.astype(np.uint16))
+        return cls(strong, like.astype(np.uint32))
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
         return Fingerprint(self.strong + other.strong, self.like + other.like)
@@ -92,18 +115,18 @@ class Fingerprint:
     __hash__ = None
 
     def __str__(self) -> str:
-        return base64.b64encode(self.strong.astype("<u8").tobytes() + self.like.astype("<u2").tobytes()).decode()
+        return base64.b64encode(self.strong.astype("<u8").tobytes() + self.like.astype("<u4").tobytes()).decode()
 
     @classmethod
     def parse(cls, text: str) -> Fingerprint:
         raw = base64.b64decode(text)
-        return cls(np.frombuffer(raw[: 8 * STRONG], "<u8"), np.frombuffer(raw[8 * STRONG :], "<u2"))
+        return cls(np.frombuffer(raw[: 8 * STRONG], "<u8"), np.frombuffer(raw[8 * STRONG :], "<u4"))
 
     def likeness(self, other: Fingerprint) -> float:
         """1 for equal fingerprints; else the cosine of the sketches, from 0 to 1."""
         if self == other:
             return 1.0
-        a, b = self.like.view(np.int16).astype(float), other.like.view(np.int16).astype(float)
+        a, b = self.like.view(np.int32).astype(float), other.like.view(np.int32).astype(float)
         norm = float(np.sqrt((a @ a) * (b @ b)))
         return 0.0 if norm == 0 else min(1.0, max(0.0, float(a @ b) / norm))
 
@@ -119,30 +142,30 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def with_heads(docs: DataFrame, parts: int) -> DataFrame:
-    """``doc_id, text`` by runs of ascending ids: ``run``, and ``head`` for the row that follows a run.
+def with_heads(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """``doc_id, text`` by runs of ascending ids, and how many: ``run``, and ``head`` for the row that follows a run.
 
-    The runs' first ids are quantiles, which are ids of the table; the row that begins a
+    The runs' first ids are about quantiles, which are ids of the table; the row that begins a
     run goes, as a copy, to the end of the run before it too, and the first of all to the
     end of the last.  So every row meets its successor in its own run, with one shuffle.
     """
     known = docs.where(F.col("doc_id").isNotNull())
-    found = known.agg(F.percentile_approx("doc_id", F.lit([k / parts for k in range(1, parts)] or [0.5]), 100 * parts).alias("q"), F.min("doc_id").alias("lo")).first()
+    found = known.agg(F.percentile_approx("doc_id", F.lit([k / parts for k in range(1, parts)] or [0.5]), 50 * parts).alias("q"), F.min("doc_id").alias("lo")).first()
     if found["lo"] is None:
-        return known.select("doc_id", "text", F.lit(0).alias("run"), F.lit(False).alias("head"))
-    starts = sorted({found["lo"], *(found["q"] or [])})
-    bounds = np.array(starts, np.int64)
+        return known.select("doc_id", "text", F.lit(0).alias("run"), F.lit(False).alias("head")), 1
+    bounds = np.array(sorted({found["lo"], *(found["q"] or [])}), np.int64)
 
-    @F.pandas_udf("int")
-    def run_of(ids):
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right") - 1)
+    @F.pandas_udf("run int, begins boolean")
+    def place(ids):
+        run = np.searchsorted(bounds, ids.to_numpy(), side="right") - 1
+        return pd.DataFrame({"run": run, "begins": bounds[run] == ids.to_numpy()})
 
     # of rows that share a run's first id, the first by text is its head
-    rows = known.withColumn("run", run_of("doc_id"))
-    first = rows.where(F.col("doc_id").isin(starts)).groupBy("doc_id", "run").agg(F.min("text").alias("text"))
-    before = F.when(F.col("run") == 0, len(starts) - 1).otherwise(F.col("run") - 1)
+    rows = known.withColumn("place", place("doc_id")).select("doc_id", "text", "place.run", "place.begins")
+    first = rows.where("begins").groupBy("doc_id", "run").agg(F.min("text").alias("text"))
+    before = F.when(F.col("run") == 0, len(bounds) - 1).otherwise(F.col("run") - 1)
     heads = first.select("doc_id", "text", before.alias("run"), F.lit(True).alias("head"))
-    return rows.select("doc_id", "text", "run", F.lit(False).alias("head")).unionByName(heads)
+    return rows.select("doc_id", "text", "run", F.lit(False).alias("head")).unionByName(heads), len(bounds)
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,8 +200,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             out = [row(None, t, Fingerprint.of(t), "", None) for t in b.column(1).to_pylist()]
             yield batch_of(schema, *(list(c) for c in zip(*out, strict=True)))
 
-    parts = 4 * shuffle_partitions(docs.sparkSession)
-    runs = with_heads(docs, parts).repartition(F.col("run")).sortWithinPartitions("run", "head", "doc_id", "text")
+    rows, n_runs = with_heads(docs, 2 * shuffle_partitions(docs.sparkSession))
+    runs = rows.repartitionById(n_runs, F.col("run")).sortWithinPartitions("run", "head", "doc_id", "text")
     result = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return runs.select("doc_id", "text", "run", "head").mapInArrow(walk, result).unionByName(docs.where(F.col("doc_id").isNull()).mapInArrow(alone, result))
 

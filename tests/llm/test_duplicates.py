@@ -225,6 +225,20 @@ def test_fingerprints_are_sums():
     assert a.likeness(a) == 1.0 and Fingerprint.of("").likeness(Fingerprint.of("x y")) == 0.0
 
 
+def test_likeness_reads_words_to_their_end_and_text_without_blanks():
+    rng = random.Random(2)
+    han = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(20000)) for _ in range(2)]
+    half = han[0][:10000] + han[1][:10000]
+    a, b, c = (Fingerprint.of(t) for t in (han[0], half, han[1]))
+    assert 0.3 < a.likeness(b) < 0.7 and a.likeness(c) < 0.3
+    long = [f"commonbeginning{rng.randrange(10**8)}" for _ in range(400)]
+    other = [f"commonbeginning{rng.randrange(10**8)}" for _ in range(400)]
+    x, y, z = (Fingerprint.of(" ".join(w)) for w in (long, other, long[:200] + other[:200]))
+    assert x.likeness(z) > x.likeness(y) + 0.1
+    assert Fingerprint.of("same line\n" * 40000).likeness(Fingerprint.of("same line\n" * 39999)) > 0.99
+    assert Fingerprint.of("a b\nc d") == Fingerprint.of("a b") + Fingerprint.of("c d")
+
+
 def test_edited_texts(documents, odd_rows):
     import hashlib
 
