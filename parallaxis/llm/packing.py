@@ -16,7 +16,9 @@
    each interval of ranks into which sequences and where they go.
 
 Nulls and empty texts have one token, the separator.  Rows with null or repeated ids are
-pieces like others.
+pieces like others; repeated rows have places of their own in the order, so a crowd of them is
+split.  Very long texts are read whole and cut.  An empty table has an empty result.  Only the
+id and the text are read, so no other column can clash.
 """
 
 from __future__ import annotations
@@ -296,7 +298,7 @@ def plan_packing(counts: dict[int, int], capacity: int, tries=((32, 2), (32, 3),
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, separator: int = 1, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``; see the module."""
     pieces = token_pieces(docs, tokenizer_path, capacity, separator, id_col, text_col)
-    pieces = materialize(pieces.withColumn("_key", seeded_key(seed, "doc_id", "piece", "ids_crc32")), "pieces")
+    pieces = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()).withColumn("_key", seeded_key(seed, "doc_id", "piece", "ids_crc32", "_row")).drop("_row"), "pieces")
     # at most `capacity` rows, whatever the corpus
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = np.array(sorted(plan_packing(counts, capacity).rows), np.int64).reshape(-1, 6)

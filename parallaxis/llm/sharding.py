@@ -1,8 +1,8 @@
 """Proportional stratified interleaving: shards of equal row counts with the corpus's mixture.
 
 Each source's rows stand in a seeded shuffle's order; a row's fractional rank is its place
-there divided by the source's size, so all sources run from 0 to 1 together.  Sorted by
-fractional rank, any run of consecutive rows holds every source in proportion, and the
+there, plus the source's own offset below 1, divided by the source's size, so all sources run
+from 0 to 1 together, and small ones do not meet in the middle.  Sorted by fractional rank, any run of consecutive rows holds every source in proportion, and the
 order is cut into runs whose lengths differ by one at most (the law ``rows``).
 
 DataFrame functions only.  The text is read once, for its size and checksum; what is
@@ -11,7 +11,8 @@ source, however large, meets in one task.
 
 A null text has no bytes (and checksum 0); a null source counts as the empty one.  Rows
 alike in everything (repeated rows) are interchangeable, and each gets its own slot.  Null
-ids are rows like others.  An empty table has no rows in any shard.
+ids are rows like others, and very long texts are read only for their size and checksum.  An
+empty table has no rows in any shard.  Columns other than the three named are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def interleave_shards(docs: DataFrame, n_shards: int = 24, seed: int = 17, id_co
     n = rows.count()
     ties = ["doc_id", "text_crc32", "size"]
     own = with_ranks(rows, ["source"], "_key", ties, bucket_count(n), "_rank", "_of")
-    own = own.select("doc_id", "source", "size", "text_crc32", "_key", ((F.col("_rank") + 0.5) / F.col("_of")).alias("_fraction"))
+    own = own.select("doc_id", "source", "size", "text_crc32", "_key", ((F.col("_rank") + seeded_key(seed, "source")) / F.col("_of")).alias("_fraction"))
     own = materialize(own.withColumn("_all", F.lit(0)), "shard-fractions")
     order = with_ranks(own, ["_all"], "_fraction", ["_key", "source", *ties], bucket_count(n), "_place", "_n")
     shard = F.expr(f"int((_place * {n_shards}) div _n)")

@@ -314,3 +314,33 @@ def test_near_duplicate_rows_of_the_pipeline(spark, documents):
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, t), (7, u), (None, z), (3, None), (3, ""), (3, None)])
     twice = documents([(None, z), (None, z), (9, z), (8, z)])
     assert [(r.doc_id, r.text) for r in p.drop_near_duplicates(spark, twice, "").collect()] == [(8, z)]
+
+
+def test_shards_of_sources_of_one_row(spark):
+    rows = [(k, f"text {k}", f"source {k}") for k in range(2400)]
+    got = interleave_shards(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert set(Counter(r.shard for r in got).values()) == {100}
+    # in the order of a hash of the source, so low and high ids are everywhere
+    assert all(20 <= sum(r.doc_id < 1200 for r in got if r.shard == k) <= 80 for k in range(24))
+
+
+def test_shards_are_those_of_plain_interleaving(spark):
+    """Every shard holds the rows of the order by fractional rank, computed here from the rank within each source."""
+    rows = [(k, f"text {k}", "big" if k % 3 else f"s{k % 7}") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.shard, r.slot) for r in interleave_shards(df).collect()}
+    key = df.select("doc_id", "source", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    from parallaxis.llm.ranks import seeded_key
+
+    facts = key.withColumn("key", seeded_key(17, "source", "doc_id", "text_crc32")).withColumn("offset", seeded_key(17, "source")).collect()
+    order = []
+    for source in {r.source for r in facts}:
+        own = sorted((r.key, r.doc_id, r.offset) for r in facts if r.source == source)
+        order += [((k + offset) / len(own), key, doc_id) for k, (key, doc_id, offset) in enumerate(own)]
+    n = len(rows)
+    want, slots = {}, Counter()
+    for place, (_, _, doc_id) in enumerate(sorted(order)):
+        shard = place * 24 // n
+        want[doc_id] = (shard, slots[shard])
+        slots[shard] += 1
+    assert got == want
