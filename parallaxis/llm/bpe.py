@@ -40,6 +40,8 @@ KEEP_LENGTH = 64
 #: pattern crosses the end of such a chunk: the next begins with white space after a
 #: character that is none, where every alternative ends and none looks ahead.
 CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+#: The pattern of which that holds (fixed by the tokenizer's family).  Texts of another pattern are one chunk each.
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,6 +56,7 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.words_of = regex.compile(pattern).findall
+        self.chunks_of = CHUNK.findall if pattern == WORDS else lambda text: [text] if text else []
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.token = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -181,11 +184,11 @@ class MergeReplay:
             self.words.clear()
         missing = set()
         for text in texts:
-            missing.update(CHUNK.findall(text))
+            missing.update(self.chunks_of(text))
         missing = missing.difference(kept)
         kept.update(self.learn(missing))
         get = kept.__getitem__
-        out = [b"".join(map(get, CHUNK.findall(text))) for text in texts]
+        out = [b"".join(map(get, self.chunks_of(text))) for text in texts]
         for c in missing:
             if len(c) > KEEP_LENGTH:
                 del kept[c]

@@ -23,7 +23,8 @@
 
 Null, empty and blank texts have no shingles and link with nothing.  Rows that repeat an id
 get a row each; rows of the same id belong together only through their sets.  Null ids keep
-their rows, belong to their set's class, and are never kept.
+their rows, belong to their set's class, and are never kept.  Very long texts are read whole; an
+empty table has an empty result; only the id and the text are read, so no other column can clash.
 """
 
 from __future__ import annotations

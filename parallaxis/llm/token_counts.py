@@ -24,12 +24,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from parallaxis.llm.bpe import CHUNK, KEEP, KEEP_LENGTH
+from parallaxis.llm.bpe import CHUNK, KEEP, KEEP_LENGTH, WORDS
 from parallaxis.llm.cluster import batch_of, held, slices, texts_of
 
-#: The split in front of byte-level merges (fixed by the tokenizer's family).
-WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
 CONTRACTIONS = {"'re", "'ve", "'ll"}
 SPACE = regex.compile(r"\s+").fullmatch
 

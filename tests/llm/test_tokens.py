@@ -195,3 +195,14 @@ def test_configurations_meet_the_linear_bound():
     found = configurations(sizes, demand, 100)
     assert sum(n for _, n in found) <= -(-int(sizes @ demand) // 100) + 10
     assert all(config @ sizes <= 100 for config, _ in found)
+
+
+def test_merge_replay_with_another_pattern():
+    pattern = r"\p{L}+\s\p{L}+|.|\n"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    from parallaxis.llm.bpe import MergeReplay
+
+    replay = MergeReplay(ranks, pattern)
+    texts = ["new york new york", "a b c d", "", "x\ny z", "of the of the 12"]
+    assert replay.encode(texts) == [np.array(own.encode_ordinary(t), "<u4").tobytes() for t in texts]
