@@ -36,7 +36,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while state[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         # in `large` every link still points from the larger to the smaller id
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small_star = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -49,6 +49,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return stars.unionByName(roots)
 
 
+def merged_components(so_far: DataFrame, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``so_far`` (``id, component``) after more links: only what they join takes part in new rounds."""
+    of = lambda end, name: so_far.select(F.col("id").alias(end), F.col("component").alias(name))
+    ends = links.select(a, b).join(of(a, "of_a"), a, "left").join(of(b, "of_b"), b, "left")
+    between = ends.select(F.coalesce("of_a", a).alias("a"), F.coalesce("of_b", b).alias("b")).where("a != b").distinct()
+    joined = materialize(components(between), "joined")
+    moved = so_far.join(joined.select(F.col("id").alias("component"), F.col("component").alias("into")), "component", "left")
+    new = joined.join(so_far.select("id"), "id", "left_anti")
+    return moved.select("id", F.coalesce("into", "component").alias("component")).unionByName(new.select("id", "component"))
+
+
 def star_components(stars: DataFrame) -> DataFrame:
     """``id, component`` of ``a, b`` where ``b`` is the smallest id that ``a`` reaches within some block of rows.
 

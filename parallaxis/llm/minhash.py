@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parallaxis.llm.cluster import batch_of, materialize, shuffle_partitions, slices, texts_of
-from parallaxis.llm.components import components
+from parallaxis.llm.components import components, merged_components
 from parallaxis.llm.shingles import shingle_hashes, shingle_sets
 
 TREES, DEPTH, SHALLOW = 16, 8, 3
@@ -345,14 +345,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     rest = pairs.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = materialize(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(materialize(confirm(rest, named, words, percent), "confirmed"))
-        so_far = materialize(components(links), "components")
+        so_far = materialize(merged_components(so_far, materialize(confirm(rest, named, words, percent), "confirmed")), "components")
     parts = classes.join(so_far, "id", "left").withColumn("component", F.coalesce("component", "id"))
     far = materialize(pairs_of_runs(parts, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "far")
     if not far.isEmpty():
         more = materialize(confirm_cells(far, named, words, percent), "confirmed")
         if not more.isEmpty():
-            so_far = components(links.unionByName(more))
+            so_far = merged_components(so_far, more)
     classed = sets.join(so_far, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
     out = rows.drop("signature").join(classed, key, "left")
     own = F.coalesce("component_id", "doc_id")

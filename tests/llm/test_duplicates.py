@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parallaxis.llm import embeddings
-from parallaxis.llm.components import components, star_components
+from parallaxis.llm.components import components, merged_components, star_components
 from parallaxis.llm.embeddings import embedding_duplicates
 from parallaxis.llm.fingerprints import Fingerprint, compare_with_next, fingerprint
 from parallaxis.llm.minhash import near_duplicates
@@ -125,6 +125,11 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: g.find(i) for a, b in pairs if a != b for i in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    some, more = spark.createDataFrame(pairs[:350], "a long, b long"), spark.createDataFrame(pairs[350:] + [(299, 1000), (5000, 5001)], "a long, b long")
+    g.join(299, 1000)
+    g.join(5000, 5001)
+    got = {r.id: r.component for r in merged_components(components(some), more).collect()}
+    assert got == {i: g.find(i) for a, b in [*pairs, (299, 1000), (5000, 5001)] if a != b for i in (a, b)}
     stars = {(a, b) for a in range(600) for b in rng.sample([x for x in range(0, 600, 7) if x % 3 == a % 3], 2) if b < a}
     g = Groups()
     for a, b in stars:
