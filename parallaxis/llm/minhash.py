@@ -15,10 +15,10 @@
    components.  So a group of thousands costs a few comparisons for each member.
 5. The neighbours are few, so in a crowded region they may miss partners.  Whatever run of
    equal ``SHALLOW`` minima still holds classes of different components is compared whole,
-   every class with every one of another component, in tiles of bounded size; what passes
-   the bounds of size, sketch and whole signature is confirmed on full sets, cell by cell.  (Of
-   documents that share half of their shingles, as those with a passage in common do, one pair
-   in 400 passes.)
+   every class with every one of another component, in tiles of bounded size, by sketch and
+   whole signature.  (Of documents that share half of their shingles, as those with a passage
+   in common do, one pair in 400 passes.)  Pairs are never rows: a class that takes part in any
+   goes to the cells it needs, and each cell compares full sets and returns its links.
 6. Components follow from the confirmed links (:mod:`components`).
 
 Null, empty and blank texts have no shingles and link with nothing.  Rows that repeat an id
@@ -177,19 +177,33 @@ def run_rows(classes: DataFrame) -> DataFrame:
     return classes.select("id", "n", "component", "signature").mapInArrow(run, "key long, id long, n long, component long")
 
 
-def agreeing(sig: np.ndarray, left: np.ndarray, right: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of different components whose sketches and then whole signatures agree enough."""
+def agreeing(tree: int, sig: np.ndarray, n: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int):
+    """Pairs of rows of different components whose sketches and then whole signatures agree enough.
+
+    A pair that meets in the runs of several trees belongs to the first of these.
+    """
     bits = np.packbits((sig >> 3 & 1).astype(bool), axis=1).view(np.uint64)
     differ = sum(np.bitwise_count(bits[left, None, k] ^ bits[right, k]).astype(int) for k in range(bits.shape[1]))
     i, j = np.nonzero((128 - differ >= AGREE) & (component[left, None] != component[right]))
     i, j = left[i], right[j]
-    equal = [(sig[i[at : at + 65536]] == sig[j[at : at + 65536]]).sum(axis=1) >= EQUAL for at in range(0, len(i), 65536)]
-    keep = np.concatenate(equal) if equal else np.zeros(0, bool)
+    near = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+    i, j = i[near], j[near]
+    keep = [np.zeros(0, bool)]
+    for at in range(0, len(i), 65536):
+        same = sig[i[at : at + 65536]] == sig[j[at : at + 65536]]
+        begin = same.reshape(-1, TREES, DEPTH)[:, :, :SHALLOW].all(axis=2)
+        keep.append((same.sum(axis=1) >= EQUAL) & (begin.argmax(axis=1) == tree))
+    keep = np.concatenate(keep)
     return i[keep], j[keep]
 
 
-def pairs_of_runs(classes: DataFrame, percent: int) -> DataFrame:
-    """``a, b, key, size`` with a < b: all pairs in a run, of different components, that pass the bounds; and their run.
+#: What a cell knows of a class.
+CELLS = pa.schema([("key", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("cell", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("signature", pa.binary())])
+CELL_COLUMNS = "key long, c1 long, c2 long, cell long, id long, n long, component long, signature binary"
+
+
+def cells_of_runs(classes: DataFrame, percent: int) -> DataFrame:
+    """The classes of each run that have a partner of another component within the bounds, with the two cells in which both are.
 
     A run of more than ``TILE`` rows is cut into tiles, and every two of them meet apart;
     tiles of the run's largest component meet only those of the others.
@@ -206,15 +220,17 @@ def pairs_of_runs(classes: DataFrame, percent: int) -> DataFrame:
     order = ["key", "t1", "t2"]
     tiled = tiled.select("key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "id", "n", "component", "size", "signature")
     dealt = tiled.repartition(2 * shuffle_partitions(classes.sparkSession), *order).sortWithinPartitions(*order)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("size", pa.int64())])
 
     def compare(x, sig):
         key, t1, t2, tile, ids, n, component, size = x
         left, right = np.flatnonzero(tile == t1[0]), np.flatnonzero(tile == t2[0])
-        i, j = agreeing(sig, left, right, component)
-        near = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((t1[0] != t2[0]) | (ids[i] < ids[j]))
-        i, j = i[near], j[near]
-        return batch_of(schema, np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), key[i], size[i])
+        i, j = agreeing(int(key[0] >> 48), sig, n, component, left, right, percent)
+        many = -(-int(size[0]) // CELL)
+        cell = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % many
+        low, high = np.minimum(cell[i], cell[j]), np.maximum(cell[i], cell[j])
+        rows = np.unique(np.stack([np.tile(low, 2), np.tile(high, 2), np.concatenate([i, j])]), axis=1)
+        at = rows[2]
+        return batch_of(CELLS, key[at], rows[0], rows[1], cell[at], ids[at], n[at], component[at], [x.tobytes() for x in sig[at]])
 
     def walk(batches):
         held = None
@@ -233,36 +249,37 @@ def pairs_of_runs(classes: DataFrame, percent: int) -> DataFrame:
         if held is not None:
             yield compare(*held)
 
-    found = dealt.mapInArrow(walk, "a long, b long, key long, size long")
-    return found.groupBy("a", "b").agg(F.min(F.struct("key", "size")).alias("run")).select("a", "b", "run.key", "run.size")
+    return dealt.mapInArrow(walk, CELL_COLUMNS)
 
 
-def texts_of_ends(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """``doc_id, text``, one for each id in the pairs."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+def texts_of_ids(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, one for each of the ids (``doc_id``, which may repeat)."""
+    ids = materialize(ids.distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     return materialize(docs.join(F.broadcast(ids) if few else ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
 
 
-def confirm_cells(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """As :func:`confirm`, of ``a, b, key, size``, enough of the links ``a, b`` to join what they join.
+def confirm_cells(cells: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of what :func:`cells_of_runs` gives, enough of the links ``a, b`` to join what they join.
 
     The ids of a run fall into cells of about ``CELL``; the texts of two cells are read
     once for all of the pairs between them.
     """
-    at = lambda end: F.pmod(F.xxhash64(end), F.ceil(F.col("size") / CELL))
-    cell = ["key", "c1", "c2"]
-    pairs = pairs.select("a", "b", "key", F.least(at("a"), at("b")).alias("c1"), F.greatest(at("a"), at("b")).alias("c2"))
-    ends = pairs.select(*cell, F.explode(F.array("a", "b")).alias("doc_id")).distinct().toDF("of_key", "of_c1", "of_c2", "doc_id")
-    texts = ends.join(texts_of_ends(pairs, docs), "doc_id")
+    texts = texts_of_ids(cells.select(F.col("id").alias("doc_id")), docs)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def check(links: pa.Table, rows: pa.Table) -> pa.Table:
-        where, sets, up = {}, [], {}
-        for b in slices(rows.select(["doc_id", "text"]).to_batches(), 512, 4 << 20):
-            for x, own in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), words), strict=True):
-                where[x] = len(sets)
-                sets.append(own)
+    def check(rows: pa.Table) -> pa.Table:
+        ids, first = np.unique(rows["id"].to_numpy(), return_index=True)  # tiles may name an id more than once
+        rows = rows.take(pa.array(first))
+        n, component, cell = (rows[c].to_numpy() for c in ("n", "component", "cell"))
+        sig = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(-1, TREES * DEPTH)
+        c1, c2 = rows["c1"][0].as_py(), rows["c2"][0].as_py()
+        i, j = agreeing(rows["key"][0].as_py() >> 48, sig, n, component, np.flatnonzero(cell == c1), np.flatnonzero(cell == c2), percent)
+        if c1 == c2:
+            i, j = i[i < j], j[i < j]
+        sets, up = [], {}
+        for b in slices(rows.select(["id", "text"]).to_batches(), 512, 4 << 20):
+            sets += shingle_sets(b.column(1).to_pylist(), words)
         number = np.unique(np.concatenate(sets), return_inverse=True)[1]
         sets = np.split(number, np.cumsum([len(x) for x in sets])[:-1])
         has = np.zeros(len(number) + 1, np.int64)
@@ -273,14 +290,13 @@ def confirm_cells(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -
             return x
 
         partners, joined = {}, []
-        for x, y in zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True):
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
             partners.setdefault(x, []).append(y)
         for x, others in partners.items():
             others = [y for y in others if root(x) != root(y)]
             if not others:
                 continue
-            own = sets[where[x]]
-            near = [sets[where[y]] for y in others]
+            own, near = sets[x], [sets[y] for y in others]
             has[own] = 1
             upto = np.concatenate([[0], np.cumsum(has[np.concatenate(near)])])
             has[own] = 0
@@ -289,14 +305,14 @@ def confirm_cells(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -
                 if k > 0 and 100 * k >= percent * (len(own) + len(z) - k) and root(x) != root(y):
                     up[root(y)] = root(x)
                     joined.append((x, y))
-        return pa.table([pa.array([x for x, _ in joined], pa.int64()), pa.array([y for _, y in joined], pa.int64())], schema=schema)
+        return pa.table([pa.array([int(ids[x]) for x, _ in joined], pa.int64()), pa.array([int(ids[y]) for _, y in joined], pa.int64())], schema=schema)
 
-    return pairs.groupBy(*cell).cogroup(texts.groupBy("of_key", "of_c1", "of_c2")).applyInArrow(check, "a long, b long")
+    return cells.join(texts.withColumnRenamed("doc_id", "id"), "id").groupBy("key", "c1", "c2").applyInArrow(check, "a long, b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough.  ``docs`` has one text for each id."""
-    texts = texts_of_ends(pairs, docs)
+    texts = texts_of_ids(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs)
     both = (
         pairs.select("a", "b")
         .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -347,7 +363,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     if not rest.isEmpty():
         so_far = materialize(merged_components(so_far, materialize(confirm(rest, named, words, percent), "confirmed")), "components")
     parts = classes.join(so_far, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    far = materialize(pairs_of_runs(parts, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "far")
+    far = materialize(cells_of_runs(parts, percent), "far")
     if not far.isEmpty():
         more = materialize(confirm_cells(far, named, words, percent), "confirmed")
         if not more.isEmpty():
