@@ -556,30 +556,37 @@ def batch_summary(spark, sf):
     return s.select("input", "jobs", "ok", (F.col("jobs") - F.col("ok")).alias("failed"), "total")
 
 
-_WANTED = [("small",), ("SMALL",), ("Large",), ("lab/depth-base",), ("Metric Large",), ("depth-nested",), ("none such",)]
+def _acknowledged(entries):
+    return entries.where(F.col("key") % 2 == 0).select("id")
 
 
-@query("SELECT * FROM (VALUES ('small', 'small', CAST(0 AS BIGINT)), ('SMALL', 'small', 1), ('Large', 'large', 1), ('lab/depth-base', 'base', 2), ('Metric Large', 'metric-large', 3), ('depth-nested', 'nested', 4), ('none such', NULL, NULL)) t(wanted, id, rank)")
+@query("SELECT CASE k % 6 WHEN 0 THEN 'm' || k WHEN 1 THEN 'M' || k WHEN 2 THEN ' LAB/depth-' || k WHEN 3 THEN 'model ' || k || ' ' WHEN 4 THEN 'DEPTH-' || k ELSE 'none ' || k END AS wanted, CASE WHEN k % 6 < 5 THEN 'm' || k END AS id, CASE WHEN k % 6 < 5 THEN k % 6 END AS rank FROM (SELECT p_partkey AS k FROM part)")
 def catalog_lookup(spark, sf):
-    return catalog.lookup(V.catalog_rows(spark), spark.createDataFrame(_WANTED, "wanted string")).select("wanted", "id", *whole("rank"))
+    """The entry that each name means: exact id, id, repository, title, or the repository's tail."""
+    entries, k = V.model_entries(spark, sf), F.col("key")
+    of = lambda before, after="": F.concat(F.lit(before), k, F.lit(after))
+    wanted = F.when(k % 6 == 0, of("m")).when(k % 6 == 1, of("M")).when(k % 6 == 2, of(" LAB/depth-")).when(k % 6 == 3, of("model ", " ")).when(k % 6 == 4, of("DEPTH-")).otherwise(of("none "))
+    return catalog.lookup(entries, entries.select(wanted.alias("wanted"))).select("wanted", "id", *whole("rank"))
 
 
-@query("SELECT * FROM (VALUES ('small', FALSE, FALSE, TRUE), ('base', TRUE, TRUE, TRUE), ('large', TRUE, FALSE, FALSE), ('metric-large', FALSE, FALSE, TRUE), ('nested', TRUE, FALSE, FALSE)) t(id, needs, acked, usable)")
+@query("SELECT 'm' || k AS id, k % 3 = 0 OR k % 5 = 0 AS needs, k % 2 = 0 AS acked, NOT (k % 3 = 0 OR k % 5 = 0) OR k % 2 = 0 AS usable FROM (SELECT p_partkey AS k FROM part)")
 def license_gate(spark, sf):
-    return catalog.license_gate(V.catalog_rows(spark), spark.createDataFrame([("base",)], "id string")).select("id", "needs", "acked", "usable")
+    entries = V.model_entries(spark, sf)
+    return catalog.license_gate(entries, _acknowledged(entries)).select("id", "needs", "acked", "usable")
 
 
-@query("WITH f AS (SELECT ['small', 'base', 'metric-large'][1 + p_partkey % 3] AS id, p_partkey, p_size FROM part) SELECT * FROM (VALUES ('small', 'ready'), ('base', 'ready'), ('large', 'license required'), ('metric-large', 'wrong size'), ('nested', 'license required')) t(id, status) WHERE (SELECT count(*) FROM f) > 0")
+@query("WITH e AS (SELECT p_partkey AS k, 1 + p_partkey % 3 AS files FROM part), f AS (SELECT k, sum(CASE WHEN (k + i) % 7 <> 0 THEN 1 ELSE 0 END) AS n FROM e, range(3) r(i) WHERE i < files AND k % 17 <> 0 GROUP BY k) SELECT 'm' || e.k AS id, CASE WHEN (e.k % 3 = 0 OR e.k % 5 = 0) AND e.k % 2 <> 0 THEN 'license required' WHEN coalesce(n, 0) = 0 THEN 'missing' WHEN n < files THEN 'incomplete' WHEN e.k % 11 = 0 THEN 'wrong size' WHEN e.k % 13 = 0 THEN 'corrupt' WHEN e.k % 4 = 0 THEN 'unverified' ELSE 'ready' END AS status FROM e LEFT JOIN f ON e.k = f.k")
 def model_status(spark, sf):
-    entries = catalog.license_gate(V.catalog_rows(spark), spark.createDataFrame([("base",)], "id string"))
-    p = V.table(spark, sf, "part").select(F.element_at(F.array(F.lit("small"), F.lit("base"), F.lit("metric-large")), (1 + F.col("p_partkey") % 3).cast("int")).alias("id"))
-    facts = p.select("id", F.lit(True).alias("present"), (F.col("id") != "metric-large").alias("right_size"), F.lit(True).alias("right_hash"), F.lit(True).alias("ready"))
-    return catalog.model_status(entries, facts).select("id", "status")
+    """The first of seven states that holds, from the facts of an entry's files."""
+    entries, k = V.model_entries(spark, sf), F.col("key")
+    each = entries.where(k % 17 != 0).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("files") - 1)))
+    facts = each.select("id", ((k + F.col("i")) % 7 != 0).alias("present"), (k % 11 != 0).alias("right_size"), (k % 13 != 0).alias("right_hash"), (k % 4 != 0).alias("ready"))
+    return catalog.model_status(catalog.license_gate(entries, _acknowledged(entries)), facts).select("id", "status")
 
 
-@query("SELECT id, category, CAST(bytes AS BIGINT) AS bytes FROM (VALUES ('metric-large', 'metric', 1300), ('nested', 'nested', 5600)) t(id, category, bytes)")
+@query("SELECT 'm' || p_partkey AS id, ['standard', 'metric', 'nested', 'Metric-Nested'][1 + p_partkey % 4] AS category, CAST(p_size * 100 AS BIGINT) AS bytes FROM part WHERE p_partkey % 4 IN (1, 2)")
 def catalog_filter(spark, sf):
-    return V.catalog_rows(spark).where(F.col("category").isin("metric", "nested")).select("id", "category", "bytes")
+    return V.model_entries(spark, sf).where(F.col("category").isin("metric", "nested")).select("id", "category", "bytes")
 
 
 @query("WITH e AS (SELECT conv_id AS job, turn, CASE WHEN role = 'user' THEN 'running' WHEN role = 'assistant' AND turn >= 5 THEN 'done' WHEN role = 'assistant' THEN 'running' END AS s FROM conversations) SELECT job, turn, coalesce(first_value(CASE WHEN s = 'done' THEN s END IGNORE NULLS) OVER w, last_value(s IGNORE NULLS) OVER w, 'queued') AS state FROM e WINDOW w AS (PARTITION BY job ORDER BY turn ROWS UNBOUNDED PRECEDING)")
@@ -634,9 +641,10 @@ def black_fallback(spark, sf):
     return heuristic.black_frame(rows, 4, 6).select(*whole("frame", "y", "x", "luma", "u", "v"))
 
 
-@query("SELECT * FROM (VALUES ('small', 'relative'), ('base', 'relative'), ('large', 'relative'), ('metric-large', 'focal_dependent_unscaled'), ('nested', 'meters')) t(id, unit)")
+@query("SELECT 'm' || p_partkey AS id, ['relative', 'focal_dependent_unscaled', 'meters', 'meters'][1 + p_partkey % 4] AS unit FROM part")
 def depth_units(spark, sf):
-    return V.catalog_rows(spark).select("id", catalog.depth_unit(F.col("id")).alias("unit"))
+    name = F.concat_ws("-", F.lit("Depth"), F.col("category"), F.lit("Large"))
+    return V.model_entries(spark, sf).select("id", catalog.depth_unit(name).alias("unit"))
 
 
 @query("SELECT p_partkey AS model, p_partkey % 3 <> 2 AS allowed FROM part")

@@ -145,16 +145,15 @@ def json_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(kinds).option("multiLine", True).json(path).select(F.inline("models"))
 
 
-def catalog_rows(spark: SparkSession) -> DataFrame:
-    """A small catalog: ``id, repo, name, category, noncommercial, conflict, files, bytes``."""
-    rows = [
-        ("small", "lab/Depth-Small", "Small", "standard", False, False, 2, 100),
-        ("base", "lab/Depth-Base", "Base", "standard", True, False, 2, 400),
-        ("large", "lab/Depth-Large", "Large", "standard", True, True, 3, 1300),
-        ("metric-large", "lab/Depth-Metric-Large", "Metric Large", "metric", False, False, 3, 1300),
-        ("nested", "lab/Depth-Nested", "Nested", "nested", True, False, 4, 5600),
-    ]
-    return spark.createDataFrame(rows, "id string, repo string, name string, category string, noncommercial boolean, conflict boolean, files int, bytes long")
+def model_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog entries made up from parts: ``key, id, repo, name, category, noncommercial, conflict, files, bytes``."""
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(*map(F.lit, ("standard", "metric", "nested", "Metric-Nested"))), (1 + k % 4).cast("int"))
+    of = lambda prefix: F.concat(F.lit(prefix), k)
+    return table(spark, sf_dir, "part").select(
+        k.alias("key"), of("m").alias("id"), of("lab/Depth-").alias("repo"), of("Model ").alias("name"), kind.alias("category"),
+        (k % 3 == 0).alias("noncommercial"), (k % 5 == 0).alias("conflict"), (1 + k % 3).cast("int").alias("files"), (F.col("p_size") * 100).cast("long").alias("bytes"),
+    )
 
 
 def job_events(lines: DataFrame, column: str = "value") -> DataFrame:
