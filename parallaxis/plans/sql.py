@@ -89,7 +89,7 @@ THUMB = (
     "parts AS (SELECT c.video, c.frame, ty AS y, tx AS x, c.luma, (ymax - ymin) * (xmax - xmin) AS area, "
     "least((c.y - ymin + 1) * 6, (ty + 1) * (ymax - ymin)) - greatest((c.y - ymin) * 6, ty * (ymax - ymin)) AS py, least((c.x - xmin + 1) * 8, (tx + 1) * (xmax - xmin)) - greatest((c.x - xmin) * 8, tx * (xmax - xmin)) AS px "
     "FROM crop c JOIN box USING (video, frame), range(6) r(ty), range(8) s(tx)), "
-    "thumb AS (SELECT video, frame, y, x, CAST(round_even(sum(luma * py * px) / max(area)::DOUBLE, 0) AS INTEGER) AS luma FROM parts WHERE py > 0 AND px > 0 GROUP BY video, frame, y, x)"
+    "thumb AS (SELECT video, frame, y, x, CAST(round_even(sum(luma * greatest(py, 0) * greatest(px, 0)) / max(area)::DOUBLE, 0) AS INTEGER) AS luma FROM parts GROUP BY video, frame, y, x)"
 )
 CUTS = (
     THUMB + ", "
