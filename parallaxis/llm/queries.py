@@ -10,12 +10,14 @@ from parallaxis.llm.bpe import op3_bpe
 from parallaxis.llm.embeddings import op7_embeddings
 from parallaxis.llm.fingerprints import op4_fingerprints
 from parallaxis.llm.language_model import op9_language_model
+from parallaxis.llm.licenses import op12_licenses
 from parallaxis.llm.minhash import op1_minhash
 from parallaxis.llm.packing import op6_packing
 from parallaxis.llm.secrets import op10_secrets
 from parallaxis.llm.sharding import op2_sharding
 from parallaxis.llm.token_counts import op8_token_counts
 from parallaxis.llm.toxicity import op5_toxicity
+from parallaxis.llm.trie import op11_prefix_trie
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +40,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_language_model": op9_language_model,
         "op10_secrets": op10_secrets,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_licenses": op12_licenses,
     }
 
 
