@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parallaxis.llm.bpe import op3_bpe
+from parallaxis.llm.collocations import op13_collocations
 from parallaxis.llm.embeddings import op7_embeddings
 from parallaxis.llm.fingerprints import op4_fingerprints
 from parallaxis.llm.language_model import op9_language_model
@@ -42,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_secrets": op10_secrets,
         "op11_prefix_trie": op11_prefix_trie,
         "op12_licenses": op12_licenses,
+        "op13_collocations": op13_collocations,
     }
 
 

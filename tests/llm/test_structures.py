@@ -156,3 +156,91 @@ def test_license_digest(spark, documents, tmp_path):
     assert of(4) == (0, None, None, "", "lgpl", 1.0)  # the general notice meets the threshold too, and is the worse one
     assert of(5)[4] == "lgpl,mit"
     assert (got[7].n_words, *of(7)[:3]) == ((3 << 20) + 2, 1, 3 << 20, 3 << 20)
+
+
+def brute_collocations(rows, least, top):
+    f, n = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, 5):
+                for i in range(len(w) - k + 1):
+                    f[lang][tuple(w[i : i + k])] += 1
+    out = []
+    for lang, c in f.items():
+        phrases = {p: a for p, a in c.items() if len(p) > 1 and a >= least}
+        around = defaultdict(int)
+        for p, a in phrases.items():
+            for i in range(len(p)):
+                for j in range(i + 1, len(p) + 1):
+                    if j - i < len(p):
+                        around[p[i:j]] = max(around[p[i:j]], a)
+        found = []
+        for p, a in phrases.items():
+            if 100 * around[p] < 80 * a:
+                score, k = min((2000000 * a // (c[p[:k]] + c[p[k:]]), k) for k in range(1, len(p)))
+                found.append((-score, -a, " ".join(p).encode(), c[p[:k]], c[p[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for i, (s, a, p, left, right) in enumerate(sorted(found)[:top])]
+    return sorted(out)
+
+
+def collocation_texts():
+    pick, rows = random.Random(11), []
+    vocabulary = ["new", "york", "New", "city", "of", "the", "ümlaut", "Ümlaut", "naïve", "a b", "x\x00y", "中文", "rare", "\x1c"]
+    for k in range(400):
+        size = pick.choice([0, 1, 5, 30])
+        text = "".join(pick.choice(vocabulary) + pick.choice([" ", " ", " ", "  ", "\t", ". ", ",", "\r\n", "\x0b"]) for _ in range(size))
+        rows.append((pick.choice(["en", "en", "en", "de", None, ""]), pick.choice([text, text, "New York City of the", None, f"only{k} once{k}"])))
+    rows.append(("en", "the new york city " * 3000 + "end"))
+    rows.append(("long", "word" * 5000 + " " + "word" * 5000))
+    return rows
+
+
+@pytest.mark.parametrize("block,piece,reach", [(16 << 20, 1 << 20, 1 << 21), (700, 50, 64)])
+def test_collocations(spark, monkeypatch, block, piece, reach):
+    from parallaxis.llm import collocations as C
+
+    for name, value in (("BLOCK", block), ("AT_ONCE", piece), ("RANGE", reach)):
+        monkeypatch.setattr(C, name, value)
+    rows = collocation_texts()
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(5).withColumns({c: F.lit("clash") for c in ("n", "a", "word", "block")})
+    for least, top in ((12, 7), (5, 2000)):
+        got = sorted(tuple(r) for r in C.collocations(df, least=least, top=top).collect())
+        assert got == brute_collocations(rows, least, top)
+    assert len(got) > 20 and {r[0] for r in got} >= {"en", "de", "und"}
+
+
+def test_collocations_of_little(spark, documents, odd_rows):
+    from parallaxis.llm.collocations import collocations
+
+    assert collocations(documents([])).count() == 0
+    assert collocations(documents([(1, "not enough of it"), (2, None), (3, "")])).count() == 0
+    rows = [("en", t) for _, t in odd_rows]
+    assert sorted(tuple(r) for r in collocations(documents(odd_rows)).collect()) == brute_collocations(rows, 30, 2000)
+
+
+def test_collocation_scores_are_exact_beyond_64_bits(spark, monkeypatch):
+    from parallaxis.llm import collocations as C
+
+    big = 7 * 10**12 + 1
+    grams = spark.createDataFrame([(1 << 32 | 2, 0, big)], "high long, low long, a long")
+    words = spark.createDataFrame([(1, "en", "p", big + 5), (2, "en", "q", big + 9)], "id long, lang string, word string, f long")
+    monkeypatch.setattr(C, "phrase_counts", lambda *a: (grams, words, spark.createDataFrame([("en", 3 * big)], "lang string, n long")))
+    (got,) = C.collocations(spark.range(0)).collect()
+    assert tuple(got) == ("en", 1, "p q", big, big + 5, big + 9, 3 * big, 2000000 * big // (2 * big + 14))
+
+
+def test_radix_order():
+    import numpy as np
+
+    from parallaxis.llm.collocations import cuts_at, radix_order, run_lengths
+
+    keys = np.random.default_rng(3).integers(0, 1 << 63, (2, 3000)).astype(np.uint64) >> np.uint64(55)
+    order = radix_order(keys)
+    assert (keys[:, order] == keys[:, np.lexsort((keys[1], keys[0]))]).all()
+    unique, n = run_lengths(keys)
+    assert (unique == np.unique(keys, axis=1)).all() and n.sum() == 3000
+    bounds = unique[:, ::7]
+    assert cuts_at(unique, bounds).tolist() == list(range(0, unique.shape[1], 7))
