@@ -73,7 +73,21 @@ class SceneConfig:
 
 @dataclass(frozen=True)
 class TemporalConfig:
+    """The stabiliser.  Motion is estimated on a copy of ``flow_scale``, of at most ``max_estimator`` and at least ``min_estimator`` pixels a side.
+
+    ``subpixel`` weighs all fine shifts by how well they match (``temperature``) instead of taking the best.
+    """
+
     alpha: float = 0.7
+    flow_scale: float = 0.5
+    max_estimator: int = 240
+    min_estimator: int = 48
+    subpixel: bool = False
+    temperature: float = 0.005
+    align_scale: bool = True
+    lower_median: bool = True
+    smooth_edges: bool = True
+    find_cuts: bool = True
     consistency: float = 1.5
     photometric: float = 30.0
     depth_difference: float = 0.25
@@ -95,7 +109,18 @@ class TemporalConfig:
         _check(0 < self.eta <= 1, "eta is not within 0 and 1")
         _check(min(self.consistency, self.photometric, self.depth_difference, self.edge) > 0, "a threshold is not positive")
         _check(0 <= self.max_scale < 1, "max_scale is not within 0 and 1")
-        _check(self.patch % 2 == 1, "patch is even")
+        _check(self.patch % 2 == 1 and self.patch >= 3, "patch is even or below 3")
+        _check(0.05 <= self.flow_scale <= 1, "flow_scale is not within 0.05 and 1")
+        _check(self.max_estimator >= 32, "max_estimator is below 32")
+        _check(min(self.radius_coarse, self.radius_fine) >= 1, "a search radius is below 1")
+        _check(self.min_shared >= 10, "min_shared is below 10")
+        _check(0 <= self.percentile_min < self.percentile_max <= 100, "percentiles are not in order")
+        _check(0 < self.cut_threshold <= 1, "cut_threshold is not within 0 and 1")
+
+    @classmethod
+    def compatible(cls, **settings) -> TemporalConfig:
+        """The variant of the other route: edges of the raw depth from 0.15 on, the averaged median, motion at half size without a cap, and no cuts of its own."""
+        return cls(**{"edge": 0.15, "smooth_edges": False, "lower_median": False, "max_estimator": 1 << 30, "min_estimator": 32, "find_cuts": False} | settings)
 
 
 @dataclass(frozen=True)

@@ -45,7 +45,7 @@ def area_downscale(px: DataFrame, keys: list[str], factor: int, value: str) -> D
     return px.groupBy(*keys, block("y"), block("x")).agg(F.avg(value).alias(value))
 
 
-def bilinear_resize(px: DataFrame, keys: list[str], height: int, width: int, to_height: int, to_width: int, value: str) -> DataFrame:
+def bilinear_resize(px: DataFrame, keys: list[str], height: int, width: int, to_height: int, to_width: int, value: str | tuple[str, ...]) -> DataFrame:
     """Bilinear at pixel centres: every source pixel goes to the targets it weighs in, and sums meet there.
 
     Their range follows from the scale, so a row grows by about the scale, not by the size.
@@ -59,7 +59,7 @@ def bilinear_resize(px: DataFrame, keys: list[str], height: int, width: int, to_
         return F.filter(every, lambda s: s["w"] > 0)
 
     out = px.withColumn("_v", F.explode(weights(F.col("y"), height, to_height))).withColumn("_h", F.explode(weights(F.col("x"), width, to_width)))
-    return out.groupBy(*keys, F.col("_v.to").alias("y"), F.col("_h.to").alias("x")).agg(F.sum(F.col(value) * F.col("_v.w") * F.col("_h.w")).alias(value))
+    return out.groupBy(*keys, F.col("_v.to").alias("y"), F.col("_h.to").alias("x")).agg(*[F.sum(F.col(v) * F.col("_v.w") * F.col("_h.w")).alias(v) for v in ((value,) if isinstance(value, str) else value)])
 
 
 def area_resize(px: DataFrame, keys: list[str], to_height: int, to_width: int, channels: tuple[str, ...]) -> DataFrame:

@@ -67,11 +67,25 @@ def last_good(frames: DataFrame, video: str, good, value: str, default) -> DataF
     return frames.withColumn("out", F.coalesce(held, F.lit(default)))
 
 
-def jitter(px: DataFrame, video: str, dx: str, dy: int = 0) -> DataFrame:
-    """RMSE and MAE of inverse depth against the frame before, moved by the known ``(dx, dy)``."""
-    before = px.select(video, (F.col("frame") + 1).alias("frame"), (F.col("y") - dy).alias("y"), (F.col("x") - F.col(dx)).alias("x"), (1.0 / F.col("z")).alias("inv_before"))
-    err = F.abs(1.0 / F.col("z") - F.col("inv_before"))
-    return px.join(before, [video, "frame", "y", "x"]).groupBy(video, "frame").agg(F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(err).alias("mae"))
+def jitter(px: DataFrame, video: str, dx: str, dy: str | None = None, is_cut: str | None = None) -> DataFrame:
+    """RMSE and MAE of inverse depth against the frame before, moved by the known motion of each frame.
+
+    Motion may be fractional: what was at ``(x + dx, y + dy)`` is read between its neighbours, and
+    pixels whose past lies outside are not counted.  Frames with ``is_cut`` have no past and are left out.
+    """
+    keys = [video, "frame"]
+    size = px.groupBy(video).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+    to_y, to_x = (F.col("y") + F.col(dy) if dy else F.col("y")).cast("double"), (F.col("x") + F.col(dx)).cast("double")
+    rows = px.where(~F.col(is_cut)) if is_cut else px
+    rows = rows.join(size, video).select(*keys, (1.0 / F.col("z")).alias("inv"), F.col("y").alias("_y"), F.col("x").alias("_x"), to_y.alias("_ty"), to_x.alias("_tx"), "_h", "_w")
+    rows = rows.where((F.col("_ty") >= 0) & (F.col("_ty") <= F.col("_h") - 1) & (F.col("_tx") >= 0) & (F.col("_tx") <= F.col("_w") - 1))
+    sides = lambda at: F.filter(F.array(F.struct(F.floor(at).cast("int").alias("at"), (1.0 - (at - F.floor(at))).alias("w")), F.struct((F.floor(at) + 1).cast("int").alias("at"), (at - F.floor(at)).alias("w"))), lambda s: s["w"] > 0)
+    asks = rows.withColumn("_v", F.explode(sides(F.col("_ty")))).withColumn("_p", F.explode(sides(F.col("_tx"))))
+    asks = asks.select(*keys, "inv", "_y", "_x", (F.col("frame") - 1).alias("_f"), F.col("_v.at").alias("y"), F.col("_p.at").alias("x"), (F.col("_v.w") * F.col("_p.w")).alias("_weight"))
+    before = px.select(video, F.col("frame").alias("_f"), "y", "x", (1.0 / F.col("z")).alias("_before"))
+    was = asks.join(before, [video, "_f", "y", "x"]).groupBy(*keys, "_y", "_x", "inv").agg(F.sum(F.col("_weight") * F.col("_before")).alias("_was"))
+    err = F.abs(F.col("inv") - F.col("_was"))
+    return was.groupBy(*keys).agg(F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(err).alias("mae"))
 
 
 # -- dense kernels on packed frames -------------------------------------------------------
@@ -111,14 +125,43 @@ def resize(a: np.ndarray, h: int, w: int) -> np.ndarray:
     return sample(a, *np.meshgrid(y, x, indexing="ij"))
 
 
-def search(source: np.ndarray, target: np.ndarray, radius: int, patch: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shift within ``radius`` of least mean difference over a patch; the first of equals."""
+def shrunk(a: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Means of the source pixels that each target pixel touches."""
+
+    def along(a, size):
+        n = a.shape[0]
+        if n == size:
+            return a
+        k = np.arange(size)
+        low, high = k * n // size, -(-(k + 1) * n // size)
+        total = np.concatenate([np.zeros((1, *a.shape[1:])), a.cumsum(0)])
+        return (total[high] - total[low]) / (high - low).reshape(-1, *[1] * (a.ndim - 1))
+
+    return along(along(a, h).T, w).T
+
+
+def search(source: np.ndarray, target: np.ndarray, radius: int, patch: int, temperature: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The shift within ``radius`` of least mean difference over a patch; the first of equals.
+
+    Candidates come one after another, with the best so far kept, so memory is a few images.
+    With ``temperature`` shifts are averaged by weights that fall with their difference.
+    """
     h, w = source.shape
     padded = np.pad(target, radius, mode="edge")
-    side = 2 * radius + 1
-    windows = np.lib.stride_tricks.sliding_window_view(padded, (h, w)).reshape(side * side, h, w)
-    k = box_mean(np.abs(windows - source), patch).argmin(axis=0)
-    return k % side - radius, k // side - radius
+    shifts = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
+    cost = lambda dy, dx: box_mean(np.abs(padded[radius + dy : radius + dy + h, radius + dx : radius + dx + w] - source), patch)
+    least, best_x, best_y = np.full((h, w), np.inf), np.zeros((h, w)), np.zeros((h, w))
+    for dy, dx in shifts:
+        c = cost(dy, dx)
+        better = c < least
+        least[better], best_x[better], best_y[better] = c[better], dx, dy
+    if temperature is None:
+        return best_x, best_y
+    total, mean_x, mean_y = np.zeros((h, w)), np.zeros((h, w)), np.zeros((h, w))
+    for dy, dx in shifts:
+        weight = np.exp((least - cost(dy, dx)) / max(1e-4, temperature))
+        total, mean_x, mean_y = total + weight, mean_x + weight * dx, mean_y + weight * dy
+    return mean_x / total, mean_y / total
 
 
 def block_flow(source: np.ndarray, target: np.ndarray, cfg: TemporalConfig) -> np.ndarray:
@@ -127,14 +170,31 @@ def block_flow(source: np.ndarray, target: np.ndarray, cfg: TemporalConfig) -> n
     half = lambda a: a[: h // 2 * 2, : w // 2 * 2].reshape(h // 2, 2, w // 2, 2).mean(axis=(1, 3))
     coarse = [resize(2.0 * s, h, w) for s in search(half(source), half(target), cfg.radius_coarse, cfg.patch)]
     moved, _ = warp(target, np.stack(coarse))
-    fine = search(source, moved, cfg.radius_fine, cfg.patch)
+    fine = search(source, moved, cfg.radius_fine, cfg.patch, cfg.temperature if cfg.subpixel else None)
     return np.stack([c + f for c, f in zip(coarse, fine, strict=True)])
 
 
+def estimator_size(h: int, w: int, cfg: TemporalConfig) -> tuple[int, int]:
+    """The even size at which motion is estimated: small frames as they are, others scaled and capped."""
+    even = lambda n: max(2, n - n % 2)
+    if max(h, w) <= cfg.max_estimator < 1 << 30:
+        return even(h), even(w)
+    return tuple(even(max(cfg.min_estimator, min(cfg.max_estimator, int(n * cfg.flow_scale)))) for n in (h, w))
+
+
+def both_flows(gray: np.ndarray, before: np.ndarray, cfg: TemporalConfig) -> tuple[np.ndarray, np.ndarray]:
+    """The flow of ``gray`` to the frame before and back, estimated on small copies and brought to full size and scale."""
+    h, w = gray.shape
+    low_h, low_w = estimator_size(h, w, cfg)
+    now, was = shrunk(gray, low_h, low_w), shrunk(before, low_h, low_w)
+    full = lambda flow: np.stack([resize(f * s, h, w) for f, s in zip(flow, (w / low_w, h / low_h), strict=True)])
+    return full(block_flow(now, was, cfg)), full(block_flow(was, now, cfg))
+
+
 def depth_edges(z: np.ndarray, limit: float, smooth: bool = True) -> np.ndarray:
-    """Where the Sobel gradient, relative to depth, is over ``limit``; zeros outside."""
+    """Where the Sobel gradient, relative to depth, is over ``limit``; zeros outside if smoothed, else mirrored."""
     d = box_mean(z, 3) if smooth else z
-    p = np.pad(d, 1)
+    p = np.pad(d, 1) if smooth or min(z.shape) < 2 else np.pad(d, 1, mode="reflect")
     gx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
     gy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
     return np.hypot(gx, gy) / np.maximum(d, 1e-6) > limit
@@ -151,45 +211,50 @@ class Stabilizer:
         self.gray = self.depth = self.low = self.high = None
         self.index = 0
 
-    def step(self, luma: np.ndarray, z: np.ndarray, is_cut: bool = False) -> dict:
+    def step(self, luma: np.ndarray, z: np.ndarray, is_cut: bool = False, box: tuple[int, int, int, int] | None = None) -> dict:
+        """The next frame; ``box`` (y and x, ends exclusive) is the part whose depths make the bounds."""
         c = self.cfg
         gray = luma / 255.0
         if self.gray is not None and self.gray.shape != gray.shape:
             is_cut = True
-        elif self.gray is not None and np.abs(gray - self.gray).mean() >= c.cut_threshold:
+        elif c.find_cuts and self.gray is not None and np.abs(gray - self.gray).mean() >= c.cut_threshold:
             is_cut = True
-        fade = luma.mean() < c.fade_threshold
-        if is_cut or fade:
+        if is_cut or (c.find_cuts and luma.mean() < c.fade_threshold):
             self.reset()
-        low, high = np.quantile(1.0 / z, [c.percentile_min / 100, c.percentile_max / 100])
+        part = z if box is None else z[box[0] : box[1], box[2] : box[3]]
+        low, high = np.quantile(1.0 / part, [c.percentile_min / 100, c.percentile_max / 100])
         self.low = low if self.low is None else (1 - c.eta) * self.low + c.eta * low
         self.high = high if self.high is None else (1 - c.eta) * self.high + c.eta * high
         self.high = max(self.high, self.low + LEAST_SPAN) if self.high - self.low < LEAST_SPAN else self.high
         first = self.gray is None or not c.enabled
-        out, valid, scale = (z, np.zeros(z.shape, bool), 1.0) if first else self.blend(gray, z)
-        state = {"depth": out, "valid_fraction": float(valid.mean()), "scale": scale, "low": float(self.low), "high": float(self.high), "is_cut": bool(first and (self.index == 0)), "in_shot": self.index}
+        out, confidence, share, scale = (z, np.ones(z.shape), 0.0 if c.enabled else 1.0, 1.0) if first else self.blend(gray, z)
+        state = {"depth": out, "confidence": confidence, "valid_fraction": share, "scale": scale, "low": float(self.low), "high": float(self.high), "is_cut": self.index == 0, "in_shot": self.index}
         self.gray, self.depth = gray, out
         self.index += 1
         return state
 
-    def blend(self, gray: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    def blend(self, gray: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """Depth, confidence of each pixel's past, share of valid pixels, and the scale of the past."""
         c = self.cfg
-        back, ahead = block_flow(gray, self.gray, c), block_flow(self.gray, gray, c)
+        back, ahead = both_flows(gray, self.gray, c)
         before, inside = warp(self.depth, back)
         seen, _ = warp(self.gray, back)
         miss = np.hypot(*(back + np.stack([warp(f, back)[0] for f in ahead])))
         photo = np.abs(gray - seen) * 255.0
         valid = inside & (miss <= c.consistency) & (photo <= c.photometric) & (np.abs(z - before) / np.maximum(z, 1e-6) <= c.depth_difference)
-        edge = depth_edges(z, c.edge)
+        edge = depth_edges(z, c.edge, c.smooth_edges)
         scale, use = 1.0, valid & ~edge
-        if use.sum() >= c.min_shared:
+        if c.align_scale and use.sum() >= c.min_shared:
             now = 1.0 / z[use]
             q75, q25 = np.quantile(now, [0.75, 0.25])
             if q75 - q25 > 1e-4:
-                scale = float(np.clip(np.median(now / np.maximum(1.0 / before[use], 1e-6)), 1 - c.max_scale, 1 + c.max_scale))
+                ratio = now / np.maximum(1.0 / before[use], 1e-6)
+                median = np.partition(ratio, (len(ratio) - 1) // 2)[(len(ratio) - 1) // 2] if c.lower_median else np.median(ratio)
+                scale = float(np.clip(median, 1 - c.max_scale, 1 + c.max_scale))
         trust = np.clip(1 - miss / max(c.consistency, 1e-3), 0, 1) * np.clip(1 - photo / max(c.photometric, 1e-3), 0, 1)
-        weight = c.alpha * np.where(edge, 0.0, trust * valid)
-        return np.maximum(weight * before / scale + (1 - weight) * z, 1e-4), valid, scale
+        confidence = np.where(edge, 0.0, trust * valid)
+        weight = c.alpha * confidence
+        return np.maximum(weight * before / scale + (1 - weight) * z, 1e-4), confidence, float(valid.mean()), scale
 
 
 def packed(px: DataFrame, keys: list[str]) -> DataFrame:
@@ -199,7 +264,7 @@ def packed(px: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "h", "w", F.col("c.luma").alias("luma"), F.col("c.z").alias("z"))
 
 
-STABLE = "video long, frame int, shot int, in_shot int, low double, high double, valid_fraction double, scale double, depth array<double>"
+STABLE = "video long, frame int, shot int, in_shot int, low double, high double, valid_fraction double, scale double, confidence array<double>, depth array<double>"
 
 
 def stabilize(frames: DataFrame, cfg: TemporalConfig) -> DataFrame:
@@ -218,8 +283,8 @@ def stabilize(frames: DataFrame, cfg: TemporalConfig) -> DataFrame:
                     held.reset()
                     key = (r.video, r.shot)
                 s = held.step(np.asarray(r.luma).reshape(r.h, r.w), np.asarray(r.z).reshape(r.h, r.w))
-                out.append((r.video, r.frame, r.shot, s["in_shot"], s["low"], s["high"], s["valid_fraction"], s["scale"], s["depth"].ravel()))
-            yield pd.DataFrame(out, columns=["video", "frame", "shot", "in_shot", "low", "high", "valid_fraction", "scale", "depth"])
+                out.append((r.video, r.frame, r.shot, s["in_shot"], s["low"], s["high"], s["valid_fraction"], s["scale"], s["confidence"].ravel(), s["depth"].ravel()))
+            yield pd.DataFrame(out, columns=["video", "frame", "shot", "in_shot", "low", "high", "valid_fraction", "scale", "confidence", "depth"])
 
     ordered = frames.select("video", "shot", "frame", "h", "w", "luma", "z").repartition("video", "shot").sortWithinPartitions("video", "shot", "frame")
     return ordered.mapInPandas(fold, STABLE)

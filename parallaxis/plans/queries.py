@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parallaxis.config import DisparityConfig, FillConfig, HeuristicConfig, SceneConfig, SplatConfig, TemporalConfig
 from parallaxis.functions import numeric
-from parallaxis.operators import catalog, depth, fill, geometry, heuristic, media, metrics, render, scenes, splat, temporal
+from parallaxis.operators import catalog, cuts, depth, fill, flow, geometry, heuristic, media, metrics, render, scenes, splat, temporal
 from parallaxis.plans import sql as S
 from parallaxis.sources import frames as V
 
@@ -325,6 +325,39 @@ def shot_ids(spark, sf):
     return scenes.shots(scenes.scene_cuts(V.generated_video(spark, sf), "video", SCENE), "video").select(*whole("video", "frame", "shot", "in_shot"))
 
 
+#: Cuts by content come often, and at least three frames apart.
+SPACED = SceneConfig(fade_threshold=20.0, thumb_height=6, thumb_width=8, cut_threshold=0.12, min_scene_frames=3)
+_SPACED = "WITH RECURSIVE " + ", ".join([S.GEN, S.BOX, S.CROP, S.CUTS]) + ", c AS (SELECT video, frame, score, is_fade, TRUE AS is_cut, frame AS latest, 1 AS shot FROM cuts WHERE frame = 0 UNION ALL SELECT s.video, s.frame, s.score, s.is_fade, s.score = 1.0 OR (s.score >= 0.12 AND s.frame - c.latest >= 3), CASE WHEN s.score = 1.0 OR (s.score >= 0.12 AND s.frame - c.latest >= 3) THEN s.frame ELSE c.latest END, c.shot + CASE WHEN s.score = 1.0 OR (s.score >= 0.12 AND s.frame - c.latest >= 3) THEN 1 ELSE 0 END FROM c JOIN cuts s ON s.video = c.video AND s.frame = c.frame + 1) SELECT CAST(video AS BIGINT) AS video, CAST(frame AS BIGINT) AS frame, round(score, 6) AS score, is_fade, is_cut, CAST(shot AS BIGINT) AS shot, CAST(ymin AS BIGINT) AS ymin, CAST(ymax AS BIGINT) AS ymax, CAST(xmin AS BIGINT) AS xmin, CAST(xmax AS BIGINT) AS xmax FROM c JOIN box USING (video, frame)"
+
+
+@query(_SPACED)
+def scene_cut_spaced(spark, sf):
+    """The detector over packed frames: scores from the pixels, each cut three frames after the last or forced."""
+    frames = temporal.packed(V.generated_video(spark, sf), ["video", "frame"])
+    found = cuts.detect_cuts(frames, SPACED, "luma")
+    return found.select("video", "frame", *real("score"), "is_fade", "is_cut", *whole("shot", "ymin", "ymax", "xmin", "xmax"))
+
+
+@query(_SPACED)
+def scene_cut_stream(spark, sf):
+    """The same rows from the stateful operator, run over the table as one batch."""
+    from parallaxis.streaming.processors import cut_stream
+
+    frames = temporal.packed(V.generated_video(spark, sf), ["video", "frame"])
+    found = cut_stream(frames, SPACED, "luma").where("not late")
+    return found.select("video", "frame", *real("score"), "is_fade", "is_cut", *whole("shot", "ymin", "ymax", "xmin", "xmax"))
+
+
+@query(S.with_(S.GEN, S.BOX, S.CROP, "c3 AS (SELECT c.*, k, CASE k WHEN 0 THEN luma WHEN 1 THEN luma * 2 % 256 ELSE 255 - luma END AS v FROM crop c, range(3) r(k)), parts AS (SELECT c.video, c.frame, k, ty AS y, tx AS x, v, (ymax - ymin) * (xmax - xmin) AS area, least((c.y - ymin + 1) * 6, (ty + 1) * (ymax - ymin)) - greatest((c.y - ymin) * 6, ty * (ymax - ymin)) AS py, least((c.x - xmin + 1) * 8, (tx + 1) * (xmax - xmin)) - greatest((c.x - xmin) * 8, tx * (xmax - xmin)) AS px FROM c3 c JOIN box USING (video, frame), range(6) r(ty), range(8) s(tx)), thumb AS (SELECT video, frame, k, y, x, CAST(round_even(sum(v * greatest(py, 0) * greatest(px, 0)) / max(area)::DOUBLE, 0) AS INTEGER) AS v FROM parts GROUP BY video, frame, k, y, x) SELECT CAST(video AS BIGINT) AS video, CAST(frame AS BIGINT) AS frame, CAST(k * 16 + b AS BIGINT) AS bin, round(avg(CASE WHEN v // 16 = b THEN 1.0 ELSE 0.0 END), 6) AS share FROM thumb, range(16) q(b) GROUP BY video, frame, k, b", raw=True))
+def scene_histogram_rgb(spark, sf):
+    """Shares of 16 bins for each of three channels of the thumbnail: 48 numbers a frame."""
+    keys, rgb = ["video", "frame"], ("r", "g", "b")
+    px = V.generated_video(spark, sf).select(*keys, "y", "x", "luma", F.col("luma").alias("r"), (F.col("luma") * 2 % 256).alias("g"), (255 - F.col("luma")).alias("b"))
+    thumbs = scenes.thumbnails(scenes.active(px, scenes.letterbox(px, keys, SCENE), keys), keys, SCENE, rgb)
+    h = scenes.histograms(thumbs, keys, SCENE, rgb)
+    return h.select(*whole(*keys), F.posexplode("bins").alias("bin", "share")).select(*whole("video", "frame", "bin"), *real("share"))
+
+
 def _signal_bounds(spark, sf):
     v = F.log(2.0 + F.greatest("value", F.lit(0.0)))
     return V.signal(spark, sf).select("video", "frame", v.alias("q_low"), (v * 2).alias("q_high"))
@@ -355,22 +388,34 @@ def temporal_jitter(spark, sf):
     return temporal.jitter(px, "video", "dx").select(*whole("video", "frame"), *real("rmse", "mae"))
 
 
-@query()
+@query(S.with_(S.GEN, S.FLOW, "SELECT CAST(video AS BIGINT) AS video, CAST(frame AS BIGINT) AS frame, median(u.fx + m2.dx) AS dx, median(u.fy + m2.dy) AS dy FROM u JOIN m2 USING (video, frame, y, x) GROUP BY video, frame"))
 def block_flow(spark, sf):
-    """Mean flow of each frame to the one before; iterative search, no SQL: tested against known motion."""
-    import numpy as np
-    import pandas as pd
+    """Mean flow of each frame to the one before, searched at two scales; luma are whole numbers and weights powers of two, so costs are exact."""
+    now, was = _with_frame_before(V.generated_video(spark, sf))
+    found = flow.block_flow(now, was, ["video", "frame"], V.GEN_H, V.GEN_W, TEMPORAL)
+    median = lambda c: F.percentile(c, F.lit(0.5)).alias(c)
+    return found.groupBy("video", "frame").agg(median("dx"), median("dy")).select(*whole("video", "frame"), "dx", "dy")
 
-    frames = temporal.packed(V.generated_video(spark, sf), ["video", "frame"])
-    before = F.lag("luma").over(W.partitionBy("video").orderBy("frame"))
-    pairs = frames.withColumn("before", before).where("before is not null")
 
-    def run(batches):
-        for b in batches:
-            flow = [temporal.block_flow(np.asarray(now).reshape(h, w) / 255.0, np.asarray(was).reshape(h, w) / 255.0, TEMPORAL) for now, was, h, w in zip(b["luma"], b["before"], b["h"], b["w"], strict=True)]
-            yield pd.DataFrame({"video": b["video"], "frame": b["frame"], "dx": [float(np.median(f[0])) for f in flow], "dy": [float(np.median(f[1])) for f in flow]})
+def _with_frame_before(px):
+    """Pixels of all frames but the first, and of their predecessors under the same frame number."""
+    px = px.select("video", "frame", "y", "x", F.col("luma").cast("double").alias("luma"), "z")
+    return px.where("frame > 0"), px.select("video", (F.col("frame") + 1).alias("frame"), "y", "x", "luma", "z").where(f"frame < {V.GEN_FRAMES}")
+
+
+@query(S.with_(S.GEN, "f AS (SELECT video, frame, y, x, y + ((y + video) % 3 - 1) * 0.5::DOUBLE AS ty, x + ((x + frame) % 5 - 2) * 0.75::DOUBLE AS tx FROM gen WHERE frame > 0), c AS (SELECT *, greatest(0, least(11, ty)) AS cy, greatest(0, least(15, tx)) AS cx FROM f) SELECT CAST(c.video AS BIGINT) AS video, CAST(c.frame AS BIGINT) AS frame, CAST(c.y AS BIGINT) AS y, CAST(c.x AS BIGINT) AS x, round(sum(g.z * (1 - abs(cy - g.y)) * (1 - abs(cx - g.x))), 6) AS z, min(ty) BETWEEN 0 AND 11 AND min(tx) BETWEEN 0 AND 15 AS inside FROM c JOIN gen g ON g.video = c.video AND g.frame = c.frame - 1 AND abs(cy - g.y) < 1 AND abs(cx - g.x) < 1 GROUP BY c.video, c.frame, c.y, c.x", raw=True))
+def flow_warp(spark, sf):
+    """The depth of the frame before, moved along a made-up flow of fractions."""
+    now, was = _with_frame_before(V.generated_video(spark, sf))
+    moves = now.select("video", "frame", "y", "x", (((F.col("x") + F.col("frame")) % 5 - 2) * 0.75).alias("dx"), (((F.col("y") + F.col("video")) % 3 - 1) * 0.5).alias("dy"))
+    return flow.warp(was, moves, ["video", "frame"], V.GEN_H, V.GEN_W, ("z",)).select(*whole("video", "frame", "y", "x"), *real("z"), "inside")
+
 
-    return pairs.select("video", "frame", "h", "w", "luma", "before").mapInPandas(run, "video long, frame long, dx double, dy double")
+@query(S.with_(S.GEN, "c AS (SELECT video, frame, 1.0 / z AS inv, y, y + 0.25::DOUBLE * (video % 2) AS ty, x + (0.5::DOUBLE + video % 3) AS tx FROM gen WHERE frame NOT IN (0, 6)), w AS (SELECT c.video, c.frame, c.y, c.tx, any_value(inv) AS inv, sum((1 - abs(ty - g.y)) * (1 - abs(tx - g.x)) / g.z) AS was FROM c JOIN gen g ON g.video = c.video AND g.frame = c.frame - 1 AND abs(ty - g.y) < 1 AND abs(tx - g.x) < 1 WHERE ty >= 0 AND ty <= 11 AND tx >= 0 AND tx <= 15 GROUP BY c.video, c.frame, c.y, c.tx) SELECT CAST(video AS BIGINT) AS video, CAST(frame AS BIGINT) AS frame, round(sqrt(avg((inv - was) * (inv - was))), 6) AS rmse, round(avg(abs(inv - was)), 6) AS mae FROM w GROUP BY video, frame", raw=True))
+def temporal_jitter_fractional(spark, sf):
+    """Jitter along motion of half and quarter pixels; the frame of the cut has no past."""
+    px = V.generated_video(spark, sf).withColumn("dx", 0.5 + F.col("video") % 3).withColumn("dy", 0.25 * (F.col("video") % 2)).withColumn("cut", F.col("frame").isin(0, V.GEN_CUT))
+    return temporal.jitter(px, "video", "dx", "dy", "cut").select(*whole("video", "frame"), *real("rmse", "mae"))
 
 
 @query()

@@ -144,3 +144,17 @@ ADMIT = (
     "WHEN coalesce(TRY_CAST(rotate_side AS INT), TRY_CAST(rotate_tag AS INT), 0) % 360 <> 0 THEN 'rotated' WHEN coalesce(sar, '1:1') NOT IN ('1:1', '0:1', 'N/A') THEN 'pixel aspect' "
     "WHEN codecs <> '' AND split_part(codecs, ',', 1) NOT IN ('aac', 'mp3', 'ac3', 'eac3') THEN 'audio codec' END AS reason FROM rates)"
 )
+#: Block matching of each frame with the one before: half size and shifts to 4, then full size and shifts to 2, patches of 5.
+_BOX = "sum(d) OVER (PARTITION BY video, frame, k, {0} ORDER BY {1} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
+_LEAST = "(SELECT * FROM (SELECT video, frame, y, x, k, " + _BOX.format("x", "y") + " AS d FROM (SELECT video, frame, y, x, k, " + _BOX.format("y", "x") + " AS d FROM {})) QUALIFY row_number() OVER (PARTITION BY video, frame, y, x ORDER BY d, k) = 1)"
+FLOW = (
+    "half AS (SELECT video, frame, y // 2 AS y, x // 2 AS x, avg(luma) AS v FROM gen GROUP BY video, frame, y // 2, x // 2), "
+    "d1 AS (SELECT s.video, s.frame, s.y, s.x, k, abs(s.v - t.v) AS d FROM half s CROSS JOIN range(81) r(k) JOIN half t ON t.video = s.video AND t.frame = s.frame - 1 AND t.y = greatest(0, least(5, s.y + k // 9 - 4)) AND t.x = greatest(0, least(7, s.x + k % 9 - 4))), "
+    "m1 AS (SELECT video, frame, y, x, 2.0::DOUBLE * (k % 9 - 4) AS dx, 2.0::DOUBLE * (k // 9 - 4) AS dy FROM " + _LEAST.format("d1") + "), "
+    "at_y AS (SELECT ty, y, 1 - abs(greatest(0, least(5, (ty + 0.5::DOUBLE) / 2 - 0.5::DOUBLE)) - y) AS wy FROM range(12) a(ty), range(6) b(y)), at_x AS (SELECT tx, x, 1 - abs(greatest(0, least(7, (tx + 0.5::DOUBLE) / 2 - 0.5::DOUBLE)) - x) AS wx FROM range(16) a(tx), range(8) b(x)), "
+    "u AS (SELECT video, frame, ty AS y, tx AS x, sum(dx * wx * wy) AS fx, sum(dy * wx * wy) AS fy FROM m1 JOIN at_y USING (y) JOIN at_x USING (x) WHERE wx > 0 AND wy > 0 GROUP BY video, frame, ty, tx), "
+    "c2 AS (SELECT *, greatest(0, least(11, y + fy)) AS cy, greatest(0, least(15, x + fx)) AS cx FROM u), "
+    "moved AS (SELECT c2.video, c2.frame, c2.y, c2.x, sum(g.luma * (1 - abs(cy - g.y)) * (1 - abs(cx - g.x))) AS v FROM c2 JOIN gen g ON g.video = c2.video AND g.frame = c2.frame - 1 AND abs(cy - g.y) < 1 AND abs(cx - g.x) < 1 GROUP BY c2.video, c2.frame, c2.y, c2.x), "
+    "d2 AS (SELECT s.video, s.frame, s.y, s.x, k, abs(s.luma - t.v) AS d FROM gen s CROSS JOIN range(25) r(k) JOIN moved t ON t.video = s.video AND t.frame = s.frame AND t.y = greatest(0, least(11, s.y + k // 5 - 2)) AND t.x = greatest(0, least(15, s.x + k % 5 - 2))), "
+    "m2 AS (SELECT video, frame, y, x, k % 5 - 2 AS dx, k // 5 - 2 AS dy FROM " + _LEAST.format("d2") + ")"
+)

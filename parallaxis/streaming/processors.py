@@ -1,4 +1,4 @@
-"""Stateful forms for streams: smoothed signals with reset, stabilised depth, and cuts with a least shot length."""
+"""Stateful forms for streams: smoothed signals with reset, stabilised depth, and the cut detector."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from parallaxis.config import TemporalConfig
+from parallaxis.config import SceneConfig, TemporalConfig
+from parallaxis.operators.cuts import DECISION, DECISION_COLUMNS, CutDetector, Seen, image
 from parallaxis.operators.temporal import Stabilizer
 
 
@@ -96,6 +97,52 @@ def stabilize_stream(frames: DataFrame, cfg: TemporalConfig) -> DataFrame:
     )
 
 
+class DetectCuts(StatefulProcessor):
+    """The cut detector over a stream of packed frames: the state is a thumbnail, a histogram and the last cut.
+
+    A frame at or before the last one seen comes too late to be compared: it is given out with
+    ``late`` and without a decision, so nothing is lost unseen.
+    """
+
+    KIND = "h int, w int, bins array<double>, gray array<double>, fade boolean, last_cut long, index long, shot long, frame long"
+
+    def __init__(self, cfg: SceneConfig):
+        self.cfg = cfg
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("seen", self.KIND)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen, shot, last = Seen(), 0, -1
+        shape = (self.cfg.thumb_height, self.cfg.thumb_width)
+        if self.state.exists():
+            h, w, bins, gray, fade, last_cut, index, shot, last = self.state.get()
+            seen = Seen(h, w, np.array(bins) if bins else None, np.reshape(gray, shape) if gray else None, fade, last_cut, index)
+        detector, out = CutDetector(self.cfg, seen), []
+        for r in pd.concat(list(rows)).sort_values("frame").itertuples(index=False):
+            if r.frame <= last:
+                out.append((key[0], r.frame, None, None, None, None, None, None, None, None, True))
+                continue
+            d = detector.step(image(r.px, r.h, r.w))
+            last, shot = int(r.frame), shot + d["is_cut"]
+            out.append((key[0], last, d["score"], d["is_fade"], d["is_cut"], shot, *d["box"], False))
+        s = detector.seen
+        small = lambda a: [] if a is None else np.asarray(a, float).ravel().tolist()
+        self.state.update((s.h, s.w, small(s.bins), small(s.gray), s.fade, s.last_cut, s.index, shot, last))
+        kinds = {"score": "float64", "is_fade": "boolean", "is_cut": "boolean", "shot": "Int64", **dict.fromkeys(("ymin", "ymax", "xmin", "xmax"), "Int32")}
+        yield pd.DataFrame(out, columns=[*DECISION_COLUMNS, "late"]).astype(kinds)
+
+    def close(self) -> None:
+        pass
+
+
+def cut_stream(frames: DataFrame, cfg: SceneConfig, value: str = "rgb") -> DataFrame:
+    """Decisions on a stream (or table) of packed frames ``video, frame, h, w`` and pixels, and ``late``."""
+    _ = frames.sparkSession.streams.active
+    rows = frames.select(frames["video"].cast("long").alias("video"), frames["frame"].cast("long").alias("frame"), "h", "w", frames[value].alias("px"))
+    return rows.groupBy("video").transformWithStateInPandas(statefulProcessor=DetectCuts(cfg), outputStructType=DECISION + ", late boolean", outputMode="Append", timeMode="None")
+
+
 def spaced_cuts(scores: DataFrame, threshold: float, least_frames: int) -> DataFrame:
     """Cuts at least ``least_frames`` after the last: ``video, frame, is_cut`` from ``video, frame, score``.
 

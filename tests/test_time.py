@@ -209,3 +209,104 @@ def test_a_change_of_size_cuts_twice(spark):
     small[:, ::2], large[:, ::2] = 150, 150
     cuts = scenes.scene_cuts(video(spark, [small, small, large, large, large]), "video", SceneConfig(thumb_height=4, thumb_width=4)).orderBy("frame").collect()
     assert [r.is_cut for r in cuts] == [True, False, True, True, False]
+
+
+def test_flow_of_a_large_pair_is_small_in_memory():
+    import tracemalloc
+
+    wide = lambda dx, dy: np.clip(128 + 50 * np.sin((np.arange(1920) + dx) / 40) * np.cos((np.arange(1080)[:, None] + dy) / 30) + 40 * np.sin((np.arange(1920) + dx) / 70 + (np.arange(1080)[:, None] + dy) / 50), 0, 255) / 255
+    now, was = wide(16, 9), wide(0, 0)
+    tracemalloc.start()
+    back, ahead = temporal.both_flows(now, was, TemporalConfig())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+    inner = (slice(None), slice(100, -100), slice(100, -100))
+    for flow, sign in ((back, 1), (ahead, -1)):
+        assert np.abs(np.median(flow[inner][0]) - 16 * sign) <= 1 and np.abs(np.median(flow[inner][1]) - 9 * sign) <= 1
+    assert temporal.estimator_size(1080, 1920, TemporalConfig()) == (240, 240) and temporal.estimator_size(61, 81, TemporalConfig()) == (60, 80)
+    assert temporal.estimator_size(1080, 1920, TemporalConfig.compatible()) == (540, 960) and temporal.estimator_size(40, 50, TemporalConfig.compatible()) == (32, 32)
+
+
+def test_areas_touched():
+    a = np.random.default_rng(1).random((7, 10))
+    got = temporal.shrunk(a, 3, 4)
+    want = [[a[y * 7 // 3 : -(-(y + 1) * 7 // 3), x * 10 // 4 : -(-(x + 1) * 10 // 4)].mean() for x in range(4)] for y in range(3)]
+    assert np.allclose(got, want) and np.array_equal(temporal.shrunk(a, 7, 10), a)
+
+
+def test_search_takes_the_first_of_equals_and_averages_when_asked():
+    flat = np.full((8, 9), 0.5)
+    dx, dy = temporal.search(flat, flat, 2, 3)
+    assert (dx == -2).all() and (dy == -2).all()
+    dx, dy = temporal.search(flat, flat, 2, 3, 0.005)
+    assert np.allclose(dx, 0) and np.allclose(dy, 0)
+    now, was = texture(60, 80, 0.5) / 255, texture(60, 80) / 255
+    flow = temporal.block_flow(now, was, TemporalConfig(subpixel=True))
+    assert abs(np.median(flow[0][10:-10, 10:-10]) - 0.5) < 0.4
+
+
+def test_kernel_and_relation_find_the_same_flow(spark):
+    from parallaxis.operators import flow as relation
+
+    h, w = 12, 16
+    images = [np.floor(texture(h, w, 2 * k, k)) for k in range(2)]
+    table = lambda im: spark.createDataFrame([(0, y, x, float(im[y, x])) for y in range(h) for x in range(w)], "f int, y int, x int, luma double")
+    got = {(r.y, r.x): (r.dx, r.dy) for r in relation.block_flow(table(images[1]), table(images[0]), ["f"], h, w, TemporalConfig()).collect()}
+    want = temporal.block_flow(images[1], images[0], TemporalConfig())
+    assert got == {(y, x): (want[0, y, x], want[1, y, x]) for y in range(h) for x in range(w)}
+
+
+def test_variants_of_the_stabiliser():
+    luma, _, noisy = zip(*moving(0.08, n=3), strict=True)
+    run = lambda cfg: [held.step(y, z) for held in [temporal.Stabilizer(cfg)] for y, z in zip(luma, noisy, strict=True)]
+    first, plain, _ = run(TemporalConfig())
+    assert (first["confidence"] == 1).all() and first["valid_fraction"] == 0 and first["is_cut"] and not plain["is_cut"]
+    assert plain["confidence"].min() >= 0 and 0 < plain["confidence"].mean() < 1 and plain["scale"] != 1
+    assert run(TemporalConfig(align_scale=False))[1]["scale"] == 1
+    assert run(TemporalConfig(enabled=False))[1]["valid_fraction"] == 1
+    other = run(TemporalConfig.compatible())[1]
+    assert other["confidence"].mean() < plain["confidence"].mean()  # raw edges from a lower limit on
+    step = np.where(np.arange(20) < 10, 1.0, 3.0) * np.ones((20, 1))
+    assert temporal.depth_edges(step, 0.15, smooth=False)[0, 9:11].all() and not temporal.depth_edges(step, 0.15, smooth=False)[:, :8].any()
+    assert temporal.depth_edges(np.ones((5, 5)), 0.2).any() and not temporal.depth_edges(np.ones((5, 5)), 0.2, smooth=False).any()
+    s = temporal.Stabilizer(TemporalConfig.compatible())
+    for value in (50.0, 220.0, 1.0):  # neither cuts nor fades of its own
+        assert s.step(np.full((40, 40), value), np.ones((40, 40)))["in_shot"] == (50.0, 220.0, 1.0).index(value)
+    box = temporal.Stabilizer(TemporalConfig()).step(np.full((4, 4), 90.0), np.arange(1.0, 17.0).reshape(4, 4), box=(0, 1, 0, 4))
+    assert box["high"] <= 1.0 and box["low"] >= 0.25
+    with pytest.raises(ValueError):
+        TemporalConfig(max_estimator=16)
+
+
+def test_cut_stream_equals_batch_and_reports_late_frames(spark, tmp_path):
+    from parallaxis.operators.cuts import detect_cuts
+    from parallaxis.streaming.processors import cut_stream
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for v in range(3):
+        scene = rng.integers(0, 255, (9, 12, 3))
+        for f in range(24):
+            h = 10 if v == 1 and 8 <= f < 14 else 9
+            if f % 5 == 0:
+                scene = rng.integers(0, 255, (9, 12, 3))
+            px = np.zeros((h, 12, 3), np.uint8)
+            px[2:8] = scene[2:8] if f not in (11, 12) else 1
+            rows.append((v, f, h, 12, bytearray(px.tobytes())))
+    table = spark.createDataFrame(rows, "video long, frame long, h int, w int, rgb binary")
+    cfg = SceneConfig(thumb_height=4, thumb_width=6, cut_threshold=0.05, min_scene_frames=7)
+    key = lambda r: (r.video, r.frame, round(r.score, 9), r.is_fade, r.is_cut, r.shot, r.ymin, r.ymax, r.xmin, r.xmax)
+    want = sorted(key(r) for r in detect_cuts(table, cfg).collect())
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for part in range(3):
+        table.where(F.floor(F.col("frame") / 8) == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    table.where("video = 2 and frame = 3").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = cut_stream(stream, cfg).writeStream.format("memory").queryName("cuts").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = spark.table("cuts").collect()
+    assert sorted(key(r) for r in got if not r.late) == want
+    assert [(r.video, r.frame, r.score, r.is_cut) for r in got if r.late] == [(2, 3, None, None)]
+    cuts = [r[1] for r in want if r[0] == 0 and r[4]]
+    assert cuts[:2] == [0, 10] and {11, 13} <= set(cuts)  # spaced by content, forced by fades
