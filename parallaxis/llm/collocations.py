@@ -45,7 +45,7 @@ from parallaxis.llm.fingerprints import mix
 
 LEAST, TOP, RATIO, SCALE, LONGEST = 30, 2000, 80, 2_000_000, 4
 #: Bytes of text in a block and of text cut at once; rows of a batch; entries of a range; sampled keys for each.
-BLOCK, AT_ONCE, ROWS, RANGE, SAMPLE = 16 << 20, 1 << 20, 8192, 1 << 21, 32
+BLOCK, AT_ONCE, ROWS, RANGE, SAMPLE = 8 << 20, 1 << 20, 8192, 1 << 20, 32
 
 _TABLE = np.arange(256, dtype=np.uint8)
 _TABLE[65:91] += 32
@@ -214,15 +214,20 @@ def encoded(bodies: DataFrame, asked: DataFrame, offsets: dict[int, int]) -> Dat
 
 def keys_of(ids: np.ndarray) -> np.ndarray:
     """The keys of all runs of 2 to ``LONGEST`` ids, as two rows of 64 bits."""
-    wide = np.concatenate([ids.astype(np.uint64), np.zeros(LONGEST, np.uint64)])
-    a, b, c, d = (wide[k : k + len(ids)] for k in range(LONGEST))
-    two = (a > 0) & (b > 0)
-    three = two & (c > 0)
-    four = three & (d > 0)
-    high = (a << np.uint64(32)) | b
-    low = c << np.uint64(32)
-    zero = np.zeros(int(two.sum()), np.uint64)
-    return np.stack([np.concatenate([high[two], high[three], high[four]]), np.concatenate([zero, low[three], low[four] | d[four]])])
+    ids = np.concatenate([ids, np.zeros(LONGEST, ids.dtype)])
+    n, there = len(ids) - LONGEST, ids > 0
+    runs, held = [], there[:n]
+    for k in range(1, LONGEST):
+        held = held & there[k : n + k]
+        runs.append(np.flatnonzero(held))
+    out = np.zeros((2, sum(map(len, runs))), np.uint64)
+    start = 0
+    for size, at in enumerate(runs, 2):
+        for k in range(size):
+            half = out[k // 2, start : start + len(at)]
+            half |= ids[at + k].astype(np.uint64) << np.uint64(32 * (1 - k % 2))
+        start += len(at)
+    return out
 
 
 def radix_order(keys: np.ndarray) -> np.ndarray:
