@@ -12,6 +12,7 @@ from parallaxis.config import DisparityConfig, FillConfig, HeuristicConfig, Scen
 from parallaxis.functions import numeric
 from parallaxis.operators import catalog, cuts, depth, fill, flow, geometry, heuristic, media, metrics, render, scenes, splat, temporal
 from parallaxis.plans import sql as S
+from parallaxis.sources import files
 from parallaxis.sources import frames as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -292,6 +293,38 @@ def minmax_u16(spark, sf):
     return geometry.stretch(V.square_frames(spark, sf), ["frame"], "luma", 65535).select("frame", *whole("y", "x", "level"))
 
 
+# -- files ---------------------------------------------------------------------------------------
+
+
+@query("WITH v AS (SELECT vec_id, i, CAST(round_even(least(greatest(128.0::DOUBLE + 220.0::DOUBLE * CAST(embedding[i + 1] AS DOUBLE), 0.0), 255.0), 0) AS BIGINT) AS y, (CAST(round_even(least(greatest(128.0::DOUBLE + 220.0::DOUBLE * CAST(embedding[i // 16 * 8 + i % 8 // 2 * 2 + 1] AS DOUBLE), 0.0), 255.0), 0) AS BIGINT) + vec_id) % 256 AS u, (CAST(round_even(least(greatest(128.0::DOUBLE + 220.0::DOUBLE * CAST(embedding[i // 16 * 8 + i % 8 // 2 * 2 + 2] AS DOUBLE), 0.0), 255.0), 0) AS BIGINT) + vec_id) % 256 AS v FROM embeddings, range(64) r(i)) SELECT CAST(sum(y * (i + 1)) AS BIGINT) AS luma, CAST(sum(u * (i + 1)) AS BIGINT) AS u, CAST(sum(v * (i + 1)) AS BIGINT) AS v, count(*) AS pixels FROM v GROUP BY vec_id")
+def raw_planes(spark, sf):
+    """Each embedding as an NV12 frame of 8 by 8, written as raw files and read as planes."""
+    byte = lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")
+    level = F.transform("embedding", lambda v: F.rint(F.least(F.greatest(128.0 + 220.0 * v.cast("double"), F.lit(0.0)), F.lit(255.0))).cast("long"))
+    rows = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), level.alias("y"))
+    text = F.concat(F.transform("y", byte), F.transform(F.slice("y", 1, 32), lambda v: byte((v + F.col("frame")) % 256)))
+    path = files.shared_dir(spark)
+    packed = files.register(spark) and rows.select("frame", F.unhex(F.array_join(text, "")).alias("data"))
+    packed.write.format("raw_frames").options(path=path, width=8, height=8, layout="nv12").mode("append").save()
+    px = files.nv12_pixels(files.raw_frames(spark, path, 8, 8, "nv12"))
+    total = lambda c: F.sum(F.col(c) * (F.col("y") * 8 + F.col("x") + 1)).cast("long").alias(c)
+    return px.groupBy("path", "frame").agg(total("luma"), total("u"), total("v"), F.count(F.lit(1)).alias("pixels")).drop("path", "frame")
+
+
+@query("SELECT vec_id // 50 AS frame, count(*) AS h, CAST(64 AS BIGINT) AS w, round(min(list_min(embedding)::DOUBLE + 2), 6) AS min_depth, round(max(list_max(embedding)::DOUBLE + 2), 6) AS max_depth, round(avg(list_avg(embedding::DOUBLE[]) + 2), 6) AS mean_depth, round(sum(list_sum(embedding::DOUBLE[]) + 128), 4) AS total FROM embeddings GROUP BY vec_id // 50")
+def depth_files(spark, sf):
+    """Fifty embeddings as a depth map each, written as files for other tools and read again."""
+    line = F.struct("vec_id", F.transform("embedding", lambda v: v.cast("double") + 2.0).alias("z"))
+    maps = V.table(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / 50).alias("frame")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    maps = maps.select(F.lit(0).cast("long").alias("video"), "frame", F.size("lines").alias("h"), F.lit(64).alias("w"), F.flatten("lines.z").alias("depth"))
+    path = files.shared_dir(spark)
+    files.register(spark)
+    maps.write.format("depth_files").option("path", path).mode("append").save()
+    read = spark.read.format("depth_files").load(path)
+    total = F.round(F.aggregate("depth", F.lit(0.0), lambda s, v: s + v), 4)
+    return read.select("frame", *whole("h", "w"), *real("min_depth", "max_depth", "mean_depth"), total.alias("total"))
+
+
 # -- scenes and time ---------------------------------------------------------------------------
 
 

@@ -27,16 +27,6 @@ def ramp_frames(spark: SparkSession, frames: int = 24, width: int = 320, height:
     return spread(rows, y=height, x=width).select("frame", "y", "x", ((F.col("x") + 3 * F.col("frame")) % 256).alias("luma"), F.lit(128).alias("u"), F.lit(128).alias("v"))
 
 
-def raw_frames(spark: SparkSession, path: str, width: int, height: int, layout: str = "rgb24") -> DataFrame:
-    """``frame, data`` from a file of fixed-length raw frames, split between them by record.
-
-    A partial frame at the end is an error of the read, as the record reader reports it.
-    """
-    length = width * height * 3 if layout == "rgb24" else width * height * 3 // 2
-    records = spark.sparkContext.binaryRecords(path, length).zipWithIndex()
-    return records.map(lambda r: (r[1], bytearray(r[0]))).toDF("frame long, data binary")
-
-
 def explode_rgb(packed: DataFrame, width: int) -> DataFrame:
     """Pixels of packed RGB frames, a frame's bytes read once."""
     import numpy as np

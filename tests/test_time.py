@@ -10,6 +10,7 @@ from parallaxis.config import SceneConfig, TemporalConfig
 from parallaxis.operators import scenes, temporal
 from parallaxis.operators.providers import FromLuma, Ramp, predict_depth
 from parallaxis.plans.commit import CommitError, commit, exact_rows, frames_complete
+from parallaxis.sources import files
 from parallaxis.sources import frames as V
 from parallaxis.streaming.processors import smooth_stream, spaced_cuts
 
@@ -149,7 +150,7 @@ def test_commit_is_all_or_nothing(spark, tmp_path):
 def test_raw_frames_and_providers(spark, tmp_path):
     raw = np.arange(3 * 4 * 6 * 3, dtype=np.uint8)
     (tmp_path / "clip.rgb").write_bytes(raw.tobytes())
-    packed = V.raw_frames(spark, f"{tmp_path}/clip.rgb", 6, 4)
+    packed = files.raw_frames(spark, f"{tmp_path}/clip.rgb", 6, 4)
     assert packed.count() == 3
     px = {(r.frame, r.y, r.x): (r.r, r.g, r.b) for r in V.explode_rgb(packed, 6).collect()}
     want = raw.reshape(3, 4, 6, 3)
