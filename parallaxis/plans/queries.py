@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parallaxis.config import DisparityConfig, FillConfig, HeuristicConfig, SceneConfig, SplatConfig, TemporalConfig
 from parallaxis.functions import numeric
-from parallaxis.operators import catalog, cuts, depth, fill, flow, geometry, heuristic, media, metrics, render, scenes, splat, temporal
+from parallaxis.operators import cuts, depth, fill, flow, geometry, heuristic, media, metrics, render, scenes, splat, temporal
+from parallaxis.plans import catalog_queries  # noqa: F401  (registers its queries)
 from parallaxis.plans import sql as S
+from parallaxis.plans.registry import ORACLES, QUERIES, query, real, whole  # noqa: F401
 from parallaxis.sources import files
 from parallaxis.sources import frames as V
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
 #: Settings under which frames of one row of 64 pixels show occlusion and holes.
 D = DisparityConfig(strength=0.30)
 S_CFG, FILL = SplatConfig(), FillConfig(max_hole_width=2)
@@ -28,24 +23,6 @@ SCENE = SceneConfig(fade_threshold=20.0, thumb_height=6, thumb_width=8)
 TEMPORAL = TemporalConfig(min_shared=50)
 
 
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if oracle is not None:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def whole(*names: str) -> list[Column]:
-    return [F.col(n).cast("long").alias(n) for n in names]
-
-
-def real(*names: str) -> list[Column]:
-    return [F.round(F.col(n).cast("double"), 6).alias(n) for n in names]
-
-
 # -- depth, splat, fill, render ---------------------------------------------------------------
 
 
@@ -634,53 +611,6 @@ def batch_summary(spark, sf):
     return s.select("input", "jobs", "ok", (F.col("jobs") - F.col("ok")).alias("failed"), "total")
 
 
-def _acknowledged(entries):
-    return entries.where(F.col("key") % 2 == 0).select("id")
-
-
-@query("SELECT CASE k % 6 WHEN 0 THEN 'm' || k WHEN 1 THEN 'M' || k WHEN 2 THEN ' LAB/depth-' || k WHEN 3 THEN 'model ' || k || ' ' WHEN 4 THEN 'DEPTH-' || k ELSE 'none ' || k END AS wanted, CASE WHEN k % 6 < 5 THEN 'm' || k END AS id, CASE WHEN k % 6 < 5 THEN k % 6 END AS rank FROM (SELECT p_partkey AS k FROM part)")
-def catalog_lookup(spark, sf):
-    """The entry that each name means: exact id, id, repository, title, or the repository's tail."""
-    entries, k = V.model_entries(spark, sf), F.col("key")
-    of = lambda before, after="": F.concat(F.lit(before), k, F.lit(after))
-    wanted = F.when(k % 6 == 0, of("m")).when(k % 6 == 1, of("M")).when(k % 6 == 2, of(" LAB/depth-")).when(k % 6 == 3, of("model ", " ")).when(k % 6 == 4, of("DEPTH-")).otherwise(of("none "))
-    return catalog.lookup(entries, entries.select(wanted.alias("wanted"))).select("wanted", "id", *whole("rank"))
-
-
-@query("SELECT 'm' || k AS id, k % 3 = 0 OR k % 5 = 0 AS needs, k % 2 = 0 AS acked, NOT (k % 3 = 0 OR k % 5 = 0) OR k % 2 = 0 AS usable FROM (SELECT p_partkey AS k FROM part)")
-def license_gate(spark, sf):
-    entries = V.model_entries(spark, sf)
-    return catalog.license_gate(entries, _acknowledged(entries)).select("id", "needs", "acked", "usable")
-
-
-@query("WITH e AS (SELECT p_partkey AS k, 1 + p_partkey % 3 AS files FROM part), f AS (SELECT k, sum(CASE WHEN (k + i) % 7 <> 0 THEN 1 ELSE 0 END) AS n FROM e, range(3) r(i) WHERE i < files AND k % 17 <> 0 GROUP BY k) SELECT 'm' || e.k AS id, CASE WHEN (e.k % 3 = 0 OR e.k % 5 = 0) AND e.k % 2 <> 0 THEN 'license required' WHEN coalesce(n, 0) = 0 THEN 'missing' WHEN n < files THEN 'incomplete' WHEN e.k % 11 = 0 THEN 'wrong size' WHEN e.k % 13 = 0 THEN 'corrupt' WHEN e.k % 4 = 0 THEN 'unverified' ELSE 'ready' END AS status FROM e LEFT JOIN f ON e.k = f.k")
-def model_status(spark, sf):
-    """The first of seven states that holds, from the facts of an entry's files."""
-    entries, k = V.model_entries(spark, sf), F.col("key")
-    each = entries.where(k % 17 != 0).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("files") - 1)))
-    facts = each.select("id", ((k + F.col("i")) % 7 != 0).alias("present"), (k % 11 != 0).alias("right_size"), (k % 13 != 0).alias("right_hash"), (k % 4 != 0).alias("ready"))
-    return catalog.model_status(catalog.license_gate(entries, _acknowledged(entries)), facts).select("id", "status")
-
-
-@query("SELECT 'm' || p_partkey AS id, ['standard', 'metric', 'nested', 'Metric-Nested'][1 + p_partkey % 4] AS category, CAST(p_size * 100 AS BIGINT) AS bytes FROM part WHERE p_partkey % 4 IN (1, 2)")
-def catalog_filter(spark, sf):
-    return V.model_entries(spark, sf).where(F.col("category").isin("metric", "nested")).select("id", "category", "bytes")
-
-
-@query("WITH e AS (SELECT conv_id AS job, turn, CASE WHEN role = 'user' THEN 'running' WHEN role = 'assistant' AND turn >= 5 THEN 'done' WHEN role = 'assistant' THEN 'running' END AS s FROM conversations) SELECT job, turn, coalesce(first_value(CASE WHEN s = 'done' THEN s END IGNORE NULLS) OVER w, last_value(s IGNORE NULLS) OVER w, 'queued') AS state FROM e WINDOW w AS (PARTITION BY job ORDER BY turn ROWS UNBOUNDED PRECEDING)")
-def job_state(spark, sf):
-    kind = F.when(F.col("role") == "user", "status").when((F.col("role") == "assistant") & (F.col("turn") >= 5), "completed").when(F.col("role") == "assistant", "progress")
-    e = V.table(spark, sf, "conversations").select(F.col("conv_id").alias("job"), "turn", kind.alias("kind"))
-    return catalog.job_states(e, "job", "turn", "kind").select("job", "turn", "state")
-
-
-@query("SELECT p_partkey AS job, CASE WHEN p_partkey % 20 + 1 > 1 AND coalesce(r, '') <> 'gpu' THEN NULL ELSE r END AS route FROM (SELECT *, CASE WHEN ask = 'auto' THEN CASE WHEN ready THEN 'gpu' ELSE 'compatible' END WHEN ask = 'gpu' AND NOT ready THEN NULL ELSE ask END AS r FROM (SELECT p_partkey, ['auto', 'gpu', 'compatible'][1 + p_partkey % 3] AS ask, p_partkey % 2 = 0 AS ready FROM part))")
-def route_choice(spark, sf):
-    k = F.col("p_partkey")
-    ask = F.element_at(F.array(F.lit("auto"), F.lit("gpu"), F.lit("compatible")), (1 + k % 3).cast("int"))
-    return V.table(spark, sf, "part").select(k.alias("job"), catalog.route(ask, k % 2 == 0, k % 20 + 1).alias("route"))
-
-
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def event_props(spark, sf):
     parsed = F.from_json("props", "k long")
@@ -719,34 +649,6 @@ def black_fallback(spark, sf):
     return heuristic.black_frame(rows, 4, 6).select(*whole("frame", "y", "x", "luma", "u", "v"))
 
 
-@query("SELECT 'm' || p_partkey AS id, ['relative', 'focal_dependent_unscaled', 'meters', 'meters'][1 + p_partkey % 4] AS unit FROM part")
-def depth_units(spark, sf):
-    name = F.concat_ws("-", F.lit("Depth"), F.col("category"), F.lit("Large"))
-    return V.model_entries(spark, sf).select("id", catalog.depth_unit(name).alias("unit"))
-
-
-@query("SELECT p_partkey AS model, p_partkey % 3 <> 2 AS allowed FROM part")
-def module_allowlist(spark, sf):
-    k = F.col("p_partkey")
-    inner = F.element_at(F.array(F.lit("depth.nets.head"), F.lit("depth"), F.lit("depthless.evil")), (1 + k % 3).cast("int"))
-    plain = F.concat(F.lit('{"name": "B", "path": "'), inner, F.lit('"}'))
-    nested = F.concat(F.lit('{"args": {"k": 1}, "path": "'), inner, F.lit('"}'))
-    # what names no path at all stands only where the path would not be allowed either
-    missing = F.when(k % 3 == 2, F.lit('{"name": "B"}')).otherwise(plain)
-    no_object = F.when(k % 3 == 2, F.lit('"depth"')).otherwise(nested)
-    made = F.element_at(F.array(plain, nested, missing, no_object), (1 + k % 4).cast("int"))
-    document = F.concat(F.lit('{"net": {"__object__": {"path": "depth.core", "name": "A"}, "head": [{"__object__": '), made, F.lit('}]}}'))
-    return V.table(spark, sf, "part").select(k.alias("model"), catalog.modules_allowed(document, ("depth", "depth.core", "depth.nets.head")).alias("allowed"))
-
-
-@query(S.with_(S.MEDIA, S.RATES, S.ADMIT, "SELECT media, CASE WHEN media % 11 = 0 THEN 'no input' WHEN reason IS NOT NULL THEN 'input rejected: ' || reason WHEN media % 7 = 0 THEN 'model missing' WHEN media % 5 = 0 THEN 'no encoder' END AS message FROM admit"))
-def job_readiness(spark, sf):
-    k = F.col("media")
-    status = F.when(k % 7 == 0, "missing").otherwise("ready")
-    encoder = F.when(k % 5 != 0, "libx264")
-    return media.admit(V.media_facts(spark, sf)).select("media", catalog.readiness(k % 11 != 0, F.col("reason"), status, encoder).alias("message"))
-
-
 @query("WITH p AS (SELECT l_orderkey AS job, l_linenumber AS frame, l_quantity AS kernel_ms FROM lineitem) SELECT CAST(job % 50 AS BIGINT) AS job, count(*) AS frames, round(median(kernel_ms), 6) AS median_ms, round(quantile_cont(kernel_ms, 0.95), 6) AS p95_ms FROM p GROUP BY job % 50")
 def kernel_quantiles(spark, sf):
     p = V.table(spark, sf, "lineitem").select((F.col("l_orderkey") % 50).alias("job"), F.col("l_quantity").alias("kernel_ms"))

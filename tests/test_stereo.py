@@ -243,7 +243,14 @@ def test_modules_are_allowed_by_the_exact_list_at_any_depth(spark):
         ('{"plain": [1, null]}', True),
         ("{", False),
         (None, False),
+        ('"text"', True),
+        ("null", True),
+        ('{"__object__": null}', False),
+        ('{"__object__": {"path": 5}}', False),
+        ("[" * 150 + '{"__object__": {"path": "os"}}' + "]" * 150, False),
+        ("[" * 150 + '{"__object__": {"path": "depth"}}' + "]" * 150, True),
     ]
     df = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(cases)], "n int, text string")
-    got = {r.n: r.ok for r in df.select("n", modules_allowed(F.col("text"), ("depth", "depth.core")).alias("ok")).collect()}
-    assert got == {n: ok for n, (_, ok) in enumerate(cases)}
+    judged = modules_allowed(df, "n", "text", ("depth", "depth.core"))
+    assert {r.n: r.allowed for r in judged.collect()} == {n: ok for n, (_, ok) in enumerate(cases)}
+    assert "Python" not in judged._jdf.queryExecution().toString()
