@@ -41,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parallaxis.llm.cluster import batch_of, materialize, shuffle_partitions, slices
-from parallaxis.llm.fingerprints import mix
+from parallaxis.llm.hashing import mix
 
 LEAST, TOP, RATIO, SCALE, LONGEST = 30, 2000, 80, 2_000_000, 4
 #: Bytes of text in a block and of text cut at once; rows of a batch; entries of a range; sampled keys for each.

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parallaxis.llm.cluster import batch_of, shuffle_partitions, slices, texts_of
+from parallaxis.llm.hashing import hashed_words, mix
 
 STRONG, LIKE = 8, 256
 #: Bytes of a word from which it has windows too, and bytes of a window.
@@ -41,28 +42,7 @@ LONG, WINDOW = 24, 8
 _random = random.Random(20260701)
 _LETTERS = np.array([_random.getrandbits(64) for _ in range(256)], np.uint64)
 _STEPS = np.array([_random.getrandbits(64) | 1 for _ in range(WINDOW)], np.uint64)
-_BASE = _random.getrandbits(64) | 1
 _NEXT = np.uint64(_random.getrandbits(64) | 1)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """The first ``n`` powers modulo 2^64; those of short texts are kept."""
-    kept = _powers.get(base)
-    if kept is None or len(kept) < n:
-        kept = np.full(max(n, 1 << 16), base, np.uint64)
-        kept[0] = 1
-        kept = np.multiply.accumulate(kept)
-        if n <= 1 << 20:
-            _powers[base] = kept
-    return kept[:n]
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """Spread every bit of 64-bit values over all bits."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
 
 
 class Fingerprint:
@@ -86,9 +66,7 @@ class Fingerprint:
         if not len(first):
             return cls(strong)
         after = np.flatnonzero(~inside & np.concatenate([[False], inside[:-1]]))
-        letters = _LETTERS[flat]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * powers(_BASE, len(flat)), dtype=np.uint64)])
-        word = mix((total[after] - total[first]) * powers(pow(_BASE, -1, 1 << 64), len(flat))[first] + (after - first).astype(np.uint64))
+        word = hashed_words(flat, first, after)
         # the word behind, if it is in the same line
         line = np.searchsorted(np.flatnonzero(flat == 10), first)
         behind = np.where(np.concatenate([line[1:] == line[:-1], [False]]), np.roll(word, -1), np.uint64(0))
@@ -97,7 +75,7 @@ class Fingerprint:
         if len(long):
             n = after[long] - first[long] - WINDOW + 1
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[long], n)
-            h.append(mix(sum(letters[at + k] * _STEPS[k] for k in range(WINDOW))))
+            h.append(mix(sum(_LETTERS[flat[at + k]] * _STEPS[k] for k in range(WINDOW))))
         h = np.concatenate(h)
         lane, up = (h & np.uint64(LIKE - 1)).astype(np.int64), (h >> np.uint64(63)).astype(bool)
         like = np.bincount(lane[up], minlength=LIKE) - np.bincount(lane[~up], minlength=LIKE)

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parallaxis.llm.cluster import batch_of, materialize, shuffle_partitions, slices, texts_of
-from parallaxis.llm.fingerprints import mix
+from parallaxis.llm.hashing import mix
 from parallaxis.llm.shingles import word_hashes
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 5

@@ -6,37 +6,25 @@ import random
 
 import numpy as np
 
-from parallaxis.llm.fingerprints import mix
+from parallaxis.llm.hashing import hashed_words, mix
 
 _random = random.Random(20260702)
-_LETTER = np.array([_random.getrandbits(64) for _ in range(256)], np.uint64)
-_LETTER[65:91] = _LETTER[97:123]  # A-Z count as a-z
-_BASE = np.uint64(_random.getrandbits(64) | 1)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _STEP = [np.uint64(_random.getrandbits(64) | 1) for _ in range(64)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True  # what ends a word, fixed by the contract
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in a row, and the number of words up to each text's end."""
     raw = [(t or "").encode() for t in texts]
-    flat = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    flat = _LOWER[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
     ends = np.cumsum([len(r) + 1 for r in raw])
     space = _SPACE[flat]
     first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     after = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
-    up = powers(_BASE, len(flat) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[flat] * up[:-1], dtype=np.uint64)])
-    down = powers(_BACK, len(flat) + 1)
-    word = mix((total[after] - total[first]) * down[first] + (after - first).astype(np.uint64))
-    return word, np.searchsorted(first, ends)
+    return hashed_words(flat, first, after), np.searchsorted(first, ends)
 
 
 def shingle_hashes(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -267,3 +267,33 @@ def test_halves_are_likelier_than_strangers(spark, sf):
     got = compare_with_next(spark.read.parquet(f"{sf}/documents.parquet")).collect()
     long = [r for r in got if r.n_chars > 500]
     assert sum(r.near_edited > r.near_next for r in long) > 0.95 * len(long)
+
+
+def thue_morse(n: int, a: str = "a", b: str = "b") -> str:
+    """A word of 2**n letters whose polynomial hashes modulo powers of two meet those of its complement."""
+    out = a
+    for _ in range(n):
+        out += out.translate(str.maketrans(a + b, b + a))
+    return out
+
+
+def test_structured_words_are_told_apart(documents):
+    import zlib
+
+    from parallaxis.llm.language_model import score_documents
+    from parallaxis.llm.minhash import near_duplicates
+    from parallaxis.llm.shingles import word_hashes
+
+    for n in (2, 3, 4, 10, 11):
+        one, other = thue_morse(n), thue_morse(n, "b", "a")
+        words, ends = word_hashes([one, other, one.upper(), f"{one} {other}"])
+        assert words[0] == words[2] == words[3] != words[1] == words[4] and ends.tolist() == [1, 2, 3, 5]
+    odd = ["a", "a\x00", "a\x00\x00", "\x00a", "b" * 8, "b" * 9, "b" * 16, "b" * 17, "b" * 16 + "\x00"]
+    assert len(set(word_hashes([" ".join(odd)])[0].tolist())) == len(odd)
+    one, other = thue_morse(11), thue_morse(11, "b", "a")
+    got = {r.doc_id: r.component_id for r in near_duplicates(documents([(1, one), (2, other), (3, one)])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7
+    learned, held = next(i for i in range(100) if fold(i) != 2), next(i for i in range(100) if fold(i) == 2)
+    scored = {r.doc_id: (r.n_tokens, r.n_known) for r in score_documents(documents([(learned, one), (held, other)])).collect()}
+    assert scored == {learned: (2, 2), held: (2, 1)}  # of the held-out text only the end is known
