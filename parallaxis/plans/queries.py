@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parallaxis.config import DisparityConfig, FillConfig, HeuristicConfig, SceneConfig, SplatConfig, TemporalConfig
 from parallaxis.functions import numeric
-from parallaxis.operators import cuts, depth, fill, flow, geometry, heuristic, media, metrics, render, scenes, splat, temporal
+from parallaxis.operators import cuts, depth, fill, flow, geometry, heuristic, images, media, metrics, providers, render, scenes, splat, temporal
 from parallaxis.plans import catalog_queries  # noqa: F401  (registers its queries)
 from parallaxis.plans import sql as S
 from parallaxis.plans.registry import ORACLES, QUERIES, query, real, whole  # noqa: F401
@@ -302,6 +302,52 @@ def depth_files(spark, sf):
     return read.select("frame", *whole("h", "w"), *real("min_depth", "max_depth", "mean_depth"), total.alias("total"))
 
 
+#: Faults planted in images, by a number: shapes, types and values.
+_FAULTY = {0: "[4, 12]", 1: "[4, 4, 4]", 2: "[3, 4, 4]", 3: "[4, 4, 3]", 4: "[3, 4, 4]", 5: "[3, 4, 5]", 6: "[4, 4, 3]", 7: "[3, 4, 4]"}
+
+
+@query("WITH v AS (SELECT vec_id, vec_id % 8 AS k, i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(48) r(i)), g AS (SELECT vec_id, k, v / CASE WHEN k = 3 THEN 255.0::DOUBLE ELSE 1.0 END AS v, CASE WHEN k IN (3, 6) THEN i % 3 * 16 + i // 3 ELSE i END AS pos FROM v WHERE k IN (2, 3, 6)) SELECT vec_id AS frame, NULL AS problem, CAST(4 AS BIGINT) AS h, CAST(4 AS BIGINT) AS w, round(sum(v * (pos + 1)), 6) AS mark FROM g GROUP BY vec_id UNION ALL SELECT vec_id, CASE vec_id % 8 WHEN 0 THEN 'not three axes' WHEN 1 THEN 'not three channels' WHEN 4 THEN 'unknown type' WHEN 5 THEN 'not of its size' ELSE 'not finite' END, NULL, NULL, NULL FROM embeddings WHERE vec_id % 8 NOT IN (2, 3, 6)")
+def image_quarantine(spark, sf):
+    """Images with planted faults: the good ones go on as planes of fractions, the others aside with the reason."""
+    k = F.col("vec_id") % 8
+    shape = F.element_at(F.array(*[F.expr(f"array({text[1:-1]})") for text in _FAULTY.values()]), (k + 1).cast("int"))
+    kind = F.when(k == 3, "uint8").when(k == 4, "int16").otherwise("float32")
+    values = F.transform(F.slice("embedding", 1, 48), lambda v, i: F.when((k == 7) & (i == 5), F.lit(float("nan"))).otherwise(v.cast("double")))
+    good, bad = images.usable_images(V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), shape.alias("shape"), kind.alias("type"), values.alias("values")))
+    mark = F.round(F.aggregate(F.transform("planes", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v), 6)
+    return good.select("frame", F.lit(None).cast("string").alias("problem"), *whole("h", "w"), mark.alias("mark")).unionByName(bad.select("frame", "problem"), allowMissingColumns=True)
+
+
+@query(S.with_(S.PX8, "half AS (SELECT frame, y // 2 AS y, x // 2 AS x, 5 - 4 * avg(luma) / 255.0 AS z FROM px8 GROUP BY frame, y // 2, x // 2), at_ AS (SELECT t, s, 1 - abs(greatest(0, least(3, (t + 0.5::DOUBLE) / 2 - 0.5::DOUBLE)) - s) AS w FROM range(8) a(t), range(4) b(s)) SELECT frame, CAST(v.t AS BIGINT) AS y, CAST(h.t AS BIGINT) AS x, round(sum(z * v.w * h.w), 6) AS z FROM half JOIN at_ v ON v.s = y JOIN at_ h ON h.s = x WHERE v.w > 0 AND h.w > 0 GROUP BY frame, v.t, h.t", raw=True))
+def provider_depth(spark, sf):
+    """Depth from a provider that sees frames at half size, padded, five at a time, brought back to full size."""
+    px = V.square_frames(spark, sf)
+    cell = F.struct("y", "x", F.lpad(F.hex(F.col("luma").cast("long")), 2, "0").alias("byte"))
+    packed = px.groupBy("frame").agg(F.array_sort(F.collect_list(cell)).alias("c"))
+    rgb = F.unhex(F.array_join(F.transform("c.byte", lambda b: F.concat(b, b, b)), ""))
+    rows = packed.select(F.lit(0).cast("long").alias("video"), "frame", F.lit(8).alias("h"), F.lit(8).alias("w"), rgb.alias("rgb"))
+    depth_ = providers.predict_depth(rows, providers.FromLuma, batch=5, scale="1/2")
+    at = depth_.select("frame", F.posexplode("depth").alias("i", "z"))
+    return at.select("frame", F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).cast("long").alias("x"), *real("z"))
+
+
+@query("SELECT o_custkey AS customer, count(*) AS orders, round(sum(o_totalprice), 2) AS total, CAST(1 AS BIGINT) AS version FROM orders GROUP BY o_custkey")
+def versioned_replace(spark, sf):
+    """A table replaced by its next version; a writer that began from an older one is refused."""
+    from parallaxis.plans.commit import CommitError, exact_rows
+    from parallaxis.plans.versions import VersionedTable
+
+    table = VersionedTable(spark, files.shared_dir(spark))
+    per = V.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    first = table.replace(per.where("orders > 1"))
+    table.replace(per, {"rows": exact_rows(per.count())}, snapshot=first)
+    try:
+        table.replace(per.limit(1), snapshot=first)
+    except CommitError:
+        pass
+    return table.read().withColumn("version", F.lit(table.version()).cast("long"))
+
+
 # -- scenes and time ---------------------------------------------------------------------------
 
 

@@ -103,3 +103,103 @@ def test_planes_become_pixels(spark, tmp_path):
     planes = files.raw_frames(spark, f"{tmp_path}/clip", 700, 40)
     rows = files.plane_pixels(planes).where("frame = 1 and c = 2").groupBy("y").agg(F.sum(F.col("value") * F.col("x")).alias("s"), F.count(F.lit(1)).alias("n")).collect()
     assert {(r.y, r.s, r.n) for r in rows} == {(y, int((px[1, y, :, 2].astype(int) * np.arange(700)).sum()), 700) for y in range(40)}
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    from parallaxis.plans.commit import CommitError, exact_rows
+    from parallaxis.plans.versions import VersionedTable
+
+    table = VersionedTable(spark, f"{tmp_path}/t")
+    assert table.version() is None
+    with pytest.raises(CommitError):
+        table.read()
+    with pytest.raises(CommitError, match="rows"):
+        table.replace(spark.range(3), {"rows": exact_rows(4)})
+    assert table.version() is None and not [n for n in os.listdir(f"{tmp_path}/t") if n.startswith("data")]
+    assert table.replace(spark.range(3), {"rows": exact_rows(3)}) == 0
+    with pytest.raises(CommitError):
+        table.replace(spark.range(1))  # there is a first version already
+    reader = table.read()
+    other = VersionedTable(spark, f"{tmp_path}/t")
+
+    class Late:  # the other writer commits while this one's table is being checked
+        def __call__(self, written):
+            assert other.replace(spark.range(7), snapshot=0) == 1
+            return True
+
+    with pytest.raises(CommitError, match="another writer"):
+        table.replace(spark.range(5), {"late": Late()}, snapshot=0)
+    assert table.version() == 1 and table.read().count() == 7 and reader.count() == 3 and table.read(0).count() == 3
+    assert len([n for n in os.listdir(f"{tmp_path}/t") if n.startswith("data")]) == 2
+    assert table.replace(spark.range(9).select((F.col("id") * 2).alias("twice")), snapshot=1) == 2 and table.read().columns == ["twice"]
+    table.expire(keep=1)
+    assert table.versions() == [2] and table.read().count() == 9 and len([n for n in os.listdir(f"{tmp_path}/t") if n.startswith("data")]) == 1
+    with pytest.raises(ValueError):
+        table.expire(0)
+
+
+class Counting:
+    """Depth from luma that notes the size of each call."""
+
+    normalized = False
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def predict_batch(self, images):
+        with open(f"{self.folder}/calls", "a") as f:
+            f.write(f"{len(images)}x{images.shape[1]}x{images.shape[2]} ")
+        return 5.0 - images.mean(axis=-1) / 100.0
+
+
+def test_providers_get_batches_of_one_size(spark, tmp_path):
+    from parallaxis.operators.providers import Ramp, model_sizes, padded, predict_depth
+
+    rng = np.random.default_rng(7)
+    rows = [(0, f, h, w, bytearray(rng.integers(0, 256, h * w * 3, np.uint8).tobytes())) for f, (h, w) in enumerate([(8, 10)] * 12 + [(6, 6)] * 3)]
+    frames = spark.createDataFrame(rows, "video long, frame long, h int, w int, rgb binary").coalesce(1)
+    folder = str(tmp_path)
+    run = lambda **o: {r.frame: (r.h, r.w, r.processed_h, r.processed_w, tuple(round(z, 9) for z in r.depth)) for r in predict_depth(frames, lambda: Counting(folder), **o).collect()}
+    calls = lambda: sorted(open(f"{folder}/calls").read().split())
+    one = run(batch=1, scale="1/2")
+    assert calls() == ["1x14x14"] * 15
+    os.remove(f"{folder}/calls")
+    five = run(batch=5, scale="1/2")
+    assert five == one and all(v[:4] == ((8, 10, 14, 14) if f < 12 else (6, 6, 14, 14)) for f, v in five.items())
+    assert sorted(calls()) == ["2x14x14", "3x14x14", "5x14x14", "5x14x14"]
+    small = run(batch=20, scale=0.5, original_size=False)
+    assert {v[:2] for v in small.values()} == {(4, 5), (3, 3)}
+    plain = run(batch=4)
+    want = 5.0 - np.frombuffer(bytes(rows[0][4]), np.uint8).reshape(8, 10, 3).mean(axis=-1) / 100
+    assert np.allclose(np.reshape(plain[0][4], (8, 10)), want)
+    assert model_sizes(1080, 1920, 504, None)[0] == (280, 504) and model_sizes(10, 2000, 504, None)[0] == (14, 504) and model_sizes(1080, 1920, None, 0.5) == ((540, 960), (546, 966))
+    assert padded(np.arange(6.0).reshape(2, 3), 3, 8).tolist() == [[0, 1, 2, 2, 2, 2, 2, 2], [3, 4, 5, 5, 5, 5, 5, 5], [0, 1, 2, 2, 2, 2, 2, 2]]
+    for wrong in (0, 21, True):
+        with pytest.raises(ValueError):
+            predict_depth(frames, Ramp(), batch=wrong)
+
+    class Bad:
+        normalized = True
+
+        def predict_batch(self, images):
+            assert images.min() < 0
+            return -np.ones(images.shape[:3])
+
+    with pytest.raises(Exception, match="positive and finite"):
+        predict_depth(frames, Bad).collect()
+    assert {r.max_depth for r in predict_depth(frames, Bad, positive=True).collect()} == {1e-6}
+
+
+def test_unusable_images_are_set_aside(spark):
+    from parallaxis.operators.images import usable_images
+
+    rows = [
+        (0, [3, 2, 2], "float32", [float(k) for k in range(12)]), (1, [2, 2, 3], "uint8", [float(k) for k in range(12)]), (2, [2, 2, 3], "float32", [1.0] * 11 + [float("inf")]), (3, [2, 2, 3], "float32", None),
+        (4, None, "float32", [1.0]), (5, [2, 6], "uint8", [0.0] * 12), (6, [2, 2, 4], "uint8", [0.0] * 16), (7, [2, 2, 3], None, [0.0] * 12), (8, [2, 2, 3], "float32", [1.0] * 11 + [None]), (9, [3, 3, 3], "float64", [float(k) for k in range(27)]),
+    ]
+    good, bad = usable_images(spark.createDataFrame(rows, "frame int, shape array<int>, type string, values array<double>"))
+    planes = {r.frame: (r.h, r.w, r.planes) for r in good.collect()}
+    assert planes[0] == (2, 2, [float(k) for k in range(12)]) and planes[9][2] == [float(k) for k in range(27)]
+    assert planes[1] == (2, 2, [k / 255 for k in (0, 3, 6, 9, 1, 4, 7, 10, 2, 5, 8, 11)])
+    assert {r.frame: r.problem for r in bad.collect()} == {2: "not finite", 3: "not of its size", 4: "not three axes", 5: "not three axes", 6: "not three channels", 7: "unknown type", 8: "not finite"}
+    assert len(planes) + bad.count() == len(rows)
