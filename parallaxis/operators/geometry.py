@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parallaxis.functions.numeric import fitted_dimension, padded_dimension, requested_dimension
@@ -35,10 +36,6 @@ def pad(px: DataFrame, keys: list[str], height: int, width: int, bottom: int, ri
     return out.withColumn("y", F.col("_y")).withColumn("x", F.col("_x")).drop("_y", "_x")
 
 
-def unpad(px: DataFrame, height: int, width: int) -> DataFrame:
-    return px.where((F.col("y") < height) & (F.col("x") < width))
-
-
 def area_downscale(px: DataFrame, keys: list[str], factor: int, value: str) -> DataFrame:
     """Means over blocks of ``factor`` by ``factor`` pixels."""
     block = lambda c: F.floor(F.col(c) / factor).cast("int").alias(c)
@@ -62,8 +59,8 @@ def bilinear_resize(px: DataFrame, keys: list[str], height: int, width: int, to_
     return out.groupBy(*keys, F.col("_v.to").alias("y"), F.col("_h.to").alias("x")).agg(*[F.sum(F.col(v) * F.col("_v.w") * F.col("_h.w")).alias(v) for v in ((value,) if isinstance(value, str) else value)])
 
 
-def area_resize(px: DataFrame, keys: list[str], to_height: int, to_width: int, channels: tuple[str, ...]) -> DataFrame:
-    """Means of the source's area below each target pixel, for any ratio, rounded half to even.
+def area_sums(px: DataFrame, keys: list[str], to_height: int, to_width: int, channels: tuple[str, ...]) -> DataFrame:
+    """Weighted sums of the source below each target pixel, for any ratio, and ``_area``, their weight.
 
     ``px`` has ``ymin, ymax, xmin, xmax``, the part of each frame that is resized.  Overlaps are whole
     numbers of 1 / (source size * target size), so sums are exact.
@@ -78,40 +75,46 @@ def area_resize(px: DataFrame, keys: list[str], to_height: int, to_width: int, c
     out = px.withColumn("_v", F.explode(overlaps(F.col("y") - F.col("ymin"), tall, to_height))).withColumn("_h", F.explode(overlaps(F.col("x") - F.col("xmin"), wide, to_width)))
     sums = [F.sum(F.col(c) * F.col("_v.part") * F.col("_h.part")).alias(c) for c in channels]
     area = F.max(tall.cast("long") * wide).alias("_area")
-    found = out.groupBy(*keys, F.col("_v.to").alias("y"), F.col("_h.to").alias("x")).agg(*sums, area)
-    return found.withColumns({c: F.rint(F.col(c) / F.col("_area")).cast("int") for c in channels}).drop("_area")
+    return out.groupBy(*keys, F.col("_v.to").alias("y"), F.col("_h.to").alias("x")).agg(*sums, area)
+
+
+def area_resize(px: DataFrame, keys: list[str], to_height: int, to_width: int, channels: tuple[str, ...]) -> DataFrame:
+    """Means of the source's area below each target pixel (:func:`area_sums`), rounded half to even."""
+    return area_sums(px, keys, to_height, to_width, channels).withColumns({c: F.rint(F.col(c) / F.col("_area")).cast("int") for c in channels}).drop("_area")
 
 
 def preprocess(px: DataFrame, keys: list[str], height: int, width: int, factor: float, multiple: int = 14, channels: tuple[str, str, str] = ("r", "g", "b")) -> DataFrame:
     """What a depth model reads: bytes resized by ``factor``, normalised by channel, and mirrored to a multiple of ``multiple``."""
     to_height, to_width = max(1, int(height * factor + 0.5)), max(1, int(width * factor + 0.5))
-    wide = px.select(*keys, "y", "x", F.explode(F.create_map(*[v for c in channels for v in (F.lit(c), F.col(c).cast("double"))])).alias("_c", "_value"))
-    small = bilinear_resize(wide, [*keys, "_c"], height, width, to_height, to_width, "_value") if factor != 1 else wide
-    rgb = small.groupBy(*keys, "y", "x").agg(*[F.max(F.when(F.col("_c") == c, F.col("_value"))).alias(c) for c in channels])
+    px = px.select(*keys, "y", "x", *[F.col(c).cast("double").alias(c) for c in channels])
+    rgb = bilinear_resize(px, keys, height, width, to_height, to_width, channels) if factor != 1 else px
     return pad(normalize(rgb, channels), keys, to_height, to_width, -to_height % multiple, -to_width % multiple)
 
 
-def convolve(px: DataFrame, keys: list[str], height: int, width: int, value: str, kernels: dict[str, dict[tuple[int, int], float]]) -> DataFrame:
-    """Weighted sums of neighbours ``(dy, dx)``, zeros outside: each pixel goes where it counts, and sums meet there."""
-    offsets = sorted({o for k in kernels.values() for o in k})
-    terms = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), *[F.lit(float(k.get((dy, dx), 0.0))).alias(n) for n, k in kernels.items()]) for dy, dx in offsets])
-    sent = px.withColumn("_t", F.explode(terms)).withColumn("_y", F.col("y") - F.col("_t.dy")).withColumn("_x", F.col("x") - F.col("_t.dx"))
-    inside = sent.where((F.col("_y") >= 0) & (F.col("_y") < height) & (F.col("_x") >= 0) & (F.col("_x") < width))
-    return inside.groupBy(*keys, F.col("_y").alias("y"), F.col("_x").alias("x")).agg(*[F.sum(F.col(value) * F.col(f"_t.{n}")).alias(n) for n in kernels])
-
-
-SQUARE = {(dy, dx): 1 / 9 for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
-SOBEL = {
-    "gx": {(dy, dx): dx * (2 - abs(dy)) for dy in (-1, 0, 1) for dx in (-1, 1)},
-    "gy": {(dy, dx): dy * (2 - abs(dx)) for dy in (-1, 1) for dx in (-1, 0, 1)},
-    "here": {(0, 0): 1.0},
-}
-
-
 def depth_edges(px: DataFrame, keys: list[str], height: int, width: int, limit: float, smooth: bool = True) -> DataFrame:
-    """``gradient`` relative to depth, and ``edge`` where it is over ``limit``; smoothed over 3 by 3 first or not."""
-    d = convolve(px, keys, height, width, "z", {"z": SQUARE}) if smooth else px
-    out = convolve(d, keys, height, width, "z", SOBEL).withColumn("gradient", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) / F.greatest(F.col("here"), F.lit(1e-6)))
+    """``gradient`` relative to depth, and ``edge`` where it is over ``limit``; smoothed over 3 by 3 first or not; zeros outside.
+
+    Each row of pixels becomes one array, and rows meet their neighbours by lags over one order
+    of the frame's rows, so a pixel is shuffled once.
+    """
+    order = W.partitionBy(*keys).orderBy("y")
+    nothing = F.array_repeat(F.lit(0.0), width)
+    at = lambda row, x: F.coalesce(F.get(row, x), F.lit(0.0))
+
+    def over(rows, across):
+        """For each row the arrays ``across(above, here, below, x)`` of it and its neighbours."""
+        near = rows.withColumns({"_up": F.coalesce(F.lag("z").over(order), nothing), "_down": F.coalesce(F.lead("z").over(order), nothing)})
+        return near, lambda: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: across(F.col("_up"), F.col("z"), F.col("_down"), x))
+
+    rows = px.groupBy(*keys, "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", F.col("z").cast("double").alias("z")))), lambda p: p["z"]).alias("z"))
+    if smooth:
+        rows, mean = over(rows, lambda up, here, down, x: sum(at(row, x + dx) for row in (up, here, down) for dx in (-1, 0, 1)) / 9)
+        rows = rows.select(*keys, "y", mean().alias("z"))
+    column = lambda up, here, down, x: at(up, x) + 2 * at(here, x) + at(down, x)
+    line = lambda row, x: at(row, x - 1) + 2 * at(row, x) + at(row, x + 1)
+    rows, found = over(rows, lambda up, here, down, x: F.struct((column(up, here, down, x + 1) - column(up, here, down, x - 1)).alias("gx"), (line(down, x) - line(up, x)).alias("gy"), at(here, x).alias("here")))
+    out = rows.select(*keys, "y", F.posexplode(found()).alias("x", "_g")).select(*keys, "y", "x", "_g.*")
+    out = out.withColumn("gradient", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) / F.greatest(F.col("here"), F.lit(1e-6)))
     return out.withColumn("edge", F.col("gradient") > limit)
 
 

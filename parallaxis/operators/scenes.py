@@ -2,7 +2,7 @@
 
 With ``min_scene_frames = 1`` a frame's decision needs its predecessor only, so cuts are
 window expressions over one row for each frame; larger values make the rule depend on its
-own past decisions and are folded frame by frame in :mod:`parallaxis.streaming.processors`.
+own past decisions and are folded frame by frame in :mod:`parallaxis.operators.cuts`.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from parallaxis.config import SceneConfig
 from parallaxis.functions.numeric import luma
-from parallaxis.operators.geometry import area_resize
+from parallaxis.operators.geometry import area_resize, area_sums
 
 
 def letterbox(px: DataFrame, keys: list[str], cfg: SceneConfig) -> DataFrame:
@@ -70,10 +70,25 @@ def correlation(a: Column, b: Column, n: int) -> Column:
     return F.when(spread > 1e-12, covered / spread).otherwise(1.0)
 
 
-def thumb_deltas(thumbs: DataFrame, video: str) -> DataFrame:
-    """Mean absolute difference of gray to the frame before, pixel by pixel: a lag along each pixel's time."""
-    before = F.lag("gray").over(W.partitionBy(video, "y", "x").orderBy("frame"))
-    return thumbs.withColumn("_d", F.abs(F.col("gray") - before)).groupBy(video, "frame").agg((F.avg("_d") / 255.0).alias("delta"))
+def summaries(px: DataFrame, keys: list[str], cfg: SceneConfig, channels: tuple[str, ...] = ("luma",)) -> DataFrame:
+    """A row for each frame: its size and box, ``mean_luma``, ``is_fade``, ``bins`` and ``gray``, the thumbnail as an array.
+
+    Pixels are read twice, for the box and for the thumbnail; the rest follows from the
+    thumbnail's sums, since every active pixel has the same total weight in it.
+    """
+    boxes = letterbox(px, keys, cfg)
+    sums = area_sums(active(px, boxes, keys), keys, cfg.thumb_height, cfg.thumb_width, channels)
+    level = lambda c: F.rint(F.col(c) / F.col("_area")).cast("int")
+    gray = F.rint(luma(*[level(c) for c in channels])).cast("int") if len(channels) == 3 else level(channels[0])
+    step = 256 // cfg.bins
+    shares = [F.avg(((level(c) >= k * step) & (level(c) < (k + 1) * step)).cast("double")) for c in channels for k in range(cfg.bins)]
+    weight = F.max("_area") * cfg.thumb_height * cfg.thumb_width
+    rows = sums.groupBy(*keys).agg(
+        (sum(F.sum(c) / weight for c in channels) / len(channels)).alias("mean_luma"),
+        F.array(*shares).alias("bins"),
+        F.transform(F.array_sort(F.collect_list(F.struct("y", "x", gray.alias("g")))), lambda p: p["g"]).alias("gray"),
+    )
+    return boxes.join(rows.withColumn("is_fade", F.col("mean_luma") < cfg.fade_threshold), keys)
 
 
 def scene_cuts(px: DataFrame, video: str, cfg: SceneConfig, channels: tuple[str, ...] = ("luma",)) -> DataFrame:
@@ -83,23 +98,20 @@ def scene_cuts(px: DataFrame, video: str, cfg: SceneConfig, channels: tuple[str,
     the frame after it, which has nothing to be compared with.
     """
     if cfg.min_scene_frames != 1:
-        raise ValueError("cuts with min_scene_frames over 1 are a fold: see streaming.processors")
-    keys = [video, "frame"]
-    boxes = letterbox(px, keys, cfg)
-    cropped = active(px, boxes, keys)
-    thumbs = thumbnails(cropped, keys, cfg, channels)
-    rows = boxes.join(brightness(cropped, keys, cfg, channels), keys).join(histograms(thumbs, keys, cfg, channels), keys).join(thumb_deltas(thumbs, video), keys)
+        raise ValueError("cuts with min_scene_frames over 1 are a fold: see operators.cuts")
+    rows = summaries(px, [video, "frame"], cfg, channels)
     order = W.partitionBy(video).orderBy("frame")
     prev = lambda c: F.lag(c).over(order)
-    rows = rows.withColumn("p_bins", prev("bins")).withColumn("p_fade", prev("is_fade"))
-    rows = rows.withColumn("resized", F.coalesce((prev("h") != F.col("h")) | (prev("w") != F.col("w")), F.lit(False))).withColumn("p_resized", prev("resized"))
+    rows = rows.withColumns({"p_bins": prev("bins"), "p_fade": prev("is_fade"), "p_gray": prev("gray"), "resized": F.coalesce((prev("h") != F.col("h")) | (prev("w") != F.col("w")), F.lit(False))})
+    rows = rows.withColumn("p_resized", prev("resized"))
     distance = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1.0 - correlation(F.col("bins"), F.col("p_bins"), cfg.bins * len(channels))) / 2.0))
-    content = 0.6 * distance + 0.4 * F.coalesce("delta", F.lit(0.0))
+    apart = F.aggregate(F.zip_with("gray", "p_gray", lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda s, d: s + d)
+    content = 0.6 * distance + 0.4 * F.coalesce(apart / F.size("gray") / 255.0, F.lit(0.0))
     forced = F.col("p_bins").isNull() | F.col("resized") | F.col("p_resized") | (F.col("is_fade") != F.col("p_fade"))
     score = F.when(forced, 1.0).when(F.col("is_fade"), 0.0).otherwise(content)
     rows = rows.withColumn("score", score)
     cut = F.when(forced, True).when(F.col("is_fade"), False).otherwise(F.col("score") >= cfg.cut_threshold)
-    return rows.withColumn("is_cut", cut).drop("p_bins", "p_fade", "resized", "p_resized", "bins")
+    return rows.withColumn("is_cut", cut).drop("p_bins", "p_fade", "p_gray", "resized", "p_resized", "bins", "gray")
 
 
 def shots(cuts: DataFrame, video: str) -> DataFrame:
