@@ -270,6 +270,18 @@ def minmax_u16(spark, sf):
     return geometry.stretch(V.square_frames(spark, sf), ["frame"], "luma", 65535).select("frame", *whole("y", "x", "level"))
 
 
+@query("WITH r AS (SELECT vec_id // 3 AS frame, CAST(vec_id % 3 * 4 + i // 16 AS BIGINT) AS y, CAST(i % 16 AS BIGINT) AS x, CAST(round_even(least(greatest(128.0::DOUBLE + 220.0::DOUBLE * CAST(embedding[i + 1] AS DOUBLE), 0.0), 255.0), 0) AS BIGINT) AS v FROM embeddings, range(64) q(i)), n AS (SELECT frame, count(*) AS n, max(y) + 1 AS rows_ FROM r GROUP BY frame) SELECT frame, CASE WHEN n <> 192 THEN 'rows: ' || rows_ END AS problem, CASE WHEN n = 192 THEN CAST(sum(CASE WHEN y < 8 THEN v * (y * 16 + x + 1) ELSE 0 END) AS BIGINT) END AS luma, CASE WHEN n = 192 THEN CAST(sum(CASE WHEN y >= 8 THEN v * ((y - 8) * 16 + x + 1) ELSE 0 END) AS BIGINT) END AS chroma FROM r JOIN n USING (frame) GROUP BY frame, n, rows_")
+def planar_split(spark, sf):
+    """Three embeddings as a planar frame of 8 by 16: luma, chroma, and the frame that lacks rows aside."""
+    rows = V.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    level = F.rint(F.least(F.greatest(128.0 + 220.0 * F.col("v").cast("double"), F.lit(0.0)), F.lit(255.0))).cast("long")
+    raw = rows.select(F.floor(F.col("vec_id") / 3).alias("frame"), (F.col("vec_id") % 3 * 4 + F.floor(F.col("i") / 16)).cast("int").alias("y"), (F.col("i") % 16).alias("x"), level.alias("v"))
+    luma, chroma, wrong = heuristic.split_planes(raw, ["frame"], 8, 16)
+    mark = lambda px, name: px.groupBy("frame").agg(F.sum(F.col("v") * (F.col("y") * 16 + F.col("x") + 1)).cast("long").alias(name))
+    good = mark(luma, "luma").join(mark(chroma, "chroma"), "frame").select("frame", F.lit(None).cast("string").alias("problem"), "luma", "chroma")
+    return good.unionByName(wrong.select("frame", F.concat(F.lit("rows: "), F.col("rows").cast("string")).alias("problem")), allowMissingColumns=True)
+
+
 # -- files ---------------------------------------------------------------------------------------
 
 
