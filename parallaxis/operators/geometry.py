@@ -131,3 +131,16 @@ def stretch(px: DataFrame, keys: list[str], value: str, levels: int) -> DataFram
     ends = px.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     share = F.try_divide(F.col(value) - F.col("_low"), F.col("_high") - F.col("_low"))
     return px.join(ends, keys).withColumn("level", F.coalesce(F.floor(share * float(levels)), F.lit(0)).cast("int")).drop("_low", "_high")
+
+
+def colored(px: DataFrame, level: str, levels: int, anchors: tuple[tuple[int, int, int], ...]) -> DataFrame:
+    """``r, g, b`` of levels from 0 to ``levels``: along a line through the anchors, rounded half to even."""
+    at = F.col(level) / float(levels) * (len(anchors) - 1)
+    low = F.floor(at).cast("int")
+    high = F.least(low + 1, F.lit(len(anchors) - 1))
+
+    def channel(c):
+        values = F.array(*[F.lit(float(a[c])) for a in anchors])
+        return F.rint(F.get(values, low) + (F.get(values, high) - F.get(values, low)) * (at - low)).cast("int")
+
+    return px.withColumns({name: channel(c) for c, name in enumerate("rgb")})

@@ -18,6 +18,14 @@ def job_summary(rows: DataFrame, keys: list[str], value: str, ts: str) -> DataFr
     return out.withColumn("fps", F.when(F.col("seconds") > 0, F.col("frames") / F.col("seconds")).otherwise(0.0))
 
 
+def batch_report(jobs: DataFrame, key: str = "input") -> DataFrame:
+    """``jobs, ok, failed``, frames per second of the time spent, and the different ``warnings``, of each input."""
+    every = F.array_sort(F.array_distinct(F.flatten(F.collect_set("warnings"))))
+    out = jobs.groupBy(key).agg(F.count(F.lit(1)).alias("jobs"), F.count_if("ok").alias("ok"), F.sum("frames").alias("_frames"), F.sum("seconds").alias("_seconds"), every.alias("warnings"))
+    fps = F.when(F.col("_seconds") > 0, F.col("_frames") / F.col("_seconds")).otherwise(0.0)
+    return out.withColumn("failed", F.col("jobs") - F.col("ok")).withColumn("fps", fps).drop("_frames", "_seconds")
+
+
 def bottlenecks(rows: DataFrame, keys: list[str], stage: str, value: str, ends: tuple[str, str], middle: str, factor: float = 1.2) -> DataFrame:
     """Whether the means of the two end stages outweigh the middle's; one aggregate, no pivot join."""
     mean = lambda s: F.coalesce(F.avg(F.when(F.col(stage) == s, F.col(value))), F.lit(0.0))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parallaxis.config import DisparityConfig, FillConfig, HeuristicConfig, SceneConfig, SplatConfig, TemporalConfig
 from parallaxis.functions import numeric
 from parallaxis.operators import cuts, depth, fill, flow, geometry, heuristic, images, media, metrics, providers, render, scenes, splat, temporal
-from parallaxis.plans import catalog_queries  # noqa: F401  (registers its queries)
+from parallaxis.plans import catalog_queries, report_queries  # noqa: F401  (they register their queries)
 from parallaxis.plans import sql as S
 from parallaxis.plans.registry import ORACLES, QUERIES, query, real, whole  # noqa: F401
 from parallaxis.sources import files

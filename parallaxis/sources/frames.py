@@ -48,22 +48,38 @@ def explode_rgb(packed: DataFrame, width: int) -> DataFrame:
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """``path, height, width, data`` (RGB bytes) of binary PPM and PGM files, and of PNG files of 8 bits without interlacing.
+    """``path, height, width, data`` (RGB bytes, rows from the top) and ``problem`` of image files.
 
-    One, three or four channels become RGB; alpha is dropped.  ``problem`` says why a file could
-    not be read; its other columns are null.
+    Spark's image source decodes what the Java runtime knows (PNG, JPEG, GIF, BMP); binary PPM and
+    PGM are read besides.  One channel becomes three and alpha is dropped.  ``problem`` says that a
+    file could not be read; its other columns are null.
     """
     import pandas as pd
 
-    from parallaxis.sources.images import decode
+    from parallaxis.sources.images import from_bgr, netpbm
 
-    def run(batches):
+    def plain(batches):
         for b in batches:
-            rows = [decode(bytes(c)) for c in b["content"]]
-            yield pd.DataFrame({"path": b["path"], "height": [r[0] for r in rows], "width": [r[1] for r in rows], "data": [r[2] for r in rows], "problem": [r[3] for r in rows]}).astype({"height": "Int32", "width": "Int32"})
+            yield pd.DataFrame([(p, h, w, from_bgr(d, h, w, n), None) for p, h, w, n, d in b.itertuples(index=False)], columns=["path", "height", "width", "data", "problem"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, height int, width int, data binary, problem string")
+    def portable(batches):
+        for b in batches:
+            yield pd.DataFrame([(p, *netpbm(bytes(c))) for p, c in b.itertuples(index=False)], columns=["path", "height", "width", "data", "problem"]).astype({"height": "Int32", "width": "Int32"})
+
+    kind = "path string, height int, width int, data binary, problem string"
+    known = F.lower("path").rlike(r"\.p[pgn]m$")
+    read = spark.read.format("image").load(path).select("image.*").withColumnRenamed("origin", "path").where(~known)
+    good = read.where("height > 0").select("path", "height", "width", "nChannels", "data").mapInPandas(plain, kind)
+    bad = read.where("height <= 0").select("path", *[F.lit(None).cast(t).alias(c) for c, t in (("height", "int"), ("width", "int"), ("data", "binary"))], F.lit("unknown format").alias("problem"))
+    other = spark.read.format("binaryFile").load(path).where(known).select("path", "content").mapInPandas(portable, kind)
+    return good.unionByName(bad).unionByName(other)
+
+
+def rgb_pixels(data: str):
+    """An array of ``r, g, b`` from RGB bytes."""
+    level = lambda i: F.conv(F.hex(F.substring(F.col(data), i + 1, F.lit(1))), 16, 10).cast("int")
+    n = (F.octet_length(data) / 3).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(level(i * 3).alias("r"), level(i * 3 + 1).alias("g"), level(i * 3 + 2).alias("b")))
 
 
 def pixel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,82 +1,30 @@
-"""Decoding of single images: a small helper of the image source, one file at a time."""
+"""Small helpers of the image source: channel order, and portable pixmaps, which Java does not read."""
 
 from __future__ import annotations
 
 import re
-import struct
-import zlib
 
 import numpy as np
 
-Decoded = tuple[int | None, int | None, bytes | None, str | None]
-
 
 def to_rgb(px: np.ndarray) -> bytes:
-    """RGB bytes of rows of 1 (gray), 2 (gray, alpha), 3 or 4 channels."""
-    n = px.shape[2]
-    return np.ascontiguousarray(np.repeat(px[:, :, :1], 3, axis=2) if n < 3 else px[:, :, :3]).tobytes()
+    """RGB bytes of rows of 1 (gray) or at least 3 channels."""
+    return np.ascontiguousarray(np.repeat(px[:, :, :1], 3, axis=2) if px.shape[2] < 3 else px[:, :, :3]).tobytes()
 
 
-def decode(raw: bytes) -> Decoded:
-    """``height, width, rgb, problem`` of a file's bytes."""
-    try:
-        if raw[:2] in (b"P5", b"P6"):
-            px = netpbm(raw)
-        elif raw[:8] == b"\x89PNG\r\n\x1a\n":
-            px = png(raw)
-        else:
-            return None, None, None, "unknown format"
-        return px.shape[0], px.shape[1], to_rgb(px), None
-    except (ValueError, zlib.error, struct.error, IndexError) as e:
-        return None, None, None, str(e)[:200] or type(e).__name__
+def from_bgr(data: bytes, height: int, width: int, channels: int) -> bytes:
+    """RGB bytes of an image whose colours come last to first (and then alpha)."""
+    px = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return to_rgb(px[:, :, 2::-1] if channels >= 3 else px)
 
 
-def netpbm(raw: bytes) -> np.ndarray:
+def netpbm(raw: bytes) -> tuple[int | None, int | None, bytes | None, str | None]:
+    """``height, width, rgb, problem`` of a binary pixmap of 8 bits."""
     head = re.match(rb"P([56])(?:\s+(?:#[^\n]*\n\s*)*)(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s", raw)
     if not head or head[4] != b"255":
-        raise ValueError("not a header of 8 bits")
+        return None, None, None, "not a binary pixmap of 8 bits"
     width, height, n = int(head[2]), int(head[3]), 3 if head[1] == b"6" else 1
-    return np.frombuffer(raw, np.uint8, height * width * n, head.end()).reshape(height, width, n)
-
-
-def png(raw: bytes) -> np.ndarray:
-    at, data, head = 8, [], None
-    while at + 8 <= len(raw):
-        size, kind = struct.unpack(">I4s", raw[at : at + 8])
-        body = raw[at + 8 : at + 8 + size]
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", body)
-        elif kind == b"IDAT":
-            data.append(body)
-        at += 12 + size
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}
-    if head is None or head[2] != 8 or head[3] not in channels or head[6]:
-        raise ValueError("only 8 bits without palette and interlacing")
-    width, height, n = head[0], head[1], channels[head[3]]
-    lines = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, 1 + width * n)
-    out, above = np.zeros((height, width, n), np.uint8), np.zeros((width, n), np.int32)
-    for y in range(height):
-        kind, line = lines[y, 0], lines[y, 1:].reshape(width, n).astype(np.int32)
-        if kind == 2:
-            line = (line + above) & 255
-        elif kind:
-            line = unfilter(kind, line, above)
-        out[y], above = line, line
-    return out
-
-
-def unfilter(kind: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
-    """A line of the filters that look left: the differences to the left, to the mean of left and above, or to the nearest of three."""
-    if kind == 1:
-        return np.cumsum(line, axis=0) & 255
-    out, left, corner = line.copy(), np.zeros(line.shape[1], np.int32), np.zeros(line.shape[1], np.int32)
-    for x in range(len(line)):
-        up = above[x]
-        if kind == 3:
-            guess = (left + up) >> 1
-        else:
-            near = np.abs(np.stack([up - corner, left - corner, left + up - 2 * corner]))
-            guess = np.where((near[0] <= near[1]) & (near[0] <= near[2]), left, np.where(near[1] <= near[2], up, corner))
-        left, corner = (line[x] + guess) & 255, up
-        out[x] = left
-    return out
+    if len(raw) < head.end() + height * width * n:
+        return None, None, None, "shorter than its header says"
+    px = np.frombuffer(raw, np.uint8, height * width * n, head.end()).reshape(height, width, n)
+    return height, width, to_rgb(px), None

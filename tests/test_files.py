@@ -65,7 +65,7 @@ DEPTH = "video long, frame long, h int, w int, depth array<double>"
 
 
 def test_depth_files_round_trip(spark, tmp_path):
-    from parallaxis.sources.images import decode
+    from parallaxis.sources.frames import images
 
     rng = np.random.default_rng(3)
     maps = {(v, f): 1 + rng.random((3, 4)) for v in range(2) for f in range(3)}
@@ -79,8 +79,8 @@ def test_depth_files_round_trip(spark, tmp_path):
         r = got[key]
         assert np.array_equal(np.reshape(r.depth, (r.h, r.w)), z) and (r.min_depth, r.max_depth) == (z.min(), z.max())
     (color,) = [p for p in names(tmp_path) if p.endswith("depth_5_0_color.png")]
-    h, w, rgb, problem = decode(open(color, "rb").read())
-    assert (h, w, problem) == (2, 2, None) and rgb == bytes(files.ANCHORS[0]) * 4
+    (read,) = images(spark, color).collect()
+    assert (read.height, read.width, read.problem) == (2, 2, None) and bytes(read.data) == bytes(files.ANCHORS[0]) * 4
     assert len(names(tmp_path)) == 4 * len(maps)
     (facts,) = [p for p in names(tmp_path) if p.endswith("depth_1_2_metrics.json")]
     assert json.load(open(facts))["shape"] == [3, 4]
