@@ -59,6 +59,7 @@ class SceneConfig:
     cut_threshold: float = 0.35
     fade_threshold: float = 8.0
     letterbox_threshold: float = 12.0
+    detect_letterbox: bool = True
     min_scene_frames: int = 1
     bins: int = 16
     thumb_height: int = 72
@@ -105,7 +106,7 @@ class TemporalConfig:
     enabled: bool = True
 
     def __post_init__(self):
-        _check(0 <= self.alpha <= 1, "alpha is not within 0 and 1")
+        _check(0 <= self.alpha < 1, "alpha is not from 0 to below 1")
         _check(0 < self.eta <= 1, "eta is not within 0 and 1")
         _check(min(self.consistency, self.photometric, self.depth_difference, self.edge) > 0, "a threshold is not positive")
         _check(0 <= self.max_scale < 1, "max_scale is not within 0 and 1")
@@ -145,6 +146,24 @@ class HeuristicConfig:
         return (self.luma / total, self.edge / total, self.vertical / total) if total > 0 else (0.45, 0.25, 0.30)
 
 
+@dataclass(frozen=True)
+class ConversionConfig:
+    """Settings of a whole conversion that no operator reads by itself."""
+
+    video_encoder: str = "auto"
+    video_bitrate_mbps: float | None = None
+    buffer_slots: int = 6
+    audio_codec: str = "copy"
+    watchdog_timeout_s: float = 10.0
+
+    def __post_init__(self):
+        _check(self.buffer_slots >= 2, "buffer_slots is below 2")
+        _check(self.video_bitrate_mbps is None or self.video_bitrate_mbps > 0, "video_bitrate_mbps is not positive")
+        _check(bool(self.video_encoder.strip()), "video_encoder is empty")
+        _check(self.audio_codec.strip().lower() in ("copy", "aac"), "audio_codec is neither copy nor aac")
+        _check(self.watchdog_timeout_s > 0, "watchdog_timeout_s is not positive")
+
+
 def batch_size(value: object) -> int:
     """A batch of 1 to 20 frames; truth values are not numbers here."""
     _check(isinstance(value, int) and not isinstance(value, bool) and 1 <= value <= 20, "the batch size is not an integer from 1 to 20")

@@ -64,7 +64,7 @@ class CutDetector:
         if s.index > 1 and (s.h, s.w) != (h, w):  # nothing to compare with, here and at the next frame
             self.seen = Seen(h=h, w=w, index=index + 1)
             return {"is_cut": True, "score": 1.0, "is_fade": False, "box": (0, h, 0, w)}
-        box = active_box(px, c.letterbox_threshold)
+        box = active_box(px, c.letterbox_threshold) if c.detect_letterbox else (0, h, 0, w)
         part = px[box[0] : box[1], box[2] : box[3]]
         fade = bool(part.mean() < c.fade_threshold)
         thumb = thumbnail(part, c.thumb_height, c.thumb_width)

@@ -92,18 +92,22 @@ def preprocess(px: DataFrame, keys: list[str], height: int, width: int, factor:
 
 
 def depth_edges(px: DataFrame, keys: list[str], height: int, width: int, limit: float, smooth: bool = True) -> DataFrame:
-    """``gradient`` relative to depth, and ``edge`` where it is over ``limit``; smoothed over 3 by 3 first or not; zeros outside.
+    """``gradient`` relative to depth, and ``edge`` where it is over ``limit``; smoothed over 3 by 3 first or not.
+
+    Outside are zeros if it is smoothed; else the border's neighbours are mirrored.
 
     Each row of pixels becomes one array, and rows meet their neighbours by lags over one order
     of the frame's rows, so a pixel is shuffled once.
     """
     order = W.partitionBy(*keys).orderBy("y")
     nothing = F.array_repeat(F.lit(0.0), width)
-    at = lambda row, x: F.coalesce(F.get(row, x), F.lit(0.0))
+    mirrored = lambda x: F.when(x < 0, min(1, width - 1)).when(x >= width, max(0, width - 2)).otherwise(x)
+    at = lambda row, x: F.coalesce(F.get(row, x), F.lit(0.0)) if smooth else F.get(row, mirrored(x))
 
     def over(rows, across):
         """For each row the arrays ``across(above, here, below, x)`` of it and its neighbours."""
-        near = rows.withColumns({"_up": F.coalesce(F.lag("z").over(order), nothing), "_down": F.coalesce(F.lead("z").over(order), nothing)})
+        up, down = F.lag("z").over(order), F.lead("z").over(order)
+        near = rows.withColumns({"_up": F.coalesce(up, nothing if smooth else F.coalesce(down, F.col("z"))), "_down": F.coalesce(down, nothing if smooth else F.coalesce(up, F.col("z")))})
         return near, lambda: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: across(F.col("_up"), F.col("z"), F.col("_down"), x))
 
     rows = px.groupBy(*keys, "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", F.col("z").cast("double").alias("z")))), lambda p: p["z"]).alias("z"))

@@ -20,8 +20,11 @@ def letterbox(px: DataFrame, keys: list[str], cfg: SceneConfig) -> DataFrame:
     """``h, w`` and the active box ``ymin, ymax, xmin, xmax`` (ends exclusive) of each frame.
 
     Every pixel counts for its row and its column, so both kinds of means come from one
-    aggregate, summed up map-side before the shuffle.
+    aggregate, summed up map-side before the shuffle.  Without ``detect_letterbox`` all is active.
     """
+    if not cfg.detect_letterbox:
+        whole = px.groupBy(*keys).agg((F.max("y") + 1).cast("int").alias("h"), (F.max("x") + 1).cast("int").alias("w"))
+        return whole.select(*keys, "h", "w", F.lit(0).alias("ymin"), F.col("h").alias("ymax"), F.lit(0).alias("xmin"), F.col("w").alias("xmax"))
     line = F.explode(F.array(F.struct(F.lit(0).alias("axis"), F.col("y").cast("int").alias("at")), F.struct(F.lit(1).alias("axis"), F.col("x").cast("int").alias("at"))))
     means = px.withColumn("_l", line).groupBy(*keys, F.col("_l.axis").alias("axis"), F.col("_l.at").alias("at")).agg(F.avg("luma").alias("m"))
     of = lambda axis, lit: F.when((F.col("axis") == axis) & ((F.col("m") >= cfg.letterbox_threshold) if lit else F.lit(True)), F.col("at"))

@@ -61,6 +61,12 @@ def scale_alignment(pairs: DataFrame, keys: list[str], cfg: TemporalConfig, lowe
     return rows.withColumn("scale", F.when((F.col("shared") >= cfg.min_shared) & (F.col("iqr") > 1e-4), limited).otherwise(F.lit(1.0)))
 
 
+def valid_share(pairs: DataFrame, keys: list[str], cfg: TemporalConfig) -> DataFrame:
+    """``valid_fraction``: the share of pixels of ``luma, z`` that hold against ``luma_before, z_before``."""
+    holds = (F.abs(F.col("luma") - F.col("luma_before")) <= cfg.photometric) & (F.abs(F.col("z") - F.col("z_before")) / F.greatest(F.col("z"), F.lit(1e-6)) <= cfg.depth_difference)
+    return pairs.groupBy(*keys).agg(F.avg(holds.cast("double")).alias("valid_fraction"))
+
+
 def last_good(frames: DataFrame, video: str, good, value: str, default) -> DataFrame:
     """``out``: the value of good frames; else that of the last good one, else ``default``."""
     held = F.last(F.when(good, F.col(value)), ignorenulls=True).over(W.partitionBy(video).orderBy("frame"))

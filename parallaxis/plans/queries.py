@@ -445,6 +445,23 @@ def scale_alignment(spark, sf):
     return temporal.scale_alignment(pairs, ["video", "frame"], TEMPORAL).select(*whole("video", "frame", "shared"), *real("scale"))
 
 
+@query(S.with_(S.GEN, "p AS (SELECT a.video, a.frame, 1.0 / a.z AS inv, 1.0 / b.z AS before FROM gen a JOIN gen b ON a.video = b.video AND a.frame = b.frame + 1 AND a.y = b.y AND a.x = b.x), s AS (SELECT video, frame, count(*) AS n, quantile_cont(inv, 0.75) - quantile_cont(inv, 0.25) AS iqr, quantile_disc(inv / greatest(before, 1e-6), 0.5) AS r FROM p GROUP BY video, frame) SELECT CAST(video AS BIGINT) AS video, CAST(frame AS BIGINT) AS frame, n AS shared, round(CASE WHEN n >= 50 AND iqr > 1e-4 THEN greatest(0.85, least(1.15, r)) ELSE 1.0 END, 6) AS scale FROM s", raw=True))
+def scale_alignment_lower(spark, sf):
+    px = V.generated_video(spark, sf)
+    before = px.select("video", (F.col("frame") + 1).alias("frame"), "y", "x", (1.0 / F.col("z")).alias("inv_before"))
+    pairs = px.withColumn("inv", 1.0 / F.col("z")).join(before, ["video", "frame", "y", "x"])
+    return temporal.scale_alignment(pairs, ["video", "frame"], TEMPORAL, lower_median=True).select(*whole("video", "frame", "shared"), *real("scale"))
+
+
+@query(S.with_(S.GEN, "p AS (SELECT a.video, a.frame, abs(a.luma - b.luma) <= 30 AND abs(a.z - b.z) / greatest(a.z, 1e-6) <= 0.25 AS ok FROM gen a JOIN gen b ON a.video = b.video AND a.frame = b.frame + 1 AND a.y = b.y AND a.x = b.x) SELECT CAST(video AS BIGINT) AS video, CAST(frame AS BIGINT) AS frame, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS valid_fraction FROM p GROUP BY video, frame", raw=True))
+def valid_fraction(spark, sf):
+    """The share of pixels whose luma and depth hold from frame to frame."""
+    now, was = _with_frame_before(V.generated_video(spark, sf))
+    pairs = now.join(was.select("video", "frame", "y", "x", F.col("luma").alias("luma_before"), F.col("z").alias("z_before")), ["video", "frame", "y", "x"])
+    return temporal.valid_share(pairs, ["video", "frame"], TEMPORAL).select(*whole("video", "frame"), *real("valid_fraction"))
+
+
+
 @query(S.with_(S.SIGNAL, "SELECT video, CAST(frame AS BIGINT) AS frame, round(coalesce(last_value(CASE WHEN kind <> 'error' THEN value END IGNORE NULLS) OVER (PARTITION BY video ORDER BY frame ROWS UNBOUNDED PRECEDING), -1.0), 6) AS \"out\" FROM sig"))
 def fallback_last_good(spark, sf):
     return temporal.last_good(V.signal(spark, sf), "video", F.col("kind") != "error", "value", -1.0).select("video", *whole("frame"), *real("out"))
@@ -686,6 +703,13 @@ def depth_edges(spark, sf):
     return geometry.depth_edges(px, ["frame"], 8, 8, 0.7).select("frame", *whole("y", "x"), *real("gradient"), "edge")
 
 
+@query(S.with_(S.PX8, "z AS (SELECT frame, y, x, 1.0::DOUBLE + luma / 64.0::DOUBLE AS z FROM px8), n AS (SELECT a.frame, a.y, a.x, a.z, dy - 1 AS dy, dx - 1 AS dx, 7 - abs(7 - abs(a.y + dy - 1)) AS ty, 7 - abs(7 - abs(a.x + dx - 1)) AS tx FROM z a, range(3) r(dy), range(3) q(dx)), g AS (SELECT n.frame, n.y, n.x, max(n.z) AS z, sum(b.z * dx * (2 - abs(dy))) AS gx, sum(b.z * dy * (2 - abs(dx))) AS gy FROM n JOIN z b ON b.frame = n.frame AND b.y = n.ty AND b.x = n.tx GROUP BY n.frame, n.y, n.x) SELECT frame, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(sqrt(gx * gx + gy * gy) / greatest(z, 1e-6), 6) AS gradient, sqrt(gx * gx + gy * gy) / greatest(z, 1e-6) > 0.7 AS edge FROM g", raw=True))
+def depth_edges_raw(spark, sf):
+    """Edges of the depth as it is, the border's neighbours mirrored."""
+    px = V.square_frames(spark, sf).select("frame", "y", "x", (1.0 + F.col("luma") / 64.0).alias("z"))
+    return geometry.depth_edges(px, ["frame"], 8, 8, 0.7, smooth=False).select("frame", *whole("y", "x"), *real("gradient"), "edge")
+
+
 @query(S.with_(S.GEN, S.BOX, S.CROP, "SELECT CAST(video AS BIGINT) AS video, CAST(frame AS BIGINT) AS frame, round(quantile_cont(1.0::DOUBLE / z, 0.01), 6) AS q_low, round(quantile_cont(1.0::DOUBLE / z, 0.99), 6) AS q_high FROM crop GROUP BY video, frame"))
 def active_bounds(spark, sf):
     keys, px = ["video", "frame"], V.generated_video(spark, sf)

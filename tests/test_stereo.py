@@ -254,3 +254,31 @@ def test_modules_are_allowed_by_the_exact_list_at_any_depth(spark):
     judged = modules_allowed(df, "n", "text", ("depth", "depth.core"))
     assert {r.n: r.allowed for r in judged.collect()} == {n: ok for n, (_, ok) in enumerate(cases)}
     assert "Python" not in judged._jdf.queryExecution().toString()
+
+
+def test_settings_of_a_conversion_are_checked():
+    from parallaxis.config import ConversionConfig, SceneConfig, TemporalConfig
+
+    ConversionConfig(audio_codec=" AAC ")
+    for wrong in ({"buffer_slots": 1}, {"video_bitrate_mbps": 0.0}, {"video_encoder": "  "}, {"audio_codec": "mp3"}, {"watchdog_timeout_s": 0.0}):
+        with pytest.raises(ValueError):
+            ConversionConfig(**wrong)
+    for wrong in ({"cut_threshold": 0.0}, {"cut_threshold": 1.5}, {"fade_threshold": -1.0}, {"min_scene_frames": 0}, {"letterbox_threshold": -0.1}):
+        with pytest.raises(ValueError):
+            SceneConfig(**wrong)
+    for wrong in ({"alpha": -0.1}, {"patch": 4}, {"patch": 1}, {"radius_fine": 0}, {"min_shared": 9}, {"eta": 0.0}, {"flow_scale": 0.01}, {"percentile_min": 99.0}, {"cut_threshold": 0.0}, {"max_scale": 1.0}, {"edge": 0.0}):
+        with pytest.raises(ValueError):
+            TemporalConfig(**wrong)
+
+
+def test_all_is_active_without_letterbox(spark):
+    from parallaxis.config import SceneConfig
+    from parallaxis.operators import scenes
+    from parallaxis.operators.cuts import CutDetector
+
+    bars = np.zeros((8, 8), np.uint8)
+    bars[2:6] = 200
+    px = spark.createDataFrame([(0, 0, y, x, int(bars[y, x])) for y in range(8) for x in range(8)], "video int, frame int, y int, x int, luma int")
+    for detect, box in ((True, (2, 6, 0, 8)), (False, (0, 8, 0, 8))):
+        r = scenes.letterbox(px, ["video", "frame"], SceneConfig(detect_letterbox=detect)).first()
+        assert (r.ymin, r.ymax, r.xmin, r.xmax) == box == CutDetector(SceneConfig(detect_letterbox=detect)).step(bars[:, :, None])["box"]

@@ -258,6 +258,17 @@ def test_kernel_and_relation_find_the_same_flow(spark):
     assert got == {(y, x): (want[0, y, x], want[1, y, x]) for y in range(h) for x in range(w)}
 
 
+@pytest.mark.parametrize("smooth", [True, False])
+def test_edges_of_kernel_and_relation(spark, smooth):
+    from parallaxis.operators.geometry import depth_edges
+
+    z = 1 + np.random.default_rng(6).random((5, 6))
+    table = spark.createDataFrame([(0, y, x, float(z[y, x])) for y in range(5) for x in range(6)], "f int, y int, x int, z double")
+    got = {(r.y, r.x): r.edge for r in depth_edges(table, ["f"], 5, 6, 0.6, smooth).collect()}
+    want = temporal.depth_edges(z, 0.6, smooth)
+    assert got == {(y, x): bool(want[y, x]) for y in range(5) for x in range(6)} and 0 < want.sum() < 30
+
+
 def test_variants_of_the_stabiliser():
     luma, _, noisy = zip(*moving(0.08, n=3), strict=True)
     run = lambda cfg: [held.step(y, z) for held in [temporal.Stabilizer(cfg)] for y, z in zip(luma, noisy, strict=True)]
