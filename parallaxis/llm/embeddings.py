@@ -18,8 +18,10 @@
    within half of the limiting angle of its centre (the core) all link with each other, by the
    triangle inequality; what remains is compared in tiles of bounded size.
 6. Recall is audited: query classes are compared with everything in blocks, and their true
-   links with those counted.  If it is below ``RECALL``, more orders are drawn and refined;
-   if it stays below ``LEAST_RECALL`` an error is raised.  The result has it as a column.
+   links with those counted, copies of their own left out; where they have few links, more
+   are asked.  If recall is below ``RECALL``, more orders are drawn and refined; if it stays
+   below ``LEAST_RECALL`` an error is raised.  The result has it as a column, null where the
+   queries have no link at all, so that nothing was measured.
 
 Cosines are in double precision, by one function for links and counts.  Ids that repeat are
 rows of their own; null ids and null labels link with nothing, and their component is their
@@ -48,8 +50,8 @@ ORDERS, BITS, ROUNDS = 8, 24, 3
 CODE, MARGIN = 64, 0.03
 #: Members of a component up to which it is one tile, and the most rows of a tile.
 WHOLE, TILE = 96, 4096
-#: Queries of the audit, the recall it asks for, and that below which there is no result.
-QUERIES, RECALL, LEAST_RECALL = 256, 0.995, 0.9
+#: Queries of the audit, how many times as many if they have less than so many links, the recall it asks for, and that below which there is no result.
+QUERIES, MORE, ENOUGH, RECALL, LEAST_RECALL = 256, 16, 200, 0.995, 0.9
 
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64()), ("kind", pa.int32())])
 PAIR_COLUMNS = "a long, b long, score double, kind int"
@@ -413,9 +415,22 @@ def with_core(members: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(mark, "id long, component long, vector binary, dim int, copies long, core boolean")
 
 
-def audit(classes: DataFrame, counts: DataFrame, least: float) -> float:
-    """The share of the query classes' links, found by comparing them with everything, that ``counts`` (``id, n``) has."""
-    picked = classes.orderBy(F.xxhash64("id"), "id").limit(QUERIES).select("id", "label", "dim", "vector").collect()  # QUERIES rows
+def audit(classes: DataFrame, counts: DataFrame, least: float) -> float | None:
+    """The share of the query classes' links to other classes that ``counts`` (``id, n``) has; null if they have none.
+
+    A class's own copies are no evidence, so they are left out.  Too few links make too little of
+    it, so then there are ``MORE`` times as many queries.
+    """
+    for queries in (QUERIES, MORE * QUERIES):
+        r = audited(classes, counts, least, queries)
+        if (r["all"] or 0) >= ENOUGH:
+            break
+    return r["met"] / r["all"] if r["all"] else None
+
+
+def audited(classes: DataFrame, counts: DataFrame, least: float, queries: int):
+    """``all``, the links of some query classes, found by comparing them with everything in blocks, and ``met``, how many were counted."""
+    picked = classes.orderBy(F.xxhash64("id"), "id").limit(queries).select("id", "label", "dim", "vector").collect()  # as many rows as queries
     groups = {}
     for r in picked:
         groups.setdefault((r["label"], r["dim"]), []).append((r["id"], bytes(r["vector"])))
@@ -430,15 +445,16 @@ def audit(classes: DataFrame, counts: DataFrame, least: float) -> float:
                 if key in groups:
                     by.setdefault(key, []).append(k)
             for key, at in by.items():
-                queries, q = groups[key]
-                yield batch_of(schema, queries, (cosines(q, unit([raw[k] for k in at], key[1]), least) >= least) @ copies[at])
+                asked, q = groups[key]
+                for low in range(0, len(at), 2048):
+                    part = at[low : low + 2048]
+                    yield batch_of(schema, asked, (cosines(q, unit([raw[k] for k in part], key[1]), least) >= least) @ copies[part])
 
-    if not groups:
-        return 1.0
-    true = classes.select("label", "vector", "dim", "copies").mapInArrow(run, "id long, n long").groupBy("id").agg((F.sum("n") - 1).alias("all"))
+    true = classes.select("label", "vector", "dim", "copies").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n_all"))
     asked = true.join(counts, "id", "left").join(classes.select("id", "copies"), "id")
-    r = asked.agg(F.sum("all").alias("all"), F.sum(F.least("all", F.coalesce("n", F.col("copies") - 1))).alias("met")).first()
-    return r["met"] / r["all"] if r["all"] else 1.0
+    other = F.col("n_all") - F.col("copies")  # every copy links with itself here
+    met = F.greatest(F.coalesce(F.col("n") - F.col("copies") + 1, F.lit(0)), F.lit(0))
+    return asked.agg(F.sum(other).alias("all"), F.sum(F.least(other, met)).alias("met")).first()
 
 
 def embedding_duplicates(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", orders: int = ORDERS, rounds: int = ROUNDS) -> DataFrame:
@@ -461,9 +477,9 @@ def embedding_duplicates(rows: DataFrame, least: float = 0.98, id_col: str = "ve
         members = found.join(sizes, "component").join(classes.select("id", "vector", "dim", "copies"), "id")
         counts = materialize(count_links(members, least), "counts")
         recall = audit(classes, counts, least)
-        if recall >= RECALL:
+        if recall is None or recall >= RECALL:
             break
-    if recall < LEAST_RECALL:
+    if recall is not None and recall < LEAST_RECALL:
         raise RuntimeError(f"only {recall:.3f} of the audited links were found")
     result = classes.select("id", "key", "label", "vector", "copies").join(found, "id").join(counts, "id", "left")
     result = result.select("key", "label", "vector", F.coalesce("n", F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"))
@@ -473,7 +489,7 @@ def embedding_duplicates(rows: DataFrame, least: float = 0.98, id_col: str = "ve
         linked = linked.join(first, "component_id").select("vec_id", "n_links", F.col("first").alias("component_id"))
     alone = vectors.where("vector is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))
-    return linked.unionByName(alone).withColumn("kept", kept).withColumn("recall", F.lit(recall))
+    return linked.unionByName(alone).withColumn("kept", kept).withColumn("recall", F.lit(recall).cast("double"))
 
 
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

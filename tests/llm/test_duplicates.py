@@ -297,3 +297,22 @@ def test_structured_words_are_told_apart(documents):
     learned, held = next(i for i in range(100) if fold(i) != 2), next(i for i in range(100) if fold(i) == 2)
     scored = {r.doc_id: (r.n_tokens, r.n_known) for r in score_documents(documents([(learned, one), (held, other)])).collect()}
     assert scored == {learned: (2, 2), held: (2, 1)}  # of the held-out text only the end is known
+
+
+def test_recall_is_of_links_between_classes(spark, monkeypatch):
+    """Copies are no evidence of a search, and without links there is no recall."""
+    from parallaxis.llm import embeddings as E
+
+    rng = np.random.default_rng(9)
+    far = rng.standard_normal((40, 16))
+    table = lambda rows: spark.createDataFrame([(k, "x", [float(v) for v in r]) for k, r in enumerate(rows)], "vec_id long, label string, embedding array<double>")
+    copies = E.embedding_duplicates(table([*far, *far])).collect()
+    assert {r.recall for r in copies} == {None} and all(r.n_links == 1 and r.component_id == r.vec_id % 40 for r in copies)
+    near = E.embedding_duplicates(table([*far, *(far[:5] + 0.001)])).collect()
+    assert {r.recall for r in near} == {1.0} and sum(r.n_links for r in near) == 10
+    # what is not counted shows, however many copies there are
+    classes = spark.createDataFrame([(k, "x", bytearray(np.asarray(v, np.float64).tobytes()), 16, 1000) for k, v in enumerate([*far[:5], *(far[:5] + 0.001)])], "id long, label string, vector binary, dim int, copies long")
+    nothing = spark.createDataFrame([], "id long, n long")
+    assert E.audit(classes, nothing, 0.98) == 0.0
+    half = spark.createDataFrame([(k, 1999) for k in range(5)], "id long, n long")
+    assert E.audit(classes, half, 0.98) == 0.5
