@@ -8,12 +8,14 @@
    task, and runs overlap by half.  Every link met in a run is kept, as a star around the
    smallest id it leads to, before lists are cut; stars make the first components.
 3. A class's list has its ``LIST`` nearest inside its component and its ``LIST`` nearest
-   outside.  So a list that is saturated with links is enlarged: whatever it may miss inside
-   is compared whole in step 5, and its other half goes on looking for what is outside.
+   outside.  Whatever it may miss inside is compared whole in step 5.  A list whose other half is
+   saturated, full of what may be links, is doubled, again and again while it stays so, up to
+   ``WIDEST``; the audit stands for what lies beyond.
 4. Refinement: at every class, those in its list and a sample of those that list it meet
    (neighbours of neighbours), with 64-byte codes of their vectors.  Each keeps the nearest of
    the others outside its component; pairs that may link two components are confirmed on full
-   vectors and join them.  Rounds end when none is joined and lists hardly change.
+   vectors and join them.  Rounds end when none is joined, no list is doubled and lists hardly
+   change.
 5. Links are counted inside components without writing pairs out.  In a large one, members
    within half of the limiting angle of its centre (the core) all link with each other, by the
    triangle inequality; what remains is compared in tiles of bounded size.
@@ -42,8 +44,8 @@ from pyspark.sql import functions as F
 from parallaxis.llm.cluster import batch_of, materialize, shuffle_partitions
 from parallaxis.llm.components import components, star_components
 
-#: Entries of either half of a list; rows of a run; partners that a row keeps from a meeting.
-LIST, RUN, KEEP = 8, 512, 3
+#: Entries of either half of a list, and to how many it is doubled while it is saturated; rows of a run; partners that a row keeps from a meeting.
+LIST, WIDEST, RUN, KEEP = 8, 64, 512, 3
 #: Random orders at first; their signs; rounds of refinement.
 ORDERS, BITS, ROUNDS = 8, 24, 3
 #: Bytes of a code, and how far below the limit the cosine of two codes may be for a pair to be confirmed.
@@ -223,11 +225,23 @@ def with_codes(classes: DataFrame) -> DataFrame:
     return classes.select("id", "vector", "dim").mapInArrow(run, "id long, code binary")
 
 
-def best(pairs: DataFrame) -> DataFrame:
-    """The nearest ``LIST`` of each class inside its component, and the nearest outside; ``fresh`` where no old entry."""
+def best(pairs: DataFrame, wide: DataFrame | None = None, most: int = LIST) -> DataFrame:
+    """The nearest ``LIST`` of each class inside its component, and the nearest outside (``size`` of those in ``wide``, up to ``most``); ``fresh`` where no old entry."""
     rank = F.dense_rank().over(W.partitionBy("a").orderBy(F.desc("score"), "b"))  # repeated entries are ties
-    halves = [pairs.where(F.col("kind") == kind).withColumn("rank", rank).where(F.col("rank") <= LIST) for kind in (INSIDE, OUTSIDE)]
-    return halves[0].unionByName(halves[1]).groupBy("a", "b", "kind").agg(F.first("score").alias("score"), F.min("fresh").alias("fresh"))
+    inside, outside = [pairs.where(F.col("kind") == kind).withColumn("rank", rank) for kind in (INSIDE, OUTSIDE)]
+    if wide is not None:
+        outside = outside.where(F.col("rank") <= most).join(wide, outside["a"] == wide["id"], "left").where(F.col("rank") <= F.coalesce("size", F.lit(LIST))).drop("id", "size")
+    else:
+        outside = outside.where(F.col("rank") <= LIST)
+    return inside.where(F.col("rank") <= LIST).unionByName(outside).groupBy("a", "b", "kind").agg(F.first("score").alias("score"), F.min("fresh").alias("fresh"))
+
+
+def saturated(lists: DataFrame, wide: DataFrame | None, least: float) -> DataFrame:
+    """``id, size`` of the classes whose list of others is full of what may be links: as many again are to be listed."""
+    full = lists.where(F.col("kind") == OUTSIDE).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
+    full = full.where(F.col("low") >= least - MARGIN)
+    full = full.withColumn("size", F.lit(LIST)) if wide is None else full.join(wide, "id", "left").withColumn("size", F.coalesce("size", F.lit(LIST)))
+    return full.where((F.col("n") >= F.col("size")) & (F.col("size") < WIDEST)).select("id", (2 * F.col("size")).alias("size"))
 
 
 def attached(lists: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -238,24 +252,26 @@ def attached(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     return lists.select("a", "b", "score").join(at("a"), "a").join(at("b"), "b").withColumn("kind", kind)
 
 
-def meetings(full: DataFrame, least: float) -> DataFrame:
+def meetings(full: DataFrame, least: float, size: int = LIST) -> DataFrame:
     """``a, b, score, kind`` of neighbours of neighbours: what each may list, and pairs (``LINK``) that may join two components.
 
-    At a class meet its list and, up to as many, those that list it, chosen by a hash.
+    At a class meet its list and, up to as many, those that list it, chosen by a hash.  ``size`` is
+    that of the longest list.
     """
     rows = full.select(F.col("a").alias("via"), F.lit(0).alias("back"), F.col("b").alias("id"), F.col("code_b").alias("code"), F.col("of_b").alias("component"))
     rows = rows.unionByName(full.select(F.col("b").alias("via"), F.lit(1).alias("back"), F.col("a").alias("id"), F.col("code_a").alias("code"), F.col("of_a").alias("component")))
-    most = 4 * LIST
+    most = 4 * size
     place = F.row_number().over(W.partitionBy("via").orderBy("back", F.xxhash64("via", "id"), "id"))
     rows = rows.withColumn("place", place).where(F.col("place") <= most).select("via", "id", "code", "component")
 
     def meet(via, ids, code, component):
         start = np.flatnonzero(np.concatenate([[True], via[1:] != via[:-1]]))
         size = np.diff(np.concatenate([start, [len(via)]]))
-        for low in range(0, len(start), 2000):
-            first, n = start[low : low + 2000], size[low : low + 2000]
-            index = first[:, None] + np.arange(most)[None, :]
-            there = np.arange(most)[None, :] < n[:, None]
+        step = max(1, (1 << 21) // int(size.max()) ** 2)
+        for low in range(0, len(start), step):
+            first, n = start[low : low + step], size[low : low + step]
+            index = first[:, None] + np.arange(n.max())[None, :]
+            there = np.arange(n.max())[None, :] < n[:, None]
             index = np.where(there, index, 0)
             own, comp = ids[index], component[index]
             score = code_scores(code[index])
@@ -319,17 +335,24 @@ def descend(classes: DataFrame, state, orders: int, seed: int, rounds: int, leas
     else:
         nodes, lists = merged(state[0], links), state[1].unionByName(met.where(F.col("kind") != LINK).withColumn("fresh", F.lit(1)))
     nodes, lists = materialize(nodes, "nodes"), materialize(best(lists), "lists")
-    for _ in range(rounds):
+    wide, most, left = None, LIST, rounds
+    while left > 0:
+        left -= 1
         full = materialize(attached(lists, nodes), "full")
-        new = materialize(meetings(full, least), "met")
+        new = materialize(meetings(full, least, most), "met")
         maybe = new.where(F.col("kind") == LINK).select("a", "b").distinct()
         links = materialize(confirm(maybe, classes, least), "links")
-        lists = materialize(best(full.select("a", "b", "score", "kind").withColumn("fresh", F.lit(0)).unionByName(new.where(F.col("kind") == OUTSIDE).withColumn("fresh", F.lit(1)))), "lists")
-        if not links.isEmpty():
+        joined = not links.isEmpty()
+        if joined:
             nodes = materialize(merged(nodes, links), "nodes")
+        lists = materialize(best(full.select("a", "b", "score", "kind").withColumn("fresh", F.lit(0)).unionByName(new.where(F.col("kind") == OUTSIDE).withColumn("fresh", F.lit(1))), wide, most), "lists")
+        more = materialize(saturated(lists, wide, least), "saturated") if most < WIDEST and rounds else None
+        if more is not None and not more.isEmpty():
+            wide = more if wide is None else materialize(more.unionByName(wide.join(more, "id", "left_anti")), "wide")
+            most, left = 2 * most, max(left, 1)  # a longer list is filled by another round at least
             continue
         r = lists.agg(F.sum("fresh").alias("fresh"), F.count(F.lit(1)).alias("all")).first()
-        if not r["all"] or r["fresh"] <= 0.2 * r["all"]:
+        if not joined and (not r["all"] or r["fresh"] <= 0.2 * r["all"]):
             break
     return nodes, lists
 
