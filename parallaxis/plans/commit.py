@@ -15,6 +15,9 @@ class CommitError(Exception):
 def commit(df: DataFrame, path: str, checks: dict[str, Callable[[DataFrame], bool]], overwrite: bool = False) -> None:
     """Write ``df`` beside ``path``, run ``checks`` on what was written, then move it into place.
 
+    Replacing takes two renames, between which there is no table: where readers must always see
+    one, or writers may meet, use :class:`parallaxis.plans.versions.VersionedTable`.
+
     Each check gets the staged table and says whether it holds.  Whatever happens, no staged
     table is left behind, and an existing one is only replaced by one that passed.
     """

@@ -519,7 +519,7 @@ def stream_ema(spark, sf):
     """The stateful operator of the streaming form, run over the table as one batch."""
     from parallaxis.streaming.processors import smooth_stream
 
-    return smooth_stream(V.signal(spark, sf).select("video", F.col("frame").cast("long").alias("frame"), F.log(2.0 + F.greatest("value", F.lit(0.0))).alias("value")), TEMPORAL.eta).select("video", "frame", *real("smoothed"))
+    return smooth_stream(V.signal(spark, sf).select("video", F.col("frame").cast("long").alias("frame"), F.log(2.0 + F.greatest("value", F.lit(0.0))).alias("value")), TEMPORAL.eta).where("not late").select("video", "frame", *real("smoothed"))
 
 
 @query("WITH RECURSIVE " + S.SIGNAL + ", c AS (SELECT video, frame, TRUE AS is_cut, frame AS latest FROM sig WHERE frame = 0 UNION ALL SELECT s.video, s.frame, coalesce(s.value / 100.0 >= 0.35, FALSE) AND s.frame - c.latest >= 3, CASE WHEN coalesce(s.value / 100.0 >= 0.35, FALSE) AND s.frame - c.latest >= 3 THEN s.frame ELSE c.latest END FROM c JOIN sig s ON s.video = c.video AND s.frame = c.frame + 1) SELECT video, CAST(frame AS BIGINT) AS frame, is_cut FROM c")

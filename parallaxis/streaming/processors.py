@@ -17,7 +17,8 @@ from parallaxis.operators.temporal import Stabilizer
 class Smooth(StatefulProcessor):
     """Exponential smoothing of ``value`` in order of ``frame``; state is one number and a count.
 
-    Frames of a batch are sorted; a frame at or before the last one seen is late and dropped.
+    Frames of a batch are sorted.  A frame at or before the last one seen comes too late: it is
+    given out with ``late`` and without a value, so nothing is lost unseen.
     """
 
     def __init__(self, eta: float, reset_gap: int | None = None):
@@ -33,32 +34,33 @@ class Smooth(StatefulProcessor):
         out = []
         for frame, x in zip(table["frame"], table["value"], strict=True):
             if frame <= last:
+                out.append((key[0], int(frame), None, True))
                 continue
             if value is None or (self.reset_gap is not None and frame - last > self.reset_gap):
                 value = float(x)
             else:
                 value = (1 - self.eta) * value + self.eta * float(x)
             last = int(frame)
-            out.append((key[0], last, value))
-        if out:
+            out.append((key[0], last, value, False))
+        if value is not None:
             self.state.update((value, last))
-        yield pd.DataFrame(out, columns=["video", "frame", "smoothed"])
+        yield pd.DataFrame(out, columns=["video", "frame", "smoothed", "late"]).astype({"smoothed": "float64"})
 
     def close(self) -> None:
         pass
 
 
 def smooth_stream(frames: DataFrame, eta: float, reset_gap: int | None = None) -> DataFrame:
-    """``video, frame, smoothed`` from a stream (or table) of ``video, frame, value``."""
+    """``video, frame, smoothed, late`` from a stream (or table) of ``video, frame, value``."""
     # a table needs the coordinator of state stores too, which the first use of streams starts
     _ = frames.sparkSession.streams.active
     return frames.groupBy("video").transformWithStateInPandas(
-        statefulProcessor=Smooth(eta, reset_gap), outputStructType="video long, frame long, smoothed double", outputMode="Append", timeMode="None"
+        statefulProcessor=Smooth(eta, reset_gap), outputStructType="video long, frame long, smoothed double, late boolean", outputMode="Append", timeMode="None"
     )
 
 
 class StabilizeStream(StatefulProcessor):
-    """The stabiliser over a stream of packed frames: the state is one frame's grey and depth."""
+    """The stabiliser over a stream of packed frames: the state is one frame's grey and depth.  Late frames are given out as such."""
 
     KIND = "h int, w int, gray array<double>, depth array<double>, low double, high double, place int, frame long"
 
@@ -76,24 +78,25 @@ class StabilizeStream(StatefulProcessor):
         out = []
         for r in pd.concat(list(rows)).sort_values("frame").itertuples(index=False):
             if r.frame <= last:
+                out.append((key[0], int(r.frame), None, None, None, None, None, True))
                 continue
             s = held.step(np.asarray(r.luma, float).reshape(r.h, r.w), np.asarray(r.z, float).reshape(r.h, r.w))
             last = int(r.frame)
-            out.append((key[0], last, s["in_shot"], s["low"], s["high"], s["valid_fraction"], s["depth"].ravel().tolist()))
-        if out:
+            out.append((key[0], last, s["in_shot"], s["low"], s["high"], s["valid_fraction"], s["depth"].ravel().tolist(), False))
+        if held.gray is not None:
             h, w = held.gray.shape
             self.state.update((h, w, held.gray.ravel().tolist(), held.depth.ravel().tolist(), float(held.low), float(held.high), held.index, last))
-        yield pd.DataFrame(out, columns=["video", "frame", "in_shot", "low", "high", "valid_fraction", "depth"])
+        yield pd.DataFrame(out, columns=["video", "frame", "in_shot", "low", "high", "valid_fraction", "depth", "late"]).astype({"in_shot": "Int32", "low": "float64", "high": "float64", "valid_fraction": "float64"})
 
     def close(self) -> None:
         pass
 
 
 def stabilize_stream(frames: DataFrame, cfg: TemporalConfig) -> DataFrame:
-    """Stabilised depth from a stream (or table) of packed frames ``video, frame, h, w, luma, z``."""
+    """Stabilised depth from a stream (or table) of packed frames ``video, frame, h, w, luma, z``; ``late`` frames have none."""
     _ = frames.sparkSession.streams.active
     return frames.groupBy("video").transformWithStateInPandas(
-        statefulProcessor=StabilizeStream(cfg), outputStructType="video long, frame long, in_shot int, low double, high double, valid_fraction double, depth array<double>", outputMode="Append", timeMode="None"
+        statefulProcessor=StabilizeStream(cfg), outputStructType="video long, frame long, in_shot int, low double, high double, valid_fraction double, depth array<double>, late boolean", outputMode="Append", timeMode="None"
     )
 
 

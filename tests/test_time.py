@@ -127,6 +127,23 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len(want) == 200 and got == pytest.approx(want)
 
 
+def test_late_frames_are_given_out(spark, tmp_path):
+    from parallaxis.streaming.processors import stabilize_stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    values = spark.createDataFrame([(0, f, 1.0) for f in (0, 1, 2)], "video long, frame long, value double")
+    images = spark.createDataFrame([(0, f, 2, 2, [90.0] * 4, [1.0 + f] * 4) for f in (0, 1)], "video long, frame long, h int, w int, luma array<double>, z array<double>")
+    for name, table, make in (("values", values, lambda s: smooth_stream(s, 0.5)), ("images", images, lambda s: stabilize_stream(s, TemporalConfig()))):
+        for frames in ("frame < 9", "frame = 1"):
+            table.where(frames).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+        q = make(stream).writeStream.format("memory").queryName(f"late_{name}").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck_{name}").trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        rows = spark.table(f"late_{name}").collect()
+        assert sorted((r.frame, r.late) for r in rows) == sorted([(r.frame, False) for r in table.collect()] + [(1, True)])
+        assert all((r.late and r[2] is None) or (not r.late and r[2] is not None) for r in rows)
+
+
 def test_cuts_keep_their_distance(spark):
     scores = spark.createDataFrame([(0, f, 0.9) for f in range(7)], "video long, frame long, score double")
     assert [r.is_cut for r in spaced_cuts(scores, 0.35, 3).orderBy("frame").collect()] == [True, False, False, True, False, False, True]
