@@ -59,8 +59,8 @@ def bilinear_resize(px: DataFrame, keys: list[str], height: int, width: int, to_
     return out.groupBy(*keys, F.col("_v.to").alias("y"), F.col("_h.to").alias("x")).agg(*[F.sum(F.col(v) * F.col("_v.w") * F.col("_h.w")).alias(v) for v in ((value,) if isinstance(value, str) else value)])
 
 
-def area_sums(px: DataFrame, keys: list[str], to_height: int, to_width: int, channels: tuple[str, ...]) -> DataFrame:
-    """Weighted sums of the source below each target pixel, for any ratio, and ``_area``, their weight.
+def area_sums(px: DataFrame, keys: list[str], to_height: int, to_width: int, channels: tuple[str, ...], same: tuple[str, ...] = ()) -> DataFrame:
+    """Weighted sums of the source below each target pixel, for any ratio, and ``_area``, their weight; ``same``: columns alike in a frame, kept.
 
     ``px`` has ``ymin, ymax, xmin, xmax``, the part of each frame that is resized.  Overlaps are whole
     numbers of 1 / (source size * target size), so sums are exact.
@@ -75,7 +75,7 @@ def area_sums(px: DataFrame, keys: list[str], to_height: int, to_width: int, cha
     out = px.withColumn("_v", F.explode(overlaps(F.col("y") - F.col("ymin"), tall, to_height))).withColumn("_h", F.explode(overlaps(F.col("x") - F.col("xmin"), wide, to_width)))
     sums = [F.sum(F.col(c) * F.col("_v.part") * F.col("_h.part")).alias(c) for c in channels]
     area = F.max(tall.cast("long") * wide).alias("_area")
-    return out.groupBy(*keys, F.col("_v.to").alias("y"), F.col("_h.to").alias("x")).agg(*sums, area)
+    return out.groupBy(*keys, F.col("_v.to").alias("y"), F.col("_h.to").alias("x")).agg(*sums, area, *[F.max(c).alias(c) for c in same])
 
 
 def area_resize(px: DataFrame, keys: list[str], to_height: int, to_width: int, channels: tuple[str, ...]) -> DataFrame:

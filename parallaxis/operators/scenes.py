@@ -79,19 +79,20 @@ def summaries(px: DataFrame, keys: list[str], cfg: SceneConfig, channels: tuple[
     Pixels are read twice, for the box and for the thumbnail; the rest follows from the
     thumbnail's sums, since every active pixel has the same total weight in it.
     """
-    boxes = letterbox(px, keys, cfg)
-    sums = area_sums(active(px, boxes, keys), keys, cfg.thumb_height, cfg.thumb_width, channels)
-    level = lambda c: F.rint(F.col(c) / F.col("_area")).cast("int")
-    gray = F.rint(luma(*[level(c) for c in channels])).cast("int") if len(channels) == 3 else level(channels[0])
+    box = ("h", "w", "ymin", "ymax", "xmin", "xmax")
+    sums = area_sums(active(px, letterbox(px, keys, cfg), keys), keys, cfg.thumb_height, cfg.thumb_width, channels, box)
+    levels = sums.withColumns({f"_{c}": F.rint(F.col(c) / F.col("_area")).cast("int") for c in channels})
+    gray = F.rint(luma(*[F.col(f"_{c}") for c in channels])).cast("int") if len(channels) == 3 else F.col(f"_{channels[0]}")
     step = 256 // cfg.bins
-    shares = [F.avg(((level(c) >= k * step) & (level(c) < (k + 1) * step)).cast("double")) for c in channels for k in range(cfg.bins)]
-    weight = F.max("_area") * cfg.thumb_height * cfg.thumb_width
-    rows = sums.groupBy(*keys).agg(
-        (sum(F.sum(c) / weight for c in channels) / len(channels)).alias("mean_luma"),
-        F.array(*shares).alias("bins"),
+    bins = [F.count_if(F.floor(F.col(f"_{c}") / step) == k) for c in channels for k in range(cfg.bins)]
+    n = cfg.thumb_height * cfg.thumb_width
+    rows = levels.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in box],
+        (sum(F.sum(c) / (F.max("_area") * n) for c in channels) / len(channels)).alias("mean_luma"),
+        F.transform(F.array(*bins), lambda b: b / n).alias("bins"),
         F.transform(F.array_sort(F.collect_list(F.struct("y", "x", gray.alias("g")))), lambda p: p["g"]).alias("gray"),
     )
-    return boxes.join(rows.withColumn("is_fade", F.col("mean_luma") < cfg.fade_threshold), keys)
+    return rows.withColumn("is_fade", F.col("mean_luma") < cfg.fade_threshold)
 
 
 def scene_cuts(px: DataFrame, video: str, cfg: SceneConfig, channels: tuple[str, ...] = ("luma",)) -> DataFrame:
