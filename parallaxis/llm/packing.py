@@ -37,7 +37,7 @@ from parallaxis.llm.cluster import batch_of, held, materialize, slices, texts_of
 from parallaxis.llm.ranks import bucket_count, seeded_key, with_ranks
 
 #: Strings whose ids a Python worker keeps, and code points up to which a string is kept.
-KEEP = 1_000_000
+KEEP = 300_000
 KEEP_LENGTH = 64
 #: Strings that a call of the library encodes.
 BATCH = 4000
