@@ -149,18 +149,24 @@ def shrunk(a: np.ndarray, h: int, w: int) -> np.ndarray:
 def search(source: np.ndarray, target: np.ndarray, radius: int, patch: int, temperature: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The shift within ``radius`` of least mean difference over a patch; the first of equals.
 
-    Candidates come one after another, with the best so far kept, so memory is a few images.
-    With ``temperature`` shifts are averaged by weights that fall with their difference.
+    Candidates come one after another, with the best so far kept, so memory is a few images; those
+    of a small image (up to 4096 pixels) come all at once.  With ``temperature`` shifts are averaged by weights that fall with their difference.
     """
     h, w = source.shape
     padded = np.pad(target, radius, mode="edge")
+    windows = np.lib.stride_tricks.sliding_window_view(padded, (h, w)).reshape(-1, h, w) if h * w <= 1 << 12 else None
     shifts = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
     cost = lambda dy, dx: box_mean(np.abs(padded[radius + dy : radius + dy + h, radius + dx : radius + dx + w] - source), patch)
-    least, best_x, best_y = np.full((h, w), np.inf), np.zeros((h, w)), np.zeros((h, w))
-    for dy, dx in shifts:
-        c = cost(dy, dx)
-        better = c < least
-        least[better], best_x[better], best_y[better] = c[better], dx, dy
+    if windows is not None:  # a small image: all at once
+        best = box_mean(np.abs(windows - source), patch)
+        k, least = best.argmin(axis=0), best.min(axis=0)
+        best_x, best_y = (k % (2 * radius + 1) - radius).astype(float), (k // (2 * radius + 1) - radius).astype(float)
+    else:
+        least, best_x, best_y = np.full((h, w), np.inf), np.zeros((h, w)), np.zeros((h, w))
+        for dy, dx in shifts:
+            c = cost(dy, dx)
+            better = c < least
+            least[better], best_x[better], best_y[better] = c[better], dx, dy
     if temperature is None:
         return best_x, best_y
     total, mean_x, mean_y = np.zeros((h, w)), np.zeros((h, w)), np.zeros((h, w))
