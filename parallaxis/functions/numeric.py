@@ -42,6 +42,11 @@ def gcd(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(90)), start, step, lambda s: s["a"])
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def nearest_fraction(num: Column, den: Column, limit: int = 10_000) -> Column:
     """The fraction (num, den) nearest to ``num / den`` with a denominator of ``limit`` at most: its continued fraction, folded.
 
@@ -53,10 +58,13 @@ def nearest_fraction(num: Column, den: Column, limit: int = 10_000) -> Column:
 
     def step(s, _):
         a = F.when(s["d"] > 0, F.floor(F.try_divide(s["n"] - F.pmod(s["n"], F.greatest(s["d"], F.lit(1))), s["d"]))).otherwise(0)
-        a = long(a)
-        more = (s["d"] > 0) & (s["q0"] + a * s["q1"] <= limit)
-        new = (s["p1"], s["q1"], s["p0"] + a * s["p1"], s["q0"] + a * s["q1"], s["d"], s["n"] - a * s["d"])
-        return F.struct(*[long(F.when(more, v).otherwise(s[k])).alias(k) for k, v in zip(names, new, strict=True)])
+
+        def next_of(a):
+            more = (s["d"] > 0) & (s["q0"] + a * s["q1"] <= limit)
+            new = (s["p1"], s["q1"], s["p0"] + a * s["p1"], s["q0"] + a * s["q1"], s["d"], s["n"] - a * s["d"])
+            return F.struct(*[long(F.when(more, v).otherwise(s[k])).alias(k) for k, v in zip(names, new, strict=True)])
+
+        return once(long(a), next_of)
 
     def finish(s):
         k = long(F.floor((F.lit(limit) - s["q0"]) / F.greatest(s["q1"], F.lit(1))))
@@ -81,10 +89,24 @@ def fraction(text: Column) -> Column:
     num, den = parts.getItem(0).try_cast("long"), F.when(F.size(parts) == 2, parts.getItem(1).try_cast("long"))
     good = num.isNotNull() & den.isNotNull() & (den != 0)
     divisor = F.greatest(F.lit(1).cast("long"), gcd(F.abs(num), F.abs(den))) * F.when(den < 0, -1).otherwise(1)
-    reduced = F.struct((num / divisor).cast("long").alias("num"), (den / divisor).cast("long").alias("den"))
+    reduced = once(divisor, lambda g: F.struct((num / g).cast("long").alias("num"), (den / g).cast("long").alias("den")))
     return F.when(whole, F.when(decimal.isNotNull(), nearest_fraction(decimal, F.lit(1_000_000_000).cast("long")))).when(good, reduced)
 
 
+def is_positive_fraction(text: Column) -> Column:
+    """Whether :func:`fraction` is greater than 0 (null if there is none), without its folds.
+
+    The nearest fraction of a decimal is 0 up to half of 1/10,000.
+    """
+    parts = F.split(F.trim(text), "/")
+    whole = F.size(parts) == 1
+    value = parts.getItem(0).try_cast("double")
+    decimal = F.when(whole & (F.abs(value) < 1e9), F.rint(value * 1e9).cast("long"))
+    num, den = parts.getItem(0).try_cast("long"), F.when(F.size(parts) == 2, parts.getItem(1).try_cast("long"))
+    good = num.isNotNull() & den.isNotNull() & (den != 0)
+    return F.when(whole, decimal > 50_000).when(good, (num != 0) & ((num > 0) == (den > 0)))
+
+
 def rate_or(text: Column, default: float = 30.0) -> Column:
     """``a/b`` or a number as a positive rate, else ``default``."""
     parts = F.split(F.trim(text), "/")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parallaxis.functions.numeric import fraction
+from parallaxis.functions.numeric import is_positive_fraction
 
 # What marks high dynamic range, what counts as unknown, what audio is copied,
 # the depths of well-known pixel formats, and the time bases tried in order.
@@ -197,7 +197,7 @@ def probe_facts(documents: DataFrame, column: str) -> DataFrame:
     doc = doc.withColumn("_v", F.try_element_at(of("video"), F.lit(1))).withColumn("_a", of("audio"))
     value = lambda name: F.col(f"_v.{name}")
     named = lambda c: F.when(~F.lower(c).isin("0/0", "n/a", ""), c)
-    rates = [F.when(fraction(named(value(n)))["num"] > 0, value(n)) for n in ("r_frame_rate", "avg_frame_rate")]
+    rates = [F.when(is_positive_fraction(named(value(n))), value(n)) for n in ("r_frame_rate", "avg_frame_rate")]
     turned = F.filter(F.map_entries("_v.tags"), lambda e: F.lower(e["key"]).isin("rotate", "rotation"))
     side = F.filter(F.transform("_v.side_data_list", lambda m: m["rotation"].try_cast("double").cast("int")), lambda r: r.isNotNull())
     out = doc.select(

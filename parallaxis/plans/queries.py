@@ -542,7 +542,8 @@ def batch_groups(spark, sf):
 
 @query(S.with_(S.MEDIA, "v AS (SELECT media, CASE WHEN contains(rate, '/') THEN TRY_CAST(split_part(rate, '/', 1) AS BIGINT) ELSE TRY_CAST(rate AS BIGINT) END AS n, CASE WHEN contains(rate, '/') THEN TRY_CAST(split_part(rate, '/', 2) AS BIGINT) ELSE 1 END AS d FROM media) SELECT media, CASE WHEN d <> 0 THEN n // greatest(1, gcd(n, d)) END AS num, CASE WHEN n IS NOT NULL AND d <> 0 THEN d // greatest(1, gcd(n, d)) END AS den FROM v", raw=True))
 def fraction_parse(spark, sf):
-    return V.media_facts(spark, sf).withColumn("f", numeric.fraction(F.col("rate"))).select("media", F.col("f.num").alias("num"), F.col("f.den").alias("den"))
+    facts = V.dealt(V.media_facts(spark, sf), ["media"], V.row_partitions(spark, sf, "part"))
+    return facts.withColumn("f", numeric.fraction(F.col("rate"))).select("media", F.col("f.num").alias("num"), F.col("f.den").alias("den"))
 
 
 _DECIMALS = ("29.97002997", "23.976", "23.976023976", "59.94005994", "0.333333333", "14.985014985", "3.14159265", "25.0", "0.00004", "119.88011988")
@@ -552,7 +553,8 @@ _DECIMALS = ("29.97002997", "23.976", "23.976023976", "59.94005994", "0.33333333
 def fraction_limit(spark, sf):
     """Decimals as the nearest fraction with a denominator of 10,000 at most."""
     text = F.element_at(F.array(*map(F.lit, _DECIMALS)), (1 + F.col("p_partkey") % 10).cast("int"))
-    f = V.table(spark, sf, "part").select(F.col("p_partkey").alias("media"), numeric.fraction(text).alias("f"))
+    parts = V.dealt(V.table(spark, sf, "part").select("p_partkey"), ["p_partkey"], V.row_partitions(spark, sf, "part"))
+    f = parts.select(F.col("p_partkey").alias("media"), numeric.fraction(text).alias("f"))
     return f.select("media", F.col("f.num").alias("num"), F.col("f.den").alias("den"))
 
 
@@ -624,7 +626,7 @@ def codec_encoder(spark, sf):
 @query(S.with_(S.MEDIA, "m AS (SELECT * REPLACE (CASE WHEN rate IN ('0/0', 'N/A') THEN average ELSE rate END AS rate) FROM media)", S.RATES.replace("FROM media", "FROM m"), S.ADMIT, "SELECT media, CASE WHEN media % 13 = 0 THEN 'no video stream' WHEN media % 17 = 0 THEN 'no size' END AS unusable, CASE WHEN media % 13 <> 0 THEN CAST(CASE WHEN media % 17 = 0 THEN 0 ELSE width END AS BIGINT) END AS width, CASE WHEN media % 13 <> 0 THEN rate END AS rate, coalesce(codecs, '') AS codecs, CASE WHEN media % 13 <> 0 AND media % 17 <> 0 THEN reason END AS reason FROM admit"))
 def probe_json(spark, sf):
     """Facts and admission from a probe's JSON documents: first video stream, all audio streams, tags and side data."""
-    m, k = V.media_facts(spark, sf), F.col("media")
+    m, k = V.dealt(V.media_facts(spark, sf), ["media"], V.row_partitions(spark, sf, "part")), F.col("media")
     text = lambda c: F.col(c).cast("string").alias(c)
     audio = F.transform(media.codec_list(F.col("codecs")), lambda c: F.struct(F.lit("audio").alias("codec_type"), F.upper(c).alias("codec_name")))
     size = F.when(k % 17 == 0, 0).otherwise(F.col("width"))

@@ -21,6 +21,30 @@ def spread(df: DataFrame, **axes: int) -> DataFrame:
     return df
 
 
+def dealt(df: DataFrame, keys: list[str], partitions: int | None) -> DataFrame:
+    """Rows dealt out by keys, into a number of tasks that Spark keeps if it is given."""
+    return df.repartition(*keys) if partitions is None else df.repartition(partitions, *keys)
+
+
+#: Pixels of a task that splats them: each becomes up to six rows, of some hundred bytes in each step.
+TASK_PIXELS = 1 << 16
+
+
+def pixel_partitions(spark: SparkSession, sf_dir: str) -> int:
+    """In how many tasks :func:`pixel_rows` keeps within ``TASK_PIXELS`` for each, whatever the table's size."""
+    pixels = table(spark, sf_dir, "embeddings").agg(F.sum(F.size("embedding"))).first()[0] or 0
+    return max(spark.sparkContext.defaultParallelism, -(-pixels // TASK_PIXELS))
+
+
+#: Rows of a task that does much with each.
+TASK_ROWS = 1 << 14
+
+
+def row_partitions(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """In how many tasks a table's rows keep within ``TASK_ROWS`` for each: a small file is one task otherwise."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, name).count() // TASK_ROWS))
+
+
 def ramp_frames(spark: SparkSession, frames: int = 24, width: int = 320, height: int = 180) -> DataFrame:
     """The synthetic source: luma ``(x + 3 * frame) mod 256``, chroma 128."""
     rows = spark.range(frames).select(F.col("id").cast("int").alias("frame"))

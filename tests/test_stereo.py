@@ -282,3 +282,18 @@ def test_all_is_active_without_letterbox(spark):
     for detect, box in ((True, (2, 6, 0, 8)), (False, (0, 8, 0, 8))):
         r = scenes.letterbox(px, ["video", "frame"], SceneConfig(detect_letterbox=detect)).first()
         assert (r.ymin, r.ymax, r.xmin, r.xmax) == box == CutDetector(SceneConfig(detect_letterbox=detect)).step(bars[:, :, None])["box"]
+
+
+def test_positive_fractions_are_told_without_reducing_them(spark):
+    from parallaxis.functions.numeric import fraction, is_positive_fraction
+
+    texts = ["24/1", "0/1", "-3/4", "3/-4", "-3/-4", "0/0", "1/0", "", "abc", "1/2/3", "25", "0", "-1", "0.00005", "0.000050001", "0.000049999", "1e9", "nan", "inf", " 30000/1001 ", "3/9223372036854775807", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", (fraction(F.col("t"))["num"] > 0).alias("want"), is_positive_fraction(F.col("t")).alias("got")).collect()
+    assert all(r.got == r.want for r in rows) and {r.got for r in rows} == {True, False, None}
+
+
+def test_one_file_of_probes_is_read_by_many_tasks(spark, sf):
+    from parallaxis.plans.queries import QUERIES
+
+    for name in ("probe_json", "fraction_parse", "fraction_limit"):
+        assert QUERIES[name](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1, name
