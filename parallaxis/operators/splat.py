@@ -2,7 +2,9 @@
 
 Landings are dealt out by image row.  The z-buffer is a window over a target pixel, the sums
 an aggregate over the same pixel, and the row-wise windows of hole filling come next: all of
-them are satisfied by the one distribution on (frame, row).
+them are satisfied by the one distribution on (frame, row).  ``partitions`` fixes into how many
+tasks the landings are dealt, so that a task's memory need not grow with the table; without it
+Spark joins small partitions to larger ones.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parallaxis.config import SplatConfig
+from parallaxis.sources.frames import dealt
 
 
 def _landings(shift: str) -> list[Column]:
@@ -34,14 +37,14 @@ def z_buffer(landed: DataFrame, keys: list[str]) -> DataFrame:
     return landed.groupBy(*keys, "y", "xt").agg(F.min("z").alias("z_near"))
 
 
-def _sums(landed: DataFrame, keys: list[str], colors: list[str], cfg: SplatConfig) -> DataFrame:
+def _sums(landed: DataFrame, keys: list[str], colors: list[str], cfg: SplatConfig, partitions: int | None) -> DataFrame:
     """Weight, depth and colours of each target pixel from what survives the z-buffer (null where nothing covers it)."""
     target = [*keys, "y", "xt"]
     near = F.min(F.when(F.col("w").isNotNull(), F.col("z"))).over(W.partitionBy(*target))
     ok = F.col("w").isNotNull() & (F.col("z") <= F.col("_near") * (1 + cfg.relative_tolerance) + cfg.absolute_tolerance)
     used = F.when(ok, F.col("w"))
     sums = (
-        landed.repartition(*keys, "y")
+        dealt(landed, [*keys, "y"], partitions)
         .withColumn("_near", near)
         .groupBy(*target)
         .agg(F.max("width").alias("width"), F.sum(used).alias("_w"), F.sum(used * F.col("z")).alias("_z"), *[F.sum(used * F.col(c)).alias(f"_{c}") for c in colors])
@@ -50,17 +53,17 @@ def _sums(landed: DataFrame, keys: list[str], colors: list[str], cfg: SplatConfi
     return sums.select(*target, "width", weight.alias("weight"), (F.col("_z") / weight).alias("depth"), *[(F.col(f"_{c}") / weight).alias(c) for c in colors])
 
 
-def blend(landed: DataFrame, keys: list[str], colors: list[str], cfg: SplatConfig) -> DataFrame:
+def blend(landed: DataFrame, keys: list[str], colors: list[str], cfg: SplatConfig, partitions: int | None = None) -> DataFrame:
     """Covered target pixels only: ``weight``, ``depth`` and the colours."""
-    return _sums(landed, keys, colors, cfg).where(F.col("weight").isNotNull()).drop("width")
+    return _sums(landed, keys, colors, cfg, partitions).where(F.col("weight").isNotNull()).drop("width")
 
 
-def forward_splat(px: DataFrame, keys: list[str], shift: str, colors: list[str], cfg: SplatConfig) -> DataFrame:
+def forward_splat(px: DataFrame, keys: list[str], shift: str, colors: list[str], cfg: SplatConfig, partitions: int | None = None) -> DataFrame:
     """Every target pixel: ``covered``, and depth and colours where it is (null in holes).
 
     Each pixel also lands on its own place without weight, so holes are rows of the same
     aggregate and no join with the grid is needed.
     """
     here = F.struct(F.col("x").alias("xt"), F.lit(None).cast("double").alias("w"))
-    drawn = _sums(_landed(px, [*_landings(shift), here], cfg), keys, colors, cfg)
+    drawn = _sums(_landed(px, [*_landings(shift), here], cfg), keys, colors, cfg, partitions)
     return drawn.withColumnRenamed("xt", "x").withColumn("covered", F.col("weight").isNotNull())

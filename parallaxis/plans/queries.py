@@ -84,8 +84,8 @@ def disparity_summary(spark, sf):
     return depth.summary(depth.disparity(V.pixel_rows(spark, sf), ["frame"], D), ["frame"], "disparity").select("frame", *real("low", "high", "mean"))
 
 
-def _eyes(spark, sf):
-    moved = depth.disparity(V.pixel_rows(spark, sf), ["frame"], D).withColumn("eye", F.explode(F.array(F.lit(0), F.lit(1))))
+def _eyes(spark, sf, partitions=None):
+    moved = depth.disparity(V.pixel_rows(spark, sf), ["frame"], D, partitions).withColumn("eye", F.explode(F.array(F.lit(0), F.lit(1))))
     return moved.withColumn("shift", F.when(F.col("eye") == 0, F.col("shift_left")).otherwise(F.col("shift_right")))
 
 
@@ -96,22 +96,23 @@ def splat_zbuffer(spark, sf):
 
 @query(S.with_(S.PX, S.BOUNDS, S.DISPARITY, S.LANDED, S.BLEND, "SELECT frame, CAST(eye AS BIGINT) AS eye, CAST(xt AS BIGINT) AS xt, round(weight, 6) AS weight, round(depth, 6) AS depth, round(g, 6) AS g FROM blend"))
 def splat_blend(spark, sf):
-    keys = ["frame", "eye"]
-    return splat.blend(splat.contributions(_eyes(spark, sf), keys, "shift", S_CFG), keys, ["g"], S_CFG).select("frame", *whole("eye", "xt"), *real("weight", "depth", "g"))
+    keys, n = ["frame", "eye"], V.pixel_partitions(spark, sf)
+    return splat.blend(splat.contributions(_eyes(spark, sf, n), keys, "shift", S_CFG), keys, ["g"], S_CFG, n).select("frame", *whole("eye", "xt"), *real("weight", "depth", "g"))
 
 
 def stereo_row_splat(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: rows of pixels moved for the left eye, with depth, weight and colour."""
-    keys = ["frame"]
-    moved = depth.disparity(V.pixel_rows(spark, sf), keys, D)
-    return splat.blend(splat.contributions(moved, keys, "shift_left", S_CFG), keys, ["g"], S_CFG).select("frame", *whole("xt"), *real("weight", "depth", "g"))
+    keys, n = ["frame"], V.pixel_partitions(spark, sf)
+    moved = depth.disparity(V.pixel_rows(spark, sf), keys, D, n)
+    return splat.blend(splat.contributions(moved, keys, "shift_left", S_CFG), keys, ["g"], S_CFG, n).select("frame", *whole("xt"), *real("weight", "depth", "g"))
 
 
 query(S.with_(S.PX, S.BOUNDS, S.DISPARITY, S.LANDED, S.BLEND, "SELECT frame, CAST(xt AS BIGINT) AS xt, round(weight, 6) AS weight, round(depth, 6) AS depth, round(g, 6) AS g FROM blend WHERE eye = 0"))(stereo_row_splat)
 
 
 def _splatted(spark, sf):
-    return splat.forward_splat(_eyes(spark, sf), ["frame", "eye"], "shift", ["g"], S_CFG)
+    n = V.pixel_partitions(spark, sf)
+    return splat.forward_splat(_eyes(spark, sf, n), ["frame", "eye"], "shift", ["g"], S_CFG, n)
 
 
 @query(S.with_(S.PX, S.BOUNDS, S.DISPARITY, S.LANDED, S.BLEND, S.GRID, "SELECT frame, CAST(eye AS BIGINT) AS eye, CAST(sum(CASE WHEN covered THEN 1 ELSE 0 END) AS BIGINT) AS covered, CAST(sum(CASE WHEN covered THEN 0 ELSE 1 END) AS BIGINT) AS holes FROM grid GROUP BY frame, eye"))
@@ -164,19 +165,20 @@ def hole_spans(spark, sf):
 _RENDER = (S.PX, S.BOUNDS, S.DISPARITY, S.LANDED, S.BLEND, S.GRID, S.EDGES, S.WIDTHS, S.filled("TRUE"), S.SBS)
 
 
-def _sbs(spark, sf):
-    eyes = render.render(V.pixel_rows(spark, sf).withColumn("g", F.col("g") + 0.5), ["frame"], ["g"], D, S_CFG, FILL)
+def _sbs(spark, sf, partitions):
+    eyes = render.render(V.pixel_rows(spark, sf).withColumn("g", F.col("g") + 0.5), ["frame"], ["g"], D, S_CFG, FILL, partitions)
     return render.side_by_side(eyes, ["frame"], ["g"])
 
 
 @query(S.with_(*_RENDER, "SELECT frame, CAST(x AS BIGINT) AS x, CAST(g AS BIGINT) AS g FROM sbs"))
 def render_sbs(spark, sf):
-    return _sbs(spark, sf).select("frame", *whole("x", "g"))
+    return _sbs(spark, sf, V.pixel_partitions(spark, sf)).select("frame", *whole("x", "g"))
 
 
 @query(S.with_(*_RENDER, "p AS (SELECT l.frame, abs(l.g - r.g) AS e FROM sbs l JOIN sbs r ON l.frame = r.frame AND l.x < 64 AND r.x = l.x + 64) SELECT frame, round(avg(e), 6) AS mean_diff, CAST(max(e) AS BIGINT) AS max_diff, round(avg(CASE WHEN e > 1 THEN 1.0 ELSE 0.0 END), 6) AS share, avg(CASE WHEN e > 1 THEN 1.0 ELSE 0.0 END) > 0.01 AS is_stereo FROM p GROUP BY frame", raw=True))
 def eye_difference(spark, sf):
-    return render.eye_difference(_sbs(spark, sf), ["frame"], "g", 64).select("frame", *real("mean_diff"), *whole("max_diff"), *real("share"), "is_stereo")
+    n = V.pixel_partitions(spark, sf)
+    return render.eye_difference(_sbs(spark, sf, n), ["frame"], "g", 64, n).select("frame", *real("mean_diff"), *whole("max_diff"), *real("share"), "is_stereo")
 
 
 # -- heuristic path, geometry ------------------------------------------------------------------

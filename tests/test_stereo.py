@@ -284,6 +284,21 @@ def test_all_is_active_without_letterbox(spark):
         assert (r.ymin, r.ymax, r.xmin, r.xmax) == box == CutDetector(SceneConfig(detect_letterbox=detect)).step(bars[:, :, None])["box"]
 
 
+def test_tasks_of_splatted_pixels_follow_the_table(spark, sf, monkeypatch):
+    """As many tasks as the pixels ask for, kept by Spark, with the same rows."""
+    from parallaxis.plans.queries import QUERIES
+    from parallaxis.sources import frames
+
+    for name in ("hole_fill", "eye_difference"):
+        monkeypatch.setattr(frames, "TASK_PIXELS", 1 << 30)
+        want = sorted(map(str, QUERIES[name](spark, sf).collect()))
+        monkeypatch.setattr(frames, "TASK_PIXELS", 1 << 9)
+        pixels = frames.pixel_rows(spark, sf).count()
+        got = QUERIES[name](spark, sf)
+        assert f"{-(-pixels // (1 << 9))}), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, got.collect())) == want
+
+
 def test_positive_fractions_are_told_without_reducing_them(spark):
     from parallaxis.functions.numeric import fraction, is_positive_fraction
 
