@@ -83,3 +83,8 @@ def held(key, make):
         _held.clear()
         _held[key] = make()
     return _held[key]
+
+
+def release() -> None:
+    """Drop what :func:`held` keeps: for operators that hold nothing but follow one that does, in the same workers."""
+    _held.clear()

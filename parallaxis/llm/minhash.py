@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parallaxis.llm.cluster import batch_of, materialize, shuffle_partitions, slices, texts_of
+from parallaxis.llm.cluster import batch_of, materialize, release, shuffle_partitions, slices, texts_of
 from parallaxis.llm.components import components, merged_components
 from parallaxis.llm.shingles import shingle_hashes, shingle_sets
 
@@ -75,6 +75,7 @@ def signature_rows(docs: DataFrame, words: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set1", pa.int64()), ("set2", pa.int64()), ("signature", pa.binary())])
 
     def run(batches):
+        release()
         for b in slices(batches, 1024, 2 << 20):
             h, starts = shingle_hashes(b.column(1).to_pylist(), words)
             sig = signatures(h, starts)

@@ -316,3 +316,19 @@ def test_recall_is_of_links_between_classes(spark, monkeypatch):
     assert E.audit(classes, nothing, 0.98) == 0.0
     half = spark.createDataFrame([(k, 1999) for k in range(5)], "id long, n long")
     assert E.audit(classes, half, 0.98) == 0.5
+
+
+def test_what_a_worker_holds_for_another_operator_is_dropped():
+    import numpy as np
+    import pyarrow as pa
+
+    from parallaxis.llm import cluster, minhash
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b c d e"])], names=["doc_id", "text"])
+            return list(run([batch]))
+
+    cluster.held("words of another operator", lambda: np.zeros(9))
+    minhash.signature_rows(Rows(), 4)
+    assert not cluster._held
