@@ -55,7 +55,7 @@ def frame_rejections(spark, sf):
 @query(S.with_(S.PX, _BAD, "ok AS (SELECT frame FROM bad GROUP BY frame HAVING bool_and(NOT isnan(z) AND NOT isinf(z) AND z > 0)), px_ AS (SELECT px.* FROM px JOIN ok USING (frame))", S.BOUNDS.replace("FROM px ", "FROM px_ "), S.DISPARITY.replace("FROM px ", "FROM px_ px "), "SELECT frame, count(*) AS n, round(min(disparity), 6) AS low, round(max(disparity), 6) AS high FROM d GROUP BY frame"))
 def disparity_of_usable_frames(spark, sf):
     """Frames with any depth that cannot be used have no disparity at all."""
-    d = depth.disparity(_bad(spark, sf), ["frame"], D)
+    d = depth.disparity(_bad(spark, sf), ["frame"], D, V.pixel_partitions(spark, sf))
     return d.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.min("disparity").alias("low"), F.max("disparity").alias("high")).select("frame", *whole("n"), *real("low", "high"))
 
 
@@ -66,32 +66,33 @@ def disparity_bounds(spark, sf):
 
 @query(S.with_(S.PX, S.BOUNDS, S.DISPARITY, "SELECT frame, CAST(x AS BIGINT) AS x, round(q, 6) AS q, round(disparity, 6) AS disparity, round(disparity / 2, 6) AS shift_left, round(-disparity / 2, 6) AS shift_right FROM d"))
 def disparity_map(spark, sf):
-    return depth.disparity(V.pixel_rows(spark, sf), ["frame"], D).select("frame", *whole("x"), *real("q", "disparity", "shift_left", "shift_right"))
+    return depth.disparity(V.pixel_rows(spark, sf), ["frame"], D, V.pixel_partitions(spark, sf)).select("frame", *whole("x"), *real("q", "disparity", "shift_left", "shift_right"))
 
 
 @query(S.with_(S.PX, "b AS (SELECT frame, min(1.0 / z) AS lo, max(1.0 / z) AS hi FROM px GROUP BY frame) SELECT frame, CAST(x AS BIGINT) AS x, round(CASE WHEN hi - lo <= 1e-7 THEN 0.6 ELSE greatest(0.0, least(1.0, (1.0 / z - lo) / (hi - lo))) END, 6) AS q, 0.0::DOUBLE AS disparity FROM px JOIN b USING (frame)", raw=True))
 def disparity_zero_strength(spark, sf):
-    return depth.disparity(V.pixel_rows(spark, sf), ["frame"], DisparityConfig(strength=0.0)).select("frame", *whole("x"), *real("q", "disparity"))
+    return depth.disparity(V.pixel_rows(spark, sf), ["frame"], DisparityConfig(strength=0.0), V.pixel_partitions(spark, sf)).select("frame", *whole("x"), *real("q", "disparity"))
 
 
 @query(S.with_(S.PX, "SELECT frame, CAST(x AS BIGINT) AS x, round(greatest(-3.2, least(3.2, 0.3 * 64 * (greatest(0.0, least(1.0, (1.0 / z - 0.4) / 0.25)) - 0.6))), 6) AS disparity FROM px"))
 def disparity_fixed_bounds(spark, sf):
-    return depth.disparity(V.pixel_rows(spark, sf), ["frame"], DisparityConfig(strength=0.30, bounds=(0.4, 0.65))).select("frame", *whole("x"), *real("disparity"))
+    return depth.disparity(V.pixel_rows(spark, sf), ["frame"], DisparityConfig(strength=0.30, bounds=(0.4, 0.65)), V.pixel_partitions(spark, sf)).select("frame", *whole("x"), *real("disparity"))
 
 
 @query(S.with_(S.PX, S.BOUNDS, S.DISPARITY, "SELECT frame, round(min(disparity), 6) AS low, round(max(disparity), 6) AS high, round(avg(disparity), 6) AS mean FROM d GROUP BY frame"))
 def disparity_summary(spark, sf):
-    return depth.summary(depth.disparity(V.pixel_rows(spark, sf), ["frame"], D), ["frame"], "disparity").select("frame", *real("low", "high", "mean"))
+    return depth.summary(depth.disparity(V.pixel_rows(spark, sf), ["frame"], D, V.pixel_partitions(spark, sf)), ["frame"], "disparity").select("frame", *real("low", "high", "mean"))
 
 
-def _eyes(spark, sf, partitions=None):
+def _eyes(spark, sf, partitions):
     moved = depth.disparity(V.pixel_rows(spark, sf), ["frame"], D, partitions).withColumn("eye", F.explode(F.array(F.lit(0), F.lit(1))))
     return moved.withColumn("shift", F.when(F.col("eye") == 0, F.col("shift_left")).otherwise(F.col("shift_right")))
 
 
 @query(S.with_(S.PX, S.BOUNDS, S.DISPARITY, S.LANDED, "SELECT frame, CAST(eye AS BIGINT) AS eye, CAST(xt AS BIGINT) AS xt, round(min(z), 6) AS z_near FROM landed GROUP BY frame, eye, xt"))
 def splat_zbuffer(spark, sf):
-    return splat.z_buffer(splat.contributions(_eyes(spark, sf), ["frame", "eye"], "shift", S_CFG), ["frame", "eye"]).select("frame", *whole("eye", "xt"), *real("z_near"))
+    eyes = _eyes(spark, sf, V.pixel_partitions(spark, sf))
+    return splat.z_buffer(splat.contributions(eyes, ["frame", "eye"], "shift", S_CFG), ["frame", "eye"]).select("frame", *whole("eye", "xt"), *real("z_near"))
 
 
 @query(S.with_(S.PX, S.BOUNDS, S.DISPARITY, S.LANDED, S.BLEND, "SELECT frame, CAST(eye AS BIGINT) AS eye, CAST(xt AS BIGINT) AS xt, round(weight, 6) AS weight, round(depth, 6) AS depth, round(g, 6) AS g FROM blend"))

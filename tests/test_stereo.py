@@ -299,6 +299,26 @@ def test_tasks_of_splatted_pixels_follow_the_table(spark, sf, monkeypatch):
         assert sorted(map(str, got.collect())) == want
 
 
+#: Queries on pixels, by how many times their plans deal frames or landings.
+DEALT = {"splat_zbuffer": 2, "disparity_map": 2, "disparity_zero_strength": 2, "disparity_summary": 2, "disparity_of_usable_frames": 2, "disparity_fixed_bounds": 2}
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_no_pixel_goes_to_a_task_that_spark_sizes(spark, sf, monkeypatch, name):
+    """Pixels are dealt only into as many tasks as they ask for, and the rows do not depend on how many."""
+    from parallaxis.plans.queries import QUERIES
+    from parallaxis.sources import frames
+
+    monkeypatch.setattr(frames, "TASK_PIXELS", 1 << 30)
+    want = sorted(map(str, QUERIES[name](spark, sf).collect()))
+    monkeypatch.setattr(frames, "TASK_PIXELS", 1 << 9)
+    n = -(-frames.pixel_rows(spark, sf).count() // (1 << 9))
+    got = QUERIES[name](spark, sf)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{n}), REPARTITION_BY_NUM") == DEALT[name] and "REPARTITION_BY_COL" not in plan
+    assert sorted(map(str, got.collect())) == want
+
+
 def test_positive_fractions_are_told_without_reducing_them(spark):
     from parallaxis.functions.numeric import fraction, is_positive_fraction
 
