@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from parallaxis.config import DisparityConfig
 from parallaxis.functions.numeric import clamp
-from parallaxis.sources.frames import dealt
 
 
 def is_valid_depth(z: Column) -> Column:
@@ -56,14 +55,12 @@ def frame_scalars(px: DataFrame, keys: list[str], cfg: DisparityConfig) -> DataF
     return px.groupBy(*keys).agg(*facts, p.alias("p")).select(*keys, "width", "valid", F.col("p")[0].alias("q_low"), F.col("p")[1].alias("q_high"))
 
 
-def disparity(px: DataFrame, keys: list[str], cfg: DisparityConfig, partitions: int | None = None) -> DataFrame:
+def disparity(px: DataFrame, keys: list[str], cfg: DisparityConfig) -> DataFrame:
     """Adds ``q``, ``disparity``, ``shift_left`` and ``shift_right`` to every pixel of the frames that are not rejected.
 
     A frame with any depth that is not positive and finite has no rows here; :func:`rejections`
-    says which and why.  ``partitions`` fixes into how many tasks the frames are dealt, once for
-    their scalars and the join.
+    says which and why.  Frames that were dealt out by ``keys`` are not moved again.
     """
-    px = px if partitions is None else dealt(px, keys, partitions)
     bounded = px.join(frame_scalars(px, keys, cfg).where("valid").drop("valid"), keys)
     span = F.col("q_high") - F.col("q_low")
     q = F.when(span <= 1e-7, F.lit(cfg.q_screen)).otherwise(clamp(F.try_divide(inverse_depth() - F.col("q_low"), span), 0, 1))

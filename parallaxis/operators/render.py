@@ -16,8 +16,8 @@ EYES = {0: "shift_left", 1: "shift_right"}
 
 
 def render(px: DataFrame, keys: list[str], colors: list[str], d: DisparityConfig, s: SplatConfig, f: FillConfig, partitions: int | None = None) -> DataFrame:
-    """Pixels of both eyes (``eye`` 0 left, 1 right), splatted and filled."""
-    moved = disparity(px, keys, d, partitions)
+    """Pixels of both eyes (``eye`` 0 left, 1 right), splatted and filled; ``partitions`` as in :func:`forward_splat`."""
+    moved = disparity(px, keys, d)
     if d.strength == 0:
         still = moved.withColumn("eye", F.explode(F.array(F.lit(0), F.lit(1))))
         return still.withColumn("covered", F.lit(True)).withColumn("filled", F.lit(False)).withColumn("unfilled", F.lit(False)).withColumn("depth", F.col("z"))

@@ -26,6 +26,11 @@ TEMPORAL = TemporalConfig(min_shared=50)
 # -- depth, splat, fill, render ---------------------------------------------------------------
 
 
+def _frames(spark, sf):
+    """Rows of pixels, dealt into as many tasks as they ask for."""
+    return V.pixel_rows(spark, sf, V.pixel_partitions(spark, sf))
+
+
 @query(S.with_(S.PX, "SELECT frame, count(*) AS n, CAST(sum(CASE WHEN z > 0 AND NOT isnan(z) AND z < 'inf'::DOUBLE THEN 0 ELSE 1 END) AS BIGINT) AS bad, bool_and(z > 0 AND NOT isnan(z) AND z < 'inf'::DOUBLE) AS valid FROM px GROUP BY frame"))
 def depth_validation(spark, sf):
     return depth.validate_depth(V.pixel_rows(spark, sf), ["frame"]).select("frame", *whole("n", "bad"), "valid")
@@ -41,10 +46,10 @@ def signal_validation(spark, sf):
 _BAD = "bad AS (SELECT frame, x, CASE WHEN frame % 5 = 1 AND x = 3 THEN 0.0::DOUBLE WHEN frame % 5 = 2 AND x = 7 THEN 'nan'::DOUBLE WHEN frame % 5 = 3 AND x IN (0, 9) THEN CASE WHEN x = 0 THEN -1.0::DOUBLE ELSE 'inf'::DOUBLE END ELSE z END AS z FROM px)"
 
 
-def _bad(spark, sf):
+def _bad(spark, sf, partitions=None):
     k, x = F.col("frame") % 5, F.col("x")
     z = F.when((k == 1) & (x == 3), 0.0).when((k == 2) & (x == 7), float("nan")).when((k == 3) & (x == 0), -1.0).when((k == 3) & (x == 9), float("inf")).otherwise(F.col("z"))
-    return V.pixel_rows(spark, sf).withColumn("z", z)
+    return V.pixel_rows(spark, sf, partitions).withColumn("z", z)
 
 
 @query(S.with_(S.PX, _BAD, "SELECT frame, count(*) AS n, CASE WHEN NOT bool_and(NOT isnan(z) AND NOT isinf(z)) THEN 'non-finite' WHEN NOT bool_and(z > 0) THEN 'non-positive' END AS reason FROM bad GROUP BY frame"))
@@ -55,7 +60,7 @@ def frame_rejections(spark, sf):
 @query(S.with_(S.PX, _BAD, "ok AS (SELECT frame FROM bad GROUP BY frame HAVING bool_and(NOT isnan(z) AND NOT isinf(z) AND z > 0)), px_ AS (SELECT px.* FROM px JOIN ok USING (frame))", S.BOUNDS.replace("FROM px ", "FROM px_ "), S.DISPARITY.replace("FROM px ", "FROM px_ px "), "SELECT frame, count(*) AS n, round(min(disparity), 6) AS low, round(max(disparity), 6) AS high FROM d GROUP BY frame"))
 def disparity_of_usable_frames(spark, sf):
     """Frames with any depth that cannot be used have no disparity at all."""
-    d = depth.disparity(_bad(spark, sf), ["frame"], D, V.pixel_partitions(spark, sf))
+    d = depth.disparity(_bad(spark, sf, V.pixel_partitions(spark, sf)), ["frame"], D)
     return d.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.min("disparity").alias("low"), F.max("disparity").alias("high")).select("frame", *whole("n"), *real("low", "high"))
 
 
@@ -66,26 +71,26 @@ def disparity_bounds(spark, sf):
 
 @query(S.with_(S.PX, S.BOUNDS, S.DISPARITY, "SELECT frame, CAST(x AS BIGINT) AS x, round(q, 6) AS q, round(disparity, 6) AS disparity, round(disparity / 2, 6) AS shift_left, round(-disparity / 2, 6) AS shift_right FROM d"))
 def disparity_map(spark, sf):
-    return depth.disparity(V.pixel_rows(spark, sf), ["frame"], D, V.pixel_partitions(spark, sf)).select("frame", *whole("x"), *real("q", "disparity", "shift_left", "shift_right"))
+    return depth.disparity(_frames(spark, sf), ["frame"], D).select("frame", *whole("x"), *real("q", "disparity", "shift_left", "shift_right"))
 
 
 @query(S.with_(S.PX, "b AS (SELECT frame, min(1.0 / z) AS lo, max(1.0 / z) AS hi FROM px GROUP BY frame) SELECT frame, CAST(x AS BIGINT) AS x, round(CASE WHEN hi - lo <= 1e-7 THEN 0.6 ELSE greatest(0.0, least(1.0, (1.0 / z - lo) / (hi - lo))) END, 6) AS q, 0.0::DOUBLE AS disparity FROM px JOIN b USING (frame)", raw=True))
 def disparity_zero_strength(spark, sf):
-    return depth.disparity(V.pixel_rows(spark, sf), ["frame"], DisparityConfig(strength=0.0), V.pixel_partitions(spark, sf)).select("frame", *whole("x"), *real("q", "disparity"))
+    return depth.disparity(_frames(spark, sf), ["frame"], DisparityConfig(strength=0.0)).select("frame", *whole("x"), *real("q", "disparity"))
 
 
 @query(S.with_(S.PX, "SELECT frame, CAST(x AS BIGINT) AS x, round(greatest(-3.2, least(3.2, 0.3 * 64 * (greatest(0.0, least(1.0, (1.0 / z - 0.4) / 0.25)) - 0.6))), 6) AS disparity FROM px"))
 def disparity_fixed_bounds(spark, sf):
-    return depth.disparity(V.pixel_rows(spark, sf), ["frame"], DisparityConfig(strength=0.30, bounds=(0.4, 0.65)), V.pixel_partitions(spark, sf)).select("frame", *whole("x"), *real("disparity"))
+    return depth.disparity(_frames(spark, sf), ["frame"], DisparityConfig(strength=0.30, bounds=(0.4, 0.65))).select("frame", *whole("x"), *real("disparity"))
 
 
 @query(S.with_(S.PX, S.BOUNDS, S.DISPARITY, "SELECT frame, round(min(disparity), 6) AS low, round(max(disparity), 6) AS high, round(avg(disparity), 6) AS mean FROM d GROUP BY frame"))
 def disparity_summary(spark, sf):
-    return depth.summary(depth.disparity(V.pixel_rows(spark, sf), ["frame"], D, V.pixel_partitions(spark, sf)), ["frame"], "disparity").select("frame", *real("low", "high", "mean"))
+    return depth.summary(depth.disparity(_frames(spark, sf), ["frame"], D), ["frame"], "disparity").select("frame", *real("low", "high", "mean"))
 
 
 def _eyes(spark, sf, partitions):
-    moved = depth.disparity(V.pixel_rows(spark, sf), ["frame"], D, partitions).withColumn("eye", F.explode(F.array(F.lit(0), F.lit(1))))
+    moved = depth.disparity(V.pixel_rows(spark, sf, partitions), ["frame"], D).withColumn("eye", F.explode(F.array(F.lit(0), F.lit(1))))
     return moved.withColumn("shift", F.when(F.col("eye") == 0, F.col("shift_left")).otherwise(F.col("shift_right")))
 
 
@@ -104,7 +109,7 @@ def splat_blend(spark, sf):
 def stereo_row_splat(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: rows of pixels moved for the left eye, with depth, weight and colour."""
     keys, n = ["frame"], V.pixel_partitions(spark, sf)
-    moved = depth.disparity(V.pixel_rows(spark, sf), keys, D, n)
+    moved = depth.disparity(V.pixel_rows(spark, sf, n), keys, D)
     return splat.blend(splat.contributions(moved, keys, "shift_left", S_CFG), keys, ["g"], S_CFG, n).select("frame", *whole("xt"), *real("weight", "depth", "g"))
 
 
@@ -167,7 +172,7 @@ _RENDER = (S.PX, S.BOUNDS, S.DISPARITY, S.LANDED, S.BLEND, S.GRID, S.EDGES, S.WI
 
 
 def _sbs(spark, sf, partitions):
-    eyes = render.render(V.pixel_rows(spark, sf).withColumn("g", F.col("g") + 0.5), ["frame"], ["g"], D, S_CFG, FILL, partitions)
+    eyes = render.render(V.pixel_rows(spark, sf, partitions).withColumn("g", F.col("g") + 0.5), ["frame"], ["g"], D, S_CFG, FILL, partitions)
     return render.side_by_side(eyes, ["frame"], ["g"])
 
 

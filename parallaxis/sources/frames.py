@@ -106,9 +106,15 @@ def rgb_pixels(data: str):
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(level(i * 3).alias("r"), level(i * 3 + 1).alias("g"), level(i * 3 + 2).alias("b")))
 
 
-def pixel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each embedding as a frame of one row of pixels: depth 2 + v, colour v."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("x", "v"))
+def pixel_rows(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    """Each embedding as a frame of one row of pixels: depth 2 + v, colour v.
+
+    ``partitions`` fixes into how many tasks the frames are dealt.  They are dealt packed: a task
+    that deals pixels buffers many times what it reads.
+    """
+    packed = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), "embedding")
+    packed = packed if partitions is None else dealt(packed, ["frame"], partitions)
+    rows = packed.select("frame", F.posexplode("embedding").alias("x", "v"))
     return rows.select("frame", F.floor(F.col("x") / 64).cast("int").alias("y"), "x", (F.col("v").cast("double") + 2.0).alias("z"), F.col("v").cast("double").alias("g"))
 
 
