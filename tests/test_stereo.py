@@ -300,7 +300,7 @@ def test_tasks_of_splatted_pixels_follow_the_table(spark, sf, monkeypatch):
 
 
 #: Queries on pixels, by how many times their plans deal frames or landings.
-DEALT = {"splat_zbuffer": 2, "disparity_map": 2, "disparity_zero_strength": 2, "disparity_summary": 2, "disparity_of_usable_frames": 2, "disparity_fixed_bounds": 2, "render_sbs": 3, "hole_fill_gated": 3, "hole_diagnostics": 3, "hole_spans": 3}
+DEALT = {"splat_zbuffer": 2, "disparity_map": 2, "disparity_zero_strength": 2, "disparity_summary": 2, "disparity_of_usable_frames": 2, "disparity_fixed_bounds": 2, "render_sbs": 3, "hole_fill_gated": 3, "hole_diagnostics": 3, "hole_spans": 3, "hole_boundaries": 3}
 
 
 @pytest.mark.parametrize("name", DEALT)
