@@ -319,6 +319,18 @@ def test_no_pixel_goes_to_a_task_that_spark_sizes(spark, sf, monkeypatch, name):
     assert sorted(map(str, got.collect())) == want
 
 
+def most_rows_of_a_task(df):
+    return df.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+
+
+def test_filled_rows_are_shared_out_evenly(spark, sf, monkeypatch):
+    """No task that fills holes holds much more than both eyes of the pixels that it was meant to."""
+    from parallaxis.plans.queries import QUERIES
+
+    monkeypatch.setattr(V, "TASK_PIXELS", 1 << 12, raising=False)
+    assert most_rows_of_a_task(QUERIES["hole_fill_gated"](spark, sf)) <= 1.5 * 2 * (1 << 12)
+
+
 def test_positive_fractions_are_told_without_reducing_them(spark):
     from parallaxis.functions.numeric import fraction, is_positive_fraction
 
