@@ -331,6 +331,16 @@ def test_filled_rows_are_shared_out_evenly(spark, sf, monkeypatch):
     assert most_rows_of_a_task(QUERIES["hole_fill_gated"](spark, sf)) <= 1.5 * 2 * (1 << 12)
 
 
+def test_widths_of_holes_are_shared_out_evenly(spark, sf, monkeypatch):
+    """The same for the widths that diagnostics and spans sum up."""
+    from parallaxis.plans import queries as Q
+
+    monkeypatch.setattr(V, "TASK_PIXELS", 1 << 12, raising=False)
+    keys = ["frame", "eye"]
+    widths = fill.hole_widths(fill.boundaries(Q._splatted(spark, sf), keys, ["g"]), keys, Q.FILL)
+    assert most_rows_of_a_task(widths) <= 1.5 * 2 * (1 << 12)
+
+
 def test_positive_fractions_are_told_without_reducing_them(spark):
     from parallaxis.functions.numeric import fraction, is_positive_fraction
 
